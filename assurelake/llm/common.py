@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,7 +60,12 @@ def drop_cut(*frames: DataFrame) -> None:
             drop_path(df.sparkSession, folder)
 
 
-def batches(frame: pa.RecordBatch, rows: int):
-    """Slices of at most `rows` rows."""
-    for start in range(0, frame.num_rows, rows):
-        yield frame.slice(start, rows)
+def batches(frame: pa.RecordBatch, size: int, column: int = 1):
+    """Slices whose texts in `column` hold at most about `size` bytes (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(frame.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < frame.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield frame.slice(start, stop - start)
+        start = stop

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from assurelake.llm.bpe import op1_bpe
 from assurelake.llm.langid import op3_language_id
+from assurelake.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
+    "op5_token_counts": op5_token_counts,
 }
 ORACLE: dict[str, str] = {}
