@@ -5,10 +5,14 @@ from __future__ import annotations
 from assurelake.llm.bpe import op1_bpe
 from assurelake.llm.langid import op3_language_id
 from assurelake.llm.token_counts import op5_token_counts
+from assurelake.llm.topk import OP9_SQL, op9_top_k
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
+    "op9_top_k": op9_top_k,
+}
+ORACLE: dict[str, str] = {
+    "op9_top_k": OP9_SQL,
 }
-ORACLE: dict[str, str] = {}
