@@ -6,13 +6,16 @@ from assurelake.llm.bpe import op1_bpe
 from assurelake.llm.langid import op3_language_id
 from assurelake.llm.token_counts import op5_token_counts
 from assurelake.llm.topk import OP9_SQL, op9_top_k
+from assurelake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
+    "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
 }
 ORACLE: dict[str, str] = {
+    "op8_warc": OP8_SQL,
     "op9_top_k": OP9_SQL,
 }
