@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from assurelake.llm.bpe import op1_bpe
 from assurelake.llm.langid import op3_language_id
+from assurelake.llm.pii import op6_pii
 from assurelake.llm.token_counts import op5_token_counts
 from assurelake.llm.topk import OP9_SQL, op9_top_k
 from assurelake.llm.warc import OP8_SQL, op8_warc
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
     "op5_token_counts": op5_token_counts,
+    "op6_pii": op6_pii,
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
 }
