@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assurelake.llm.bpe import op1_bpe
+from assurelake.llm.jaccard import op10_jaccard
 from assurelake.llm.langid import op3_language_id
 from assurelake.llm.pii import op6_pii
 from assurelake.llm.token_counts import op5_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
+    "op10_jaccard": op10_jaccard,
 }
 ORACLE: dict[str, str] = {
     "op8_warc": OP8_SQL,
