@@ -5,7 +5,9 @@ from __future__ import annotations
 from assurelake.llm.bpe import op1_bpe
 from assurelake.llm.jaccard import op10_jaccard
 from assurelake.llm.langid import op3_language_id
+from assurelake.llm.mixing import op7_mixing
 from assurelake.llm.pii import op6_pii
+from assurelake.llm.quality import OP4_SQL, op4_quality
 from assurelake.llm.token_counts import op5_token_counts
 from assurelake.llm.topk import OP9_SQL, op9_top_k
 from assurelake.llm.warc import OP8_SQL, op8_warc
@@ -13,13 +15,16 @@ from assurelake.llm.warc import OP8_SQL, op8_warc
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
+    "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
     "op10_jaccard": op10_jaccard,
 }
 ORACLE: dict[str, str] = {
+    "op4_quality": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op9_top_k": OP9_SQL,
 }
