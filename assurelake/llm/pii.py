@@ -307,6 +307,18 @@ def find_pii(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", r
     return rows.mapInArrow(run, schema)
 
 
+def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the texts redacted; every other column as it is."""
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            texts = pa.array([redact(t) for t in frame.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(frame.columns)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return find_pii(table(spark, sf_dir, "documents"))

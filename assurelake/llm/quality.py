@@ -103,7 +103,7 @@ def rules() -> list[Rule]:
     return [
         Rule("mean_word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 15 * c("n_words")), 0.01),
         Rule("symbols", 10 * c("n_symbols") > c("n_words"), 0.01),
-        Rule("repeated_lines", 10 * c("n_dup_lines") > 3 * c("_n_lines"), 0.01),
+        Rule("repeated_lines", (c("n_dup_lines") > 2) & (10 * c("n_dup_lines") > 3 * c("_n_lines")), 0.01),
         Rule("repeated_words", 10 * c("n_repeat_words") > 3 * c("n_words"), 0.01),
         Rule("letters", 10 * F.length(F.regexp_replace("_text", r"[^\p{L}]+", "")) < 6 * c("word_chars"), 1.0),
         Rule("placeholder", F.lower("_text").contains("lorem ipsum"), 0.2),
@@ -181,7 +181,7 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
-            OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_repeat_words > 3 * n_words
+            OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines) OR 10 * n_repeat_words > 3 * n_words
             OR 10 * length(regexp_replace(text, '[^\p{L}]+', '', 'g')) < 6 * word_chars
             OR contains(lower(text), 'lorem ipsum')
             OR 50 * len(regexp_extract_all(text, '[{}]')) > n_words) AS kept

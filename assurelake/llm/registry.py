@@ -10,10 +10,12 @@ from assurelake.llm.pii import op6_pii
 from assurelake.llm.quality import OP4_SQL, op4_quality
 from assurelake.llm.token_counts import op5_token_counts
 from assurelake.llm.topk import OP9_SQL, op9_top_k
+from assurelake.llm.url_filter import op2_url_filter
 from assurelake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,

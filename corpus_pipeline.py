@@ -1,25 +1,65 @@
-"""The corpus pipeline: stages that read the documents that the stage before kept."""
+"""The corpus pipeline: every stage works on all documents that the one before it kept.
+
+Language identification drops documents without an identifiable language, the Jaccard join keeps one
+document of each group of near copies, personal data is redacted, documents are sampled to target
+weights, and what is left is encoded and decoded as tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from assurelake.llm.bpe import encode_decode, word_vocabulary
+from assurelake.llm.jaccard import jaccard_components
+from assurelake.llm.common import cut, work_path
 from assurelake.llm.langid import held_out, identify, train
+from assurelake.llm.mixing import TARGETS, mix
+from assurelake.llm.pii import redact_documents
 
+#: Probability under which a language is not taken for identified.
+MIN_SCORE = 0.5
+#: No SQL: the language model, the redaction and the tokens have no SQL form.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that have no identifiable language."""
     model = train(docs.filter(~held_out()))
-    return identify(docs, model).filter("lang_pred <> 'und' AND score >= 0.5").select(*docs.columns)
+    return identify(docs, model, "text", "_lang", "_score").filter(f"_lang <> 'und' AND _score >= {MIN_SCORE}").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: the one that names the group. Documents without
+    an id are in no group and stay; of rows that repeat an id in a group all but one go."""
+    groups = jaccard_components(docs)
+    named = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(cut(named, "kept-ids"), "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by its kind."""
+    return redact_documents(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sample documents by the calibrated probabilities of their source, language and topic."""
+    return mix(docs, TARGETS).filter("kept").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode and decode what is left."""
+    return encode_decode(docs, word_vocabulary())
 
 
-STAGES = [("language", language)]
+STAGES = [("language", language), ("near_copies", near_copies), ("personal_data", personal_data), ("mixture", mixture), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = work_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
