@@ -2,5 +2,45 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from assurelake.operators import rules
+from assurelake.plans import rule_sql
+from assurelake.plans.domain import AS_OF, EVENTS_AS_OF, Domain, with_tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, **more: str):
+    """Register a function of the domain tables under a name, with its SQL."""
+
+    def register(f: Callable[[Domain], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
+        if sql:
+            ORACLE[name] = with_tables(sql, **more)
+        return f
+
+    return register
+
+
+TEST_RULES = [rules.with_thresholds(r, rule_sql.THRESHOLDS.get(r.code)) for r in rules.RULES]
+COMPARED = [c for c in rules.SIGNAL_COLUMNS if c not in ("signal_type", "explanation")]
+
+
+def _day(code: str):
+    return EVENTS_AS_OF if code == "PAYMENT_SETTLEMENT_MISMATCH" else AS_OF
+
+
+def all_signals(d: Domain) -> DataFrame:
+    """Signals of all rules: those on events run for their own day."""
+    others = [c for c in rules.CODES if _day(c) == AS_OF]
+    events = [c for c in rules.CODES if _day(c) != AS_OF]
+    return rules.run_rules(d, AS_OF, others, TEST_RULES).unionByName(rules.run_rules(d, EVENTS_AS_OF, events, TEST_RULES))
+
+
+for _code in rules.CODES:
+    query(f"rule_{_code.lower()}", rule_sql.SIGNALS[_code])(lambda d, code=_code: rules.run_rules(d, _day(code), [code], TEST_RULES).select(*COMPARED))
+query("rules_all", rule_sql.ALL_SIGNALS)(lambda d: all_signals(d).select(*COMPARED))
