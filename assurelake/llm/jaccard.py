@@ -288,8 +288,8 @@ def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: int
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             keep = []
-            for x, y in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(frame.column(2), frame.column(3), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(t, s), len(t) - 1)
                 shared = int((t[at] == s).sum())
                 keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
@@ -333,9 +333,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     passed = cut(first_pass(rows, words), "jaccard-pass", "kind")
     known = passed.filter("kind = 'doc'").select("id", "n", "sid")
     sketch = summed_sketch(passed.filter("kind = 'slot'"))
-    # a token's list is as long as its counter, less what other tokens put there
+    # a token's list is as long as its counter, less what other tokens put there; common tokens come
+    # last in every set's order, so the lists of those below the limit are the ones to be read
     mean = max(1.0, float(sketch.mean()))
-    length = float((np.maximum(sketch - mean, 0) ** 2).sum() / max(1, sketch.sum()))
+    below = sketch[sketch <= COMMON * mean]
+    length = float((np.maximum(below - mean, 0) ** 2).sum() / max(1, below.sum()))
     largest = known.agg(F.max("n")).first()[0] or 0
     light = boundary(np.array([largest]), length, percent)
     holders = cut(known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id")), "jaccard-holders")
