@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assurelake.operators import rules
+from assurelake.operators import reconcile, rules, taxgap
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import AS_OF, EVENTS_AS_OF, Domain, with_tables
 
@@ -44,3 +45,107 @@ def all_signals(d: Domain) -> DataFrame:
 for _code in rules.CODES:
     query(f"rule_{_code.lower()}", rule_sql.SIGNALS[_code])(lambda d, code=_code: rules.run_rules(d, _day(code), [code], TEST_RULES).select(*COMPARED))
 query("rules_all", rule_sql.ALL_SIGNALS)(lambda d: all_signals(d).select(*COMPARED))
+
+# tax gap
+
+_RATES = ", ".join(f"('{a}', '{b}', {r}, {p}, {i})" for a, b, r, p, i in taxgap.RATES)
+_EST = f"""SELECT tax_head || ':' || taxpayer_id || ':' || CAST(period_start AS VARCHAR) || ':' || CAST(period_end AS VARCHAR) AS deterministic_key, taxpayer_id, tax_head, period_start, period_end,
+  CAST(sum(declared_amount) AS DECIMAL(18,2)) AS declared_amount, CAST(sum(observed_amount) AS DECIMAL(18,2)) AS observed_amount, CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap,
+  CAST(sum(t) AS DECIMAL(18,2)) AS recoverable_tax, CAST(sum(p) AS DECIMAL(18,2)) AS penalty, CAST(sum(i) AS DECIMAL(18,2)) AS interest,
+  CAST(round(CAST(sum(confidence_score) AS DOUBLE) / count(*), 2) AS DECIMAL(5,2)) AS confidence_score, count(*) AS signal_count, CAST(sum(t) + sum(p) + sum(i) AS DECIMAL(18,2)) AS total_recoverable
+FROM (SELECT s.*, round(estimated_gap * CAST(r.rate AS DECIMAL(10,4)), 2) AS t, round(estimated_gap * CAST(r.rate AS DECIMAL(6,4)) * CAST(r.penalty AS DECIMAL(6,4)), 2) AS p, round(estimated_gap * CAST(r.rate AS DECIMAL(6,4)) * CAST(r.interest AS DECIMAL(6,4)), 2) AS i
+      FROM {{signals}} s JOIN (SELECT * FROM (VALUES {_RATES}) AS v(signal_type, head, rate, penalty, interest)) r ON r.signal_type = s.rule_code
+      WHERE s.taxpayer_id IS NOT NULL AND s.estimated_gap > 0 AND s.status IN ('OPEN', 'NEW'))
+GROUP BY taxpayer_id, tax_head, period_start, period_end"""
+_SCORES = """SELECT taxpayer_id, min(period_start) AS period_start, max(period_end) AS period_end, CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap,
+  CAST(sum(recoverable_tax) AS DECIMAL(18,2)) AS recoverable_tax, CAST(sum(total_recoverable) AS DECIMAL(18,2)) AS total_recoverable,
+  CAST(round(CAST(sum(confidence_score) AS DOUBLE) / count(*), 2) AS DECIMAL(5,2)) AS confidence_score, count(*) AS estimate_count,
+  CAST(least(100, round(CAST(sum(total_recoverable) AS DECIMAL(18,2)) * CAST(0.0001 AS DECIMAL(5,4)), 2)) AS DECIMAL(5,2)) AS score, 'TAX_GAP_ENGINE' AS source FROM {est} GROUP BY taxpayer_id"""
+GAP = {"signals": rule_sql.ALL_SIGNALS, "est": _EST, "scores": _SCORES}
+
+
+def gap_estimates(d: Domain) -> DataFrame:
+    return taxgap.estimates(all_signals(d))
+
+
+query("gap_rate_catalog", f"SELECT signal_type, catalog_head, CAST(rate AS DECIMAL(10,4)) AS recoverable_rate, CAST(penalty AS DECIMAL(10,4)) AS penalty_rate, CAST(interest AS DECIMAL(10,4)) AS interest_rate FROM (VALUES {_RATES}) AS v(signal_type, catalog_head, rate, penalty, interest)")(lambda d: taxgap.rate_catalog(d.spark))
+query("gap_source_signals", "SELECT count(*) AS source_signals FROM {signals} WHERE estimated_gap > 0", signals=rule_sql.ALL_SIGNALS)(lambda d: taxgap.source_signals(all_signals(d)))
+query("gap_estimates", "SELECT * FROM {est}", **GAP)(lambda d: gap_estimates(d).drop("signal_types", "evidence"))
+query("gap_estimate_list", "SELECT deterministic_key, total_recoverable, confidence_score FROM {est} WHERE tax_head = 'VAT' ORDER BY total_recoverable DESC, confidence_score DESC, tax_head, deterministic_key LIMIT 100", **GAP)(
+    lambda d: taxgap.estimate_list(gap_estimates(d), head="VAT", limit=100).select("deterministic_key", "total_recoverable", "confidence_score")
+)
+query("gap_scores", "SELECT * FROM {scores}", **GAP)(lambda d: taxgap.scores(gap_estimates(d)))
+query(
+    "gap_summary_by_head",
+    """SELECT tax_head, count(DISTINCT taxpayer_id) AS taxpayers, count(*) AS estimates, CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap, CAST(sum(recoverable_tax) AS DECIMAL(18,2)) AS recoverable_tax,
+    CAST(sum(penalty) AS DECIMAL(18,2)) AS penalty, CAST(sum(interest) AS DECIMAL(18,2)) AS interest, CAST(sum(total_recoverable) AS DECIMAL(18,2)) AS total_recoverable,
+    CAST(round(CAST(sum(confidence_score) AS DOUBLE) / count(*), 2) AS DECIMAL(5,2)) AS average_confidence FROM {est} GROUP BY tax_head""",
+    **GAP,
+)(lambda d: taxgap.summary_by_head(gap_estimates(d)))
+query(
+    "gap_taxpayer_ranking",
+    "SELECT s.*, t.legal_name, t.sector_name, t.county FROM {scores} s LEFT JOIN {taxpayers} t ON t.id = s.taxpayer_id ORDER BY s.total_recoverable DESC, s.taxpayer_id LIMIT 20",
+    **GAP,
+)(lambda d: taxgap.ranking(taxgap.scores(gap_estimates(d)), d["taxpayers"]))
+
+# reconciliation
+
+_PAID = "upper(payment_status) IN ('PAID', 'SUCCESS', 'SUCCESSFUL', 'COMPLETED')"
+_S_ON = "lower(s.collecting_agency) = lower(p.collecting_agency) AND lower(s.revenue_channel) = lower(p.revenue_channel) AND upper(s.settlement_status) IN ('SETTLED', 'SUCCESS', 'COMPLETED') AND s.settlement_date >= p.reconciliation_date"
+_AGG = """coalesce(sum(s.settled_amount), 0) AS settled, count(s.settlement_reference) AS n, string_agg(DISTINCT s.settlement_account, ', ' ORDER BY s.settlement_account) AS account,
+  count(s.settlement_reference) FILTER (WHERE lower(coalesce(s.settlement_account, '')) <> 'cbk-kra-main') AS wrong, max(s.settlement_date - p.reconciliation_date) AS lag"""
+RECON = {
+    "pay": f"SELECT collecting_agency, revenue_channel, CAST(payment_date AS DATE) AS reconciliation_date, CAST(sum(amount) AS DECIMAL(18,2)) AS expected_amount, count(*) AS transaction_count FROM {{payment_transactions}} WHERE {_PAID} GROUP BY 1, 2, 3",
+    "ont": f"SELECT p.collecting_agency, p.revenue_channel, p.reconciliation_date, {_AGG} FROM {{pay}} p LEFT JOIN {{settlement_records}} s ON {_S_ON} AND s.settlement_date <= p.reconciliation_date + 2 GROUP BY 1, 2, 3",
+    "als": f"SELECT p.collecting_agency, p.revenue_channel, p.reconciliation_date, {_AGG} FROM {{pay}} p LEFT JOIN {{settlement_records}} s ON {_S_ON} AND s.settlement_date <= p.reconciliation_date + 30 AND s.settled_amount = p.expected_amount GROUP BY 1, 2, 3",
+    "recon": f"""SELECT *, CAST(expected_amount - settled_amount AS DECIMAL(18,2)) AS variance_amount, 'recon:' || collecting_agency || ':' || revenue_channel || ':' || CAST(reconciliation_date AS VARCHAR) || ':' || settlement_status AS deterministic_key FROM (
+  SELECT p.*, CAST(CASE WHEN o.n = 0 AND a.settled >= p.expected_amount THEN a.settled ELSE o.settled END AS DECIMAL(18,2)) AS settled_amount,
+    CASE WHEN o.n = 0 AND a.settled >= p.expected_amount THEN a.n ELSE o.n END AS settlement_count,
+    CASE WHEN o.n = 0 AND a.settled >= p.expected_amount THEN a.account ELSE o.account END AS settlement_account,
+    CAST(CASE WHEN o.n = 0 AND a.settled >= p.expected_amount THEN a.lag ELSE o.lag END AS INTEGER) AS max_lag_days,
+    CASE WHEN o.n > 0 AND o.settled < p.expected_amount THEN 'PARTIAL_SETTLEMENT' WHEN a.n = 0 THEN 'MISSING_SETTLEMENT' WHEN o.n = 0 AND a.settled >= p.expected_amount THEN 'DELAYED_SETTLEMENT'
+         WHEN o.wrong > 0 THEN 'WRONG_ACCOUNT' ELSE 'MATCHED' END AS settlement_status, CAST(NULL AS VARCHAR) AS duplicate_reference
+  FROM {{pay}} p JOIN {{ont}} o USING (collecting_agency, revenue_channel, reconciliation_date) JOIN {{als}} a USING (collecting_agency, revenue_channel, reconciliation_date))
+UNION ALL BY NAME
+SELECT *, 'recon:' || collecting_agency || ':' || revenue_channel || ':' || CAST(reconciliation_date AS VARCHAR) || ':DUPLICATE_TRANSACTION:' || duplicate_reference AS deterministic_key FROM (
+  SELECT collecting_agency, revenue_channel, CAST(payment_date AS DATE) AS reconciliation_date, CAST(sum(amount) AS DECIMAL(18,2)) AS expected_amount, count(*) AS transaction_count, CAST(0 AS DECIMAL(18,2)) AS settled_amount,
+    CAST(0 AS BIGINT) AS settlement_count, CAST(NULL AS VARCHAR) AS settlement_account, CAST(NULL AS INTEGER) AS max_lag_days, 'DUPLICATE_TRANSACTION' AS settlement_status,
+    coalesce(provider_reference, transaction_reference) AS duplicate_reference, CAST(sum(amount) - max(amount) AS DECIMAL(18,2)) AS variance_amount
+  FROM {{payment_transactions}} WHERE {_PAID} GROUP BY 1, 2, 3, 11 HAVING count(*) > 1)""",
+}
+
+
+def recon(d: Domain) -> DataFrame:
+    return reconcile.reconcile(d["payment_transactions"], d["settlement_records"])
+
+
+_RSIG = "SELECT 'reconciliation:' || deterministic_key AS deterministic_key, abs(variance_amount) AS estimated_gap, CAST(CASE settlement_status WHEN 'MISSING_SETTLEMENT' THEN 96 WHEN 'DUPLICATE_TRANSACTION' THEN 94 WHEN 'WRONG_ACCOUNT' THEN 92 WHEN 'DELAYED_SETTLEMENT' THEN 88 ELSE 85 END AS DECIMAL(5,2)) AS confidence_score, CASE WHEN settlement_status IN ('MISSING_SETTLEMENT', 'WRONG_ACCOUNT') THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM {recon} WHERE settlement_status <> 'MATCHED'"
+query("recon_default_window", "SELECT CAST(min(payment_date) AS DATE) AS from_date, CAST(max(payment_date) AS DATE) AS to_date FROM {payment_transactions}")(lambda d: reconcile.default_window(d["payment_transactions"]))
+query("recon_payment_totals", "SELECT * FROM {pay}", pay=RECON["pay"])(lambda d: reconcile.totals(d["payment_transactions"]))
+query("recon_results", "SELECT * FROM {recon}", **RECON)(recon)
+query("recon_signals", _RSIG, **RECON)(lambda d: reconcile.signals_of(recon(d)).select("deterministic_key", "estimated_gap", "confidence_score", "severity"))
+query(
+    "recon_signal_links",
+    "SELECT deterministic_key, CASE WHEN settlement_status <> 'MATCHED' THEN 'reconciliation:' || deterministic_key END AS risk_signal_id FROM {recon}",
+    **RECON,
+)(lambda d: reconcile.link_signals(recon(d), reconcile.signals_of(recon(d))).select("deterministic_key", "risk_signal_id"))
+query("recon_result_list", "SELECT deterministic_key, variance_amount FROM {recon} WHERE settlement_status = 'MISSING_SETTLEMENT' ORDER BY reconciliation_date DESC, abs(variance_amount) DESC, settlement_status, deterministic_key LIMIT 10", **RECON)(
+    lambda d: reconcile.result_list(recon(d), "MISSING_SETTLEMENT", limit=10).select("deterministic_key", "variance_amount")
+)
+query(
+    "recon_summary",
+    "SELECT CAST(sum(expected_amount) AS DECIMAL(18,2)) AS expected_amount, CAST(sum(settled_amount) AS DECIMAL(18,2)) AS settled_amount, CAST(sum(variance_amount) AS DECIMAL(18,2)) AS variance_amount, "
+    + ", ".join(f"count(*) FILTER (WHERE settlement_status = '{s}') AS {s.lower()}" for s in ("MATCHED", "MISSING_SETTLEMENT", "DELAYED_SETTLEMENT", "WRONG_ACCOUNT", "DUPLICATE_TRANSACTION"))
+    + " FROM {recon}",
+    **RECON,
+)(lambda d: reconcile.summary(recon(d)))
+query("recon_exception_count", "SELECT count(*) AS exceptions FROM {recon} WHERE settlement_status <> 'MATCHED'", **RECON)(lambda d: reconcile.exception_count(recon(d)))
+query(
+    "recon_case_opening",
+    "SELECT 'reconciliation:' || deterministic_key AS risk_signal_id, CASE WHEN settlement_status IN ('MISSING_SETTLEMENT', 'WRONG_ACCOUNT') OR abs(variance_amount) >= 100000 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, settlement_status = 'MISSING_SETTLEMENT' AS has_case FROM {recon} WHERE settlement_status <> 'MATCHED'",
+    **RECON,
+)(
+    lambda d: reconcile.open_cases(
+        recon(d), recon(d).filter("settlement_status = 'MISSING_SETTLEMENT'").select(F.concat(F.lit("reconciliation:"), "deterministic_key").alias("risk_signal_id"), F.lit("K").alias("case_id"), F.lit(1).alias("created_at"))
+    ).select("risk_signal_id", "priority", (~F.col("is_new")).alias("has_case"))
+)
