@@ -27,12 +27,12 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 SQL: dict[str, str] = {
     "lines": _LINE,
     "taxpayers": """
-SELECT concat('S', s_suppkey) AS id, concat('P-S', s_suppkey) AS kra_pin, 'COMPANY' AS taxpayer_type, s_name AS legal_name, CAST(NULL AS STRING) AS trading_name,
+SELECT concat('S', s_suppkey) AS id, concat('P-S', s_suppkey) AS kra_pin, 'COMPANY' AS taxpayer_type, s_name AS legal_name, concat('Trading House ', s_suppkey % 50) AS trading_name,
        concat('BN-', s_suppkey % 40) AS registration_number, concat('R', n_regionkey) AS sector_code, r_name AS sector_name, n_name AS county,
        CASE WHEN s_suppkey % 10 = 0 THEN 'DORMANT' ELSE 'ACTIVE' END AS status
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL
-SELECT concat('C', c_custkey), concat('P-C', c_custkey), 'INDIVIDUAL', c_name, c_mktsegment, CAST(NULL AS STRING), concat('R', n_regionkey), r_name, n_name,
+SELECT concat('C', c_custkey), concat('P-C', c_custkey), 'INDIVIDUAL', c_name, CAST(NULL AS STRING), CAST(NULL AS STRING), concat('R', n_regionkey), r_name, n_name,
        CASE WHEN c_custkey % 10 = 0 THEN 'DORMANT' ELSE 'ACTIVE' END
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 """,
@@ -78,6 +78,14 @@ SELECT concat('S', s_suppkey) AS taxpayer_id, concat('BP-', s_suppkey) AS permit
        CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE CAST('1995-01-01' AS DATE) END AS valid_from, CAST('1999-12-31' AS DATE) AS valid_to,
        CAST(abs(CAST(s_acctbal AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS permit_fee, CASE WHEN s_suppkey % 9 = 0 THEN 'EXPIRED' ELSE 'Active' END AS permit_status
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""",
+    "open_permits": """
+SELECT CAST(NULL AS STRING) AS taxpayer_id, concat('OP-', s_suppkey) AS permit_number, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE upper(n_name) END AS county,
+       concat('Suppliers ', substring(s_name, 10)) AS business_activity
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+""",
+    "open_invoices": """
+SELECT invoice_number, CASE WHEN total_amount < 30000 THEN NULL ELSE supplier_taxpayer_id END AS supplier_taxpayer_id, lower(supplier_pin) AS supplier_pin, total_amount FROM {invoices}
 """,
     "tax_obligations": """
 SELECT concat('S', s_suppkey) AS taxpayer_id, CASE WHEN s_suppkey % 2 = 0 THEN 'VAT' ELSE 'INCOME_TAX' END AS tax_head,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assurelake.operators import reconcile, rules, taxgap
+from assurelake.operators import profile, reconcile, resolution, rules, taxgap
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import AS_OF, EVENTS_AS_OF, Domain, with_tables
 
@@ -149,3 +149,64 @@ query(
         recon(d), recon(d).filter("settlement_status = 'MISSING_SETTLEMENT'").select(F.concat(F.lit("reconciliation:"), "deterministic_key").alias("risk_signal_id"), F.lit("K").alias("case_id"), F.lit(1).alias("created_at"))
     ).select("risk_signal_id", "priority", (~F.col("is_new")).alias("has_case"))
 )
+
+# entity resolution
+
+_WORDS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+_TRI = f"list_distinct(flatten(list_transform({_WORDS}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_SIM = "CASE WHEN len({0}) + len({1}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
+_TSETS = f"SELECT *, {_TRI.format('legal_name')} AS gl, {_TRI.format('trading_name')} AS gt FROM {{taxpayers}}"
+_PAIRS = f"""SELECT source_id, target_id, source_name, target_name, CASE WHEN same THEN 1.0 ELSE c END AS confidence, CASE WHEN same THEN 'REGISTRATION_NUMBER' ELSE 'FUZZY_NAME' END AS basis FROM (
+  SELECT a.id AS source_id, b.id AS target_id, a.legal_name AS source_name, b.legal_name AS target_name, coalesce(lower(a.registration_number) = lower(b.registration_number) AND a.registration_number <> '', FALSE) AS same,
+    greatest({_SIM.format("a.gl", "b.gl")}, {_SIM.format("a.gt", "b.gt")}) AS c FROM {{tsets}} a JOIN {{tsets}} b ON a.id < b.id) WHERE same OR c >= 0.9"""
+ER = {"tsets": _TSETS, "pairs": _PAIRS}
+query("er_identifiers", "SELECT * FROM (SELECT 'KRA_PIN' AS identifier_type, kra_pin AS identifier_value, min(id) AS taxpayer_id FROM {taxpayers} GROUP BY 2 UNION ALL SELECT 'REGISTRATION_NUMBER', registration_number, min(id) FROM {taxpayers} WHERE registration_number <> '' GROUP BY 2)")(
+    lambda d: resolution.identifiers(d["taxpayers"])
+)
+query("er_link_by_pin", "SELECT i.invoice_number, coalesce(i.supplier_taxpayer_id, t.id) AS supplier_taxpayer_id, i.total_amount FROM {open_invoices} i LEFT JOIN {taxpayers} t ON upper(t.kra_pin) = upper(i.supplier_pin)")(
+    lambda d: resolution.link_by_pin(d["open_invoices"], d["taxpayers"], "supplier_pin", "supplier_taxpayer_id").select("invoice_number", "supplier_taxpayer_id", "total_amount")
+)
+query(
+    "er_link_permits",
+    f"""SELECT permit_number, taxpayer_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY permit_number ORDER BY similarity DESC, taxpayer_id) AS n FROM (
+      SELECT p.permit_number, t.id AS taxpayer_id, greatest({_SIM.format("p.g", "t.gl")}, {_SIM.format("p.g", "t.gt")}) AS similarity
+      FROM (SELECT *, {_TRI.format("business_activity")} AS g FROM {{open_permits}}) p JOIN {{tsets}} t ON p.county IS NULL OR t.county IS NULL OR lower(p.county) = lower(t.county))) WHERE n = 1 AND similarity >= 0.55""",
+    tsets=_TSETS,
+)(lambda d: resolution.link_permits(d["open_permits"], d["taxpayers"]))
+query("er_duplicate_pairs", "SELECT source_id, target_id, confidence, basis FROM {pairs}", **ER)(lambda d: resolution.duplicate_pairs(d["taxpayers"]))
+query("er_duplicate_candidates", "SELECT * FROM {pairs} ORDER BY confidence DESC, source_name, source_id, target_id LIMIT 50", **ER)(lambda d: resolution.duplicate_candidates(d["taxpayers"]))
+query("er_new_relationships", "SELECT source_id AS source_taxpayer_id, target_id AS target_taxpayer_id, 'POSSIBLE_DUPLICATE' AS relationship_type, CAST(confidence * 100 AS DECIMAL(5,2)) AS confidence_score FROM {pairs} WHERE basis = 'FUZZY_NAME'", **ER)(
+    lambda d: resolution.new_relationships(
+        resolution.duplicate_pairs(d["taxpayers"]),
+        resolution.duplicate_pairs(d["taxpayers"]).filter("basis <> 'FUZZY_NAME'").select(F.col("source_id").alias("source_taxpayer_id"), F.col("target_id").alias("target_taxpayer_id"), F.lit("POSSIBLE_DUPLICATE").alias("relationship_type")),
+    ).drop("source")
+)
+query(
+    "er_match_candidates",
+    f"""SELECT id, kra_pin, legal_name, greatest(l, t) AS confidence, CASE WHEN l >= t THEN 'LEGAL_NAME' ELSE 'TRADING_NAME' END AS basis, greatest(l, t) >= 0.55 AS auto_link_eligible FROM (
+      SELECT *, {_SIM.format("gl", "g")} AS l, {_SIM.format("gt", "g")} AS t FROM {{tsets}}, (SELECT {_TRI.format("'House of Supplier 000000042'")} AS g)) WHERE greatest(l, t) > 0
+    ORDER BY confidence DESC, legal_name, id LIMIT 20""",
+    tsets=_TSETS,
+)(lambda d: resolution.match_candidates(d["taxpayers"], "House of Supplier 000000042", 20))
+query(
+    "er_run_summary",
+    """SELECT step, CAST(links AS BIGINT) AS links FROM (SELECT 'invoices.supplier_taxpayer_id' AS step, count(*) AS links FROM {open_invoices} i JOIN {taxpayers} t ON upper(t.kra_pin) = upper(i.supplier_pin) WHERE i.supplier_taxpayer_id IS NULL
+    UNION ALL SELECT 'total', count(*) FROM {open_invoices} i JOIN {taxpayers} t ON upper(t.kra_pin) = upper(i.supplier_pin) WHERE i.supplier_taxpayer_id IS NULL)""",
+)(lambda d: resolution.run_summary({"taxpayers": d["taxpayers"], "invoices": d["open_invoices"]}))
+
+# profiles
+
+_COUNTS = " ".join(
+    f"LEFT JOIN (SELECT {who} AS id, count(*) AS {n}" + (f", CAST(sum({m}) AS DECIMAL(18,2)) AS {n}_total" if m else "") + f" FROM {{{t}}} WHERE {who} IS NOT NULL GROUP BY 1) USING (id)" for n, t, who, m in profile.PARTS
+)
+_ZERO = ", ".join(f"coalesce({n}, 0) AS {n}" + (f", CAST(coalesce({n}_total, 0) AS DECIMAL(18,2)) AS {n}_total" if m else "") for n, _, _, m in profile.PARTS)
+query("profile_all", f"SELECT id, kra_pin, legal_name, county, status, {_ZERO} FROM {{taxpayers}} {_COUNTS}")(profile.profiles)
+query("profile_lookup", f"SELECT id, kra_pin, legal_name, county, status, {_ZERO} FROM {{taxpayers}} {_COUNTS} WHERE id = 'S7'")(lambda d: profile.profiles(d, "S7"))
+query("profile_identifiers", "SELECT 'KRA_PIN' AS identifier_type, kra_pin AS identifier_value, id AS taxpayer_id FROM {taxpayers} WHERE id = 'S7' UNION ALL SELECT 'REGISTRATION_NUMBER', registration_number, id FROM {taxpayers} WHERE id = 'S7' AND id = (SELECT min(id) FROM {taxpayers} WHERE registration_number = 'BN-7')")(
+    lambda d: profile.identifier_list(resolution.identifiers(d["taxpayers"]), "S7")
+)
+query(
+    "profile_relationships",
+    "SELECT 'OUTGOING' AS direction, target_id AS other, 'POSSIBLE_DUPLICATE' AS relationship_type, CAST(confidence * 100 AS DECIMAL(5,2)) AS confidence_score FROM {pairs} WHERE source_id = 'S57' UNION ALL SELECT 'INCOMING', source_id, 'POSSIBLE_DUPLICATE', CAST(confidence * 100 AS DECIMAL(5,2)) FROM {pairs} WHERE target_id = 'S57'",
+    **ER,
+)(lambda d: profile.relationships(resolution.duplicate_pairs(d["taxpayers"]).select(F.col("source_id").alias("source_taxpayer_id"), F.col("target_id").alias("target_taxpayer_id"), F.lit("POSSIBLE_DUPLICATE").alias("relationship_type"), (F.col("confidence") * 100).cast("decimal(5,2)").alias("confidence_score")), "S57"))
