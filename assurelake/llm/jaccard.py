@@ -264,18 +264,72 @@ def may_link(a: str, b: str, percent: int) -> Column:
     )
 
 
+#: Bits of the filter of wanted ids, at most (16 MB), and bits for each id.
+FILTER_BITS, BITS_EACH, FILTER_HASHES = 1 << 27, 16, 3
+
+
+def filter_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each id in a filter of `bits` (a power of two), a row for each hash."""
+    h = ids.astype(np.int64).view(np.uint64)
+    rows = []
+    for k in range(FILTER_HASHES):
+        h = mix(h + np.uint64(int(_P) * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+        rows.append((h >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64))
+    return np.stack(rows)
+
+
+def id_filter(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the ids, as packed bits: filled by each task, merged by slice."""
+    slices = min(SLICES, bits // 8)
+    width = bits // 8 // slices
+
+    def fill(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, dtype=bool)
+        for frame in frames:
+            seen[filter_places(frame.column(0).drop_null().to_numpy(), bits).ravel()] = True
+        packed = np.packbits(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int64()), pa.array([packed[i * width : (i + 1) * width].tobytes() for i in range(slices)], pa.binary())], names=["slice", "bits"])
+
+    def merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for i, x in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                got = np.frombuffer(x, np.uint8)
+                total[i] = total[i] | got if i in total else got
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "bits"])
+
+    schema = "slice long, bits binary"
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for i, x in wanted.select("id").mapInArrow(fill, schema).repartition(slices, "slice").mapInArrow(merge, schema).collect():  # `bits` in all
+        out[i * width : (i + 1) * width] |= np.frombuffer(x, np.uint8)
+    return out
+
+
 def set_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, tokens) of the sets of the documents in `wanted`, made again from their text. `wanted` is
-    a written table of ids: Spark broadcasts it while it is small and shuffles otherwise."""
+    """(sid, tokens) of the sets of the documents in `wanted` (a written table of ids), made again from
+    their text, and of few others. Texts aren't moved: a filter of the ids, of bounded size, tells each
+    task which texts to hash. Where there are too many ids for the filter, the texts are joined."""
+    n = wanted.count()
+    keep = None
+    if n * BITS_EACH <= FILTER_BITS:
+        bits = 1 << max(13, (n * BITS_EACH - 1).bit_length())
+        keep = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, bits))  # FILTER_BITS at most
+    else:
+        docs = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]), "left_semi")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(words)
-        for _, texts in in_groups(frames, 0):
-            sets = [s for s in hasher.sets(texts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "tokens"])
-
-    rows = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]), "left_semi").select("_text")
-    return rows.mapInArrow(run, "sid long, tokens binary").dropDuplicates(["sid"])
+        for frame in frames:
+            if keep is not None:
+                ids, flags = frame.column(0), keep.value
+                at = filter_places(ids.fill_null(0).to_numpy(), 8 * len(flags))
+                hit = (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
+                frame = frame.filter(pa.array(hit | ids.is_null().to_numpy(zero_copy_only=False)))
+            for _, texts in in_groups(iter([frame]), 1):
+                sets = [s for s in hasher.sets(texts) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "tokens"])
+
+    return docs.select("id", "_text").mapInArrow(run, "sid long, tokens binary").dropDuplicates(["sid"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: int, words: int) -> DataFrame:
