@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assurelake.operators import profile, reconcile, resolution, rules, taxgap
+from assurelake.operators import graph, profile, reconcile, resolution, rules, taxgap
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import AS_OF, EVENTS_AS_OF, Domain, with_tables
 
@@ -210,3 +210,96 @@ query(
     "SELECT 'OUTGOING' AS direction, target_id AS other, 'POSSIBLE_DUPLICATE' AS relationship_type, CAST(confidence * 100 AS DECIMAL(5,2)) AS confidence_score FROM {pairs} WHERE source_id = 'S57' UNION ALL SELECT 'INCOMING', source_id, 'POSSIBLE_DUPLICATE', CAST(confidence * 100 AS DECIMAL(5,2)) FROM {pairs} WHERE target_id = 'S57'",
     **ER,
 )(lambda d: profile.relationships(resolution.duplicate_pairs(d["taxpayers"]).select(F.col("source_id").alias("source_taxpayer_id"), F.col("target_id").alias("target_taxpayer_id"), F.lit("POSSIBLE_DUPLICATE").alias("relationship_type"), (F.col("confidence") * 100).cast("decimal(5,2)").alias("confidence_score")), "S57"))
+
+# graph
+
+
+def _uuid(x: str) -> str:
+    return f"substr(md5({x}), 1, 8) || '-' || substr(md5({x}), 9, 4) || '-' || substr(md5({x}), 13, 4) || '-' || substr(md5({x}), 17, 4) || '-' || substr(md5({x}), 21, 12)"
+
+
+def _edge(kind: str, source: str, s: str, node: str, t: str, label: str, weight: str, n: str, x: str, rows: str) -> str:
+    return f"""SELECT 'TAXPAYER' AS source_type, {s} AS source_id, '{node}' AS target_type, {t} AS target_id, '{kind}' AS edge_type, CAST(least({weight}, 9999.9999) AS DECIMAL(8,4)) AS weight,
+      CAST({n} AS BIGINT) AS evidence_count, CAST({x} AS DECIMAL(18,2)) AS evidence_amount, {label} AS target_label, '{source}' AS source FROM ({rows})"""
+
+
+def _flow_sql(kind: str, source: str, table: str, a: str, b: str, x: str) -> str:
+    return _edge(kind, source, "s", "TAXPAYER", "t", "CAST(NULL AS VARCHAR)", "n", "n", "x", f"SELECT {a} AS s, {b} AS t, count(*) AS n, sum({x}) AS x FROM {{{table}}} WHERE {a} <> {b} GROUP BY 1, 2")
+
+
+def _act_sql(kind: str, node: str, source: str, table: str, who: str, name: str, x: str) -> str:
+    return _edge(kind, source, "s", node, _uuid(f"'{node}:' || l"), "l", "n", "n", "x", f"SELECT {who} AS s, {name} AS l, count(*) AS n, sum({x}) AS x FROM {{{table}}} WHERE {who} IS NOT NULL AND {name} IS NOT NULL GROUP BY 1, 2")
+
+
+EDGES = {
+    "invoice_trade": _flow_sql("INVOICE_TRADE", "INVOICES", "invoices", "supplier_taxpayer_id", "buyer_taxpayer_id", "total_amount"),
+    "withholding_flow": _flow_sql("WITHHOLDING_FLOW", "WITHHOLDING", "withholding_certificates", "payer_taxpayer_id", "payee_taxpayer_id", "gross_amount"),
+    "shared_registration": _edge("SHARED_REGISTRATION_NUMBER", "TAXPAYERS", "s", "TAXPAYER", "t", "CAST(NULL AS VARCHAR)", "1", "2", "0", "SELECT a.id AS s, b.id AS t FROM {taxpayers} a JOIN {taxpayers} b ON a.registration_number = b.registration_number AND a.id < b.id"),
+    "county_permits": _act_sql("COUNTY_PERMIT_ACTIVITY", "COUNTY", "PERMITS", "business_permits", "taxpayer_id", "county", "coalesce(permit_fee, 0)"),
+    "channel_usage": _act_sql("PAYMENT_CHANNEL_USAGE", "PAYMENT_CHANNEL", "PAYMENTS", "payment_transactions", "payer_taxpayer_id", "collecting_agency || '/' || revenue_channel", "amount"),
+    "import_activity": _act_sql("IMPORT_ACTIVITY", "HS_CODE", "CUSTOMS", "customs_declarations", "taxpayer_id", "coalesce(hs_code, 'UNCLASSIFIED')", "coalesce(total_landed_cost, customs_value)"),
+}
+_EDGE_TABLES = {"invoice_trade": "invoices", "withholding_flow": "withholding_certificates", "shared_registration": "taxpayers", "county_permits": "business_permits", "channel_usage": "payment_transactions", "import_activity": "customs_declarations"}
+_ALL_EDGES = "\nUNION ALL\n".join(EDGES.values())
+#: Scores for the graph queries: a number from the id, so that they depend on nothing else.
+_TEST_SCORES = "SELECT id AS taxpayer_id, CAST(CAST(substring(id, 2) AS INT) * 37 % 100 AS DECIMAL(5,2)) AS score FROM {taxpayers}"
+#: Trade that goes round: suppliers sell to suppliers.
+_TEST_RING = "SELECT 'TAXPAYER' AS source_type, concat('S', s_suppkey) AS source_id, 'TAXPAYER' AS target_type, concat('S', (s_suppkey * 3 + k) % 30) AS target_id, 'INVOICE_TRADE' AS edge_type, CAST(s_suppkey % 13 + k + 1 AS DECIMAL(8,4)) AS weight FROM {supplier} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) WHERE s_suppkey < 30"
+GRAPH = {"edges": _ALL_EDGES, "test_scores": _TEST_SCORES, "ring": _TEST_RING}
+_SCORED = """FROM {edges} e JOIN {taxpayers} a ON a.id = e.source_id JOIN {taxpayers} b ON b.id = e.target_id JOIN {test_scores} x ON x.taxpayer_id = e.source_id JOIN {test_scores} y ON y.taxpayer_id = e.target_id
+  WHERE e.source_type = 'TAXPAYER' AND e.target_type = 'TAXPAYER'"""
+
+
+def test_scores(d: Domain) -> DataFrame:
+    return d.spark.sql(_TEST_SCORES, taxpayers=d["taxpayers"])
+
+
+def test_ring(d: Domain) -> DataFrame:
+    return d.spark.sql(_TEST_RING, supplier=d["supplier"])
+
+
+for _name, _sql in EDGES.items():
+    query(f"graph_{_name}", _sql)(lambda d, n=_name: getattr(graph, n)(d[_EDGE_TABLES[n]]))
+query("graph_relationship_edges", "SELECT source_id, target_id, 'POSSIBLE_DUPLICATE' AS edge_type, CAST(CAST(confidence * 100 AS DECIMAL(5,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(8,4)) AS weight FROM {pairs}", **ER)(
+    lambda d: graph.relationship_edges(resolution.duplicate_pairs(d["taxpayers"]).select(F.col("source_id").alias("source_taxpayer_id"), F.col("target_id").alias("target_taxpayer_id"), F.lit("POSSIBLE_DUPLICATE").alias("relationship_type"), (F.col("confidence") * 100).cast("decimal(5,2)").alias("confidence_score"))).select("source_id", "target_id", "edge_type", "weight")
+)
+query("graph_edge_counts", "SELECT edge_type, count(*) AS edges FROM {edges} GROUP BY 1", edges=_ALL_EDGES)(lambda d: graph.edge_counts(graph.extract(d)))
+query(
+    "graph_neighbourhood",
+    """SELECT e.*, st.legal_name AS source_label, coalesce(tt.legal_name, e.target_label, e.target_type) AS label FROM {edges} e LEFT JOIN {taxpayers} st ON st.id = e.source_id LEFT JOIN {taxpayers} tt ON e.target_type = 'TAXPAYER' AND tt.id = e.target_id
+    WHERE e.source_id = 'S7' OR (e.target_type = 'TAXPAYER' AND e.target_id = 'S7') OR (e.target_type = 'TAXPAYER' AND e.source_id IN (
+      SELECT target_id FROM {edges} WHERE source_id = 'S7' AND target_type = 'TAXPAYER' UNION SELECT source_id FROM {edges} WHERE target_type = 'TAXPAYER' AND target_id = 'S7'))
+    ORDER BY e.weight DESC, e.edge_type, label NULLS LAST, e.source_id, e.target_id LIMIT 80""".replace("e.*, st", "e.* EXCLUDE (target_label), st").replace("AS label", "AS target_label").replace(", label NULLS", ", target_label NULLS").replace("e.edge_type, target_label", "e.edge_type, coalesce(tt.legal_name, e.target_label, e.target_type)"),
+    edges=_ALL_EDGES,
+)(lambda d: graph.neighbourhood(graph.extract(d), d["taxpayers"], "S7"))
+query("graph_high_risk_clusters", f"SELECT e.source_id, a.legal_name AS source_name, e.target_id, b.legal_name AS target_name, e.edge_type, e.weight, x.score AS source_score, y.score AS target_score {_SCORED} AND (x.score >= 70 OR y.score >= 70) ORDER BY greatest(x.score, y.score) DESC, e.weight DESC, e.edge_type, e.source_id, e.target_id LIMIT 50", **GRAPH)(
+    lambda d: graph.high_risk_clusters(graph.extract(d), test_scores(d), d["taxpayers"])
+)
+query("graph_clusters_of", f"SELECT * FROM (SELECT e.source_id, a.legal_name AS source_name, e.target_id, b.legal_name AS target_name, e.edge_type, e.weight, x.score AS source_score, y.score AS target_score {_SCORED} AND (x.score >= 70 OR y.score >= 70) ORDER BY greatest(x.score, y.score) DESC, e.weight DESC, e.edge_type, e.source_id, e.target_id LIMIT 50) WHERE source_id = 'S27' OR target_id = 'S27'", **GRAPH)(
+    lambda d: graph.clusters_of(graph.high_risk_clusters(graph.extract(d), test_scores(d), d["taxpayers"]), "S27")
+)
+query(
+    "graph_high_risk_pairs",
+    f"SELECT * FROM (SELECT e.source_id, e.target_id, e.edge_type, e.weight, x.score AS source_score, y.score AS target_score {_SCORED} AND x.score >= 70 AND y.score >= 70 UNION ALL SELECT e.target_id, e.source_id, e.edge_type, e.weight, y.score, x.score {_SCORED} AND x.score >= 70 AND y.score >= 70) ORDER BY weight DESC, source_score DESC, target_score DESC, source_id, target_id, edge_type LIMIT 100",
+    **GRAPH,
+)(lambda d: graph.high_risk_pairs(graph.extract(d), test_scores(d), d["taxpayers"]))
+query("graph_shared_identifiers", "SELECT * FROM (SELECT source_id, target_id, edge_type, weight FROM {e} UNION ALL SELECT target_id, source_id, edge_type, weight FROM {e}) ORDER BY weight DESC, source_id, target_id, edge_type LIMIT 100", e=EDGES["shared_registration"])(
+    lambda d: graph.shared_identifiers(graph.extract(d))
+)
+query(
+    "graph_nodes",
+    "SELECT n.node_type, n.id, coalesce(t.legal_name, n.l, n.node_type) AS label, CAST(coalesce(s.score, 0) AS DECIMAL(5,2)) AS risk_score FROM (SELECT node_type, id, max(l) AS l FROM (SELECT source_type AS node_type, source_id AS id, NULL AS l FROM {edges} UNION ALL SELECT target_type, target_id, target_label FROM {edges}) GROUP BY 1, 2) n LEFT JOIN {taxpayers} t ON t.id = n.id LEFT JOIN {test_scores} s ON s.taxpayer_id = n.id",
+    **GRAPH,
+)(lambda d: graph.nodes(graph.extract(d), test_scores(d), d["taxpayers"]))
+query(
+    "graph_invoice_rings",
+    """SELECT * FROM (SELECT a.source_id AS taxpayer_id, 2 AS cycle_length, CAST(a.weight + b.weight AS DECIMAL(18,4)) AS cycle_weight, a.source_id || '>' || a.target_id || ' ' || b.source_id || '>' || b.target_id AS path
+      FROM {ring} a JOIN {ring} b ON b.source_id = a.target_id WHERE b.target_id = a.source_id AND b.source_id || b.target_id <> a.source_id || a.target_id
+    UNION ALL SELECT a.source_id, 3, CAST(a.weight + b.weight + c.weight AS DECIMAL(18,4)), a.source_id || '>' || a.target_id || ' ' || b.source_id || '>' || b.target_id || ' ' || c.source_id || '>' || c.target_id
+      FROM {ring} a JOIN {ring} b ON b.source_id = a.target_id JOIN {ring} c ON c.source_id = b.target_id WHERE c.target_id = a.source_id AND len(list_distinct([a.source_id || '>' || a.target_id, b.source_id || '>' || b.target_id, c.source_id || '>' || c.target_id])) = 3
+    UNION ALL SELECT a.source_id, 4, CAST(a.weight + b.weight + c.weight + e.weight AS DECIMAL(18,4)), a.source_id || '>' || a.target_id || ' ' || b.source_id || '>' || b.target_id || ' ' || c.source_id || '>' || c.target_id || ' ' || e.source_id || '>' || e.target_id
+      FROM {ring} a JOIN {ring} b ON b.source_id = a.target_id JOIN {ring} c ON c.source_id = b.target_id JOIN {ring} e ON e.source_id = c.target_id WHERE e.target_id = a.source_id
+        AND len(list_distinct([a.source_id || '>' || a.target_id, b.source_id || '>' || b.target_id, c.source_id || '>' || c.target_id, e.source_id || '>' || e.target_id])) = 4)
+    ORDER BY cycle_weight DESC, path LIMIT 50""",
+    ring=_TEST_RING,
+)(lambda d: graph.invoice_rings(test_ring(d)))
