@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assurelake.operators import graph, profile, reconcile, resolution, rules, taxgap
+from assurelake.operators import graph, profile, reconcile, reports, resolution, rules, scoring, taxgap
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import AS_OF, EVENTS_AS_OF, Domain, with_tables
 
@@ -303,3 +303,81 @@ query(
     ORDER BY cycle_weight DESC, path LIMIT 50""",
     ring=_TEST_RING,
 )(lambda d: graph.invoice_rings(test_ring(d)))
+
+# scoring
+
+_RULE_SCORES = "SELECT id AS taxpayer_id, CAST(CAST(substring(id, 2) AS INT) * 37 % 100 AS DECIMAL(5,2)) AS score, CASE WHEN CAST(substring(id, 2) AS INT) % 4 = 0 THEN 'OTHER' ELSE 'TAX_GAP_ENGINE' END AS source FROM {taxpayers}"
+_OBS = f"""SELECT t.id AS taxpayer_id, t.kra_pin, t.legal_name, t.sector_name, t.county, coalesce(r.ps, DATE '{AS_OF}' - 30) AS period_start, coalesce(r.pe, DATE '{AS_OF}') AS period_end,
+  CAST(coalesce(r.ds, 0) AS DECIMAL(18,2)) AS declared_sales, CAST(coalesce(r.di, 0) AS DECIMAL(18,2)) AS declared_income, CAST(coalesce(i.x, 0) AS DECIMAL(18,2)) AS invoice_sales, CAST(coalesce(c.x, 0) AS DECIMAL(18,2)) AS customs_landed_cost,
+  CAST(coalesce(w.x, 0) AS DECIMAL(18,2)) AS withholding_income, CAST(coalesce(s.x, 0) AS DECIMAL(18,2)) AS risk_signal_gap, CAST(coalesce(k.x, 0) AS DECIMAL(5,2)) AS rule_score,
+  coalesce(r.n, 0) AS return_count, coalesce(i.n, 0) AS invoice_count, coalesce(c.n, 0) AS customs_count, coalesce(w.n, 0) AS withholding_count, coalesce(s.n, 0) AS open_signal_count
+FROM {{taxpayers}} t
+LEFT JOIN (SELECT taxpayer_id, min(period_start) AS ps, max(period_end) AS pe, sum(declared_sales) AS ds, sum(declared_income) AS di, count(*) AS n FROM {{tax_returns}} GROUP BY 1) r ON r.taxpayer_id = t.id
+LEFT JOIN (SELECT supplier_taxpayer_id AS id, sum(total_amount) AS x, count(*) AS n FROM {{invoices}} GROUP BY 1) i ON i.id = t.id
+LEFT JOIN (SELECT taxpayer_id AS id, sum(total_landed_cost) AS x, count(*) AS n FROM {{customs_declarations}} GROUP BY 1) c ON c.id = t.id
+LEFT JOIN (SELECT payee_taxpayer_id AS id, sum(gross_amount) AS x, count(*) AS n FROM {{withholding_certificates}} GROUP BY 1) w ON w.id = t.id
+LEFT JOIN (SELECT taxpayer_id AS id, sum(greatest(coalesce(estimated_gap, 0), 0)) AS x, count(*) FILTER (WHERE upper(status) IN ('OPEN', 'NEW')) AS n FROM {{signals}} GROUP BY 1) s ON s.id = t.id
+LEFT JOIN (SELECT taxpayer_id AS id, max(score) AS x FROM {{rscores}} WHERE source IN ('TAX_GAP_ENGINE', 'RULE_ENGINE') GROUP BY 1) k ON k.id = t.id
+WHERE upper(t.status) = 'ACTIVE'"""
+_PCT = "CAST(round(CAST(count(*) OVER (PARTITION BY {0} ORDER BY f) * 100 AS DOUBLE) / count(*) OVER (PARTITION BY {0}), 2) AS DECIMAL(5,2))"
+_FEAT = f"""SELECT *, greatest(invoice_sales - declared_sales, 0)::DOUBLE / greatest(declared_sales, 1)::DOUBLE AS f1, greatest(customs_landed_cost - declared_income, 0)::DOUBLE / greatest(declared_income, 1)::DOUBLE AS f2,
+  greatest(withholding_income - declared_income, 0)::DOUBLE / greatest(declared_income, 1)::DOUBLE AS f3, risk_signal_gap::DOUBLE / 100000.0::DOUBLE AS f4, rule_score::DOUBLE / 100.0::DOUBLE AS f5, p_all::DOUBLE / 100.0::DOUBLE AS f6, p_sec::DOUBLE / 100.0::DOUBLE AS f7
+  FROM (SELECT *, {_PCT.format("1")} AS p_all, {_PCT.format("sector_name")} AS p_sec FROM (SELECT *, invoice_sales + customs_landed_cost + withholding_income + risk_signal_gap AS f FROM {{obs}}))"""
+_POINTS = ", ".join(f"CAST(round(CAST(f{i} AS DECIMAL(24,10)) * {w}, 2) AS DECIMAL(18,2)) AS c{i}" for i, w in ((1, 30), (2, 24), (3, 18), (4, 12), (6, 10), (7, 10), (5, 6)))
+ML = {"signals": rule_sql.ALL_SIGNALS, "rscores": _RULE_SCORES, "obs": _OBS, "feat": _FEAT}
+
+
+def rule_scores(d: Domain) -> DataFrame:
+    return d.spark.sql(_RULE_SCORES, taxpayers=d["taxpayers"])
+
+
+def obs(d: Domain) -> DataFrame:
+    return scoring.observations(d, all_signals(d), rule_scores(d), AS_OF)
+
+
+query("ml_observations", "SELECT * FROM {obs}", **ML)(obs)
+query("ml_percentiles", "SELECT taxpayer_id, p_all AS all_percentile, p_sec AS sector_percentile FROM {feat}", **ML)(lambda d: scoring.percentiles(obs(d)).select("taxpayer_id", "all_percentile", "sector_percentile"))
+query(
+    "ml_features",
+    "SELECT taxpayer_id, round(f1, 6) AS invoice_to_declared_sales, round(f2, 6) AS customs_to_declared_income, round(f3, 6) AS withholding_to_declared_income, round(f4, 6) AS risk_signal_gap_scaled, round(f5, 6) AS rule_score_scaled, round(f6, 6) AS peer_group_percentile, round(f7, 6) AS sector_peer_percentile, round(f::DOUBLE / (SELECT greatest(max(f)::DOUBLE, 1) FROM {feat}), 6) AS revenue_footprint_scaled FROM {feat}",
+    **ML,
+)(lambda d: scoring.features(obs(d)).select("taxpayer_id", *[F.round(c, 6).alias(c) for c in scoring.FEATURES]))
+query(
+    "ml_contributions",
+    f"SELECT taxpayer_id, CAST(least(100, c1 + c2 + c3 + c4 + c5 + c6 + c7) AS DECIMAL(5,2)) AS contribution_score, CAST(least(95, 55 + 8 * ((return_count > 0)::INT + (invoice_count > 0)::INT + (customs_count > 0)::INT + (withholding_count > 0)::INT + (open_signal_count > 0)::INT)) AS DECIMAL(5,2)) AS confidence_score FROM (SELECT *, {_POINTS} FROM {{feat}})",
+    **ML,
+)(lambda d: scoring.with_contributions(scoring.features(obs(d))).select("taxpayer_id", "contribution_score", "confidence_score"))
+query("ml_predictions")(lambda d: scoring.predict(obs(d)).select("taxpayer_id", "isolation_score", "model_score", "combined_score", "confidence_score", "main_features"))
+query("ml_prediction_list")(lambda d: scoring.prediction_list(scoring.predict(obs(d))).select("taxpayer_id", "combined_score"))
+query("ml_run_metrics")(lambda d: scoring.run_metrics(scoring.predict(obs(d))))
+query("ml_model_version")(lambda d: scoring.model_version(obs(d)))
+
+# reports and return on investment
+
+_CONF = "CAST(round(CAST(sum(confidence_score) AS DOUBLE) / count(*), 2) AS DECIMAL(5,2)) AS average_confidence"
+_REP = "count(*) AS estimates, count(DISTINCT taxpayer_id) AS taxpayers, CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap, CAST(sum(recoverable_tax) AS DECIMAL(18,2)) AS recoverable_tax, CAST(sum(total_recoverable) AS DECIMAL(18,2)) AS total_recoverable, " + _CONF
+query("report_gap_by_sector", f"SELECT coalesce(sector_name, 'Unspecified') AS sector, tax_head, {_REP} FROM {{est}} JOIN {{taxpayers}} ON id = taxpayer_id GROUP BY 1, 2", **GAP)(lambda d: reports.gap_by_sector(gap_estimates(d), d["taxpayers"]))
+query("report_gap_by_region", f"SELECT coalesce(county, 'Unspecified') AS region, tax_head, {_REP} FROM {{est}} JOIN {{taxpayers}} ON id = taxpayer_id GROUP BY 1, 2", **GAP)(lambda d: reports.gap_by_region(gap_estimates(d), d["taxpayers"]))
+_SUMS = ", ".join(f"CAST(coalesce(sum({c}), 0) AS DECIMAL(18,2)) AS {c}" for c in ("assessed_amount", "agreed_amount", "collected_amount"))
+query(
+    "report_officer_productivity",
+    f"SELECT coalesce(officer, 'UNASSIGNED') AS officer, count(*) AS assigned_cases, count(*) FILTER (WHERE case_status <> 'CLOSED') AS open_cases, count(*) FILTER (WHERE case_status = 'CLOSED') AS closed_cases, {_SUMS}, CAST(round(CAST(sum(DATE '{AS_OF}' - opened_on) AS DOUBLE) / count(*), 2) AS DECIMAL(10,2)) AS average_case_age_days FROM {{cases}} c LEFT JOIN {{recovery_records}} r ON r.case_id = c.id GROUP BY 1",
+)(lambda d: reports.officer_productivity(d["cases"], d["recovery_records"], AS_OF))
+query("report_revenue_recovery", f"SELECT CAST(date_trunc('month', coalesce(collection_date, created_on)) AS DATE) AS period, coalesce(tax_head, 'UNSPECIFIED') AS tax_head, count(*) AS recovery_records, {_SUMS} FROM {{recovery_records}} r JOIN {{cases}} c ON c.id = r.case_id GROUP BY 1, 2")(
+    lambda d: reports.revenue_recovery(d["recovery_records"], d["cases"])
+)
+query("report_audit_pipeline", "SELECT case_status AS status, count(*) AS case_count, CAST(sum(estimated_recoverable) AS DECIMAL(18,2)) AS estimated_recoverable, CAST(coalesce(sum(assessed_amount), 0) AS DECIMAL(18,2)) AS assessed_amount, CAST(coalesce(sum(collected_amount), 0) AS DECIMAL(18,2)) AS collected_amount FROM {cases} c LEFT JOIN {recovery_records} r ON r.case_id = c.id GROUP BY 1")(
+    lambda d: reports.audit_pipeline(d["cases"], d["recovery_records"])
+)
+query(
+    "roi_summary",
+    """SELECT *, CAST(expected_recovery - pilot_cost AS DECIMAL(18,2)) AS net_benefit, CAST(round(expected_recovery::DOUBLE / pilot_cost::DOUBLE, 4) AS DECIMAL(18,4)) AS roi_multiple, CAST(round(pilot_cost::DOUBLE / (expected_recovery::DOUBLE / 12), 2) AS DECIMAL(18,2)) AS payback_months FROM (
+      SELECT *, CAST(18500000 AS DECIMAL(18,2)) AS pilot_cost, CAST(round(recoverable_tax * CAST(0.18 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS expected_recovery FROM
+      (SELECT CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap, CAST(sum(recoverable_tax) AS DECIMAL(18,2)) AS recoverable_tax FROM {est}), (SELECT CAST(sum(collected_amount) AS DECIMAL(18,2)) AS collected_amount FROM {recovery_records}),
+      (SELECT CAST(sum(variance_amount) AS DECIMAL(18,2)) AS variance_amount FROM {recon} WHERE settlement_status <> 'MATCHED'), (SELECT count(*) AS open_cases FROM {cases} WHERE case_status <> 'CLOSED'))""",
+    **GAP, **RECON,
+)(lambda d: reports.roi(gap_estimates(d), d["recovery_records"], recon(d), d["cases"]))
+query("roi_scenarios", "SELECT s.scenario, CAST(s.rate AS DECIMAL(4,2)) AS rate, CAST(round(r * CAST(s.rate AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS expected_recovery FROM (VALUES ('CONSERVATIVE', 0.08), ('EXPECTED', 0.18), ('STRETCH', 0.30)) AS s(scenario, rate), (SELECT CAST(sum(recoverable_tax) AS DECIMAL(18,2)) AS r FROM {est})", **GAP)(
+    lambda d: reports.roi_scenarios(gap_estimates(d))
+)
+query("dashboard_heads", "SELECT tax_head, CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap, CAST(sum(total_recoverable) AS DECIMAL(18,2)) AS total_recoverable FROM {est} GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 8", **GAP)(lambda d: reports.dashboard_heads(gap_estimates(d)))
