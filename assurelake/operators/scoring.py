@@ -8,6 +8,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,8 +70,9 @@ def percentiles(obs: DataFrame) -> DataFrame:
 
     The share of values that are not larger is a running count over all values. It is counted over
     distinct values, in parts of their range that are windows of their own, plus the counts of the
-    lower parts: no window holds everything.
+    lower parts: no window holds everything. The observations are read several times, so they are kept.
     """
+    obs = obs.persist(StorageLevel.MEMORY_AND_DISK)
     sum_of = F.col("invoice_sales") + F.col("customs_landed_cost") + F.col("withholding_income") + F.col("risk_signal_gap")
     obs = obs.withColumns({"footprint": sum_of.cast("decimal(22,2)"), "sector": F.coalesce("sector_name", F.lit("UNSPECIFIED"))})
     bounds = sorted(set(obs.select(F.col("footprint").cast("double").alias("x")).approxQuantile("x", [i / PARTS for i in range(1, PARTS)], 0.01)))
@@ -178,6 +180,7 @@ def isolation_scores(rows: DataFrame, trees: int = 128, per_tree: int = 256, see
 
     The trees are grown from at most 16 * per_tree rows, the ones with the smallest hash.
     """
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     pool = rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(16 * per_tree).select(*FEATURES).toPandas().to_numpy(dtype=float)
     rng = np.random.default_rng(seed)
     if not len(pool):

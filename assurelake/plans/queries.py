@@ -339,9 +339,9 @@ query("ml_observations", "SELECT * FROM {obs}", **ML)(obs)
 query("ml_percentiles", "SELECT taxpayer_id, p_all AS all_percentile, p_sec AS sector_percentile FROM {feat}", **ML)(lambda d: scoring.percentiles(obs(d)).select("taxpayer_id", "all_percentile", "sector_percentile"))
 query(
     "ml_features",
-    "SELECT taxpayer_id, round(f1, 6) AS invoice_to_declared_sales, round(f2, 6) AS customs_to_declared_income, round(f3, 6) AS withholding_to_declared_income, round(f4, 6) AS risk_signal_gap_scaled, round(f5, 6) AS rule_score_scaled, round(f6, 6) AS peer_group_percentile, round(f7, 6) AS sector_peer_percentile, round(f::DOUBLE / (SELECT greatest(max(f)::DOUBLE, 1) FROM {feat}), 6) AS revenue_footprint_scaled FROM {feat}",
+    "SELECT taxpayer_id, round(f1, 8) AS invoice_to_declared_sales, round(f2, 8) AS customs_to_declared_income, round(f3, 8) AS withholding_to_declared_income, round(f4, 8) AS risk_signal_gap_scaled, round(f5, 8) AS rule_score_scaled, round(f6, 8) AS peer_group_percentile, round(f7, 8) AS sector_peer_percentile, round(f::DOUBLE / (SELECT greatest(max(f)::DOUBLE, 1) FROM {feat}), 8) AS revenue_footprint_scaled FROM {feat}",
     **ML,
-)(lambda d: scoring.features(obs(d)).select("taxpayer_id", *[F.round(c, 6).alias(c) for c in scoring.FEATURES]))
+)(lambda d: scoring.features(obs(d)).select("taxpayer_id", *[F.round(c, 8).alias(c) for c in scoring.FEATURES]))
 query(
     "ml_contributions",
     f"SELECT taxpayer_id, CAST(least(100, c1 + c2 + c3 + c4 + c5 + c6 + c7) AS DECIMAL(5,2)) AS contribution_score, CAST(least(95, 55 + 8 * ((return_count > 0)::INT + (invoice_count > 0)::INT + (customs_count > 0)::INT + (withholding_count > 0)::INT + (open_signal_count > 0)::INT)) AS DECIMAL(5,2)) AS confidence_score FROM (SELECT *, {_POINTS} FROM {{feat}})",
