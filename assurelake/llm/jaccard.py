@@ -13,7 +13,7 @@ decided in integers.
    less than the lists, from the sketch's list length. A light set that can reach a heavy one by
    size also enters the inverted lists.
 3. A key that one set alone has is dropped after the one shuffle of keys (common keys are salted
-   there). What is left are short lists.
+   there), as are members of short lists whom size and place keep from all others. Few are left.
 4. First round: every member of a list is verified against the list's centre only (the member for
    which the key comes earliest in its order). Verified links are merged into components.
 5. Second round: members of a list that are still in different components are paired, if size and
@@ -232,8 +232,24 @@ def keyed(docs: DataFrame, sketch: np.ndarray, light: int, percent: int, words:
     return docs.mapInArrow(run, KEYS)
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows whose key several sets may have: a salted (common) key, or one that two sets do have."""
+#: Members up to which every pair of a list is tested for the bounds before the list is written.
+SMALL_LIST = 64
+
+
+def may_reach(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """may_link() for rows i and j of a list."""
+    left = np.minimum(n[i] - pos[i], n[j] - pos[j])
+    return (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * left >= percent * (n[i] + n[j]))
+
+
+def shared_keys(keys: DataFrame, percent: int) -> DataFrame:
+    """Lists of the keys that several sets have: rows of kind 'list' (key, sid, n, pos; salted if the
+    key's rows were spread), and of kind 'pair' (key: one set, sid: the other) for every member and the
+    centre of its list.
+
+    Members of a small list that no other member can reach by size and place are left out; so is a key
+    with one member, unless it is salted and may have more elsewhere.
+    """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [f for f in frames if f.num_rows]
@@ -241,24 +257,56 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             return
         rows = pa.Table.from_batches(got)
         key, sid, info = (rows[c].to_numpy() for c in ("key", "sid", "info"))
+        del rows, got
         order = np.lexsort((info, sid, key))
         key, sid, info = key[order], sid[order], info[order]
         fresh = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])]  # a set may come from several tasks
         key, sid, info = key[fresh], sid[fresh], info[fresh]
         same = key[1:] == key[:-1]
-        keep = np.r_[same, False] | np.r_[False, same] | (info & 255 > 0)
-        key, sid, info = key[keep], sid[keep], info[keep]
-        for at in range(0, len(key), 100_000):
-            cut_at = slice(at, at + 100_000)
-            cols = [key[cut_at], sid[cut_at], info[cut_at] >> 34, info[cut_at] >> 8 & (1 << 26) - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "sid", "n", "pos"])
-
-    return keys.repartition("key", F.col("info").bitwiseAND(255)).mapInArrow(run, "key long, sid long, n long, pos long")
+        salted = info & 255 > 0
+        keep = np.r_[same, False] | np.r_[False, same] | salted
+        key, sid, info, salted = key[keep], sid[keep], info[keep], salted[keep]
+        if not len(key):
+            return
+        n, pos = info >> 34, info >> 8 & (1 << 26) - 1
+        # rows of a list stand together: compare each with the one so many places further
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[at, len(key)])
+        which, length = np.repeat(np.arange(len(at)), size), np.repeat(size, size)
+        reached = salted | (length > SMALL_LIST)
+        i = np.flatnonzero(length <= SMALL_LIST)
+        for step in range(1, SMALL_LIST):
+            i = i[i + step < len(key)]
+            i = i[which[i + step] == which[i]]
+            if not len(i):
+                break
+            ok = i[may_reach(n, pos, i, i + step, percent)]
+            reached[ok] = reached[ok + step] = True
+        key, sid, n, pos, salted = key[reached], sid[reached], n[reached], pos[reached], salted[reached]
+        if not len(key):
+            return
+        # the centre: the key comes earliest in its order
+        me = np.lexsort((sid, n, pos, key))
+        first = np.r_[True, key[me][1:] != key[me][:-1]]
+        mid = me[np.maximum.accumulate(np.where(first, np.arange(len(me)), 0))]
+        ok = (me != mid) & may_reach(n, pos, me, mid, percent)
+        pairs = np.unique(np.stack([np.minimum(sid[me[ok]], sid[mid[ok]]), np.maximum(sid[me[ok]], sid[mid[ok]])], axis=1), axis=0)
+        names = ["kind", "key", "sid", "n", "pos", "salted"]
+        for start in range(0, len(pairs), 100_000):
+            part = pairs[start : start + 100_000]
+            none = pa.nulls(len(part), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(part)), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), none, none, pa.nulls(len(part), pa.bool_())], names=names)
+        for start in range(0, len(key), 100_000):
+            some = slice(start, start + 100_000)
+            cols = [key[some], sid[some], n[some].astype(np.int32), pos[some].astype(np.int32), salted[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(["list"] * len(cols[0])), *(pa.array(c) for c in cols)], names=names)
+
+    return keys.repartition("key", F.col("info").bitwiseAND(255)).mapInArrow(run, "kind string, key long, sid long, n int, pos int, salted boolean")
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
     """Sizes and the places of a shared key let two sets reach the threshold."""
-    n1, n2, p1, p2 = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
+    n1, n2, p1, p2 = (F.col(f"{x}.{c}").cast("long") for c in ("n", "pos") for x in (a, b))
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (
         (100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2)
     )
@@ -396,20 +444,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     light = boundary(np.array([largest]), length, percent)
     holders = cut(known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id")), "jaccard-holders")
 
-    lists = cut(shared_keys(keyed(rows, sketch, light, percent, words)), "jaccard-lists")
+    found = cut(shared_keys(keyed(rows, sketch, light, percent, words), percent), "jaccard-lists", "kind")
+    lists = found.filter("kind = 'list'").select("key", "sid", "n", "pos", "salted")
 
-    # first round: everyone against the centre of its lists
-    centre = F.struct("pos", "n", "sid")
-    centres = cut(lists.groupBy("key").agg(F.min(centre).alias("c"), F.count("*").alias("k")).filter("k > 1").select("key", "c"), "jaccard-centres")
-    a, b = lists.alias("a"), centres.select("key", "c.*").alias("b")
+    # first round: everyone against the centre of its lists; each salt of a common key has its own, and
+    # they meet here
+    centres = lists.filter("salted").groupBy("key").agg(F.min(F.struct("pos", "n", "sid")).alias("c")).select("key", "c.*")
+    a, b = lists.filter("salted").alias("a"), cut(centres, "jaccard-centres").alias("b")
     pair = [F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")]
     fits = (F.col("a.sid") != F.col("b.sid")) & may_link("a", "b", percent)
-    pairs = cut(a.join(b, F.col("a.key") == F.col("b.key")).filter(fits).select(*pair).distinct(), "jaccard-pairs")
+    across = a.join(b, F.col("a.key") == F.col("b.key")).filter(fits).select(*pair)
+    pairs = found.filter("kind = 'pair'").select(F.col("key").alias("a"), F.col("sid").alias("b"))
+    pairs = cut(pairs.union(across).distinct(), "jaccard-pairs")
     links = verified(pairs, rows, holders, percent, words)
     roots = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-roots")
 
     # second round: members of a list that are not yet together
-    placed = cut(lists.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "jaccard-placed")
+    placed = cut(lists.drop("salted").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "jaccard-placed")
     open_lists = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "jaccard-open")
     rest = cut(placed.join(open_lists, "key", "left_semi"), "jaccard-rest")
     a, b = rest.alias("a"), rest.alias("b")
@@ -424,7 +475,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = cut(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "jaccard-named")
     named = cut(rooted.join(named, "root").select("sid", "component_id"), "jaccard-sets-named")
     out = known.join(named, "sid", "left")
-    drop_cut(lists, centres, pairs, placed, open_lists, rest, late, links, rooted)
+    drop_cut(pairs, placed, open_lists, rest, late, links, rooted)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("sid").isNull(), F.col("id"))).alias("component_id"))
 
 
