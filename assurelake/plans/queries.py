@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assurelake.operators import graph, profile, reconcile, reports, resolution, rules, scoring, taxgap
+from assurelake.operators import cases, governance, graph, profile, reconcile, reports, resolution, rules, scoring, taxgap
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import AS_OF, EVENTS_AS_OF, Domain, with_tables
+from assurelake.sources import catalog, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -381,3 +383,122 @@ query("roi_scenarios", "SELECT s.scenario, CAST(s.rate AS DECIMAL(4,2)) AS rate,
     lambda d: reports.roi_scenarios(gap_estimates(d))
 )
 query("dashboard_heads", "SELECT tax_head, CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap, CAST(sum(total_recoverable) AS DECIMAL(18,2)) AS total_recoverable FROM {est} GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 8", **GAP)(lambda d: reports.dashboard_heads(gap_estimates(d)))
+
+# cases and notifications
+
+_CSUMS = ", ".join(f"CAST(coalesce(sum(r.{c}), 0) AS DECIMAL(18,2)) AS {c}" for c in ("assessed_amount", "agreed_amount", "collected_amount"))
+query("case_list", f"SELECT c.*, {_CSUMS} FROM (SELECT * FROM {{cases}} WHERE case_status = 'OPEN' ORDER BY opened_on DESC, id LIMIT 100) c LEFT JOIN {{recovery_records}} r ON r.case_id = c.id GROUP BY ALL")(
+    lambda d: cases.case_list(d["cases"], d["recovery_records"], status="OPEN", limit=100)
+)
+_PRIO = "CASE WHEN {0} IS NULL THEN 'MEDIUM' WHEN {0} >= 1000000 THEN 'CRITICAL' WHEN {0} >= 250000 THEN 'HIGH' WHEN {0} >= 50000 THEN 'MEDIUM' ELSE 'LOW' END"
+query("case_default_priority", f"SELECT id, {_PRIO.format('estimated_recoverable')} AS priority FROM {{cases}}")(lambda d: d["cases"].select("id", cases.default_priority(F.col("estimated_recoverable")).alias("priority")))
+query(
+    "case_recoverable",
+    f"SELECT deterministic_key, recoverable, {_PRIO.format('recoverable')} AS priority FROM (SELECT s.deterministic_key, CAST(coalesce(e.recoverable_tax, s.estimated_gap) AS DECIMAL(18,2)) AS recoverable FROM {{signals}} s LEFT JOIN {{est}} e ON e.taxpayer_id = s.taxpayer_id AND e.tax_head = s.tax_head AND e.period_start = s.period_start AND e.period_end = s.period_end)",
+    **GAP,
+)(lambda d: cases.recoverable_of(all_signals(d), gap_estimates(d)))
+_REQ = "SELECT id, CASE WHEN id LIKE '%1' THEN 'CLOSED' WHEN id LIKE '%2' THEN 'AWAITING_TAXPAYER' ELSE 'IN_REVIEW' END AS to_status, CASE WHEN id LIKE '%11' THEN ' ' ELSE 'done' END AS reason FROM {cases}"
+_STEPS = ", ".join(f"('{a}', '{b}')" for a, b in cases.TRANSITIONS)
+query(
+    "case_transitions",
+    f"SELECT c.id, c.case_status AS from_status, r.to_status, p IS NULL AS accepted, p AS problem FROM (SELECT c.id, c.case_status, r.to_status, CASE WHEN s.a IS NULL THEN 'NOT_ALLOWED' WHEN r.to_status = 'CLOSED' AND trim(r.reason) = '' THEN 'REASON_REQUIRED' END AS p FROM {{cases}} c JOIN {{req}} r ON r.id = c.id LEFT JOIN (VALUES {_STEPS}) AS s(a, b) ON s.a = c.case_status AND s.b = r.to_status) c JOIN {{req}} r ON r.id = c.id",
+    req=_REQ,
+)(lambda d: cases.transitions(d["cases"], d.spark.sql(_REQ, cases=d["cases"])))
+query("case_next_version", "SELECT case_id, max(CAST(length(case_id) AS INTEGER)) + 1 AS next_version FROM {recovery_records} GROUP BY 1")(lambda d: cases.next_version(d["recovery_records"].select("case_id", F.length("case_id").alias("version"))))
+query(
+    "case_linked_entities",
+    "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY taxpayer_id ORDER BY weight DESC, edge_type, other) AS INTEGER) AS n FROM (SELECT source_id AS taxpayer_id, target_id AS other, edge_type, weight FROM {edges} UNION ALL SELECT target_id, source_id, edge_type, weight FROM {edges} WHERE target_type = 'TAXPAYER')) WHERE n <= 25",
+    edges=_ALL_EDGES,
+)(lambda d: cases.linked_entities(graph.extract(d)))
+
+
+def _case_signals(d: Domain) -> DataFrame:
+    """Cases with a signal of their taxpayer: the one with the smallest key."""
+    first = all_signals(d).filter("taxpayer_id IS NOT NULL").groupBy("taxpayer_id").agg(F.min("deterministic_key").alias("risk_signal_id"))
+    return d["cases"].join(first, "taxpayer_id", "left")
+
+
+query("case_evidence_packs")(lambda d: cases.evidence_packs(_case_signals(d), all_signals(d), d["taxpayers"], cases.linked_entities(graph.extract(d), 5)))
+_TEMPLATES = [("N1", "EMAIL", "CASE", "Case {{case}}", "Dear {{name}}, please review {{taxHead}} of {{amount}}.")]
+query(
+    "notify_nudges",
+    "SELECT c.id AS case_id, 'EMAIL' AS channel, regexp_replace(lower(t.kra_pin), '[^a-z0-9]', '', 'g') || '@taxpayer.example' AS recipient, 'Case ' || c.id AS subject, 'Dear ' || t.legal_name || ', please review tax of ' || CAST(c.estimated_recoverable AS VARCHAR) || '.' AS body, 'SENT' AS status FROM {cases} c JOIN {taxpayers} t ON t.id = c.taxpayer_id",
+)(
+    lambda d: cases.nudges(
+        d["cases"].withColumn("risk_signal_id", F.lit(None).cast("string")), d["taxpayers"],
+        d.spark.createDataFrame([], "deterministic_key string, tax_head string, estimated_gap decimal(18,2)"), d.spark.createDataFrame(_TEMPLATES, "code string, channel string, origin string, subject string, body string"),
+    )
+)
+query("notify_history", "SELECT id, taxpayer_id, opened_on AS sent_at FROM {cases} WHERE case_status = 'OPEN' ORDER BY opened_on DESC, id LIMIT 100")(
+    lambda d: cases.notification_history(d["cases"].select("id", "taxpayer_id", F.col("case_status").alias("status"), F.col("opened_on").alias("sent_at")), status="OPEN").select("id", "taxpayer_id", "sent_at")
+)
+
+# integration and governance: jobs and sources from the event log
+
+_JOBS = """SELECT concat('J-', event_id) AS id, concat('SRC-', user_id % 30) AS source_code, CASE WHEN event_type = 'error' THEN 'FAILED' WHEN event_id % 7 = 0 THEN 'RETRY_SCHEDULED' ELSE 'COMPLETED' END AS status,
+  ts AS started_at, ts AS completed_at, CAST(event_id % 5 AS INT) AS retries, 3 AS max_retries FROM {events}"""
+_SOURCES = "SELECT concat('SRC-', r_regionkey * 8) AS code, r_regionkey <> 3 AS active, CAST(600 + 300 * r_regionkey AS INT) AS expected_minutes, CAST(NULL AS TIMESTAMP) AS last_loaded_at FROM {region}"
+_NOW = "2024-01-31 00:00:00"
+_FRESH = f"SELECT code, expected_minutes, minutes AS minutes_since, minutes > expected_minutes AS late FROM (SELECT s.*, CAST(coalesce(floor((epoch(TIMESTAMP '{_NOW}') - epoch(c)) / 60), expected_minutes + 1) AS BIGINT) AS minutes FROM {{sources}} s LEFT JOIN (SELECT source_code, max(date_trunc('second', completed_at)) AS c FROM {{jobs}} WHERE status = 'COMPLETED' GROUP BY 1) j ON j.source_code = s.code WHERE s.active)"
+INT = {"jobs": _JOBS, "sources": _SOURCES, "fresh": _FRESH}
+
+
+def _jobs(d: Domain) -> DataFrame:
+    return d.spark.sql(_JOBS, events=d["events"])
+
+
+def _sources(d: Domain) -> DataFrame:
+    return d.spark.sql(_SOURCES, region=d["region"])
+
+
+_AT = datetime.fromisoformat(_NOW).replace(tzinfo=UTC)
+query("integration_freshness", "SELECT * FROM {fresh}", **INT)(lambda d: governance.freshness(_sources(d), _jobs(d), _AT))
+query("integration_errors", "SELECT id, status, retries <= max_retries AS retry_controlled FROM {jobs} WHERE status IN ('FAILED', 'RETRY_SCHEDULED') ORDER BY started_at DESC, id LIMIT 25", jobs=_JOBS)(lambda d: governance.integration_errors(_jobs(d)).select("id", "status", "retry_controlled"))
+query("integration_readiness", "SELECT (SELECT count(*) FROM {fresh}) AS active_sources, (SELECT count(*) FROM {fresh} WHERE late) AS late_sources, count(*) FILTER (WHERE status = 'FAILED') AS failed_jobs, count(*) FILTER (WHERE status = 'RETRY_SCHEDULED' AND retries <= max_retries) AS controlled_retries FROM {jobs}", **INT)(
+    lambda d: governance.readiness(_sources(d), _jobs(d), _AT)
+)
+query("integration_mapping", "SELECT r_regionkey AS region_id, r_name AS name FROM {region}")(lambda d: governance.mapped(d["region"], {"region_id": "r_regionkey", "name": "r_name"}))
+query("integration_redaction", "SELECT r_regionkey, '***REDACTED***' AS token, '***REDACTED***' AS password, r_name AS plain FROM {region}")(
+    lambda d: d["region"].select("r_regionkey", governance.redacted(F.create_map(F.lit("Token"), "r_name", F.lit("db_Password"), "r_name", F.lit("plain"), "r_name")).alias("m")).select("r_regionkey", F.col("m")["Token"].alias("token"), F.col("m")["db_Password"].alias("password"), F.col("m")["plain"].alias("plain"))
+)
+_ROLES = ("SELECT n_name AS role FROM {nation}", "SELECT concat('NATION_', c_nationkey) AS role, c_custkey % 100 AS user_id FROM {customer} WHERE c_nationkey <> 5", "SELECT concat('NATION_', s_nationkey) AS role, concat('P', s_suppkey % 9) AS permission FROM {supplier}")
+query("admin_role_counts", "SELECT r.role, coalesce(u.n, 0) AS users, coalesce(p.n, 0) AS permissions FROM {roles} r LEFT JOIN (SELECT role, count(DISTINCT user_id) AS n FROM {urole} GROUP BY 1) u USING (role) LEFT JOIN (SELECT role, count(DISTINCT permission) AS n FROM {perm} GROUP BY 1) p USING (role)", roles=_ROLES[0], urole=_ROLES[1], perm=_ROLES[2])(
+    lambda d: governance.role_counts(d.spark.sql(_ROLES[0], nation=d["nation"]), d.spark.sql(_ROLES[1], customer=d["customer"]), d.spark.sql(_ROLES[2], supplier=d["supplier"]))
+)
+query("admin_role_permissions", "SELECT r.role, coalesce(string_agg(p.permission, ',' ORDER BY p.permission), '') AS permissions FROM {roles} r LEFT JOIN {perm} p USING (role) GROUP BY 1", roles=_ROLES[0], perm=_ROLES[2])(
+    lambda d: governance.role_permission_arrays(d.spark.sql(_ROLES[0], nation=d["nation"]), d.spark.sql(_ROLES[2], supplier=d["supplier"])).select("role", F.array_join("permissions", ",").alias("permissions"))
+)
+query("admin_overview", "SELECT (SELECT count(*) FROM {region}) AS region, (SELECT count(*) FROM {nation}) AS nation, (SELECT count(*) FROM {supplier}) AS supplier, TRUE AS complete")(lambda d: governance.overview({n: d[n] for n in ("region", "nation", "supplier")}))
+query("admin_audit_view", "SELECT id, actor, action FROM (SELECT concat('J-', event_id) AS id, concat('U', user_id) AS actor, event_type AS action, ts FROM {events}) WHERE action = 'click' ORDER BY ts DESC, id LIMIT 250")(
+    lambda d: governance.audit_view(d["events"].select(F.concat(F.lit("J-"), "event_id").alias("id"), F.concat(F.lit("U"), "user_id").alias("actor"), F.col("event_type").alias("action"), F.col("ts").alias("created_at")), action="click", limit=1000).select("id", "actor", "action")
+)
+
+# rows of tables with quarantine: customers as records, some broken
+
+_RAW = """SELECT CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE concat('A', c_custkey % 400) END AS kra_pin, 'INDIVIDUAL' AS taxpayer_type, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END AS legal_name, 'ACTIVE' AS status,
+  CASE WHEN c_custkey % 17 = 0 THEN 'not-a-date' ELSE '2020-01-01' END AS registered_at FROM {customer}"""
+
+
+def _checked(d: Domain) -> tuple[DataFrame, DataFrame]:
+    return ingest.validate(d.spark.sql(_RAW, customer=d["customer"]), "taxpayers", "job-1", "2024-01-01 00:00:00")
+
+
+query("ingest_issues", "SELECT field, code, count(*) AS n FROM (SELECT 'legal_name' AS field, 'REQUIRED_FIELD_MISSING' AS code FROM {raw} WHERE trim(legal_name) = '' UNION ALL SELECT 'registered_at', 'INVALID_FIELD_VALUE' FROM {raw} WHERE try_cast(registered_at AS DATE) IS NULL) GROUP BY 1, 2", raw=_RAW)(
+    lambda d: _checked(d)[1].groupBy("field", "code").agg(F.count("*").alias("n"))
+)
+query("ingest_valid", "SELECT kra_pin, legal_name, CAST(registered_at AS DATE) AS registered_at FROM (SELECT * FROM {raw} WHERE trim(legal_name) <> '' AND try_cast(registered_at AS DATE) IS NOT NULL)", raw=_RAW)(lambda d: _checked(d)[0].select("kra_pin", "legal_name", "registered_at"))
+query("ingest_constraints", "SELECT 'PERSISTENCE_ERROR' AS code, count(kra_pin) - count(DISTINCT kra_pin) AS n FROM {raw} WHERE trim(legal_name) <> '' AND try_cast(registered_at AS DATE) IS NOT NULL", raw=_RAW)(
+    lambda d: ingest.constrain(_checked(d)[0], "taxpayers")[1].groupBy("code").agg(F.count("*").alias("n"))
+)
+
+# keyed merges
+
+query("table_merge", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS v FROM {customer}")(
+    lambda d: catalog.merge_by_key(d["customer"].select("c_custkey", "c_name", F.lit("old").alias("v")), d["customer"].filter("c_custkey % 2 = 0").select("c_custkey", "c_name", F.lit("new").alias("v")), ["c_custkey"])
+)
+query("table_insert_if_absent", "SELECT c_nationkey, min(c_name) AS c_name FROM {customer} WHERE c_nationkey > 4 GROUP BY 1")(
+    lambda d: catalog.insert_if_absent(d["nation"].filter("n_nationkey <= 4").select(F.col("n_nationkey").alias("c_nationkey")), d["customer"].select("c_nationkey", "c_name"), ["c_nationkey"])
+)
+query("table_replace_tagged", "SELECT s_nationkey AS k, 'b' AS tag FROM {supplier} WHERE s_suppkey % 2 = 1 UNION ALL SELECT n_nationkey, 'a' FROM {nation}")(
+    lambda d: catalog.replace_tagged(d["supplier"].select(F.col("s_nationkey").alias("k"), F.when(F.col("s_suppkey") % 2 == 1, "b").otherwise("a").alias("tag")), d["nation"].select(F.col("n_nationkey").alias("k"), F.lit("a").alias("tag")), "tag", "a")
+)
