@@ -171,6 +171,7 @@ def constrain(valid: DataFrame, table: str, existing: DataFrame | None = None, p
 def ingest(spark: SparkSession, path: str, table: str, source: str, job: str, now: str, catalog, jobs: DataFrame | None = None) -> dict:
     """Load a file into a table of the catalog; returns the job's row. jobs: earlier ones (source, table,
     file_hash, status)."""
+    table = table.strip().lower()
     digest = file_hash(spark, path)
     row = {"id": job, "source": source, "table_name": table, "file_hash": digest, "total": 0, "valid": 0, "invalid": 0, "status": "RUNNING"}
     if jobs is not None and not jobs.filter((F.col("source") == source) & (F.col("table_name") == table) & (F.col("file_hash") == digest) & F.col("status").isin("COMPLETED", "COMPLETED_WITH_ERRORS")).isEmpty():
