@@ -11,7 +11,7 @@ from tests.llm.test_corpus import brute_components, texts
 
 def test_pipeline(spark, tmp_path):
     base = texts(7, 30, 60)
-    rows = [(i, t, ["en", "fr"][i % 2], f"s{i % 3}", len(t)) for i, t in enumerate([*base, base[0], base[1] + " extra", None, "12 34", "mail me at a.b@c.de " + base[2][:100]])]
+    rows = [(i, t, ["en", "fr"][i % 2], f"s{i % 3}", len(t or "")) for i, t in enumerate([*base, base[0], base[1] + " extra", None, "12 34", "mail me at a.b@c.de " + base[2][:100]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
