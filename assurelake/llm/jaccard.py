@@ -19,7 +19,8 @@ decided in integers.
 5. Second round: members of a list that are still in different components are paired, if size and
    position let them reach the threshold, and verified. So each link between different components
    is found, and a list of near copies costs its length, not its square.
-6. Verification intersects the whole sets.
+6. Verification compares bitmaps of the two sets first, by which most pairs that aren't linked are
+   out, and intersects the whole sets of the others.
 
 Defined results: texts that are null or without words have an empty set and link with nothing: they
 are their own component. Texts of fewer than five words are one shingle of all of them. Rows that
@@ -314,6 +315,8 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
 #: Bits of the filter of wanted ids, at most (16 MB), and bits for each id.
 FILTER_BITS, BITS_EACH, FILTER_HASHES = 1 << 27, 16, 3
+#: Bits of a set's mark for each of its tokens, at least.
+MARK_BITS = 2
 
 
 def filter_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -353,41 +356,108 @@ def id_filter(wanted: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def set_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, tokens) of the sets of the documents in `wanted` (a written table of ids), made again from
-    their text, and of few others. Texts aren't moved: a filter of the ids, of bounded size, tells each
-    task which texts to hash. Where there are too many ids for the filter, the texts are joined."""
+def wanted_filter(wanted: DataFrame):
+    """id_filter() of `wanted`, broadcast; None where there are too many ids for FILTER_BITS."""
     n = wanted.count()
-    keep = None
-    if n * BITS_EACH <= FILTER_BITS:
-        bits = 1 << max(13, (n * BITS_EACH - 1).bit_length())
-        keep = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, bits))  # FILTER_BITS at most
-    else:
+    if n * BITS_EACH > FILTER_BITS:
+        return None
+    bits = 1 << max(13, (n * BITS_EACH - 1).bit_length())
+    return wanted.sparkSession.sparkContext.broadcast(id_filter(wanted, bits))  # FILTER_BITS at most
+
+
+def chosen(frame: pa.RecordBatch, flags: np.ndarray) -> pa.RecordBatch:
+    """The rows whose first column is in the filter, or null."""
+    ids = frame.column(0)
+    at = filter_places(ids.fill_null(0).to_numpy(), 8 * len(flags))
+    hit = (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
+    return frame.filter(pa.array(hit | ids.is_null().to_numpy(zero_copy_only=False)))
+
+
+def mark(s: np.ndarray) -> bytes:
+    """A bitmap of the set: the bit at the token's lowest bits, in at least MARK_BITS bits a token."""
+    bits = np.zeros(1 << max(6, (MARK_BITS * len(s) - 1).bit_length()), dtype=bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two marks differ, the longer one folded onto the shorter: every such bit has a token
+    of its own that only one of the sets holds."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+SET_SCHEMA = "sid long, n long, mark binary, tokens binary"
+
+
+def set_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """The sets of the documents in `wanted` (a written table of ids), made again from their text, and of
+    few others; each at most once a task. Texts aren't moved: a filter of the ids, of bounded size, tells
+    each task which texts to hash. Where there are too many ids for the filter, the texts are joined."""
+    keep = wanted_filter(wanted)
+    if keep is None:
         docs = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]), "left_semi")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(words)
+        hasher, seen = Hasher(words), set()
         for frame in frames:
             if keep is not None:
-                ids, flags = frame.column(0), keep.value
-                at = filter_places(ids.fill_null(0).to_numpy(), 8 * len(flags))
-                hit = (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
-                frame = frame.filter(pa.array(hit | ids.is_null().to_numpy(zero_copy_only=False)))
+                frame = chosen(frame, keep.value)
             for _, texts in in_groups(iter([frame]), 1):
-                sets = [s for s in hasher.sets(texts) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "tokens"])
+                sets = {d: s for s in hasher.sets(texts) if len(s) and (d := digest(s)) not in seen}
+                seen.update(sets)
+                cols = [pa.array(sets, pa.int64()), pa.array(map(len, sets.values()), pa.int64()), pa.array(map(mark, sets.values()), pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["sid", "n", "mark", "tokens"])
 
-    return docs.select("id", "_text").mapInArrow(run, "sid long, tokens binary").dropDuplicates(["sid"])
+    return docs.select("id", "_text").mapInArrow(run, SET_SCHEMA)
+
+
+def joined_to(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the other columns of `ends` (by sid) for both, as x_... and y_..."""
+    for side, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(ends.select(F.col("sid").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in ends.columns if c != "sid"]), side)
+    return pairs
 
 
 def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold. `pairs` is a written table."""
+    """The pairs (a, b) whose whole sets reach the threshold. `pairs` is a written table.
+
+    Marks, a fraction of the tokens, go first: sets whose marks differ in more bits than linked sets can
+    differ in tokens need no look at the tokens. The tokens of the others decide.
+    """
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = cut(holders.join(wanted, "sid", "left_semi").select("id").distinct(), "jaccard-wanted")
     sets = cut(set_rows(docs, wanted, words), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b")
+    marks = sets.select("sid", "n", "mark").dropDuplicates(["sid"])
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare_marks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            both = np.add(frame.column(2).to_numpy(), frame.column(4).to_numpy())
+            off = [differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(frame.column(3), frame.column(5), strict=True)]
+            keep = (100 + percent) * np.array(off, np.int64) <= (100 - percent) * both
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = joined_to(pairs, marks).select("a", "b", "x_n", "x_mark", "y_n", "y_mark")
+    near = cut(near.mapInArrow(compare_marks, "a long, b long"), "jaccard-near")
+
+    # the tokens of the sets in those pairs; a few copies of a set are cheaper than one more shuffle
+    needed = cut(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "jaccard-needed")
+    keep = wanted_filter(needed)
+
+    def choose(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            yield chosen(frame, keep.value)
+
+    tokens = sets.select("sid", "tokens")
+    if keep is None:
+        tokens = tokens.join(needed.withColumnRenamed("id", "sid"), "sid", "left_semi")
+    else:
+        tokens = tokens.mapInArrow(choose, "sid long, tokens binary")
+    if 10 * sets.count() > 11 * sets.select("sid").distinct().count():
+        tokens = tokens.dropDuplicates(["sid"])
+
+    def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             keep = []
             for x, y in zip(frame.column(2), frame.column(3), strict=True):
@@ -397,8 +467,9 @@ def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: int
                 keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
-    drop_cut(wanted, sets)
+    both = joined_to(near, tokens).select("a", "b", "x_tokens", "y_tokens")
+    out = cut(both.mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
+    drop_cut(wanted, sets, near, needed)
     return out
 
 

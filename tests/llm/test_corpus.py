@@ -119,6 +119,18 @@ def test_jaccard_components(spark, docs, percent, monkeypatch):
     assert got == brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], percent)
 
 
+def test_marks_never_differ_in_more_bits_than_the_sets_in_tokens():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 31, 32, 33, 100, 1000):
+        for share in (0.0, 0.5, 0.8, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(0, 1 << 63, max(1, n // 3)).astype(np.uint64)]))
+            x, y = (np.frombuffer(jaccard.mark(s), np.uint8) for s in (a, b))
+            off = jaccard.differing(x, y)
+            assert off == jaccard.differing(y, x) <= len(np.setxor1d(a, b))
+            assert jaccard.differing(x, x) == 0
+
+
 def test_jaccard_small_sets_and_boundary(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 12)))) for i in range(150)]
