@@ -73,9 +73,10 @@ def link_permits(permits: DataFrame, taxpayers: DataFrame, at: float = LINK_AT)
     """(permit_number, taxpayer_id, similarity): for each unlinked permit the taxpayer of its county whose
     legal or trading name its activity resembles most, if it does enough. An unknown county fits all."""
     open_ones = permits.filter("taxpayer_id IS NULL AND business_activity IS NOT NULL")
-    who = named(taxpayers, "id", F.col("legal_name")).unionByName(named(taxpayers, "id", F.col("trading_name")))
-    pairs = similar_pairs(named(open_ones, "permit_number", F.col("business_activity")), who, at)
-    pairs = pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    # a key for each name: a key has one set
+    legal, trading = (named(taxpayers.withColumn("_who", F.struct("id", F.lit(n).alias("name"))), "_who", F.col(n)) for n in ("legal_name", "trading_name"))
+    pairs = similar_pairs(named(open_ones, "permit_number", F.col("business_activity")), legal.unionByName(trading), at)
+    pairs = pairs.groupBy("a", F.col("b.id").alias("b")).agg(F.max("similarity").alias("similarity"))
     here = open_ones.select(F.col("permit_number").alias("a"), F.lower("county").alias("_pc"))
     there = taxpayers.select(F.col("id").alias("b"), F.lower("county").alias("_tc"))
     pairs = pairs.join(here, "a").join(there, "b").filter("_pc IS NULL OR _tc IS NULL OR _pc = _tc")

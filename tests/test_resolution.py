@@ -21,6 +21,20 @@ def test_fuzzy_permit_links(spark):
     assert got == {"1": "a", "3": "b"}
 
 
+def test_fuzzy_permit_links_by_either_name(spark):
+    """Taxpayers with both names, against the similarity to each of them."""
+    names = [("Amani Wholesale Traders Ltd", "Blue Heron Bakery"), ("Rift Valley Logistics Ltd", "Savanna Fresh Produce"), ("Lake Retail Company", "Lake Retail Traders"), ("Omega Tools", "Zebra Motor Spares")]
+    who = spark.createDataFrame([(str(i), f"P{i}", n, t, None, "N") for i, (n, t) in enumerate(names)], TP).persist()
+    wanted = [x for pair in names for x in pair] + ["Blue Heron Bakeries", "Rift Valley Logistics", "Something Else"]
+    permits = spark.createDataFrame([(None, str(i), "n", a) for i, a in enumerate(wanted)], "taxpayer_id string, permit_number string, county string, business_activity string").persist()
+    got = {(r.permit_number, r.taxpayer_id, round(r.similarity, 6)) for r in resolution.link_permits(permits, who).collect()}
+    each = F.greatest(similarity(F.col("business_activity"), F.col("legal_name")), similarity(F.col("business_activity"), F.col("trading_name")))
+    best = {}
+    for r in permits.select("permit_number", "business_activity").crossJoin(who).select("permit_number", "id", each.alias("s")).filter("s >= 0.55").orderBy("s", F.desc("id")).collect():
+        best[r.permit_number] = (r.permit_number, r.id, round(r.s, 6))
+    assert got == set(best.values()) and len(got) == 10
+
+
 def test_duplicates_against_all_pairs(spark):
     names = ["Lake Retail Traders Ltd", "Lake Retail Traders Ltd.", "LAKE retail traders LTD", "Lake Retail Trader Ltd", "Other Company", "", "Omega Tools", "Omega  tools"]
     who = spark.createDataFrame([(str(i), f"P{i}", n, None, "BN-1" if i in (4, 6) else None, "N") for i, n in enumerate(names)], TP).persist()
