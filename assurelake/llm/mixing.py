@@ -11,8 +11,10 @@ are drawn in any run, on any cluster.
 Topics are buckets of the longest lower-case word of a text: cheap, and the same for copies.
 
 Defined results: a null source or language is the value `unknown`, as is the topic of a text without
-words. Categories without a target keep their share of the rest. Empty and null texts hold no tokens
-and get the weight of their cell. Rows that repeat an id are drawn alike. An empty table gives no rows.
+words. Categories without a target share what the targets leave, in proportion to what they have; where
+the targets of a margin sum to 1, they keep their present share and the targets divide the remainder, so
+no category is drawn out for want of a target. Empty and null texts hold no tokens and get the weight of
+their cell. Rows that repeat an id are drawn alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,11 +49,15 @@ def with_cells(docs: DataFrame, topics: int = 4, text_col: str = "text") -> Data
 
 def filled(targets: dict[str, float], have: dict[str, float]) -> dict[str, float]:
     """Shares for all categories present: stated ones as stated, the others in proportion to what they
-    have of what is left, scaled to sum to 1."""
+    have of what is left, scaled to sum to 1. Targets that sum to 1 leave nothing: the others then keep
+    their present share, and the stated ones are scaled to the remainder."""
     total = sum(have.values())
     stated = {c: targets[c] for c in have if c in targets}
-    left = max(0.0, 1.0 - sum(stated.values()))
     rest = {c: x for c, x in have.items() if c not in stated}
+    if rest and sum(stated.values()) and sum(targets.values()) > 1.0 - 1e-9:
+        part = (1.0 - sum(rest.values()) / total) / sum(stated.values())
+        stated = {c: x * part for c, x in stated.items()}
+    left = max(0.0, 1.0 - sum(stated.values()))
     share = stated | {c: (left * x / sum(rest.values()) if sum(rest.values()) else 0.0) for c, x in rest.items()}
     norm = sum(share.values())
     return {c: x / norm for c, x in share.items()} if norm else {c: x / total for c, x in have.items()}

@@ -194,6 +194,20 @@ def test_mixing_reaches_targets(spark, docs):
     assert off < 1e-6 and abs(weights[0] * 10 / 100 - 0.5) < 1e-6
 
 
+def test_mixing_keeps_categories_without_a_target(spark):
+    """op7's own targets sum to 1: a null and a fifth language keep their present share of the tokens."""
+    langs = ["en", "fr", "de", "es", None, "it"]
+    rows = [(i, t, langs[i % 6], f"src{i % 4}") for i, t in enumerate(texts(5, 240, 30))]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), mixing.TARGETS).persist()
+    total = out.agg(F.sum("_tokens")).first()[0]
+    share = {r[0]: (r[1] / total, r[2] / total) for r in out.groupBy("_lang").agg(F.sum("_tokens"), F.sum(F.col("weight") * F.col("_tokens"))).collect()}
+    assert all(abs(share[k][0] - share[k][1]) < 1e-6 for k in ("unknown", "it"))
+    left = 1 - share["unknown"][0] - share["it"][0]
+    assert all(abs(share[k][1] - x * left) < 1e-6 for k, x in mixing.TARGETS["lang"].items())
+    assert out.filter("probability <= 0").count() == 0
+    assert {r[0] for r in out.filter("kept").select("_lang").distinct().collect()} == {"en", "fr", "de", "es", "unknown", "it"}
+
+
 def test_quality_counts_and_verdict(spark, docs):
     more = ["w x y " * 30, "a b c d a b c", "x y\nx y\n\n \nx y", "# * $ %"]
     given = docs.select("doc_id", "text").union(spark.createDataFrame([(3000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
