@@ -104,7 +104,7 @@ SELECT concat('TX-', event_id) AS transaction_reference, concat('S', user_id % 5
        concat('CH', user_id % 3) AS revenue_channel, ts AS payment_date, CAST(value AS DECIMAL(18,2)) AS amount,
        CASE WHEN event_id % 20 = 7 THEN 'FAILED' WHEN event_id % 3 = 0 THEN 'Successful' ELSE 'PAID' END AS payment_status,
        CASE WHEN event_id % 6 = 0 THEN NULL ELSE concat('REF', event_id % 25) END AS provider_reference
-FROM {events} WHERE event_type = 'purchase' AND day(ts) % 4 = 1
+FROM {events} WHERE event_type = 'purchase'
 """,
     "day_totals": """
 SELECT collecting_agency, revenue_channel, CAST(payment_date AS DATE) AS day, CAST(sum(amount) AS DECIMAL(18,2)) AS total,

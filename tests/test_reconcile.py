@@ -2,6 +2,7 @@ from datetime import date
 from decimal import Decimal as D
 
 from assurelake.operators import reconcile
+from assurelake.plans.domain import Domain
 
 PAY = "transaction_reference string, collecting_agency string, revenue_channel string, payment_date date, amount decimal(18,2), payment_status string, provider_reference string"
 SET = "settlement_reference string, collecting_agency string, revenue_channel string, settlement_account string, settlement_date date, settled_amount decimal(18,2), settlement_status string"
@@ -34,3 +35,28 @@ def test_two_settlements_that_add_up_are_missing(spark):
 
 def test_empty(spark):
     assert reconcile.reconcile(spark.createDataFrame([], PAY), spark.createDataFrame([], SET)).count() == 0
+
+
+def test_payments_are_all_purchases(spark, sf):
+    """Every purchase is a payment, so that windows of neighbouring days overlap."""
+    d = Domain(spark, sf)
+    assert d["payment_transactions"].count() == d["events"].filter("event_type = 'purchase'").count() > 0
+    days = {r[0] for r in d["payment_transactions"].selectExpr("to_date(payment_date)").distinct().collect()}
+    assert any(date.fromordinal(x.toordinal() + 1) in days for x in days)
+
+
+def test_overlapping_windows(spark):
+    """Each settlement answers every day in whose window it is."""
+    pay = {1: 100, 2: 200, 3: 300, 4: 50}
+    settle = [(2, 100), (3, 200), (6, 50)]
+    p = spark.createDataFrame([(f"t{n}", "A", "C", day(n), D(x), "PAID", None) for n, x in pay.items()], PAY)
+    s = spark.createDataFrame([(f"s{i}", "A", "C", reconcile.EXPECTED_ACCOUNT, day(n), D(x), "SETTLED") for i, (n, x) in enumerate(settle)], SET)
+    want = {}
+    for n, x in pay.items():
+        near = [a for m, a in settle if n <= m <= n + 2]
+        exact = [a for m, a in settle if n <= m <= n + reconcile.LATE_DAYS and a == x]
+        late = not near and sum(exact) >= x
+        status = "PARTIAL_SETTLEMENT" if near and sum(near) < x else "MISSING_SETTLEMENT" if not exact else "DELAYED_SETTLEMENT" if late else "MATCHED"
+        want[day(n)] = (D(sum(exact if late else near)), status)
+    assert {r.reconciliation_date: (r.settled_amount, r.settlement_status) for r in reconcile.reconcile(p, s).collect()} == want
+    assert want[day(1)] == (300, "MATCHED")
