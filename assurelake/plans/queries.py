@@ -245,8 +245,8 @@ _EDGE_TABLES = {"invoice_trade": "invoices", "withholding_flow": "withholding_ce
 _ALL_EDGES = "\nUNION ALL\n".join(EDGES.values())
 #: Scores for the graph queries: a number from the id, so that they depend on nothing else.
 _TEST_SCORES = "SELECT id AS taxpayer_id, CAST(CAST(substring(id, 2) AS INT) * 37 % 100 AS DECIMAL(5,2)) AS score FROM {taxpayers}"
-#: Trade that goes round: suppliers sell to suppliers.
-_TEST_RING = "SELECT 'TAXPAYER' AS source_type, concat('S', s_suppkey) AS source_id, 'TAXPAYER' AS target_type, concat('S', (s_suppkey * 3 + k) % 30) AS target_id, 'INVOICE_TRADE' AS edge_type, CAST(s_suppkey % 13 + k + 1 AS DECIMAL(8,4)) AS weight FROM {supplier} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) WHERE s_suppkey < 30"
+#: Trade that goes round: all suppliers sell to suppliers.
+_TEST_RING = "SELECT 'TAXPAYER' AS source_type, concat('S', s_suppkey) AS source_id, 'TAXPAYER' AS target_type, concat('S', (s_suppkey * 3 + k) % n) AS target_id, 'INVOICE_TRADE' AS edge_type, CAST(s_suppkey % 13 + k + 1 AS DECIMAL(8,4)) AS weight FROM {supplier} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) CROSS JOIN (SELECT count(*) AS n FROM {supplier})"
 GRAPH = {"edges": _ALL_EDGES, "test_scores": _TEST_SCORES, "ring": _TEST_RING}
 _SCORED = """FROM {edges} e JOIN {taxpayers} a ON a.id = e.source_id JOIN {taxpayers} b ON b.id = e.target_id JOIN {test_scores} x ON x.taxpayer_id = e.source_id JOIN {test_scores} y ON y.taxpayer_id = e.target_id
   WHERE e.source_type = 'TAXPAYER' AND e.target_type = 'TAXPAYER'"""
