@@ -5,12 +5,15 @@ character that they emit, the piece of source that it stands for:
 
 1. characters: homoglyphs, full-width and other compatibility forms become ASCII, foreign decimal
    digits become 0-9, invisible characters go;
-2. spelled digits (English, French, German, Spanish), three or more in a row, become digits;
-3. at and dot disguises - bracketed, spelled or spaced out - become `@` and `.`.
+2. spelled digits (English, French, German, Spanish), three or more in a row or between numerals, become
+   digits; at an end of numerals they do where the run is as long as a card and has no plus before it;
+3. at and dot disguises - bracketed, spelled or spaced out - become `@` and `.`; a plain ` at ` before a
+   dotted domain only where the name or the domain is disguised as well.
 
-The same detectors run on the rewritten text; a span that holds a rewritten character and doesn't
-touch a base span of its kind is mapped back to the source and added. Base spans always stay. A text
-in which no transducer applies is rewritten to itself, so it is not scanned again.
+The same detectors run on the rewritten text; a span that holds a rewritten character and isn't within
+a base span of its kind is mapped back to the source and added, so one whose end only is disguised is
+found whole, besides the piece of it that is a base span. Base spans always stay. A text in which no
+transducer applies is rewritten to itself, so it is not scanned again.
 
 Defined results: null and empty texts have no spans. Offsets are code points, the end exclusive.
 Repeated rows each get a row. Kinds are searched independently, so spans of two kinds may overlap.
@@ -61,12 +64,14 @@ DIGIT_OF = {w: str(n) for words in DIGIT_WORDS.values() for n, w in enumerate(wo
 # Words that stand for @ and .
 AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase", "klammeraffe"), ("dot", "punto", "point", "punkt")
 
-#: A digit word as it stands between blanks where no hyphen joins words.
-_DIGIT_FORMS = frozenset(w + mark for w in DIGIT_OF for mark in ("", ",", ".", ";"))
 _WORD = re.compile(r"[^\W\d_]+")
 _ONE = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{_ONE})(?!\w)[\s,.;-]{{1,3}}){{2,}}(?:{_ONE})(?!\w)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"({_ONE})|([\s,.;-]+)", re.IGNORECASE)
+#: numerals and digit words in a row
+_MEMBER = rf"(?:[0-9]++|(?:{_ONE})(?![^\W\d_]))"
+_MIXED = re.compile(rf"(?<![^\W_]){_MEMBER}(?:[\s,.;()-]{{0,3}}+{_MEMBER})+", re.IGNORECASE)
+_MIXED_PART = re.compile(rf"([0-9]+)|({_ONE})|([\s,.;()-]+)", re.IGNORECASE)
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKETED = re.compile(rf"(?<!\s)\s*+{_OPEN}\s*(?:(@|(?:{_AT})(?!\w))|(\.|(?:{_DOT})(?!\w)))\s*{_CLOSE}\s*", re.IGNORECASE)
@@ -78,6 +83,8 @@ _LAST = r"[A-Za-z]{2,}+(?![\w-])"
 _SPELLED_MAIL = re.compile(
     rf"{_LOCAL_PART}(?P<at>\s++at\s++)[A-Za-z0-9-]+(?P<rest>(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]+)*(?:\s++dot\s++){_LAST})", re.IGNORECASE
 )
+#: name at host.name: counts only where a part is disguised
+_PLAIN_MAIL = re.compile(rf"{_LOCAL_PART}(?P<at>\s++at\s++)(?P<rest>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.{_LAST})", re.IGNORECASE)
 _JOINED_MAIL = re.compile(r"(?<![A-Za-z0-9_-])(?P<local>[A-Za-z0-9]++)(?P<at>[_-]at[_-])[A-Za-z0-9]+(?P<rest>(?:[_-]dot[_-][A-Za-z0-9]+)*[_-]dot[_-][A-Za-z]{2,})(?![A-Za-z0-9_-])", re.IGNORECASE)
 _SPACED_MAIL = re.compile(
     rf"{_LOCAL_PART}(?P<at>\s++(?:{'|'.join(AT_WORDS[1:])})\s++|\s++@\s*+|@\s++)[A-Za-z0-9-]+(?P<rest>(?:{_SPACED_DOT}[A-Za-z0-9-]+)*{_SPACED_DOT}{_LAST})", re.IGNORECASE
@@ -185,32 +192,64 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), plain_character(m[0])) for m in re.finditer("[" + re.escape("".join(sorted(odd))) + "]", text)]
 
 
-def _spelled(text: str, low: str) -> list[tuple[int, int, str]]:
-    if "-" not in low and _DIGIT_FORMS.isdisjoint(low.split()):
-        return []
-    if sum(map(DIGIT_OF.__contains__, _WORD.findall(low))) < 3:
+def _spelled(text: str, words: list[str]) -> list[tuple[int, int, str]]:
+    if sum(map(DIGIT_OF.__contains__, words)) < 3:
         return []
     out = []
     for run in _SPELLED.finditer(text):
         for m in _SPELLED_PART.finditer(text, run.start(), run.end()):
             if m[1]:
-                out.append((*m.span(), DIGIT_OF[m[1].lower()]))
+                out.append((*m.span(), _digit(m[1])))
             else:
                 mark = m[2].strip()
                 out.append((*m.span(), mark[0] if mark in ("-", ".") else ""))
     return out
 
 
+def _digit(word: str) -> str:
+    """The digit of a word that a pattern found: i with a dot above counts as i there."""
+    return DIGIT_OF[word.lower().replace("\u0307", "")]
+
+
+def _mixed(text: str) -> list[tuple[int, int, str]]:
+    """Digit words among numerals. What parts them from those is kept if it can be in a number."""
+    if not _DIGIT.search(text):
+        return []
+    out = []
+    for run in _MIXED.finditer(text):
+        parts = list(_MIXED_PART.finditer(text, run.start(), run.end()))
+        numerals = [i for i, m in enumerate(parts) if m[1]]
+        if not numerals or len(numerals) == len(parts):
+            continue
+        size = sum(len(m[1]) if m[1] else bool(m[2]) for m in parts)
+        first, last = numerals[0], numerals[-1]
+        if 12 <= size <= 19 and text[run.start() - 1 : run.start()] != "+":
+            first, last = 0, len(parts) - 1
+        words = {i for i, m in enumerate(parts) if m[2] and first <= i <= last}
+        for i, m in enumerate(parts):
+            if i in words:
+                out.append((*m.span(), _digit(m[2])))
+            elif m[3] and (i - 1 in words or i + 1 in words) and first < i < last and m[3] not in (" ", "-", "."):
+                mark = m[3].strip()
+                if not mark.strip(",;-."):
+                    out.append((*m.span(), mark if mark in ("-", ".") else " "))
+    return out
+
+
 def _bracketed(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
 
 
-def _spaced(text: str, low: str) -> list[tuple[int, int, str]]:
+def _spaced(text: str, low: str, new: bytes) -> list[tuple[int, int, str]]:
+    """new: for each character whether it was rewritten before, or nothing."""
     edits = {}
     patterns = [_SPELLED_MAIL, _JOINED_MAIL] if "dot" in low else []
     if _LOOSE_AT.search(text) or any(w in low for w in AT_WORDS[1:]):
         patterns.append(_SPACED_MAIL)
-    for m in (m for p in patterns for m in p.finditer(text)):
+    plain = []
+    if "at" in low and ("dot" in low or 1 in new):
+        plain = [m for m in _PLAIN_MAIL.finditer(text) if _MAIL_DOTS.search(text, *m.span("local")) or any(new[i] and (text[i].isalnum() or text[i] == ".") for i in range(*m.span()) if new)]
+    for m in (*(m for p in patterns for m in p.finditer(text)), *plain):
         edits[m.span("at")] = "@"
         edits.update((d.span(), ".") for d in _SPACED_DOTS.finditer(text, *m.span("rest")))
         edits.update((d.span(), ".") for d in _MAIL_DOTS.finditer(text, *m.span("local")))
@@ -239,12 +278,15 @@ def deobfuscate(text: str) -> View | None:
 
     if not text.isascii():
         apply(_characters(text))
-    low = text.lower()
-    apply(_spelled(text, low))
+    low = text.lower().replace("\u0307", "")  # of an I with a dot above
+    words = _WORD.findall(low)
+    if not DIGIT_OF.keys().isdisjoint(words):
+        apply(_spelled(text, words))
+        apply(_mixed(text))
     if "[" in text or "(" in text or "{" in text or "<" in text:
         apply(_bracketed(text))
-    if "@" in text or any(w in low for w in DOT_WORDS) or " . " in text or "plus" in low:
-        apply(_spaced(text, text.lower()))
+    if "@" in text or any(w in low for w in DOT_WORDS) or " . " in text or "plus" in low or (view and "at" in low):
+        apply(_spaced(text, text.lower(), view.new if view else b""))
     return view
 
 
@@ -259,7 +301,7 @@ def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]
         for span in spans:
             a, b = view.source(span)
             rewritten = 1 in view.new[span[0] : span[1]] or b - a != span[1] - span[0]
-            if rewritten and all(b <= x or y <= a for x, y in base[kind]):
+            if rewritten and not any(x <= a and b <= y for x, y in base[kind]):
                 added[kind].append((a, b))
     return base, added
 

@@ -181,6 +181,33 @@ def test_pii_rows(spark, docs):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "whole"),
+    [
+        ("write to j\u043ehn@mail.com now", "email", "j\u043ehn@mail.com"),
+        ("write to john@mail.c\u043em now", "email", "john@mail.c\u043em"),
+        ("call +1 988 555 248 five five five now", "phone", "+1 988 555 248 five five five"),
+        ("card four,one,one,one,one,one,one,one,one,one,one,one,one,one,one,one.", "card", "four,one,one,one,one,one,one,one,one,one,one,one,one,one,one,one"),
+        ("card 4111 one111 1111 1111 now", "card", "4111 one111 1111 1111"),
+        ("card 4111 1111 one 1 one 1 1111 now", "card", "4111 1111 one 1 one 1 1111"),
+        ("card 4111 1111 1111 111 one now", "card", "4111 1111 1111 111 one"),
+        ("write to john dot smith at mail.com now", "email", "john dot smith at mail.com"),
+        ("write to j\u043ehn at mail.com now", "email", "j\u043ehn at mail.com"),
+        ("write to john at mail[dot]com now", "email", "john at mail[dot]com"),
+    ],
+)
+def test_disguises_are_found_whole(text, kind, whole):
+    base, added = pii.find(text)
+    at = text.index(whole)
+    assert (at, at + len(whole)) in added[kind]
+    assert base == pii.detect(text) and pii.redact(text) == text.replace(whole, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "2019\u201320 at bbc.com", "+1 988 555 2481. One of us", "one f\u0130ve two three", "10.0.0.1 two", "from 12 one day to 13", "mail john@mail.com one day"])
+def test_plain_texts_have_no_added_spans(text):
+    assert not any(pii.find(text)[1].values())
+
+
 def test_mixing_reaches_targets(spark, docs):
     targets = {"lang": {"en": 0.5, "fr": 0.3, "unknown": 0.2}}
     out = mixing.mix(docs, targets).persist()
