@@ -30,12 +30,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one that names the group. Documents without
-    an id are in no group and stay; of rows that repeat an id in a group all but one go."""
-    groups = jaccard_components(docs)
-    named = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(cut(named, "kept-ids"), "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """Keep one row of each group of near copies: of those with the smallest id (a null one comes last)
+    one. Rows are told apart by id and text, so rows that repeat both are one and rows that share an id
+    only are not. Without an id and without words a row is in no group and stays."""
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    groups = cut(jaccard_components(docs.select(row.alias("row"), "text"), "row"), "near-groups")
+    ids = docs.select(row.alias("row"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    groups = groups.groupBy("row", "component_id").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n")).join(ids.distinct(), "row")
+    # a group's first row by partial minima: no task gets a whole group
+    first = groups.filter("NOT (none AND n = 0)").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "row", "copies")).alias("v"))
+    first = cut(first.select("v.row", "v.copies"), "kept-rows")
+    rows = docs.withColumn("row", row)
+    once = rows.join(first.filter("copies = 1"), "row", "left_semi").select(*docs.columns)
+    again = rows.join(first.filter("copies > 1"), "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
+    bare = rows.join(groups.filter("none AND n = 0").select("row"), "row", "left_semi").select(*docs.columns)
+    return once.unionByName(again).unionByName(bare)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

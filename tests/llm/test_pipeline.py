@@ -41,3 +41,16 @@ def test_stages_keep_the_columns_of_documents(spark):
             out = f(spark, stage, "unused")
             assert out.columns == docs.columns and out.filter(F.lit(False)).count() == 0
             out.count()
+
+
+def test_near_copies_keeps_one_of_repeated_rows(spark):
+    """Rows that repeat an id, share it only, or have none."""
+    a, b, c = texts(11, 3, 60)
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c), (None, c), (None, c + " tail"), (4, ""), (5, ""), (None, ""), (None, ""), (None, None)]
+    d = texts(12, 1, 60)[0]
+    rows += [(None, d), (None, d), (None, d + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "unused").collect()]
+    alone = [x for x in got if not (x[0] is None and x[1] in (d, d + " tail"))]
+    want = [(1, a), (3, b), (3, c), (4, ""), (5, ""), (None, ""), (None, ""), (None, None)]
+    assert sorted(map(repr, alone)) == sorted(map(repr, want)) and len(got) == len(want) + 1
