@@ -20,11 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the session's spark.checkpoint.dir (or the checkpoint folder set on the context).
-    Only where neither is set, as in tests on one machine, a folder of our own is set.
+    Only where neither is set on one machine, as in tests, a folder of our own is set; on a cluster that is
+    an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = found or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -47,6 +50,13 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like `name` that isn't taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,6 +70,12 @@ def drop_cut(*frames: DataFrame) -> None:
             drop_path(df.sparkSession, folder)
 
 
+def text_lists(texts: pa.Array, size: int):
+    """The texts as lists of at most about `size` bytes (one text at least)."""
+    for part in batches(pa.RecordBatch.from_arrays([texts], names=["t"]), size, 0):
+        yield part.column(0).to_pylist()
+
+
 def batches(frame: pa.RecordBatch, size: int, column: int = 1):
     """Slices whose texts in `column` hold at most about `size` bytes (one row at least)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(frame.column(column)), 0).to_numpy(zero_copy_only=False))
