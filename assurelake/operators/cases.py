@@ -80,18 +80,35 @@ def linked_entities(edges: DataFrame, per_taxpayer: int = 25) -> DataFrame:
     return near.unionByName(far).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= per_taxpayer)
 
 
+# Texts of every pack
+CHECKLIST = (
+    "Validate source-record identifiers against operational systems.",
+    "Contact taxpayer or counterparty for documented explanation.",
+    "Confirm tax-head treatment, exemptions, and period cut-off.",
+    "Record recovery assessment and decision notes before closure.",
+)
+NOTES = (
+    "Evidence pack is decision support and requires officer validation before assessment.",
+    "Use only for authorized revenue administration workflows.",
+    "Preserve audit trail when exporting or sharing sensitive records.",
+)
+RECOMMENDATION = "Review source records, linked entities, and taxpayer explanation before confirming recoverable amount."
+
+
 def evidence_packs(cases: DataFrame, signals: DataFrame, taxpayers: DataFrame, linked: DataFrame) -> DataFrame:
-    """A nested document per case: case, taxpayer, period, rule, gap and linked entities, as JSON. Missing
-    parts are null. `cases` has risk_signal_id."""
+    """A nested document per case: case, taxpayer, period, rule, gap, source records (the signal's evidence),
+    linked entities, checklist and notes, as JSON. Missing parts are null. `cases` has risk_signal_id."""
     who = taxpayers.select(F.col("id").alias("taxpayer_id"), F.struct("kra_pin", "legal_name", "county").alias("taxpayer"))
     sig = signals.select(
-        F.col("deterministic_key").alias("risk_signal_id"), F.struct("period_start", "period_end").alias("period"), F.struct("rule_code", "severity", "explanation").alias("rule"),
-        F.struct("observed_amount", "declared_amount", "estimated_gap").alias("gap"),
+        F.col("deterministic_key").alias("risk_signal_id"), F.struct("period_start", "period_end").alias("period"), F.struct("rule_code", "tax_head", "severity", "explanation").alias("rule"),
+        F.struct("observed_amount", "declared_amount", "estimated_gap", "confidence_score").alias("gap"), F.col("evidence").alias("sourceRecords"),
     )
     near = linked.groupBy("taxpayer_id").agg(F.array_sort(F.collect_list(F.struct("n", "other", "edge_type", "weight"))).alias("linked_entities"))
     rows = cases.join(who, "taxpayer_id", "left").join(sig, "risk_signal_id", "left").join(near, "taxpayer_id", "left")
     case = F.struct("id", "case_status", "priority", "estimated_recoverable")
-    return rows.select("id", F.to_json(F.struct(case.alias("case"), "taxpayer", "period", "rule", "gap", "linked_entities")).alias("pack"))
+    lists = [F.array(*map(F.lit, lines)).alias(n) for n, lines in (("officerChecklist", CHECKLIST), ("legalPolicyNotes", NOTES))]
+    parts = [case.alias("case"), "taxpayer", "period", "rule", "gap", "sourceRecords", "linked_entities", *lists, F.lit(RECOMMENDATION).alias("recommendation")]
+    return rows.select("id", F.to_json(F.struct(*parts)).alias("pack"))
 
 
 # notifications
@@ -105,18 +122,37 @@ def render(template: Column, values: dict[str, Column]) -> Column:
 
 
 def default_recipient(channel: Column, pin: Column, sms: str = "+254700000000") -> Column:
-    return F.when(channel == "SMS", sms).otherwise(F.concat(F.regexp_replace(F.lower(pin), "[^a-z0-9]", ""), F.lit("@taxpayer.example")))
-
-
-def nudges(cases: DataFrame, taxpayers: DataFrame, signals: DataFrame, templates: DataFrame, channel: str = "EMAIL", origin: str = "CASE") -> DataFrame:
-    """A message for each case from the default template of its channel and origin."""
-    t = templates.filter((F.col("channel") == channel) & (F.col("origin") == origin)).orderBy("code").limit(1).select("subject", "body")
-    rows = cases.join(taxpayers.select(F.col("id").alias("taxpayer_id"), "kra_pin", "legal_name"), "taxpayer_id", "left")
-    sig = signals.select(F.col("deterministic_key").alias("risk_signal_id"), "tax_head", "estimated_gap")
-    rows = rows.join(sig, "risk_signal_id", "left").crossJoin(F.broadcast(t))  # one template
-    values = {"name": F.coalesce("legal_name", F.lit("Taxpayer")), "case": F.col("id"), "amount": F.coalesce("estimated_gap", "estimated_recoverable"), "taxHead": F.coalesce("tax_head", F.lit("tax"))}
+    """The test number, or an address from the PIN; a taxpayer without one is `taxpayer`."""
+    name = F.when(F.trim(F.coalesce(pin, F.lit(""))) == "", "taxpayer").otherwise(F.regexp_replace(F.lower(pin), "[^a-z0-9]", ""))
+    return F.when(channel == "SMS", sms).otherwise(F.concat(name, F.lit("@example.test")))
+
+
+# The default template's code for a text message, a message on a case, and one on a signal
+SMS_CODE, CASE_CODE, SIGNAL_CODE = "SOFT_COMPLIANCE_SMS", "CASE_FOLLOW_UP_EMAIL", "SOFT_COMPLIANCE_EMAIL"
+
+
+def nudge_sources(cases: DataFrame | None, signals: DataFrame, taxpayers: DataFrame) -> DataFrame:
+    """What messages are about: each case with its signal (the taxpayer is the case's, else the signal's), or
+    without cases each signal."""
+    sig = signals.select(F.col("deterministic_key").alias("risk_signal_id"), F.col("taxpayer_id").alias("_st"), F.col("tax_head").alias("_head"), "estimated_gap")
+    if cases is None:
+        rows = sig.select(F.lit(None).cast("string").alias("id"), "risk_signal_id", F.col("_st").alias("taxpayer_id"), F.col("_head").alias("tax_head"), F.col("estimated_gap").alias("amount"))
+    else:
+        rows = cases.join(sig, "risk_signal_id", "left")
+        amount = F.coalesce("estimated_gap", "estimated_recoverable", F.lit(0).cast("decimal(18,2)"))
+        rows = rows.select("id", "risk_signal_id", F.coalesce("taxpayer_id", "_st").alias("taxpayer_id"), F.col("_head").alias("tax_head"), amount.alias("amount"))
+    return rows.join(taxpayers.select(F.col("id").alias("taxpayer_id"), "kra_pin", "legal_name"), "taxpayer_id", "left")
+
+
+def nudges(cases: DataFrame | None, taxpayers: DataFrame, signals: DataFrame, templates: DataFrame, channel: str = "EMAIL", code: str | None = None) -> DataFrame:
+    """A message for each case (or, without cases, each signal) from the active template of a code, by default
+    that of the channel and kind of source. No such template, no message."""
+    code = code or (SMS_CODE if channel == "SMS" else CASE_CODE if cases is not None else SIGNAL_CODE)
+    t = templates.filter((F.col("code") == code) & F.col("active")).limit(1).select("subject", "body")
+    rows = nudge_sources(cases, signals, taxpayers).crossJoin(F.broadcast(t))  # one template
+    values = {"name": F.coalesce("legal_name", F.lit("Taxpayer")), "case": F.col("id"), "amount": F.col("amount"), "taxHead": F.coalesce("tax_head", F.lit("tax"))}
     return rows.select(
-        F.col("id").alias("case_id"), F.lit(channel).alias("channel"), default_recipient(F.lit(channel), F.col("kra_pin")).alias("recipient"),
+        F.col("id").alias("case_id"), "risk_signal_id", F.lit(channel).alias("channel"), default_recipient(F.lit(channel), F.col("kra_pin")).alias("recipient"),
         render(F.col("subject"), values).alias("subject"), render(F.col("body"), values).alias("body"), F.lit("SENT").alias("status"),
     )
 

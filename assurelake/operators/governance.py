@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from assurelake.functions.scalar import clamp
 
 # Names whose values are not shown
-SECRET_KEYS = ("apikey", "api_key", "secret", "token", "authorization", "credential", "clientsecret", "client_secret")
+SECRET_KEYS = ("password", "secret", "clientSecret", "client_secret", "token", "apiKey", "privateKey", "passphrase")
+HIDDEN = "***"
 
 
 def freshness(sources: DataFrame, jobs: DataFrame, now: datetime) -> DataFrame:
@@ -20,8 +21,9 @@ def freshness(sources: DataFrame, jobs: DataFrame, now: datetime) -> DataFrame:
     last = jobs.filter("status = 'COMPLETED'").groupBy(F.col("source_code").alias("code")).agg(F.max("completed_at").alias("_c"))
     rows = sources.filter("active").join(last, "code", "left")
     at = F.coalesce("last_loaded_at", "_c").cast("timestamp")
-    minutes = F.coalesce(F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(at)) / 60), F.col("expected_minutes") + 1).cast("long")
-    return rows.select("code", "expected_minutes", minutes.alias("minutes_since"), (minutes > F.col("expected_minutes")).alias("late")).orderBy("code")
+    minutes = F.coalesce(F.greatest(F.lit(0), F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(at)) / 60)), F.col("expected_minutes") + 1).cast("long")
+    late = minutes > F.col("expected_minutes")
+    return rows.select("code", "expected_minutes", minutes.alias("minutes_since"), late.alias("late"), F.when(late, "LATE").otherwise("CURRENT").alias("alert_level")).orderBy("code")
 
 
 def integration_errors(jobs: DataFrame, limit: int = 25) -> DataFrame:
@@ -36,20 +38,15 @@ def mapped(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def redacted(m: Column) -> Column:
-    """A map of text values with those of secret names hidden."""
+    """A map of values with those of secret names hidden: names as listed, and any that speak of a password."""
+    return F.transform_values(m, lambda k, v: F.when(k.isin(*SECRET_KEYS) | F.lower(k).contains("password"), HIDDEN).otherwise(v))
 
-    def hide(k: Column, v: Column) -> Column:
-        low = F.lower(k)
-        return F.when(low.isin(*SECRET_KEYS) | low.contains("password"), "***REDACTED***").otherwise(v)
 
-    return F.transform_values(m, hide)
-
-
-def redact_nested(value):
-    """The same for nested values of a parsed document, for a small one on the driver."""
-    if isinstance(value, dict):
-        return {k: "***REDACTED***" if k.lower() in SECRET_KEYS or "password" in k.lower() else redact_nested(v) for k, v in value.items()}
-    return [redact_nested(v) for v in value] if isinstance(value, list) else value
+def redacted_json(text: Column) -> Column:
+    """The same for a profile as JSON text with maps in maps: the text values of secret names, at any depth,
+    are replaced. A secret name with another kind of value hides that too, if it isn't a map or a list."""
+    names = "|".join(SECRET_KEYS) + '|[^"]*(?i:password)[^"]*'
+    return F.regexp_replace(text, rf'("(?:{names})"\s*:\s*)("(?:[^"\\]|\\.)*"|[^\s,\[\]{{}}"]+)', rf'$1"{HIDDEN}"')
 
 
 def readiness(sources: DataFrame, jobs: DataFrame, now: datetime) -> DataFrame:

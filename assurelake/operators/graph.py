@@ -35,11 +35,11 @@ def _flows(rows: DataFrame, a: str, b: str, amount: str, kind: str, source: str)
     return _edges(rows, kind, source, "TAXPAYER", F.col("_t"), F.lit(None).cast("string"), F.col("n"), F.col("n"), F.col("x"))
 
 
-def _activity(rows: DataFrame, who: str, name: Column, amount: Column, kind: str, node: str, source: str) -> DataFrame:
-    """Edges from taxpayers to nodes named by what they do."""
-    rows = rows.filter(F.col(who).isNotNull()).groupBy(F.col(who).alias("_s"), name.alias("_n")).agg(F.count("*").alias("n"), F.sum(amount).alias("x"))
-    rows = rows.filter("_n IS NOT NULL")
-    return _edges(rows, kind, source, node, stable_uuid(F.concat(F.lit(node + ":"), "_n")), F.col("_n"), F.col("n"), F.col("n"), F.col("x"))
+def _activity(rows: DataFrame, who: str, name: Column, label: Column, amount: Column, kind: str, node: str, source: str) -> DataFrame:
+    """Edges from taxpayers to nodes whose id is derived from their name."""
+    rows = rows.filter(F.col(who).isNotNull()).groupBy(F.col(who).alias("_s"), name.alias("_n"), label.alias("_l")).agg(F.count("*").alias("n"), F.sum(amount).alias("x"))
+    amount = F.coalesce("x", F.lit(0))
+    return _edges(rows, kind, source, node, stable_uuid(F.concat(F.lit(node + ":"), "_n")), F.col("_l"), F.col("n"), F.col("n"), amount)
 
 
 def relationship_edges(rel: DataFrame) -> DataFrame:
@@ -52,30 +52,35 @@ def relationship_edges(rel: DataFrame) -> DataFrame:
 
 
 def invoice_trade(invoices: DataFrame) -> DataFrame:
-    return _flows(invoices, "supplier_taxpayer_id", "buyer_taxpayer_id", "total_amount", "INVOICE_TRADE", "INVOICES")
+    return _flows(invoices, "supplier_taxpayer_id", "buyer_taxpayer_id", "total_amount", "INVOICE_TRADE", "ETIMS_INVOICES")
 
 
 def withholding_flow(certificates: DataFrame) -> DataFrame:
-    return _flows(certificates, "payer_taxpayer_id", "payee_taxpayer_id", "gross_amount", "WITHHOLDING_FLOW", "WITHHOLDING")
+    return _flows(certificates, "payer_taxpayer_id", "payee_taxpayer_id", "gross_amount", "WITHHOLDING_FLOW", "WITHHOLDING_CERTIFICATES")
 
 
 def shared_registration(taxpayers: DataFrame) -> DataFrame:
     """Pairs with equal registration numbers, as they are written; empty ones are equal too."""
     t = taxpayers.filter("registration_number IS NOT NULL").select(F.col("id").alias("_s"), "registration_number")
     pairs = t.join(t.withColumnRenamed("_s", "_t"), "registration_number").filter("_s < _t")
-    return _edges(pairs, "SHARED_REGISTRATION_NUMBER", "TAXPAYERS", "TAXPAYER", F.col("_t"), F.lit(None).cast("string"), F.lit(1), F.lit(2), F.lit(0))
+    return _edges(pairs, "SHARED_REGISTRATION_NUMBER", "TAXPAYER_REGISTRY", "TAXPAYER", F.col("_t"), F.lit(None).cast("string"), F.lit(1), F.lit(2), F.lit(0))
 
 
 def county_permits(permits: DataFrame) -> DataFrame:
-    return _activity(permits, "taxpayer_id", F.col("county"), F.coalesce("permit_fee", F.lit(0)), "COUNTY_PERMIT_ACTIVITY", "COUNTY", "PERMITS")
+    """Counts of permits by county; an unknown county is a node too. The amount is the number of active ones."""
+    active = F.when(F.upper("permit_status") == "ACTIVE", 1).otherwise(0)
+    label = F.concat(F.coalesce("county", F.lit("Unknown county")), F.lit(" permits"))
+    return _activity(permits, "taxpayer_id", F.coalesce("county", F.lit("UNKNOWN")), label, active, "COUNTY_PERMIT_ACTIVITY", "PERMIT_COUNTY", "BUSINESS_PERMITS")
 
 
 def channel_usage(payments: DataFrame) -> DataFrame:
-    return _activity(payments, "payer_taxpayer_id", F.concat("collecting_agency", F.lit("/"), "revenue_channel"), F.col("amount"), "PAYMENT_CHANNEL_USAGE", "PAYMENT_CHANNEL", "PAYMENTS")
+    name, label = (F.concat("collecting_agency", F.lit(x), "revenue_channel") for x in (":", " / "))
+    return _activity(payments, "payer_taxpayer_id", name, label, F.col("amount"), "PAYMENT_CHANNEL_USAGE", "PAYMENT_CHANNEL", "PAYMENT_TRANSACTIONS")
 
 
 def import_activity(customs: DataFrame) -> DataFrame:
-    return _activity(customs, "taxpayer_id", F.coalesce("hs_code", F.lit("UNCLASSIFIED")), F.coalesce("total_landed_cost", "customs_value"), "IMPORT_ACTIVITY", "HS_CODE", "CUSTOMS")
+    label = F.concat(F.lit("HS "), F.coalesce("hs_code", F.lit("unclassified")))
+    return _activity(customs, "taxpayer_id", F.coalesce("hs_code", F.lit("UNCLASSIFIED")), label, F.col("total_landed_cost"), "IMPORT_ACTIVITY", "IMPORT_ACTIVITY", "CUSTOMS_DECLARATIONS")
 
 
 def extract(tables, relationships: DataFrame | None = None) -> DataFrame:

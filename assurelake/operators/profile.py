@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 #: name of the count, table, column of the taxpayer, and the money column that is totalled with it
 PARTS = [
     ("supplier_invoices", "invoices", "supplier_taxpayer_id", "total_amount"),
-    ("buyer_invoices", "invoices", "buyer_taxpayer_id", None),
+    ("buyer_invoices", "invoices", "buyer_taxpayer_id", "total_amount"),
     ("tax_returns", "tax_returns", "taxpayer_id", "declared_sales"),
-    ("customs_declarations", "customs_declarations", "taxpayer_id", "total_landed_cost"),
+    ("customs_declarations", "customs_declarations", "taxpayer_id", "customs_value"),
     ("wht_as_payer", "withholding_certificates", "payer_taxpayer_id", None),
-    ("wht_as_payee", "withholding_certificates", "payee_taxpayer_id", "gross_amount"),
+    ("wht_as_payee", "withholding_certificates", "payee_taxpayer_id", None),
     ("permits", "business_permits", "taxpayer_id", None),
     ("properties", "properties", "owner_taxpayer_id", None),
     ("payments", "payment_transactions", "payer_taxpayer_id", "amount"),

@@ -81,7 +81,10 @@ def reconcile(payments: DataFrame, settlements: DataFrame, delay_days: int = 2,
     key = F.when(F.col("duplicate_reference").isNull(), keyed(F.lit("recon"), *map(F.col, GROUP), F.col("settlement_status"))).otherwise(
         keyed(F.lit("recon"), *map(F.col, GROUP), F.col("settlement_status"), F.col("duplicate_reference"))
     )
-    return out.withColumn("deterministic_key", key)
+    names = {"expectedAmount": "expected_amount", "settledAmount": "settled_amount", "varianceAmount": "variance_amount", "settlementAccount": "settlement_account", "maxSettlementLagDays": "max_lag_days", "duplicateReference": "duplicate_reference"}
+    known = [F.col(c).alias(k) for k, c in names.items()]
+    evidence = F.to_json(F.struct(*known[:3], F.lit(delay_days).alias("settlementDelayDays"), F.lit(account).alias("expectedSettlementAccount"), *known[3:]))
+    return out.withColumns({"deterministic_key": key, "evidence": evidence})
 
 
 def duplicates(payments: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -115,6 +118,7 @@ def signals_of(results: DataFrame) -> DataFrame:
         confidence.cast("decimal(5,2)").alias("confidence_score"),
         F.when(s.isin("MISSING_SETTLEMENT", "WRONG_ACCOUNT"), "HIGH").otherwise("MEDIUM").alias("severity"),
         text.alias("explanation"),
+        "evidence",
         F.lit("OPEN").alias("status"),
     )
 
@@ -149,11 +153,11 @@ def exception_count(results: DataFrame) -> DataFrame:
 
 
 def open_cases(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """What opening a case for each result does: the newest case of its signal again, or a new one.
-    Matched results can't have one."""
+    """What opening a case for each result does: the newest case of its signal again, or a new one. Matched
+    results can't have one. A settlement above what was expected is no high variance."""
     newest = Window.partitionBy("risk_signal_id").orderBy(F.desc("created_at"), F.desc("case_id"))
     known = cases.filter("risk_signal_id IS NOT NULL").withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select(F.col("risk_signal_id").alias("_s"), "case_id")
     rows = results.filter("settlement_status <> 'MATCHED'").withColumn("risk_signal_id", F.concat(F.lit("reconciliation:"), "deterministic_key"))
-    high = F.col("settlement_status").isin("MISSING_SETTLEMENT", "WRONG_ACCOUNT") | (F.abs("variance_amount") >= 100000)
+    high = F.col("settlement_status").isin("MISSING_SETTLEMENT", "WRONG_ACCOUNT") | (F.col("variance_amount") >= 100000)
     rows = rows.join(known, F.col("_s") == F.col("risk_signal_id"), "left")
     return rows.select("risk_signal_id", "case_id", F.col("case_id").isNull().alias("is_new"), F.when(high, "HIGH").otherwise("MEDIUM").alias("priority"), F.abs("variance_amount").alias("amount"))

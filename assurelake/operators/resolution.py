@@ -111,13 +111,13 @@ def new_relationships(pairs: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_candidates(taxpayers: DataFrame, limit: int = 50) -> DataFrame:
-    """The pairs with their names, the surest first."""
+def duplicate_candidates(taxpayers: DataFrame) -> DataFrame:
+    """All pairs with their names, the surest first."""
     names = taxpayers.select("id", "legal_name")
     rows = duplicate_pairs(taxpayers)
     rows = rows.join(names.select(F.col("id").alias("source_id"), F.col("legal_name").alias("source_name")), "source_id")
     rows = rows.join(names.select(F.col("id").alias("target_id"), F.col("legal_name").alias("target_name")), "target_id")
-    return rows.orderBy(F.desc("confidence"), F.asc_nulls_last("source_name"), "source_id", "target_id").limit(clamp(limit, 200))
+    return rows.orderBy(F.desc("confidence"), F.asc_nulls_last("source_name"), "source_id", "target_id")
 
 
 def match_candidates(taxpayers: DataFrame, name: str, limit: int = 10) -> DataFrame:

@@ -3,11 +3,13 @@
 Each rule is a function of the domain tables, its thresholds and `as_of` that returns the flagged rows
 as one common shape; run_rules() stacks the active ones into signals. The monthly rules share a
 plan: both sides are aggregated to taxpayer and period first (partial sums before the shuffle), so
-the join is between at most one row a key on either side.
+the join is between at most one row a key on either side. Invoices and returns, which most rules need,
+are aggregated once for all of them (see Months).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date
@@ -15,15 +17,15 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from assurelake.functions.scalar import PAID, SETTLED, VOID, clamp, keyed, money, month_start, zero
+from assurelake.sources.catalog import written
 
 Tables = Mapping[str, DataFrame]
 PERIOD = ["taxpayer_id", "period_start", "period_end"]
 SIGNAL_COLUMNS = [
     "deterministic_key", "taxpayer_id", "rule_code", "signal_type", "tax_head", "period_start", "period_end", "observed_amount",
-    "declared_amount", "estimated_gap", "confidence_score", "severity", "explanation", "status",
+    "declared_amount", "estimated_gap", "confidence_score", "severity", "explanation", "evidence", "status",
 ]
 
 
@@ -36,6 +38,8 @@ class Rule:
     explanation: str
     find: Callable[[Tables, dict, date], DataFrame]
     thresholds: dict = field(default_factory=dict)
+    #: what the evidence names: name -> column of the found rows
+    evidence: dict = field(default_factory=dict)
     active: bool = True
 
 
@@ -46,13 +50,64 @@ def monthly(rows: DataFrame, day: Column, by: list[str], **sums: Column) -> Data
     return out.groupBy(*by, "period_start", "period_end").agg(*[F.sum(c).cast("decimal(18,2)").alias(n) for n, c in sums.items()], F.count("*").alias("n"))
 
 
-def live_invoices(t: Tables) -> DataFrame:
-    return t["invoices"].filter(~F.upper("invoice_status").isin(*VOID))
+def invoice_months(t: Tables) -> DataFrame:
+    """Invoices by supplier, buyer, month and whether they are void: sums and `invoices`, their number."""
+    start = month_start(F.col("invoice_date"))
+    rows = t["invoices"].withColumns({"period_start": start, "period_end": F.last_day("invoice_date"), "void": F.upper("invoice_status").isin(*VOID)})
+    amounts = [c for c in ("taxable_amount", "tax_amount", "total_amount") if c in rows.columns]
+    sums = [F.sum(c).cast("decimal(18,2)").alias(c) for c in amounts]
+    return rows.groupBy("supplier_taxpayer_id", "buyer_taxpayer_id", "period_start", "period_end", "void").agg(*sums, F.count("*").alias("invoices"))
 
 
-def declared(t: Tables, heads: tuple[str, ...], amount: Column) -> DataFrame:
+def return_periods(t: Tables) -> DataFrame:
+    """Returns by taxpayer, tax head and period: sums, `returns`, their number, and whether one says nil."""
+    sales, income = zero(F.col("declared_sales")), zero(F.col("declared_income"))
+    sums = {"declared_sales": sales, "declared_income": income, "declared_input_tax": zero(F.col("declared_input_tax")), "activity": F.greatest(sales, income)}
+    nil = F.coalesce(F.bool_or(F.upper("filing_status").isin("NIL", "NO_ACTIVITY")), F.lit(False))
+    each = [F.sum(c).cast("decimal(18,2)").alias(n) for n, c in sums.items()]
+    return t["tax_returns"].groupBy("taxpayer_id", "tax_head", "period_start", "period_end").agg(*each, nil.alias("nil"), F.count("*").alias("returns"))
+
+
+class Months(Mapping):
+    """Tables with two more, `invoice_months` and `return_periods`, each written once when it is asked for."""
+
+    MADE = {"invoice_months": invoice_months, "return_periods": return_periods}
+
+    def __init__(self, tables: Tables):
+        self.tables, self.made = tables, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in self.MADE and name not in self.made:
+            self.made[name] = written(self.MADE[name](self.tables), name)
+        return self.made[name] if name in self.MADE else self.tables[name]
+
+    def __iter__(self):
+        return iter([*self.tables, *self.MADE])
+
+    def __len__(self) -> int:
+        return len(self.tables) + len(self.MADE)
+
+
+def months_of(t: Tables) -> DataFrame:
+    return t["invoice_months"] if "invoice_months" in t else invoice_months(t)
+
+
+def periods_of(t: Tables) -> DataFrame:
+    return t["return_periods"] if "return_periods" in t else return_periods(t)
+
+
+def invoiced(t: Tables, by: list[str], amount: str) -> DataFrame:
+    """Live invoices by the named sides and month; the first side is the taxpayer."""
+    rows = months_of(t).filter("NOT void")
+    for side in by:
+        rows = rows.filter(F.col(side).isNotNull())
+    keys = [F.col(by[0]).alias("taxpayer_id"), *by[1:], "period_start", "period_end"]
+    return rows.groupBy(*keys).agg(F.sum(amount).cast("decimal(18,2)").alias("observed"), F.sum("invoices").alias("n"))
+
+
+def declared(t: Tables, heads: tuple[str, ...], amount: str) -> DataFrame:
     """What was declared by taxpayer and period."""
-    rows = t["tax_returns"].filter(F.col("tax_head").isin(*heads))
+    rows = periods_of(t).filter(F.col("tax_head").isin(*heads))
     return rows.groupBy(*PERIOD).agg(F.sum(amount).cast("decimal(18,2)").alias("declared"))
 
 
@@ -66,34 +121,28 @@ def mismatch(observed: DataFrame, stated: DataFrame, p: dict, as_of: date) -> Da
 
 
 def vat_output(t: Tables, p: dict, as_of: date) -> DataFrame:
-    rows = live_invoices(t).filter("supplier_taxpayer_id IS NOT NULL").withColumn("taxpayer_id", F.col("supplier_taxpayer_id"))
-    return mismatch(monthly(rows, F.col("invoice_date"), ["taxpayer_id"], observed=F.col("taxable_amount")), declared(t, ("VAT",), zero(F.col("declared_sales"))), p, as_of)
+    return mismatch(invoiced(t, ["supplier_taxpayer_id"], "taxable_amount"), declared(t, ("VAT",), "declared_sales"), p, as_of)
 
 
 def vat_input(t: Tables, p: dict, as_of: date) -> DataFrame:
-    rows = live_invoices(t).filter("buyer_taxpayer_id IS NOT NULL").withColumn("taxpayer_id", F.col("buyer_taxpayer_id"))
-    return mismatch(monthly(rows, F.col("invoice_date"), ["taxpayer_id"], observed=F.col("tax_amount")), declared(t, ("VAT",), zero(F.col("declared_input_tax"))), p, as_of)
+    return mismatch(invoiced(t, ["buyer_taxpayer_id"], "tax_amount"), declared(t, ("VAT",), "declared_input_tax"), p, as_of)
 
 
 def imports(t: Tables, p: dict, as_of: date) -> DataFrame:
     rows = t["customs_declarations"].filter("taxpayer_id IS NOT NULL")
     seen = monthly(rows, F.col("declaration_date"), ["taxpayer_id"], observed=F.coalesce("total_landed_cost", "customs_value"))
-    activity = F.greatest(zero(F.col("declared_sales")), zero(F.col("declared_income")))
-    return mismatch(seen, declared(t, ("VAT", "INCOME_TAX"), activity), p, as_of)
+    return mismatch(seen, declared(t, ("VAT", "INCOME_TAX"), "activity"), p, as_of)
 
 
 def withholding(t: Tables, p: dict, as_of: date) -> DataFrame:
     rows = t["withholding_certificates"].filter("payee_taxpayer_id IS NOT NULL").withColumn("taxpayer_id", F.col("payee_taxpayer_id"))
     seen = monthly(rows, F.coalesce("payment_period_end", "certificate_date"), ["taxpayer_id"], observed=F.col("gross_amount"))
-    return mismatch(seen, declared(t, ("INCOME_TAX",), zero(F.col("declared_income"))), p, as_of)
+    return mismatch(seen, declared(t, ("INCOME_TAX",), "declared_income"), p, as_of)
 
 
 def nil_filers(t: Tables, p: dict, as_of: date) -> DataFrame:
-    rows = live_invoices(t).filter("supplier_taxpayer_id IS NOT NULL").withColumn("taxpayer_id", F.col("supplier_taxpayer_id"))
-    seen = monthly(rows, F.col("invoice_date"), ["taxpayer_id"], observed=F.col("taxable_amount"))
-    nil = t["tax_returns"].filter("tax_head = 'VAT'").groupBy(*PERIOD)
-    nil = nil.agg(zero(F.sum("declared_sales")).cast("decimal(18,2)").alias("declared"), F.bool_or(F.upper("filing_status").isin("NIL", "NO_ACTIVITY")).alias("_nil"))
-    nil = nil.filter("declared = 0 OR _nil")
+    seen = invoiced(t, ["supplier_taxpayer_id"], "taxable_amount")
+    nil = periods_of(t).filter("tax_head = 'VAT' AND (declared_sales = 0 OR nil)").select(*PERIOD, F.col("declared_sales").alias("declared"))
     due = (F.col("period_end") <= F.date_sub(F.lit(as_of), p["periodGraceDays"])) & (F.col("observed") >= Decimal(p["minimumInvoiceSales"]))
     return seen.filter(due).join(nil, PERIOD).withColumn("gap", F.col("observed"))
 
@@ -150,8 +199,8 @@ def rental(t: Tables, p: dict, as_of: date) -> DataFrame:
     rent = zero(F.col("estimated_monthly_rent"))
     owned = t["properties"].filter(F.col("owner_taxpayer_id").isNotNull() & (rent > 0)).groupBy(F.col("owner_taxpayer_id").alias("taxpayer_id"))
     owned = owned.agg((F.sum(rent) * p["annualizationMonths"]).cast("decimal(18,2)").alias("observed"), F.count("*").alias("n"))
-    said = t["tax_returns"].filter(F.col("tax_head").isin("INCOME_TAX", "RENTAL_INCOME") & (F.col("period_start") >= F.lit(start)) & (F.col("period_end") <= F.lit(end)))
-    said = said.groupBy("taxpayer_id").agg(F.sum(zero(F.col("declared_income"))).cast("decimal(18,2)").alias("declared"))
+    said = periods_of(t).filter(F.col("tax_head").isin("INCOME_TAX", "RENTAL_INCOME") & (F.col("period_start") >= F.lit(start)) & (F.col("period_end") <= F.lit(end)))
+    said = said.groupBy("taxpayer_id").agg(F.sum("declared_income").cast("decimal(18,2)").alias("declared"))
     rows = owned.join(said, "taxpayer_id", "left").withColumn("declared", zero(F.col("declared")))
     rows = rows.withColumns({"gap": F.col("observed") - F.col("declared"), "period_start": F.lit(start), "period_end": F.lit(end)})
     return rows.filter((F.col("n") >= p["minimumProperties"]) & (F.col("gap") >= Decimal(p["minimumGap"])))
@@ -159,19 +208,20 @@ def rental(t: Tables, p: dict, as_of: date) -> DataFrame:
 
 def margins(t: Tables, p: dict, as_of: date) -> DataFrame:
     """Taxpayers whose declared margin falls short of the average of their sector in the period. The
-    average is a window over the sector's aggregated rows, so the activity is joined to nothing."""
+    averages, one row a sector and period, are aggregated by partial sums and joined back: however many
+    taxpayers a sector has, no task gets them all."""
     who = t["taxpayers"].filter("sector_code IS NOT NULL").select(F.col("id").alias("taxpayer_id"), "sector_code", "sector_name")
-    rows = t["tax_returns"].filter(F.col("tax_head").isin("INCOME_TAX", "VAT")).join(who, "taxpayer_id")
+    rows = periods_of(t).filter(F.col("tax_head").isin("INCOME_TAX", "VAT")).join(who, "taxpayer_id")
     rows = rows.groupBy("taxpayer_id", "sector_code", "sector_name", "period_start", "period_end").agg(
-        F.sum(zero(F.col("declared_sales"))).cast("decimal(18,2)").alias("sales"), F.sum(zero(F.col("declared_income"))).cast("decimal(18,2)").alias("declared")
+        F.sum("declared_sales").cast("decimal(18,2)").alias("sales"), F.sum("declared_income").cast("decimal(18,2)").alias("declared")
     )
     rows = rows.filter(F.col("sales") >= Decimal(p["minimumSales"]))
-    # rows are taxpayers by sector and month: few to a group, however many invoices stand behind them
     margin = (F.col("declared").cast("double") / F.greatest(F.col("sales"), F.lit(Decimal(1))).cast("double")).cast("decimal(20,12)")
-    peers = Window.partitionBy("sector_code", "period_start", "period_end")
     rows = rows.withColumn("margin", margin)
-    rows = rows.withColumns({"n": F.count("*").over(peers), "total": F.sum("margin").over(peers).cast("decimal(28,12)")})
-    rows = rows.withColumn("average", (F.col("total").cast("double") / F.col("n")).cast("decimal(20,12)"))
+    peers = ["sector_code", "period_start", "period_end"]
+    means = rows.groupBy(*peers).agg(F.count("*").alias("n"), F.sum("margin").cast("decimal(28,12)").alias("total"))
+    means = means.select(*peers, "n", (F.col("total").cast("double") / F.col("n")).cast("decimal(20,12)").alias("average"))
+    rows = rows.join(means, peers)
     expected = (F.col("average") * F.col("sales")).cast("decimal(38,14)")
     gap = F.round(F.greatest(expected - F.col("declared"), F.lit(Decimal(0))), 2).cast("decimal(18,2)")
     short = (F.col("average") - F.col("margin")) * 100 >= Decimal(p["minimumMarginShortfallPercent"])
@@ -180,8 +230,7 @@ def margins(t: Tables, p: dict, as_of: date) -> DataFrame:
 
 
 def bad_suppliers(t: Tables, p: dict, as_of: date) -> DataFrame:
-    rows = live_invoices(t).filter("buyer_taxpayer_id IS NOT NULL AND supplier_taxpayer_id IS NOT NULL").withColumn("taxpayer_id", F.col("buyer_taxpayer_id"))
-    rows = monthly(rows, F.col("invoice_date"), ["taxpayer_id", "supplier_taxpayer_id"], observed=F.col("taxable_amount"))
+    rows = invoiced(t, ["buyer_taxpayer_id", "supplier_taxpayer_id"], "taxable_amount")
     rows = rows.filter((F.col("period_end") <= F.date_sub(F.lit(as_of), p["periodGraceDays"])) & (F.col("observed") >= Decimal(p["minimumPurchaseAmount"])))
     good = t["tax_obligations"].filter(F.col("tax_head").isin("VAT", "INCOME_TAX") & (F.upper("obligation_status") == "ACTIVE"))
     good = good.select(F.col("taxpayer_id").alias("id")).distinct().withColumn("_ok", F.lit(True))
@@ -193,30 +242,40 @@ def bad_suppliers(t: Tables, p: dict, as_of: date) -> DataFrame:
 
 
 _MONTH = {"periodGraceDays": 45}
+_INVOICES = {"invoiceCount": "n"}
 # Codes, tax heads, confidences and default thresholds of the rules
 RULES = [
-    Rule("VAT_OUTPUT_MISMATCH", "VAT", "HIGH", "95.00", "Invoiced sales exceed declared sales by ", vat_output, {"minimumGap": "100000", "minimumGapPercent": "10"} | _MONTH),
-    Rule("VAT_INPUT_MISMATCH", "VAT", "HIGH", "92.00", "Purchase tax exceeds declared input tax by ", vat_input, {"minimumGap": "50000", "minimumGapPercent": "10"} | _MONTH),
-    Rule("IMPORT_TO_SALES_MISMATCH", "INCOME_TAX", "HIGH", "90.00", "Imports exceed declared activity by ", imports, {"minimumGap": "250000", "minimumGapPercent": "15"} | _MONTH),
-    Rule("WHT_INCOME_MISMATCH", "WITHHOLDING_TAX", "MEDIUM", "88.00", "Withheld income exceeds declared income by ", withholding, {"minimumGap": "50000", "minimumGapPercent": "10"} | _MONTH),
-    Rule("NIL_FILER_ISSUING_INVOICES", "VAT", "HIGH", "96.00", "Nil filer issued invoices of ", nil_filers, {"minimumInvoiceSales": "10000"} | _MONTH),
+    Rule("VAT_OUTPUT_MISMATCH", "VAT", "HIGH", "95.00", "Invoiced sales exceed declared sales by ", vat_output, {"minimumGap": "100000", "minimumGapPercent": "10"} | _MONTH, _INVOICES),
+    Rule("VAT_INPUT_MISMATCH", "VAT", "HIGH", "92.00", "Purchase tax exceeds declared input tax by ", vat_input, {"minimumGap": "50000", "minimumGapPercent": "10"} | _MONTH, _INVOICES),
+    Rule("IMPORT_TO_SALES_MISMATCH", "INCOME_TAX", "HIGH", "90.00", "Imports exceed declared activity by ", imports, {"minimumGap": "250000", "minimumGapPercent": "15"} | _MONTH, {"declarationCount": "n"}),
+    Rule("WHT_INCOME_MISMATCH", "WITHHOLDING_TAX", "MEDIUM", "88.00", "Withheld income exceeds declared income by ", withholding, {"minimumGap": "50000", "minimumGapPercent": "10"} | _MONTH, {"certificateCount": "n"}),
+    Rule("NIL_FILER_ISSUING_INVOICES", "VAT", "HIGH", "96.00", "Nil filer issued invoices of ", nil_filers, {"minimumInvoiceSales": "10000"} | _MONTH, _INVOICES),
     Rule("PAYE_RATIO_ANOMALY", "PAYE", "MEDIUM", "82.00", "Payroll tax is below the expected ratio by ", paye_ratio, {"minimumGrossPay": "100000", "minimumPayeToGrossRatio": "0.08", "minimumGap": "10000"} | _MONTH),
-    Rule("PERMIT_ACTIVE_TAX_INACTIVE", "INCOME_TAX", "MEDIUM", "78.00", "Active permit without an active obligation, fee ", permits, {"minimumPermitFee": "0", "requiredTaxHeads": ("VAT", "INCOME_TAX")}),
-    Rule("PAYMENT_SETTLEMENT_MISMATCH", "REVENUE_ASSURANCE", "HIGH", "90.00", "Collected payments exceed settlements by ", settlements, {"minimumGap": "10000", "settlementDelayDays": 2}),
-    Rule("RENTAL_INCOME_MISMATCH", "RENTAL_INCOME", "MEDIUM", "86.00", "Estimated annual rent exceeds declared income by ", rental, {"minimumGap": "50000", "minimumProperties": 1, "annualizationMonths": 12}),
-    Rule("SECTOR_MARGIN_DEVIATION", "INCOME_TAX", "MEDIUM", "74.00", "Margin is below the sector's by ", margins, {"minimumSales": "100000", "minimumGap": "50000", "minimumPeerCount": 2, "minimumMarginShortfallPercent": "20"}),
-    Rule("EXPENSE_FROM_NON_COMPLIANT_SUPPLIER", "INCOME_TAX", "MEDIUM", "79.00", "Purchases from a supplier without compliance of ", bad_suppliers, {"minimumPurchaseAmount": "50000"} | _MONTH),
+    Rule("PERMIT_ACTIVE_TAX_INACTIVE", "INCOME_TAX", "MEDIUM", "78.00", "Active permit without an active obligation, fee ", permits, {"minimumPermitFee": "0", "requiredTaxHeads": ("VAT", "INCOME_TAX")}, {"permitNumber": "permit_number"}),
+    Rule("PAYMENT_SETTLEMENT_MISMATCH", "REVENUE_ASSURANCE", "HIGH", "90.00", "Collected payments exceed settlements by ", settlements, {"minimumGap": "10000", "settlementDelayDays": 2}, {"collectingAgency": "collecting_agency", "revenueChannel": "revenue_channel"}),
+    Rule("RENTAL_INCOME_MISMATCH", "RENTAL_INCOME", "HIGH", "86.00", "Estimated annual rent exceeds declared income by ", rental, {"minimumGap": "50000", "minimumProperties": 1, "annualizationMonths": 12}, {"propertyCount": "n"}),
+    Rule("SECTOR_MARGIN_DEVIATION", "INCOME_TAX", "MEDIUM", "74.00", "Margin is below the sector's by ", margins, {"minimumSales": "100000", "minimumGap": "50000", "minimumPeerCount": 2, "minimumMarginShortfallPercent": "20"}, {"peerCount": "n"}),
+    Rule("EXPENSE_FROM_NON_COMPLIANT_SUPPLIER", "VAT", "MEDIUM", "79.00", "Purchases from a supplier without compliance of ", bad_suppliers, {"minimumPurchaseAmount": "50000"} | _MONTH, {"supplierTaxpayerId": "supplier_taxpayer_id"} | _INVOICES),
 ]
 CODES = tuple(sorted(r.code for r in RULES))
+#: Rules that read neither invoices nor returns.
+APART = ("PAYE_RATIO_ANOMALY", "PERMIT_ACTIVE_TAX_INACTIVE", "PAYMENT_SETTLEMENT_MISMATCH")
 
 
 def with_thresholds(rule: Rule, thresholds: dict | None = None, severity: str | None = None, active: bool | None = None) -> Rule:
     """A partial update: what isn't given stays (thresholds are replaced one by one)."""
     return Rule(
-        rule.code, rule.tax_head, severity or rule.severity, rule.confidence, rule.explanation, rule.find, rule.thresholds | (thresholds or {}), rule.active if active is None else active
+        rule.code, rule.tax_head, severity or rule.severity, rule.confidence, rule.explanation, rule.find, rule.thresholds | (thresholds or {}), rule.evidence, rule.active if active is None else active
     )
 
 
+def evidence_of(rule: Rule) -> Column:
+    """What the signal rests on, as JSON: the rule, the records behind it and the thresholds."""
+    plain = lambda x: F.array(*map(F.lit, x)) if isinstance(x, tuple) else F.lit(x)
+    limits = F.struct(*[plain(x).alias(k) for k, x in rule.thresholds.items()])
+    return F.to_json(F.struct(F.lit(rule.code).alias("ruleCode"), *[F.col(c).alias(k) for k, c in rule.evidence.items()], limits.alias("thresholds")))
+
+
 def signals_of(rule: Rule, t: Tables, as_of: date) -> DataFrame:
     """The signals of one rule."""
     rows = rule.find(t, rule.thresholds, as_of)
@@ -235,6 +294,7 @@ def signals_of(rule: Rule, t: Tables, as_of: date) -> DataFrame:
         F.lit(Decimal(rule.confidence)).cast("decimal(5,2)").alias("confidence_score"),
         F.lit(rule.severity).alias("severity"),
         F.concat(F.lit(rule.explanation), money(F.col("gap")).cast("string")).alias("explanation"),
+        evidence_of(rule).alias("evidence"),
         F.lit("OPEN").alias("status"),
     )
 
@@ -248,6 +308,8 @@ def run_rules(t: Tables, as_of: date, codes: list[str] | None = None, rules: lis
     if unknown := set(codes or ()) - {r.code for r in rules}:
         raise ValueError(f"unknown rules: {sorted(unknown)}")
     some = [r for r in sorted(rules, key=lambda r: r.code) if r.active and (not codes or r.code in codes)]
+    if sum(r.code not in APART for r in some) > 1 and "return_periods" not in t:
+        t = Months(t)
     out = None
     for r in some:
         got = signals_of(r, t, as_of)
@@ -261,16 +323,17 @@ def run_rules(t: Tables, as_of: date, codes: list[str] | None = None, rules: lis
 
 
 def rule_list(spark, rules: list[Rule] = RULES) -> DataFrame:
-    rows = [(r.code, r.tax_head, r.severity, float(r.confidence), r.active, str(sorted(r.thresholds.items()))) for r in rules]
+    rows = [(r.code, r.tax_head, r.severity, float(r.confidence), r.active, json.dumps(r.thresholds)) for r in rules]
     return spark.createDataFrame(rows, "code string, tax_head string, severity string, confidence double, active boolean, thresholds string").orderBy("code")
 
 
 def signal_view(signals: DataFrame, taxpayers: DataFrame, code: str | None = None, taxpayer: str | None = None, status: str | None = None, limit: int = 50) -> DataFrame:
-    """Signals with their taxpayer's name, newest period first."""
+    """Signals with their taxpayer's name, the newest first (by period, where they have no time of creation)."""
     for column, value in (("rule_code", code), ("taxpayer_id", taxpayer), ("status", status)):
         if value is not None:
             signals = signals.filter(F.col(column) == value)
     names = taxpayers.select(F.col("id").alias("taxpayer_id"), "kra_pin", "legal_name")
-    order = [F.desc_nulls_last("period_start"), F.asc_nulls_last("rule_code"), F.asc_nulls_last("deterministic_key")]
+    newest = ["created_at"] if "created_at" in signals.columns else []
+    order = [*map(F.desc_nulls_last, [*newest, "period_start"]), F.asc_nulls_last("rule_code"), F.asc_nulls_last("deterministic_key")]
     top = signals.orderBy(*order).limit(clamp(limit, 200))  # the join adds no rows: names are unique by id
     return top.join(names, "taxpayer_id", "left").orderBy(*order)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from assurelake.functions.scalar import clamp
 from assurelake.sources.catalog import replace_tagged
 
-SOURCE = "ML_RISK_ENGINE"
+SOURCE = "AI_RISK_SCORING"
 # Weights of the rule-based contributions, by feature
 WEIGHTS = {
     "invoiceSalesExceedDeclaredSales": ("invoice_to_declared_sales", 30),

@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 from assurelake.functions.scalar import clamp, keyed, money, zero
 from assurelake.sources.catalog import merge_by_key, replace_tagged
 
-# Tax head, recoverable share, penalty and interest shares by type of signal
+# Tax head, recoverable share, penalty and interest shares, and the basis, by type of signal
 RATES = [
-    ("VAT_OUTPUT_MISMATCH", "VAT", "0.16", "0.05", "0.01"),
-    ("VAT_INPUT_MISMATCH", "VAT", "1.00", "0.05", "0.01"),
-    ("IMPORT_TO_SALES_MISMATCH", "INCOME_TAX", "0.30", "0.05", "0.01"),
-    ("WHT_INCOME_MISMATCH", "WITHHOLDING_TAX", "0.05", "0.05", "0.01"),
-    ("NIL_FILER_ISSUING_INVOICES", "VAT", "0.16", "0.05", "0.01"),
-    ("PAYE_RATIO_ANOMALY", "PAYE", "1.00", "0.05", "0.01"),
-    ("PERMIT_ACTIVE_TAX_INACTIVE", "INCOME_TAX", "0.30", "0.05", "0.01"),
-    ("PAYMENT_SETTLEMENT_MISMATCH", "REVENUE_ASSURANCE", "1.00", "0.00", "0.00"),
-    ("RENTAL_INCOME_MISMATCH", "RENTAL_INCOME", "0.10", "0.05", "0.01"),
-    ("SECTOR_MARGIN_DEVIATION", "INCOME_TAX", "0.30", "0.05", "0.01"),
-    ("EXPENSE_FROM_NON_COMPLIANT_SUPPLIER", "INCOME_TAX", "0.16", "0.05", "0.01"),
+    ("VAT_OUTPUT_MISMATCH", "VAT", "0.16", "0.05", "0.01", "undeclared taxable sales"),
+    ("VAT_INPUT_MISMATCH", "VAT", "1.00", "0.05", "0.01", "excess input VAT"),
+    ("IMPORT_TO_SALES_MISMATCH", "INCOME_TAX", "0.30", "0.05", "0.01", "undeclared import-backed income"),
+    ("WHT_INCOME_MISMATCH", "WITHHOLDING_TAX", "0.05", "0.05", "0.01", "withholding certificate income"),
+    ("NIL_FILER_ISSUING_INVOICES", "VAT", "0.16", "0.05", "0.01", "nil filer invoice sales"),
+    ("PAYE_RATIO_ANOMALY", "PAYE", "1.00", "0.05", "0.01", "expected PAYE shortfall"),
+    ("PERMIT_ACTIVE_TAX_INACTIVE", "INCOME_TAX", "0.30", "0.05", "0.01", "active permit exposure"),
+    ("PAYMENT_SETTLEMENT_MISMATCH", "REVENUE_ASSURANCE", "1.00", "0.00", "0.00", "unsettled collected revenue"),
+    ("RENTAL_INCOME_MISMATCH", "RENTAL_INCOME", "0.10", "0.05", "0.01", "undeclared rental income"),
+    ("SECTOR_MARGIN_DEVIATION", "INCOME_TAX", "0.30", "0.05", "0.01", "sector margin shortfall"),
+    ("EXPENSE_FROM_NON_COMPLIANT_SUPPLIER", "VAT", "0.16", "0.05", "0.01", "supplier compliance exposure"),
 ]
 SCORE_SOURCE = "TAX_GAP_ENGINE"
 KEYS = ["taxpayer_id", "tax_head", "period_start", "period_end"]
@@ -32,8 +32,8 @@ KEYS = ["taxpayer_id", "tax_head", "period_start", "period_end"]
 def rate_catalog(spark: SparkSession) -> DataFrame:
     """The rates as a relation: eleven rows."""
     kind = "decimal(10,4)"
-    rows = spark.createDataFrame([(a, b, *map(Decimal, r)) for a, b, *r in RATES], "signal_type string, catalog_head string, recoverable_rate decimal(10,4), penalty_rate decimal(10,4), interest_rate decimal(10,4)")
-    return rows.select("signal_type", "catalog_head", *[F.col(c).cast(kind) for c in ("recoverable_rate", "penalty_rate", "interest_rate")])
+    rows = spark.createDataFrame([(a, b, *map(Decimal, r), basis) for a, b, *r, basis in RATES], "signal_type string, catalog_head string, recoverable_rate decimal(10,4), penalty_rate decimal(10,4), interest_rate decimal(10,4), basis string")
+    return rows.select("signal_type", "catalog_head", *[F.col(c).cast(kind) for c in ("recoverable_rate", "penalty_rate", "interest_rate")], "basis")
 
 
 def source_signals(signals: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def normalised(signals: DataFrame) -> DataFrame:
         money(F.greatest(zero(F.col("declared_amount")), floor)).alias("declared_amount"),
         money(F.greatest(zero(F.col("observed_amount")), floor)).alias("observed_amount"),
         money(F.greatest(F.col("estimated_gap"), floor)).alias("estimated_gap"),
-        "confidence_score", "recoverable_rate", "penalty_rate", "interest_rate",
+        "confidence_score", "recoverable_rate", "penalty_rate", "interest_rate", "basis",
     )
 
 
@@ -70,6 +70,8 @@ def estimates(signals: DataFrame) -> DataFrame:
         F.round(F.sum("confidence_score").cast("decimal(18,4)") / F.count("confidence_score"), 2).cast("decimal(5,2)").alias("confidence_score"),
         F.count("*").alias("signal_count"),
         F.array_sort(F.collect_set("signal_type")).alias("signal_types"),
+        # one row per signal type: a period has eleven at most, whatever the number of signals
+        F.array_sort(F.collect_set(F.struct("signal_type", "basis", "recoverable_rate"))).alias("bases"),
         F.array_sort(F.collect_list(F.struct("signal_type", "deterministic_key", "estimated_gap"))).alias("evidence"),
     )
     key = keyed(F.col("tax_head"), F.col("taxpayer_id"), F.col("period_start"), F.col("period_end"))
@@ -85,15 +87,19 @@ def _product(gap, *rates: str):
 
 
 def scores(est: DataFrame) -> DataFrame:
-    """One score per taxpayer: its recoverable total against a million, at most 100."""
+    """One score per taxpayer: its recoverable tax against a million, at most 100; with its tax heads and
+    periods, the most recoverable first."""
     out = est.groupBy("taxpayer_id").agg(
         F.min("period_start").alias("period_start"),
         F.max("period_end").alias("period_end"),
         *[F.sum(c).cast("decimal(18,2)").alias(c) for c in ("estimated_gap", "recoverable_tax", "total_recoverable")],
         F.round(F.sum("confidence_score").cast("decimal(18,4)") / F.count("confidence_score"), 2).cast("decimal(5,2)").alias("confidence_score"),
         F.count("*").alias("estimate_count"),
+        F.collect_list(F.struct((-F.col("recoverable_tax")).alias("v"), "tax_head", "period_start", "period_end", "recoverable_tax", "confidence_score")).alias("h"),
     )
-    score = F.least(F.lit(Decimal(100)), F.round(F.col("total_recoverable") / 10000, 2)).cast("decimal(5,2)")
+    heads = F.to_json(F.transform(F.array_sort("h"), lambda x: F.struct(*[x[c].alias(n) for c, n in (("tax_head", "taxHead"), ("period_start", "periodStart"), ("period_end", "periodEnd"), ("recoverable_tax", "estimatedRecoverableTax"), ("confidence_score", "confidenceScore"))])))
+    out = out.withColumn("tax_heads", heads).drop("h")
+    score = F.least(F.lit(Decimal(100)), F.round(F.col("recoverable_tax") / 10000, 2)).cast("decimal(5,2)")
     return out.withColumns({"score": score, "source": F.lit(SCORE_SOURCE)})
 
 
@@ -107,15 +113,16 @@ def refresh(signals: DataFrame, old_estimates: DataFrame | None = None, old_scor
 
 
 def estimate_list(est: DataFrame, head: str | None = None, taxpayer: str | None = None, start: date | None = None, end: date | None = None, limit: int = 50) -> DataFrame:
+    """Estimates with the most to recover, of periods that lie within start and end."""
     if head is not None:
         est = est.filter(F.col("tax_head") == head)
     if taxpayer is not None:
         est = est.filter(F.col("taxpayer_id") == taxpayer)
     if start is not None:
-        est = est.filter(F.col("period_end") >= F.lit(start))
+        est = est.filter(F.col("period_start") >= F.lit(start))
     if end is not None:
-        est = est.filter(F.col("period_start") <= F.lit(end))
-    order = [F.desc_nulls_first("total_recoverable"), F.desc_nulls_first("confidence_score"), F.asc_nulls_last("tax_head"), F.asc_nulls_last("deterministic_key")]
+        est = est.filter(F.col("period_end") <= F.lit(end))
+    order = [F.desc_nulls_first("recoverable_tax"), F.desc_nulls_first("confidence_score"), F.asc_nulls_last("tax_head"), F.asc_nulls_last("deterministic_key")]
     return est.orderBy(*order).limit(clamp(limit, 200))
 
 
@@ -129,8 +136,7 @@ def summary_by_head(est: DataFrame) -> DataFrame:
 
 
 def ranking(made: DataFrame, taxpayers: DataFrame, limit: int = 20) -> DataFrame:
-    """Taxpayers by what they owe most; names are joined to the top rows only."""
-    order = [F.desc_nulls_last("total_recoverable"), F.asc_nulls_last("taxpayer_id")]
-    top = made.filter(F.col("source") == SCORE_SOURCE).orderBy(*order).limit(clamp(limit, 100))
-    names = taxpayers.select(F.col("id").alias("taxpayer_id"), "legal_name", "sector_name", "county")
-    return top.join(names, "taxpayer_id", "left").orderBy(*order)
+    """Known taxpayers by what can be recovered from them."""
+    order = [F.desc_nulls_last("recoverable_tax"), F.desc_nulls_last("confidence_score"), F.desc_nulls_last("score"), F.asc_nulls_last("taxpayer_id")]
+    names = taxpayers.select(F.col("id").alias("taxpayer_id"), "kra_pin", "legal_name", "sector_name", "county")
+    return made.filter(F.col("source") == SCORE_SOURCE).join(names, "taxpayer_id").orderBy(*order).limit(clamp(limit, 100))

@@ -85,7 +85,8 @@ SELECT CAST(NULL AS STRING) AS taxpayer_id, concat('OP-', s_suppkey) AS permit_n
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
 """,
     "open_invoices": """
-SELECT invoice_number, CASE WHEN total_amount < 30000 THEN NULL ELSE supplier_taxpayer_id END AS supplier_taxpayer_id, lower(supplier_pin) AS supplier_pin, total_amount FROM {invoices}
+SELECT invoice_number, CASE WHEN total_amount < 30000 THEN NULL ELSE supplier_taxpayer_id END AS supplier_taxpayer_id, lower(supplier_pin) AS supplier_pin,
+       CASE WHEN total_amount < 50000 THEN NULL ELSE buyer_taxpayer_id END AS buyer_taxpayer_id, CASE WHEN total_amount < 1000 THEN 'P-UNKNOWN' ELSE buyer_pin END AS buyer_pin, total_amount FROM {invoices}
 """,
     "tax_obligations": """
 SELECT concat('S', s_suppkey) AS taxpayer_id, CASE WHEN s_suppkey % 2 = 0 THEN 'VAT' ELSE 'INCOME_TAX' END AS tax_head,
@@ -129,6 +130,21 @@ FROM {orders}
 SELECT concat('CASE-', l_orderkey) AS case_id, price AS assessed_amount, taxable AS agreed_amount, tax AS collected_amount,
        CASE WHEN l_linenumber = 2 THEN NULL ELSE day END AS collection_date, month_end AS created_on, CASE WHEN l_linestatus = 'F' THEN 'VAT' ELSE NULL END AS tax_head
 FROM {lines}
+""",
+    "open_customs": """
+SELECT declaration_number, CASE WHEN hs_code IS NULL THEN NULL ELSE taxpayer_id END AS taxpayer_id, lower(importer_pin) AS importer_pin FROM {customs_declarations}
+""",
+    "open_certificates": """
+SELECT certificate_number, CASE WHEN payment_period_end IS NULL THEN NULL ELSE payer_taxpayer_id END AS payer_taxpayer_id, lower(concat('P-', payer_taxpayer_id)) AS payer_pin,
+       CASE WHEN gross_amount < 20000 THEN NULL ELSE payee_taxpayer_id END AS payee_taxpayer_id, CASE WHEN gross_amount < 5000 THEN NULL ELSE concat('P-', payee_taxpayer_id) END AS payee_pin
+FROM {withholding_certificates}
+""",
+    "open_properties": """
+SELECT property_reference, CAST(NULL AS STRING) AS owner_taxpayer_id, lower(concat('P-', owner_taxpayer_id)) AS owner_pin FROM {properties}
+""",
+    "open_payments": """
+SELECT transaction_reference, CASE WHEN payment_status = 'PAID' THEN NULL ELSE payer_taxpayer_id END AS payer_taxpayer_id, concat('p-', lower(payer_taxpayer_id)) AS payer_pin
+FROM {payment_transactions}
 """,
 }
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,19 +50,22 @@ query("rules_all", rule_sql.ALL_SIGNALS)(lambda d: all_signals(d).select(*COMPAR
 
 # tax gap
 
-_RATES = ", ".join(f"('{a}', '{b}', {r}, {p}, {i})" for a, b, r, p, i in taxgap.RATES)
+_RATES = ", ".join(f"('{a}', '{b}', {r}, {p}, {i}, '{basis}')" for a, b, r, p, i, basis in taxgap.RATES)
 _EST = f"""SELECT tax_head || ':' || taxpayer_id || ':' || CAST(period_start AS VARCHAR) || ':' || CAST(period_end AS VARCHAR) AS deterministic_key, taxpayer_id, tax_head, period_start, period_end,
   CAST(sum(declared_amount) AS DECIMAL(18,2)) AS declared_amount, CAST(sum(observed_amount) AS DECIMAL(18,2)) AS observed_amount, CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap,
   CAST(sum(t) AS DECIMAL(18,2)) AS recoverable_tax, CAST(sum(p) AS DECIMAL(18,2)) AS penalty, CAST(sum(i) AS DECIMAL(18,2)) AS interest,
-  CAST(round(CAST(sum(confidence_score) AS DOUBLE) / count(*), 2) AS DECIMAL(5,2)) AS confidence_score, count(*) AS signal_count, CAST(sum(t) + sum(p) + sum(i) AS DECIMAL(18,2)) AS total_recoverable
-FROM (SELECT s.*, round(estimated_gap * CAST(r.rate AS DECIMAL(10,4)), 2) AS t, round(estimated_gap * CAST(r.rate AS DECIMAL(6,4)) * CAST(r.penalty AS DECIMAL(6,4)), 2) AS p, round(estimated_gap * CAST(r.rate AS DECIMAL(6,4)) * CAST(r.interest AS DECIMAL(6,4)), 2) AS i
-      FROM {{signals}} s JOIN (SELECT * FROM (VALUES {_RATES}) AS v(signal_type, head, rate, penalty, interest)) r ON r.signal_type = s.rule_code
+  CAST(round(CAST(sum(confidence_score) AS DOUBLE) / count(*), 2) AS DECIMAL(5,2)) AS confidence_score, count(*) AS signal_count, CAST(sum(t) + sum(p) + sum(i) AS DECIMAL(18,2)) AS total_recoverable,
+  string_agg(DISTINCT rule_code || '=' || basis, ',' ORDER BY rule_code || '=' || basis) AS bases
+FROM (SELECT s.*, r.basis, round(estimated_gap * CAST(r.rate AS DECIMAL(10,4)), 2) AS t, round(estimated_gap * CAST(r.rate AS DECIMAL(6,4)) * CAST(r.penalty AS DECIMAL(6,4)), 2) AS p, round(estimated_gap * CAST(r.rate AS DECIMAL(6,4)) * CAST(r.interest AS DECIMAL(6,4)), 2) AS i
+      FROM {{signals}} s JOIN (SELECT * FROM (VALUES {_RATES}) AS v(signal_type, head, rate, penalty, interest, basis)) r ON r.signal_type = s.rule_code
       WHERE s.taxpayer_id IS NOT NULL AND s.estimated_gap > 0 AND s.status IN ('OPEN', 'NEW'))
 GROUP BY taxpayer_id, tax_head, period_start, period_end"""
 _SCORES = """SELECT taxpayer_id, min(period_start) AS period_start, max(period_end) AS period_end, CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap,
   CAST(sum(recoverable_tax) AS DECIMAL(18,2)) AS recoverable_tax, CAST(sum(total_recoverable) AS DECIMAL(18,2)) AS total_recoverable,
   CAST(round(CAST(sum(confidence_score) AS DOUBLE) / count(*), 2) AS DECIMAL(5,2)) AS confidence_score, count(*) AS estimate_count,
-  CAST(least(100, round(CAST(sum(total_recoverable) AS DECIMAL(18,2)) * CAST(0.0001 AS DECIMAL(5,4)), 2)) AS DECIMAL(5,2)) AS score, 'TAX_GAP_ENGINE' AS source FROM {est} GROUP BY taxpayer_id"""
+  CAST(least(100, round(CAST(sum(recoverable_tax) AS DECIMAL(18,2)) * CAST(0.0001 AS DECIMAL(5,4)), 2)) AS DECIMAL(5,2)) AS score, 'TAX_GAP_ENGINE' AS source,
+  '[' || string_agg('{"taxHead":"' || tax_head || '","periodStart":"' || CAST(period_start AS VARCHAR) || '","periodEnd":"' || CAST(period_end AS VARCHAR) || '","estimatedRecoverableTax":' || CAST(recoverable_tax AS VARCHAR) || ',"confidenceScore":' || CAST(confidence_score AS VARCHAR) || '}', ',' ORDER BY recoverable_tax DESC, tax_head, period_start, period_end) || ']' AS tax_heads
+  FROM {est} GROUP BY taxpayer_id"""
 GAP = {"signals": rule_sql.ALL_SIGNALS, "est": _EST, "scores": _SCORES}
 
 
@@ -70,11 +73,17 @@ def gap_estimates(d: Domain) -> DataFrame:
     return taxgap.estimates(all_signals(d))
 
 
-query("gap_rate_catalog", f"SELECT signal_type, catalog_head, CAST(rate AS DECIMAL(10,4)) AS recoverable_rate, CAST(penalty AS DECIMAL(10,4)) AS penalty_rate, CAST(interest AS DECIMAL(10,4)) AS interest_rate FROM (VALUES {_RATES}) AS v(signal_type, catalog_head, rate, penalty, interest)")(lambda d: taxgap.rate_catalog(d.spark))
+def flat_estimates(d: Domain) -> DataFrame:
+    """Estimates with their bases as one text."""
+    rows = gap_estimates(d)
+    return rows.drop("signal_types", "evidence").withColumn("bases", F.array_join(F.transform("bases", lambda b: F.concat(b["signal_type"], F.lit("="), b["basis"])), ","))
+
+
+query("gap_rate_catalog", f"SELECT signal_type, catalog_head, CAST(rate AS DECIMAL(10,4)) AS recoverable_rate, CAST(penalty AS DECIMAL(10,4)) AS penalty_rate, CAST(interest AS DECIMAL(10,4)) AS interest_rate, basis FROM (VALUES {_RATES}) AS v(signal_type, catalog_head, rate, penalty, interest, basis)")(lambda d: taxgap.rate_catalog(d.spark))
 query("gap_source_signals", "SELECT count(*) AS source_signals FROM {signals} WHERE estimated_gap > 0", signals=rule_sql.ALL_SIGNALS)(lambda d: taxgap.source_signals(all_signals(d)))
-query("gap_estimates", "SELECT * FROM {est}", **GAP)(lambda d: gap_estimates(d).drop("signal_types", "evidence"))
-query("gap_estimate_list", "SELECT deterministic_key, total_recoverable, confidence_score FROM {est} WHERE tax_head = 'VAT' ORDER BY total_recoverable DESC, confidence_score DESC, tax_head, deterministic_key LIMIT 100", **GAP)(
-    lambda d: taxgap.estimate_list(gap_estimates(d), head="VAT", limit=100).select("deterministic_key", "total_recoverable", "confidence_score")
+query("gap_estimates", "SELECT * FROM {est}", **GAP)(flat_estimates)
+query("gap_estimate_list", "SELECT deterministic_key, recoverable_tax, confidence_score FROM {est} WHERE tax_head = 'VAT' AND period_start >= DATE '1993-01-15' AND period_end <= DATE '1997-12-15' ORDER BY recoverable_tax DESC, confidence_score DESC, tax_head, deterministic_key LIMIT 100", **GAP)(
+    lambda d: taxgap.estimate_list(gap_estimates(d), head="VAT", start=date(1993, 1, 15), end=date(1997, 12, 15), limit=100).select("deterministic_key", "recoverable_tax", "confidence_score")
 )
 query("gap_scores", "SELECT * FROM {scores}", **GAP)(lambda d: taxgap.scores(gap_estimates(d)))
 query(
@@ -86,7 +95,7 @@ query(
 )(lambda d: taxgap.summary_by_head(gap_estimates(d)))
 query(
     "gap_taxpayer_ranking",
-    "SELECT s.*, t.legal_name, t.sector_name, t.county FROM {scores} s LEFT JOIN {taxpayers} t ON t.id = s.taxpayer_id ORDER BY s.total_recoverable DESC, s.taxpayer_id LIMIT 20",
+    "SELECT s.*, t.kra_pin, t.legal_name, t.sector_name, t.county FROM {scores} s JOIN {taxpayers} t ON t.id = s.taxpayer_id ORDER BY s.recoverable_tax DESC, s.confidence_score DESC, s.score DESC, s.taxpayer_id LIMIT 20",
     **GAP,
 )(lambda d: taxgap.ranking(taxgap.scores(gap_estimates(d)), d["taxpayers"]))
 
@@ -100,7 +109,7 @@ RECON = {
     "pay": f"SELECT collecting_agency, revenue_channel, CAST(payment_date AS DATE) AS reconciliation_date, CAST(sum(amount) AS DECIMAL(18,2)) AS expected_amount, count(*) AS transaction_count FROM {{payment_transactions}} WHERE {_PAID} GROUP BY 1, 2, 3",
     "ont": f"SELECT p.collecting_agency, p.revenue_channel, p.reconciliation_date, {_AGG} FROM {{pay}} p LEFT JOIN {{settlement_records}} s ON {_S_ON} AND s.settlement_date <= p.reconciliation_date + 2 GROUP BY 1, 2, 3",
     "als": f"SELECT p.collecting_agency, p.revenue_channel, p.reconciliation_date, {_AGG} FROM {{pay}} p LEFT JOIN {{settlement_records}} s ON {_S_ON} AND s.settlement_date <= p.reconciliation_date + 30 AND s.settled_amount = p.expected_amount GROUP BY 1, 2, 3",
-    "recon": f"""SELECT *, CAST(expected_amount - settled_amount AS DECIMAL(18,2)) AS variance_amount, 'recon:' || collecting_agency || ':' || revenue_channel || ':' || CAST(reconciliation_date AS VARCHAR) || ':' || settlement_status AS deterministic_key FROM (
+    "recon_rows": f"""SELECT *, CAST(expected_amount - settled_amount AS DECIMAL(18,2)) AS variance_amount, 'recon:' || collecting_agency || ':' || revenue_channel || ':' || CAST(reconciliation_date AS VARCHAR) || ':' || settlement_status AS deterministic_key FROM (
   SELECT p.*, CAST(CASE WHEN o.n = 0 AND a.settled >= p.expected_amount THEN a.settled ELSE o.settled END AS DECIMAL(18,2)) AS settled_amount,
     CASE WHEN o.n = 0 AND a.settled >= p.expected_amount THEN a.n ELSE o.n END AS settlement_count,
     CASE WHEN o.n = 0 AND a.settled >= p.expected_amount THEN a.account ELSE o.account END AS settlement_account,
@@ -114,6 +123,9 @@ SELECT *, 'recon:' || collecting_agency || ':' || revenue_channel || ':' || CAST
     CAST(0 AS BIGINT) AS settlement_count, CAST(NULL AS VARCHAR) AS settlement_account, CAST(NULL AS INTEGER) AS max_lag_days, 'DUPLICATE_TRANSACTION' AS settlement_status,
     coalesce(provider_reference, transaction_reference) AS duplicate_reference, CAST(sum(amount) - max(amount) AS DECIMAL(18,2)) AS variance_amount
   FROM {{payment_transactions}} WHERE {_PAID} GROUP BY 1, 2, 3, 11 HAVING count(*) > 1)""",
+    "recon": """SELECT *, '{"expectedAmount":' || CAST(expected_amount AS VARCHAR) || ',"settledAmount":' || CAST(settled_amount AS VARCHAR) || ',"varianceAmount":' || CAST(variance_amount AS VARCHAR)
+  || ',"settlementDelayDays":2,"expectedSettlementAccount":"CBK-KRA-MAIN"' || coalesce(',"settlementAccount":"' || settlement_account || '"', '') || coalesce(',"maxSettlementLagDays":' || CAST(max_lag_days AS VARCHAR), '')
+  || coalesce(',"duplicateReference":"' || duplicate_reference || '"', '') || '}' AS evidence FROM {recon_rows}""",
 }
 
 
@@ -121,11 +133,11 @@ def recon(d: Domain) -> DataFrame:
     return reconcile.reconcile(d["payment_transactions"], d["settlement_records"])
 
 
-_RSIG = "SELECT 'reconciliation:' || deterministic_key AS deterministic_key, abs(variance_amount) AS estimated_gap, CAST(CASE settlement_status WHEN 'MISSING_SETTLEMENT' THEN 96 WHEN 'DUPLICATE_TRANSACTION' THEN 94 WHEN 'WRONG_ACCOUNT' THEN 92 WHEN 'DELAYED_SETTLEMENT' THEN 88 ELSE 85 END AS DECIMAL(5,2)) AS confidence_score, CASE WHEN settlement_status IN ('MISSING_SETTLEMENT', 'WRONG_ACCOUNT') THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM {recon} WHERE settlement_status <> 'MATCHED'"
+_RSIG = "SELECT 'reconciliation:' || deterministic_key AS deterministic_key, abs(variance_amount) AS estimated_gap, CAST(CASE settlement_status WHEN 'MISSING_SETTLEMENT' THEN 96 WHEN 'DUPLICATE_TRANSACTION' THEN 94 WHEN 'WRONG_ACCOUNT' THEN 92 WHEN 'DELAYED_SETTLEMENT' THEN 88 ELSE 85 END AS DECIMAL(5,2)) AS confidence_score, CASE WHEN settlement_status IN ('MISSING_SETTLEMENT', 'WRONG_ACCOUNT') THEN 'HIGH' ELSE 'MEDIUM' END AS severity, evidence FROM {recon} WHERE settlement_status <> 'MATCHED'"
 query("recon_default_window", "SELECT CAST(min(payment_date) AS DATE) AS from_date, CAST(max(payment_date) AS DATE) AS to_date FROM {payment_transactions}")(lambda d: reconcile.default_window(d["payment_transactions"]))
 query("recon_payment_totals", "SELECT * FROM {pay}", pay=RECON["pay"])(lambda d: reconcile.totals(d["payment_transactions"]))
 query("recon_results", "SELECT * FROM {recon}", **RECON)(recon)
-query("recon_signals", _RSIG, **RECON)(lambda d: reconcile.signals_of(recon(d)).select("deterministic_key", "estimated_gap", "confidence_score", "severity"))
+query("recon_signals", _RSIG, **RECON)(lambda d: reconcile.signals_of(recon(d)).select("deterministic_key", "estimated_gap", "confidence_score", "severity", "evidence"))
 query(
     "recon_signal_links",
     "SELECT deterministic_key, CASE WHEN settlement_status <> 'MATCHED' THEN 'reconciliation:' || deterministic_key END AS risk_signal_id FROM {recon}",
@@ -144,7 +156,7 @@ query(
 query("recon_exception_count", "SELECT count(*) AS exceptions FROM {recon} WHERE settlement_status <> 'MATCHED'", **RECON)(lambda d: reconcile.exception_count(recon(d)))
 query(
     "recon_case_opening",
-    "SELECT 'reconciliation:' || deterministic_key AS risk_signal_id, CASE WHEN settlement_status IN ('MISSING_SETTLEMENT', 'WRONG_ACCOUNT') OR abs(variance_amount) >= 100000 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, settlement_status = 'MISSING_SETTLEMENT' AS has_case FROM {recon} WHERE settlement_status <> 'MATCHED'",
+    "SELECT 'reconciliation:' || deterministic_key AS risk_signal_id, CASE WHEN settlement_status IN ('MISSING_SETTLEMENT', 'WRONG_ACCOUNT') OR variance_amount >= 100000 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, settlement_status = 'MISSING_SETTLEMENT' AS has_case FROM {recon} WHERE settlement_status <> 'MATCHED'",
     **RECON,
 )(
     lambda d: reconcile.open_cases(
@@ -168,15 +180,12 @@ query("er_identifiers", "SELECT * FROM (SELECT 'KRA_PIN' AS identifier_type, kra
 query("er_link_by_pin", "SELECT i.invoice_number, coalesce(i.supplier_taxpayer_id, t.id) AS supplier_taxpayer_id, i.total_amount FROM {open_invoices} i LEFT JOIN {taxpayers} t ON upper(t.kra_pin) = upper(i.supplier_pin)")(
     lambda d: resolution.link_by_pin(d["open_invoices"], d["taxpayers"], "supplier_pin", "supplier_taxpayer_id").select("invoice_number", "supplier_taxpayer_id", "total_amount")
 )
-query(
-    "er_link_permits",
-    f"""SELECT permit_number, taxpayer_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY permit_number ORDER BY similarity DESC, taxpayer_id) AS n FROM (
+_PERMIT_LINKS = f"""SELECT permit_number, taxpayer_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY permit_number ORDER BY similarity DESC, taxpayer_id) AS n FROM (
       SELECT p.permit_number, t.id AS taxpayer_id, greatest({_SIM.format("p.g", "t.gl")}, {_SIM.format("p.g", "t.gt")}) AS similarity
-      FROM (SELECT *, {_TRI.format("business_activity")} AS g FROM {{open_permits}}) p JOIN {{tsets}} t ON p.county IS NULL OR t.county IS NULL OR lower(p.county) = lower(t.county))) WHERE n = 1 AND similarity >= 0.55""",
-    tsets=_TSETS,
-)(lambda d: resolution.link_permits(d["open_permits"], d["taxpayers"]))
+      FROM (SELECT *, {_TRI.format("business_activity")} AS g FROM {{open_permits}}) p JOIN {{tsets}} t ON p.county IS NULL OR t.county IS NULL OR lower(p.county) = lower(t.county))) WHERE n = 1 AND similarity >= 0.55"""
+query("er_link_permits", _PERMIT_LINKS, tsets=_TSETS)(lambda d: resolution.link_permits(d["open_permits"], d["taxpayers"]))
 query("er_duplicate_pairs", "SELECT source_id, target_id, confidence, basis FROM {pairs}", **ER)(lambda d: resolution.duplicate_pairs(d["taxpayers"]))
-query("er_duplicate_candidates", "SELECT * FROM {pairs} ORDER BY confidence DESC, source_name, source_id, target_id LIMIT 50", **ER)(lambda d: resolution.duplicate_candidates(d["taxpayers"]))
+query("er_duplicate_candidates", "SELECT * FROM {pairs}", **ER)(lambda d: resolution.duplicate_candidates(d["taxpayers"]))
 query("er_new_relationships", "SELECT source_id AS source_taxpayer_id, target_id AS target_taxpayer_id, 'POSSIBLE_DUPLICATE' AS relationship_type, CAST(confidence * 100 AS DECIMAL(5,2)) AS confidence_score FROM {pairs} WHERE basis = 'FUZZY_NAME'", **ER)(
     lambda d: resolution.new_relationships(
         resolution.duplicate_pairs(d["taxpayers"]),
@@ -190,11 +199,19 @@ query(
     ORDER BY confidence DESC, legal_name, id LIMIT 20""",
     tsets=_TSETS,
 )(lambda d: resolution.match_candidates(d["taxpayers"], "House of Supplier 000000042", 20))
-query(
-    "er_run_summary",
-    """SELECT step, CAST(links AS BIGINT) AS links FROM (SELECT 'invoices.supplier_taxpayer_id' AS step, count(*) AS links FROM {open_invoices} i JOIN {taxpayers} t ON upper(t.kra_pin) = upper(i.supplier_pin) WHERE i.supplier_taxpayer_id IS NULL
-    UNION ALL SELECT 'total', count(*) FROM {open_invoices} i JOIN {taxpayers} t ON upper(t.kra_pin) = upper(i.supplier_pin) WHERE i.supplier_taxpayer_id IS NULL)""",
-)(lambda d: resolution.run_summary({"taxpayers": d["taxpayers"], "invoices": d["open_invoices"]}))
+#: Tables with open links: its domain table and its key, by the table's name.
+OPEN = {"invoices": ("open_invoices", "invoice_number"), "customs_declarations": ("open_customs", "declaration_number"), "withholding_certificates": ("open_certificates", "certificate_number"), "properties": ("open_properties", "property_reference"), "payment_transactions": ("open_payments", "transaction_reference")}
+_LINKED = []
+for _table, _pin, _link in resolution.PIN_LINKS:
+    _open, _key = OPEN[_table]
+    query(f"er_link_{_table}_{_pin.removesuffix('_pin')}", f"SELECT o.{_key}, coalesce(o.{_link}, t.id) AS {_link} FROM {{{_open}}} o LEFT JOIN {{taxpayers}} t ON upper(t.kra_pin) = upper(o.{_pin})")(
+        lambda d, o=_open, k=_key, p=_pin, x=_link: resolution.link_by_pin(d[o], d["taxpayers"], p, x).select(k, x)
+    )
+    _LINKED.append(f"SELECT '{_table}.{_link}' AS step, count(*) AS links FROM {{{_open}}} o JOIN {{taxpayers}} t ON upper(t.kra_pin) = upper(o.{_pin}) WHERE o.{_link} IS NULL")
+_STEPS_MADE = " UNION ALL ".join([*_LINKED, "SELECT 'business_permits.taxpayer_id', count(*) FROM {permit_links}"])
+query("er_run_summary", "SELECT step, CAST(links AS BIGINT) AS links FROM {steps} UNION ALL SELECT 'total', CAST(sum(links) AS BIGINT) FROM {steps}", tsets=_TSETS, permit_links=_PERMIT_LINKS, steps=_STEPS_MADE)(
+    lambda d: resolution.run_summary({"taxpayers": d["taxpayers"], "business_permits": d["open_permits"]} | {t: d[o] for t, (o, _) in OPEN.items()})
+)
 
 # profiles
 
@@ -229,17 +246,17 @@ def _flow_sql(kind: str, source: str, table: str, a: str, b: str, x: str) -> str
     return _edge(kind, source, "s", "TAXPAYER", "t", "CAST(NULL AS VARCHAR)", "n", "n", "x", f"SELECT {a} AS s, {b} AS t, count(*) AS n, sum({x}) AS x FROM {{{table}}} WHERE {a} <> {b} GROUP BY 1, 2")
 
 
-def _act_sql(kind: str, node: str, source: str, table: str, who: str, name: str, x: str) -> str:
-    return _edge(kind, source, "s", node, _uuid(f"'{node}:' || l"), "l", "n", "n", "x", f"SELECT {who} AS s, {name} AS l, count(*) AS n, sum({x}) AS x FROM {{{table}}} WHERE {who} IS NOT NULL AND {name} IS NOT NULL GROUP BY 1, 2")
+def _act_sql(kind: str, node: str, source: str, table: str, who: str, name: str, label: str, x: str) -> str:
+    return _edge(kind, source, "s", node, _uuid(f"'{node}:' || k"), "l", "n", "n", "x", f"SELECT {who} AS s, {name} AS k, {label} AS l, count(*) AS n, coalesce(sum({x}), 0) AS x FROM {{{table}}} WHERE {who} IS NOT NULL GROUP BY 1, 2, 3")
 
 
 EDGES = {
-    "invoice_trade": _flow_sql("INVOICE_TRADE", "INVOICES", "invoices", "supplier_taxpayer_id", "buyer_taxpayer_id", "total_amount"),
-    "withholding_flow": _flow_sql("WITHHOLDING_FLOW", "WITHHOLDING", "withholding_certificates", "payer_taxpayer_id", "payee_taxpayer_id", "gross_amount"),
-    "shared_registration": _edge("SHARED_REGISTRATION_NUMBER", "TAXPAYERS", "s", "TAXPAYER", "t", "CAST(NULL AS VARCHAR)", "1", "2", "0", "SELECT a.id AS s, b.id AS t FROM {taxpayers} a JOIN {taxpayers} b ON a.registration_number = b.registration_number AND a.id < b.id"),
-    "county_permits": _act_sql("COUNTY_PERMIT_ACTIVITY", "COUNTY", "PERMITS", "business_permits", "taxpayer_id", "county", "coalesce(permit_fee, 0)"),
-    "channel_usage": _act_sql("PAYMENT_CHANNEL_USAGE", "PAYMENT_CHANNEL", "PAYMENTS", "payment_transactions", "payer_taxpayer_id", "collecting_agency || '/' || revenue_channel", "amount"),
-    "import_activity": _act_sql("IMPORT_ACTIVITY", "HS_CODE", "CUSTOMS", "customs_declarations", "taxpayer_id", "coalesce(hs_code, 'UNCLASSIFIED')", "coalesce(total_landed_cost, customs_value)"),
+    "invoice_trade": _flow_sql("INVOICE_TRADE", "ETIMS_INVOICES", "invoices", "supplier_taxpayer_id", "buyer_taxpayer_id", "total_amount"),
+    "withholding_flow": _flow_sql("WITHHOLDING_FLOW", "WITHHOLDING_CERTIFICATES", "withholding_certificates", "payer_taxpayer_id", "payee_taxpayer_id", "gross_amount"),
+    "shared_registration": _edge("SHARED_REGISTRATION_NUMBER", "TAXPAYER_REGISTRY", "s", "TAXPAYER", "t", "CAST(NULL AS VARCHAR)", "1", "2", "0", "SELECT a.id AS s, b.id AS t FROM {taxpayers} a JOIN {taxpayers} b ON a.registration_number = b.registration_number AND a.id < b.id"),
+    "county_permits": _act_sql("COUNTY_PERMIT_ACTIVITY", "PERMIT_COUNTY", "BUSINESS_PERMITS", "business_permits", "taxpayer_id", "coalesce(county, 'UNKNOWN')", "coalesce(county, 'Unknown county') || ' permits'", "CASE WHEN upper(permit_status) = 'ACTIVE' THEN 1 ELSE 0 END"),
+    "channel_usage": _act_sql("PAYMENT_CHANNEL_USAGE", "PAYMENT_CHANNEL", "PAYMENT_TRANSACTIONS", "payment_transactions", "payer_taxpayer_id", "collecting_agency || ':' || revenue_channel", "collecting_agency || ' / ' || revenue_channel", "amount"),
+    "import_activity": _act_sql("IMPORT_ACTIVITY", "IMPORT_ACTIVITY", "CUSTOMS_DECLARATIONS", "customs_declarations", "taxpayer_id", "coalesce(hs_code, 'UNCLASSIFIED')", "'HS ' || coalesce(hs_code, 'unclassified')", "total_landed_cost"),
 }
 _EDGE_TABLES = {"invoice_trade": "invoices", "withholding_flow": "withholding_certificates", "shared_registration": "taxpayers", "county_permits": "business_permits", "channel_usage": "payment_transactions", "import_activity": "customs_declarations"}
 _ALL_EDGES = "\nUNION ALL\n".join(EDGES.values())
@@ -260,12 +277,17 @@ def test_ring(d: Domain) -> DataFrame:
     return d.spark.sql(_TEST_RING, supplier=d["supplier"])
 
 
+def relationships_of(d: Domain) -> DataFrame:
+    """The duplicates that a resolution run relates."""
+    return resolution.new_relationships(resolution.duplicate_pairs(d["taxpayers"]), d.spark.createDataFrame([], "source_taxpayer_id string, target_taxpayer_id string, relationship_type string"))
+
+
 for _name, _sql in EDGES.items():
     query(f"graph_{_name}", _sql)(lambda d, n=_name: getattr(graph, n)(d[_EDGE_TABLES[n]]))
 query("graph_relationship_edges", "SELECT source_id, target_id, 'POSSIBLE_DUPLICATE' AS edge_type, CAST(CAST(confidence * 100 AS DECIMAL(5,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(8,4)) AS weight FROM {pairs}", **ER)(
-    lambda d: graph.relationship_edges(resolution.duplicate_pairs(d["taxpayers"]).select(F.col("source_id").alias("source_taxpayer_id"), F.col("target_id").alias("target_taxpayer_id"), F.lit("POSSIBLE_DUPLICATE").alias("relationship_type"), (F.col("confidence") * 100).cast("decimal(5,2)").alias("confidence_score"))).select("source_id", "target_id", "edge_type", "weight")
+    lambda d: graph.relationship_edges(relationships_of(d)).select("source_id", "target_id", "edge_type", "weight")
 )
-query("graph_edge_counts", "SELECT edge_type, count(*) AS edges FROM {edges} GROUP BY 1", edges=_ALL_EDGES)(lambda d: graph.edge_counts(graph.extract(d)))
+query("graph_edge_counts", "SELECT edge_type, count(*) AS edges FROM {edges} GROUP BY 1 UNION ALL SELECT 'POSSIBLE_DUPLICATE', count(*) FROM {pairs}", edges=_ALL_EDGES, **ER)(lambda d: graph.edge_counts(graph.extract(d, relationships_of(d))))
 query(
     "graph_neighbourhood",
     """SELECT e.*, st.legal_name AS source_label, coalesce(tt.legal_name, e.target_label, e.target_type) AS label FROM {edges} e LEFT JOIN {taxpayers} st ON st.id = e.source_id LEFT JOIN {taxpayers} tt ON e.target_type = 'TAXPAYER' AND tt.id = e.target_id
@@ -419,16 +441,27 @@ def _case_signals(d: Domain) -> DataFrame:
 
 
 query("case_evidence_packs")(lambda d: cases.evidence_packs(_case_signals(d), all_signals(d), d["taxpayers"], cases.linked_entities(graph.extract(d), 5)))
-_TEMPLATES = [("N1", "EMAIL", "CASE", "Case {{case}}", "Dear {{name}}, please review {{taxHead}} of {{amount}}.")]
+_TEMPLATES = [
+    ("A_CODE_BEFORE_ALL", "EMAIL", "no", "no", True),
+    ("CASE_FOLLOW_UP_EMAIL", "EMAIL", "old", "old", False),
+    ("CASE_FOLLOW_UP_EMAIL", "EMAIL", "Case {{case}}", "Dear {{name}}, please review {{taxHead}} of {{amount}}.", True),
+    ("SOFT_COMPLIANCE_EMAIL", "EMAIL", "Your return", "Dear {{name}}, {{taxHead}} of {{amount}} may be due.", True),
+]
+_TEMPLATE_SCHEMA = "code string, channel string, subject string, body string, active boolean"
 query(
     "notify_nudges",
-    "SELECT c.id AS case_id, 'EMAIL' AS channel, regexp_replace(lower(t.kra_pin), '[^a-z0-9]', '', 'g') || '@taxpayer.example' AS recipient, 'Case ' || c.id AS subject, 'Dear ' || t.legal_name || ', please review tax of ' || CAST(c.estimated_recoverable AS VARCHAR) || '.' AS body, 'SENT' AS status FROM {cases} c JOIN {taxpayers} t ON t.id = c.taxpayer_id",
+    "SELECT c.id AS case_id, CAST(NULL AS VARCHAR) AS risk_signal_id, 'EMAIL' AS channel, regexp_replace(lower(t.kra_pin), '[^a-z0-9]', '', 'g') || '@example.test' AS recipient, 'Case ' || c.id AS subject, 'Dear ' || t.legal_name || ', please review tax of ' || CAST(c.estimated_recoverable AS VARCHAR) || '.' AS body, 'SENT' AS status FROM {cases} c JOIN {taxpayers} t ON t.id = c.taxpayer_id",
 )(
     lambda d: cases.nudges(
         d["cases"].withColumn("risk_signal_id", F.lit(None).cast("string")), d["taxpayers"],
-        d.spark.createDataFrame([], "deterministic_key string, tax_head string, estimated_gap decimal(18,2)"), d.spark.createDataFrame(_TEMPLATES, "code string, channel string, origin string, subject string, body string"),
+        d.spark.createDataFrame([], "deterministic_key string, taxpayer_id string, tax_head string, estimated_gap decimal(18,2)"), d.spark.createDataFrame(_TEMPLATES, _TEMPLATE_SCHEMA),
     )
 )
+query(
+    "notify_signal_nudges",
+    "SELECT s.deterministic_key AS risk_signal_id, coalesce(regexp_replace(lower(t.kra_pin), '[^a-z0-9]', '', 'g'), 'taxpayer') || '@example.test' AS recipient, 'Dear ' || coalesce(t.legal_name, 'Taxpayer') || ', ' || s.tax_head || ' of ' || CAST(s.estimated_gap AS VARCHAR) || ' may be due.' AS body FROM {signals} s LEFT JOIN {taxpayers} t ON t.id = s.taxpayer_id",
+    signals=rule_sql.ALL_SIGNALS,
+)(lambda d: cases.nudges(None, d["taxpayers"], all_signals(d), d.spark.createDataFrame(_TEMPLATES, _TEMPLATE_SCHEMA)).select("risk_signal_id", "recipient", "body"))
 query("notify_history", "SELECT id, taxpayer_id, opened_on AS sent_at FROM {cases} WHERE case_status = 'OPEN' ORDER BY opened_on DESC, id LIMIT 100")(
     lambda d: cases.notification_history(d["cases"].select("id", "taxpayer_id", F.col("case_status").alias("status"), F.col("opened_on").alias("sent_at")), status="OPEN").select("id", "taxpayer_id", "sent_at")
 )
@@ -439,7 +472,7 @@ _JOBS = """SELECT concat('J-', event_id) AS id, concat('SRC-', user_id % 30) AS
   ts AS started_at, ts AS completed_at, CAST(event_id % 5 AS INT) AS retries, 3 AS max_retries FROM {events}"""
 _SOURCES = "SELECT concat('SRC-', r_regionkey * 8) AS code, r_regionkey <> 3 AS active, CAST(600 + 300 * r_regionkey AS INT) AS expected_minutes, CAST(NULL AS TIMESTAMP) AS last_loaded_at FROM {region}"
 _NOW = "2024-01-31 00:00:00"
-_FRESH = f"SELECT code, expected_minutes, minutes AS minutes_since, minutes > expected_minutes AS late FROM (SELECT s.*, CAST(coalesce(floor((epoch(TIMESTAMP '{_NOW}') - epoch(c)) / 60), expected_minutes + 1) AS BIGINT) AS minutes FROM {{sources}} s LEFT JOIN (SELECT source_code, max(date_trunc('second', completed_at)) AS c FROM {{jobs}} WHERE status = 'COMPLETED' GROUP BY 1) j ON j.source_code = s.code WHERE s.active)"
+_FRESH = f"SELECT code, expected_minutes, minutes AS minutes_since, minutes > expected_minutes AS late, CASE WHEN minutes > expected_minutes THEN 'LATE' ELSE 'CURRENT' END AS alert_level FROM (SELECT s.*, CAST(coalesce(greatest(0, floor((epoch(TIMESTAMP '{_NOW}') - epoch(c)) / 60)), expected_minutes + 1) AS BIGINT) AS minutes FROM {{sources}} s LEFT JOIN (SELECT source_code, max(date_trunc('second', completed_at)) AS c FROM {{jobs}} WHERE status = 'COMPLETED' GROUP BY 1) j ON j.source_code = s.code WHERE s.active)"
 INT = {"jobs": _JOBS, "sources": _SOURCES, "fresh": _FRESH}
 
 
@@ -458,8 +491,11 @@ query("integration_readiness", "SELECT (SELECT count(*) FROM {fresh}) AS active_
     lambda d: governance.readiness(_sources(d), _jobs(d), _AT)
 )
 query("integration_mapping", "SELECT r_regionkey AS region_id, r_name AS name FROM {region}")(lambda d: governance.mapped(d["region"], {"region_id": "r_regionkey", "name": "r_name"}))
-query("integration_redaction", "SELECT r_regionkey, '***REDACTED***' AS token, '***REDACTED***' AS password, r_name AS plain FROM {region}")(
-    lambda d: d["region"].select("r_regionkey", governance.redacted(F.create_map(F.lit("Token"), "r_name", F.lit("db_Password"), "r_name", F.lit("plain"), "r_name")).alias("m")).select("r_regionkey", F.col("m")["Token"].alias("token"), F.col("m")["db_Password"].alias("password"), F.col("m")["plain"].alias("plain"))
+_KEYS = ("password", "secret", "clientSecret", "client_secret", "token", "apiKey", "privateKey", "passphrase", "db_Password", "plain")
+query("integration_redaction", "SELECT r_regionkey, " + ", ".join(f"'***' AS k{i}" for i in range(9)) + ", r_name AS k9, '{\"host\":\"' || r_name || '\",\"inner\":{\"token\":\"***\",\"privateKey\":\"***\",\"port\":1,\"db_Password\":\"***\"}}' AS profile FROM {region}")(
+    lambda d: d["region"].select("r_regionkey", governance.redacted(F.create_map(*[x for k in _KEYS for x in (F.lit(k), F.col("r_name"))])).alias("m"), governance.redacted_json(F.concat(F.lit('{"host":"'), "r_name", F.lit('","inner":{"token":"a\\"b","privateKey":"x","port":1,"db_Password":7}}'))).alias("profile")).select(
+        "r_regionkey", *[F.col("m")[k].alias(f"k{i}") for i, k in enumerate(_KEYS)], "profile"
+    )
 )
 _ROLES = ("SELECT n_name AS role FROM {nation}", "SELECT concat('NATION_', c_nationkey) AS role, c_custkey % 100 AS user_id FROM {customer} WHERE c_nationkey <> 5", "SELECT concat('NATION_', s_nationkey) AS role, concat('P', s_suppkey % 9) AS permission FROM {supplier}")
 query("admin_role_counts", "SELECT r.role, coalesce(u.n, 0) AS users, coalesce(p.n, 0) AS permissions FROM {roles} r LEFT JOIN (SELECT role, count(DISTINCT user_id) AS n FROM {urole} GROUP BY 1) u USING (role) LEFT JOIN (SELECT role, count(DISTINCT permission) AS n FROM {perm} GROUP BY 1) p USING (role)", roles=_ROLES[0], urole=_ROLES[1], perm=_ROLES[2])(
@@ -487,7 +523,7 @@ query("ingest_issues", "SELECT field, code, count(*) AS n FROM (SELECT 'legal_na
     lambda d: _checked(d)[1].groupBy("field", "code").agg(F.count("*").alias("n"))
 )
 query("ingest_valid", "SELECT kra_pin, legal_name, CAST(registered_at AS DATE) AS registered_at FROM (SELECT * FROM {raw} WHERE trim(legal_name) <> '' AND try_cast(registered_at AS DATE) IS NOT NULL)", raw=_RAW)(lambda d: _checked(d)[0].select("kra_pin", "legal_name", "registered_at"))
-query("ingest_constraints", "SELECT 'PERSISTENCE_ERROR' AS code, count(kra_pin) - count(DISTINCT kra_pin) AS n FROM {raw} WHERE trim(legal_name) <> '' AND try_cast(registered_at AS DATE) IS NOT NULL", raw=_RAW)(
+query("ingest_constraints", "SELECT 'PERSISTENCE_ERROR' AS code, count(kra_pin) - count(DISTINCT kra_pin) AS n FROM {raw} WHERE trim(legal_name) <> '' AND try_cast(registered_at AS DATE) IS NOT NULL HAVING count(kra_pin) > count(DISTINCT kra_pin)", raw=_RAW)(
     lambda d: ingest.constrain(_checked(d)[0], "taxpayers")[1].groupBy("code").agg(F.count("*").alias("n"))
 )
 
