@@ -70,10 +70,14 @@ def drop_cut(*frames: DataFrame) -> None:
             drop_path(df.sparkSession, folder)
 
 
-def text_lists(texts: pa.Array, size: int):
-    """The texts as lists of at most about `size` bytes (one text at least)."""
-    for part in batches(pa.RecordBatch.from_arrays([texts], names=["t"]), size, 0):
-        yield part.column(0).to_pylist()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let tasks hand texts to Python 8 MB at a time, so that memory is bounded whatever their lengths; a
+    session that sets a size of its own keeps it."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, size)
 
 
 def batches(frame: pa.RecordBatch, size: int, column: int = 1):
@@ -85,3 +89,4 @@ def batches(frame: pa.RecordBatch, size: int, column: int = 1):
         stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield frame.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
