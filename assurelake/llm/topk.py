@@ -5,13 +5,15 @@ block is one row with its greatest length. The eigenvectors of the d x d Gram ma
 singular vectors of all data) rotate the vectors, which gathers most of an inner product in the first
 few rotated components; Cauchy-Schwarz bounds the rest by the product of the residual lengths.
 
-1. Every block of queries meets the block of the longest vectors. That gives each query its k-th
-   best score so far, below which nothing matters.
-2. A block of queries is paired with a further block only if some query's length times the block's
-   greatest length can reach that query's k-th score; this is decided on a few numbers a block.
+1. Blocks of candidates are processed by descending length, in rounds of 1, 4, 16, ... times as many
+   blocks. After a round each query has its k best scores so far; the worst of them is its floor, below
+   which nothing matters in the rounds that follow.
+2. Queries are sorted by length as well. A block of queries meets a block of candidates only if some
+   query's length times the block's greatest length can reach that query's floor. When the next block
+   is too short for a block of queries, it takes no part any more; when it is too short for all, the
+   search ends.
 3. Within a pair of blocks, partial sums plus the residual bound leave the few candidates whose
    integer score is computed. Bounds carry a slack for rounding, so no result is lost.
-4. The k best of each query are ranked over all blocks.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part.
 Shorter vectors count as filled up with zeros. Equal scores go by the smaller id. A query's own id is
@@ -29,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assurelake.llm.common import cut, table
+from assurelake.llm.common import cut, drop_cut, table
 
 #: Rows of a block of candidates, and of queries.
 BLOCK, QUERY_BLOCK = 2048, 512
-PAIR_SCHEMA = "query_id long, vec_id long, score long"
+FOUND_SCHEMA = "q long, place int, query_id long, vec_id long, score long"
 _EXACT = 2.0**52
 
 
@@ -127,6 +129,9 @@ def best_of(qi, qm, ci, cm, k: int, floor: np.ndarray, turn: np.ndarray, lead: i
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
+ROUND_GROWTH = 4
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, lead: int | None = None) -> DataFrame:
     """The k best candidates (all other rows) of each row for which the condition `is_query` on column
     `id` holds: query_id, rank, vec_id, score. `lead`: rotated components before the bound (a quarter)."""
@@ -136,37 +141,36 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     lead = lead or max(1, dim // 4)
     turn = spark.sparkContext.broadcast(rotation(rows, dim))  # dim * dim numbers
 
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("len2")
-    by_length = rows.select("id", "v", length).repartitionByRange(F.desc("len2"), F.col("id")).sortWithinPartitions(F.desc("len2"), "id")
-    candidates = cut(pack(by_length, dim, BLOCK), "topk-candidates")
+    def by_length(some: DataFrame) -> DataFrame:
+        length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("len2")
+        return some.select("id", "v", length).repartitionByRange(F.desc("len2"), F.col("id")).sortWithinPartitions(F.desc("len2"), "id")
+
+    # blocks are numbered by partition and place, in descending length: `number` counts them through
+    packed = cut(pack(by_length(rows), dim, BLOCK), "topk-packed")
+    part = F.shiftright("block", 32)
+    counts = packed.groupBy(part.alias("part")).agg(F.count("*").alias("c")).orderBy("part").collect()  # a number a partition
+    before = {r["part"]: sum(x["c"] for x in counts if x["part"] < r["part"]) for r in counts}
+    total = sum(r["c"] for r in counts)
+    offset = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    number = (offset[part] + F.col("block").bitwiseAND((1 << 32) - 1)).alias("number")
+    candidates = packed.select(number, "top", F.col("ids").alias("c_ids"), F.col("m").alias("c_m"))
     asked = rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    queries = cut(pack(asked, dim, QUERY_BLOCK), "topk-queries")
+    queries = cut(pack(by_length(asked), dim, QUERY_BLOCK).select(F.col("block").alias("q"), "ids", "m"), "topk-queries")
 
-    def first(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_floors(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block of queries with its floors so far, and the least length of a candidate that matters."""
         for frame in frames:
             for row in frame.to_pylist():
-                (qi, qm), (ci, cm) = unpack(row["ids"], row["m"]), unpack(row["c_ids"], row["c_m"])
-                n, _, s = best_of(qi, qm, ci, cm, k, np.full(len(qi), -np.inf), turn.value, lead)
+                qi, qm = unpack(row["ids"], row["m"])
                 floor = np.full(len(qi), -np.inf)
-                full = np.bincount(n, minlength=len(qi)) >= k
-                worst = np.full(len(qi), np.inf)
-                np.minimum.at(worst, n, s)
-                floor[full] = worst[full]
+                for f in row["floors"] or ():
+                    # a score too large for a double counts a little less, so that its equals stay
+                    floor[f["place"]] = f["floor"] if abs(f["floor"]) < _EXACT else np.nextafter(f["floor"], -np.inf)
                 lengths = np.linalg.norm(qm.astype(np.float64), axis=1)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    # a block matters if its greatest length reaches this for some query
                     reach = np.where(floor <= 0, 0.0, floor / lengths * (1 - 1e-9))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]]), pa.array([row["ids"]], pa.binary()), pa.array([row["m"]], pa.binary()), pa.array([floor.tobytes()], pa.binary()), pa.array([float(reach.min())])],
-                    names=["q", "ids", "m", "floor", "reach"],
-                )
-
-    longest = candidates.orderBy(F.desc("top"), "block").limit(1).select(F.col("ids").alias("c_ids"), F.col("m").alias("c_m"))  # one block
-    queries = cut(queries.crossJoin(F.broadcast(longest)).mapInArrow(first, "q long, ids binary, m binary, floor binary, reach double"), "topk-floors")
-
-    # which blocks meet: a few numbers for each
-    meet = queries.select("q", "reach").join(candidates.select("block", "top"), F.col("top") >= F.col("reach")).select("q", "block")
-    pairs = meet.join(candidates.select("block", F.col("ids").alias("c_ids"), F.col("m").alias("c_m")), "block").join(queries, "q")
+                cols = [pa.array([row["q"]]), pa.array([row["ids"]], pa.binary()), pa.array([row["m"]], pa.binary()), pa.array([floor.tobytes()], pa.binary()), pa.array([float(reach.min())])]
+                yield pa.RecordBatch.from_arrays(cols, names=["q", "ids", "m", "floor", "reach"])
 
     def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -174,11 +178,34 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
                 row = frame.slice(at, 1).to_pylist()[0]
                 (qi, qm), (ci, cm) = unpack(row["ids"], row["m"]), unpack(row["c_ids"], row["c_m"])
                 n, i, s = best_of(qi, qm, ci, cm, k, np.frombuffer(row["floor"]), turn.value, lead)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[n]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, PAIR_SCHEMA)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                cols = [pa.array(np.full(len(n), row["q"])), pa.array(n.astype(np.int32)), pa.array(qi[n]), pa.array(i), pa.array(s)]
+                yield pa.RecordBatch.from_arrays(cols, names=["q", "place", "query_id", "vec_id", "score"])
+
+    best = spark.createDataFrame([], FOUND_SCHEMA)
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    start, size = 0, 1
+    while start < total:
+        stop = min(start + size, total)
+        full = best.groupBy("q", "place", "query_id").agg(F.count("*").alias("c"), F.min("score").alias("floor")).filter(F.col("c") >= k)
+        floors = full.groupBy("q").agg(F.collect_list(F.struct("place", F.col("floor").cast("double").alias("floor"))).alias("floors"))  # QUERY_BLOCK at most
+        ready = cut(queries.join(floors, "q", "left").mapInArrow(with_floors, "q long, ids binary, m binary, floor binary, reach double"), "topk-floors")
+        here = candidates.filter(F.col("number").between(start, stop - 1))
+        longest = here.agg(F.max("top").alias("top")).first()["top"]
+        # which blocks meet: a few numbers for each, by equality on the block's number
+        meet = ready.filter(F.col("reach") <= longest).select("q", "reach", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(stop - 1).cast("long"))).alias("number"))
+        meet = meet.join(here.select("number", "top"), "number").filter("top >= reach").select("q", "number")
+        found = meet.join(here, "number").join(ready, "q").mapInArrow(search, FOUND_SCHEMA)
+        merged = best.unionByName(found).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).drop("rank")
+        following = cut(merged, "topk-best")
+        if start:
+            drop_cut(best)
+        done = longest is None or ready.filter(F.col("reach") <= longest).isEmpty()
+        drop_cut(ready)
+        best = following
+        if done:
+            break
+        start, size = stop, size * ROUND_GROWTH
+    return best.withColumn("rank", F.row_number().over(ranked)).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
