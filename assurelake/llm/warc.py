@@ -12,12 +12,15 @@ archives under the same names, and the folder holds whole archives of every row
 Defined results: a null html is an empty payload. A null url leaves out the target URI. Records with
 equal payloads of at least `min_bytes` revisit the one with the largest id; rows that repeat that id
 are all responses, as are rows with a null id. An empty table makes no archive and reads as no rows.
+Records of other kinds (warcinfo, request, ...) are read too: without an HTTP head the block is the
+payload, without a digest header the digest is computed, and an id that names no page is a null.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import urllib.parse
 from collections.abc import Iterator
@@ -111,18 +114,36 @@ def parse(data: bytes) -> dict:
     length = int(fields["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError(f"the block has {len(rest) - 4} bytes, Content-Length is {length}")
-    http, sep, payload = rest[:length].partition(b"\r\n\r\n")
-    stated = int(next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    if fields["warc-type"] == "response" and (len(payload) != stated or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"the payload of {fields['warc-record-id']} doesn't match its length or digest")
-    number = lambda key: int(fields[key].removeprefix("<urn:page:").rstrip(">")) if key in fields and ":none" not in fields[key] else None
+    # a block of HTTP has a head and a payload; any other block is the payload
+    kind, block = fields["warc-type"], rest[:length]
+    http, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").lower().startswith("application/http") else (b"", b"", block)
+    stated = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    own = kind != "revisit"  # a revisit leaves out the payload that its head is about
+    if own and stated not in (None, len(payload)):
+        raise ValueError(f"the payload of {fields['warc-record-id']} has {len(payload)} bytes, its head says {stated}")
+    digest = _sha1(fields["warc-payload-digest"]) if "warc-payload-digest" in fields else None
+    if own and digest not in (None, hashlib.sha1(payload).hexdigest()):
+        raise ValueError(f"the payload of {fields['warc-record-id']} doesn't match its digest")
     return {
-        "page_id": number("warc-record-id"), "type": fields["warc-type"], "target_uri": fields.get("warc-target-uri"), "refers_to": number("warc-refers-to"),
-        "payload_digest": digest, "payload_bytes": stated, "payload": payload if fields["warc-type"] == "response" else None,
+        "page_id": _page(fields["warc-record-id"]), "type": kind, "target_uri": fields.get("warc-target-uri"), "refers_to": _page(fields.get("warc-refers-to", "")),
+        "payload_digest": digest or (hashlib.sha1(payload).hexdigest() if own else None), "payload_bytes": len(payload) if own else stated, "payload": payload if own else None,
     }
 
 
+def _page(record_id: str) -> int | None:
+    """The page of a record id as the writer makes them; null for ids of another kind."""
+    m = re.fullmatch(r"<urn:page:(-?[0-9]+)>", record_id)
+    return int(m[1]) if m else None
+
+
+def _sha1(labelled: str) -> str | None:
+    """A labelled SHA-1, in base 32 or hexadecimal digits, as the latter; null for another algorithm."""
+    name, _, value = labelled.partition(":")
+    if name.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
 def revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
     """(id, digest, refers_to) of the rows whose payload a row with a larger id repeats."""
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
