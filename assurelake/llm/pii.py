@@ -24,14 +24,17 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assurelake.llm.common import batches, table
+from assurelake.llm.common import batches, small_batches, table
 
+#: Texts searched together up to about this many bytes.
+TOGETHER = 4_000_000
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -298,10 +301,13 @@ def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]
     if view is None:
         return base, added
     for kind, spans in detect(view.text).items():
+        starts = [x for x, _ in base[kind]]
         for span in spans:
             a, b = view.source(span)
             rewritten = 1 in view.new[span[0] : span[1]] or b - a != span[1] - span[0]
-            if rewritten and not any(x <= a and b <= y for x, y in base[kind]):
+            # base spans of a kind are disjoint and ascending: only the last that starts in time can hold it
+            at = bisect_right(starts, a)
+            if rewritten and not (at and b <= base[kind][at - 1][1]):
                 added[kind].append((a, b))
     return base, added
 
@@ -329,6 +335,7 @@ def redact(text: str | None) -> str | None:
 def find_pii(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
     """Per row: the key, counts of base spans by kind, n_added, the digest of the base spans, and all
     spans; with `redacted` the redacted text as well."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key_col), F.col(text_col).alias("_text"))
     key = rows.schema[0]
     names = [key.name, *(f"n_{k}" for k in KINDS), "n_added", "base_sha256", "spans"] + ["redacted"] * redacted
@@ -336,7 +343,7 @@ def find_pii(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", r
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for part in batches(frame, 8_000_000):
+            for part in batches(frame, TOGETHER):
                 rows = []
                 for text in part.column(1).to_pylist():
                     base, added = find(text)
@@ -351,12 +358,14 @@ def find_pii(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", r
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the texts redacted; every other column as it is."""
+    small_batches(docs.sparkSession)
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            texts = pa.array([redact(t) for t in frame.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(frame.columns)], names=schema.names)
+            for part in batches(frame, TOGETHER, at):
+                texts = pa.array([redact(t.as_py()) for t in part.column(at)], pa.string())
+                yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(part.columns)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
