@@ -111,9 +111,9 @@ def rules() -> list[Rule]:
     ]
 
 
-def ordered(counted: DataFrame, some: list[Rule], sample_rows: int = 500) -> list[Rule]:
-    """The rules by rejection per cost, estimated on at most `sample_rows` rows."""
-    sample = cut(counted.limit(sample_rows), "quality-sample")
+def ordered(counted: DataFrame, some: list[Rule]) -> list[Rule]:
+    """The rules by rejection per cost, estimated on `counted`, the counts of a sample."""
+    sample = cut(counted, "quality-sample")
 
     def measure(test: Column) -> tuple[float, float]:
         job = sample.agg(F.avg(F.coalesce(test, F.lit(False)).cast("int")))
@@ -143,9 +143,11 @@ def judge(counted: DataFrame, order: list[Rule]) -> DataFrame:
 
 
 def quality(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", sample_rows: int = 500) -> DataFrame:
-    """The base counts, base_failed, rejected_by and kept of every row."""
-    sampled = counts(docs.limit(sample_rows), key_col, text_col)
-    return judge(counts(docs, key_col, text_col), ordered(sampled, rules(), sample_rows)).drop("_text", "_n_lines")
+    """The base counts, base_failed, rejected_by and kept of every row. Costs and selectivities are those of
+    about `sample_rows` rows, drawn from all partitions alike."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sampled = counts(docs.sample(share, seed=7), key_col, text_col)
+    return judge(counts(docs, key_col, text_col), ordered(sampled, rules())).drop("_text", "_n_lines")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
