@@ -6,8 +6,8 @@ its elements at the url's buckets. Training repeats one small aggregation (the g
 over a labelled table of a few hundred urls; only the gradient, one number a bucket, reaches the driver.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is
-judged by the method on its empty features (the bias: allow). Repeated rows are judged alike. Very
-long urls are judged whole. Other columns are ignored. An empty table gives no rows.
+judged by the method on its empty features (the bias: allow). A score of exactly 0.5 allows; of rules of
+equal length the one listed later counts. Repeated rows are judged alike. Very long urls are judged whole. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def margin(grams: Column, weights: list[float], bias: float) -> Column:
 def train(labelled: DataFrame, buckets: int = BUCKETS, rounds: int = 25, rate: float = 0.5, decay: float = 1e-3) -> tuple[list[float], float]:
     """(weights, bias) by gradient steps with per-weight rates, from a small table (url, label)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = cut(labelled.select(buckets_of(host, path, buckets).alias("g"), F.col("label").cast("double").alias("y")).coalesce(1), "url-labels")
+    rows = cut(labelled.select(buckets_of(host, path, buckets).alias("g"), F.col("label").cast("double").alias("y")), "url-labels").coalesce(1)  # one partition: a round needs no shuffle
     n = max(1, rows.count())
     weights, bias = [0.0] * buckets, 0.0
     seen, seen_bias = [1e-8] * buckets, 1e-8
