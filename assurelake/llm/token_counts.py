@@ -79,9 +79,7 @@ def count_with_cache(
     rows = docs.select(F.col(key_col), text.alias("_text"))
     digest = F.unhex(F.sha2("_text", 256)).alias("_digest")
     contents = rows.select(digest, "_text").filter("_text <> ''")
-    cached = _read(spark, cache_path, version)
-    if cached is not None:
-        contents = contents.join(cached, "_digest", "left_anti")
+    contents = contents.join(_read(spark, cache_path, version), "_digest", "left_anti")
     missing = contents.groupBy("_digest").agg(F.first("_text").alias("_text"))
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +96,12 @@ def count_with_cache(
     return known.join(cached, "_digest", "left").select(key_col, "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
-def _read(spark: SparkSession, path: str, version: str) -> DataFrame | None:
+def _read(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """The stored counts of a tokenizer; none where there is no cache yet."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(path).filter(F.col("version") == version)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    rows = (spark.read.schema(CACHE_SCHEMA).parquet(path) if there else spark.createDataFrame([], CACHE_SCHEMA)).filter(F.col("version") == version)
     return rows.select(F.col("digest").alias("_digest"), F.col("n_tokens").alias("_n"))
 
 
