@@ -81,6 +81,29 @@ def overview(tables: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("complete", full)
 
 
+# Fixed value: the permission that lets a role export
+EXPORT = "EXPORT_SENSITIVE_DATA"
+
+
+def governance_overview(tables: dict[str, DataFrame], retention: DataFrame, privacy: DataFrame) -> DataFrame:
+    """One row: the sizes of the tables, the active retention policies, and whether all privacy items (there
+    must be some) are completed."""
+    kept = retention.agg(F.count_if("active").alias("retention_policies"))
+    items = privacy.agg(F.count("*").alias("privacy_items"), F.count_if("completed").alias("completed_privacy_items"))
+    out = overview(tables).drop("complete").crossJoin(kept).crossJoin(items)  # one row each
+    return out.withColumn("privacy_complete", (F.col("privacy_items") > 0) & (F.col("privacy_items") == F.col("completed_privacy_items")))
+
+
+def by_category(rows: DataFrame) -> DataFrame:
+    """Retention policies or privacy items in the order of their category."""
+    return rows.orderBy("data_category")
+
+
+def export_roles(role_permissions: DataFrame) -> DataFrame:
+    """The roles that may export, each once."""
+    return role_permissions.filter(F.col("permission") == EXPORT).select("role").distinct().orderBy("role")
+
+
 def audit_view(log: DataFrame, actor: str | None = None, action: str | None = None, limit: int = 100) -> DataFrame:
     if actor is not None:
         log = log.filter(F.col("actor") == actor)

@@ -81,6 +81,9 @@ class Months(Mapping):
             self.made[name] = written(self.MADE[name](self.tables), name)
         return self.made[name] if name in self.MADE else self.tables[name]
 
+    def __contains__(self, name: object) -> bool:
+        return name in self.MADE or name in self.tables
+
     def __iter__(self):
         return iter([*self.tables, *self.MADE])
 

@@ -8,13 +8,13 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assurelake.functions.scalar import clamp
-from assurelake.sources.catalog import replace_tagged
+from assurelake.operators.rules import months_of, periods_of
+from assurelake.sources.catalog import replace_tagged, written
 
 SOURCE = "AI_RISK_SCORING"
 # Weights of the rule-based contributions, by feature
@@ -27,6 +27,7 @@ WEIGHTS = {
     "sectorOutlierPercentile": ("sector_peer_percentile", 10),
     "ruleScoreSignal": ("rule_score_scaled", 6),
 }
+LABELS = {c: n for n, (c, _) in WEIGHTS.items()} | {"revenue_footprint_scaled": "revenueFootprintOutlier"}
 FEATURES = [*dict.fromkeys(c for c, _ in WEIGHTS.values()), "revenue_footprint_scaled"]
 MONEY = ("declared_sales", "declared_income", "invoice_sales", "customs_landed_cost", "withholding_income", "risk_signal_gap")
 COUNTS = ("return_count", "invoice_count", "customs_count", "withholding_count", "open_signal_count")
@@ -43,8 +44,8 @@ def observations(tables, signals: DataFrame, scores: DataFrame, as_of: date) ->
     money = lambda c, name: F.sum(c).cast("decimal(18,2)").alias(name)
     count = lambda name: F.count("*").alias(name)
     parts = [
-        by(tables["tax_returns"], "taxpayer_id", F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"), money("declared_sales", "declared_sales"), money("declared_income", "declared_income"), count("return_count")),
-        by(tables["invoices"], "supplier_taxpayer_id", money("total_amount", "invoice_sales"), count("invoice_count")),
+        by(periods_of(tables), "taxpayer_id", F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"), money("declared_sales", "declared_sales"), money("declared_income", "declared_income"), F.sum("returns").alias("return_count")),
+        by(months_of(tables), "supplier_taxpayer_id", money("total_amount", "invoice_sales"), F.sum("invoices").alias("invoice_count")),
         by(tables["customs_declarations"], "taxpayer_id", money("total_landed_cost", "customs_landed_cost"), count("customs_count")),
         by(tables["withholding_certificates"], "payee_taxpayer_id", money("gross_amount", "withholding_income"), count("withholding_count")),
         by(signals, "taxpayer_id", money(F.greatest("estimated_gap", F.lit(Decimal(0))), "risk_signal_gap"), F.count_if(F.upper("status").isin("OPEN", "NEW")).alias("open_signal_count")),
@@ -70,9 +71,9 @@ def percentiles(obs: DataFrame) -> DataFrame:
 
     The share of values that are not larger is a running count over all values. It is counted over
     distinct values, in parts of their range that are windows of their own, plus the counts of the
-    lower parts: no window holds everything. The observations are read several times, so they are kept.
+    lower parts: no window holds everything. The observations are read several times, so they are written.
     """
-    obs = obs.persist(StorageLevel.MEMORY_AND_DISK)
+    obs = written(obs, "observations")
     sum_of = F.col("invoice_sales") + F.col("customs_landed_cost") + F.col("withholding_income") + F.col("risk_signal_gap")
     obs = obs.withColumns({"footprint": sum_of.cast("decimal(22,2)"), "sector": F.coalesce("sector_name", F.lit("UNSPECIFIED"))})
     bounds = sorted(set(obs.select(F.col("footprint").cast("double").alias("x")).approxQuantile("x", [i / PARTS for i in range(1, PARTS)], 0.01)))
@@ -134,18 +135,21 @@ def with_contributions(rows: DataFrame) -> DataFrame:
     )
 
 
-# isolation forest: trees from a bounded sample, scores by task
+# isolation forest: trees from samples of fixed size, scores by task
 
+#: A tree: feature (-1: leaf), split, left child (the right one follows it), mean path length below.
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-def grow(sample: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One tree as arrays: feature (-1: leaf), split, left child (the right one follows it), path length."""
+
+def grow(sample: np.ndarray, rng: np.random.Generator, depth: int) -> Tree:
+    """One tree; the length of an inner node is the mean of the sample's rows that reach it."""
     feature, split, left, length = [], [], [], []
 
     def add() -> int:
         feature.append(-1), split.append(0.0), left.append(-1), length.append(0.0)
         return len(feature) - 1
 
-    todo = [(add(), sample, 0)]
+    todo, inner = [(add(), sample, 0)], []
     while todo:
         at, rows, level = todo.pop()
         low, high = rows.min(axis=0), rows.max(axis=0)
@@ -157,7 +161,11 @@ def grow(sample: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[np.n
         s = float(rng.uniform(low[f], high[f]))
         a, b = add(), add()
         feature[at], split[at], left[at] = f, s, a
-        todo += [(a, rows[rows[:, f] <= s], level + 1), (b, rows[rows[:, f] > s], level + 1)]
+        below = rows[:, f] <= s
+        inner.append((at, below.mean()))
+        todo += [(a, rows[below], level + 1), (b, rows[~below], level + 1)]
+    for at, share in reversed(inner):  # children come after their parent
+        length[at] = share * length[left[at]] + (1 - share) * length[left[at] + 1]
     return np.array(feature), np.array(split), np.array(left), np.array(length)
 
 
@@ -166,39 +174,61 @@ def expected_path(n: int) -> float:
     return 0.0 if n <= 1 else (1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n)
 
 
-def paths(tree, x: np.ndarray) -> np.ndarray:
+def paths(tree: Tree, x: np.ndarray, by_feature: np.ndarray) -> np.ndarray:
+    """Path lengths of the rows of x. What each split on the way changes in the expected length is added to
+    the split's feature in by_feature (rows x features): with the root's length it sums to the path."""
     feature, split, left, length = tree
     at = np.zeros(len(x), dtype=np.int64)
     while (inner := feature[at] >= 0).any():
         rows, here = np.flatnonzero(inner), at[inner]
         at[rows] = left[here] + (x[rows, feature[here]] > split[here])
+        by_feature[rows, feature[here]] += length[at[rows]] - length[here]
     return length[at]
 
 
-def isolation_scores(rows: DataFrame, trees: int = 128, per_tree: int = 256, seed: int = 42, key: str = "taxpayer_id") -> DataFrame:
-    """rows with isolation_score: how early random splits set a row apart, scaled to 0..100 over all rows.
+def tree_samples(rows: DataFrame, trees: int, per_tree: int, seed: int, key: str) -> list[np.ndarray]:
+    """For each tree the per_tree rows, out of all, with the smallest hash of seed, tree and key. Only rows
+    under a threshold that about twice as many pass leave their task: trees * per_tree * 2 in all."""
+    n = rows.count()
+    top = 1 << 30
+    limit = top if n <= 2 * per_tree else min(top, int(top * (2 * per_tree + 8 * per_tree**0.5) / n) + 1)
+    drawn = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, F.col(key)), F.lit(top)).alias("h"))),
+        lambda d: d["h"] < limit,
+    )
+    got = rows.select(F.explode(drawn).alias("d"), key, *[F.col(c).cast("double").alias(c) for c in FEATURES]).select("d.tree", "d.h", key, *FEATURES)
+    frame = got.toPandas().sort_values(["tree", "h", key])
+    return [g[FEATURES].to_numpy(dtype=float) for _, g in frame.groupby("tree").head(per_tree).groupby("tree")]
 
-    The trees are grown from at most 16 * per_tree rows, the ones with the smallest hash.
-    """
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    pool = rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(16 * per_tree).select(*FEATURES).toPandas().to_numpy(dtype=float)
+
+def isolation_scores(rows: DataFrame, trees: int = 128, per_tree: int = 256, seed: int = 42, key: str = "taxpayer_id") -> DataFrame:
+    """rows with isolation_score: how early random splits set a row apart, scaled to 0..100 over all rows; and
+    forest_contributions: ten times what each feature's splits change in the score, by feature."""
+    rows = written(rows, "features")
+    samples = tree_samples(rows, trees, per_tree, seed, key)
+    kind = "map<string,decimal(18,2)>"
+    if not samples:
+        return rows.withColumns({"isolation_score": F.lit(None).cast("decimal(5,2)"), "forest_contributions": F.lit(None).cast(kind)})
     rng = np.random.default_rng(seed)
-    if not len(pool):
-        return rows.withColumn("isolation_score", F.lit(None).cast("decimal(5,2)"))
-    depth, n = int(np.ceil(np.log2(max(2, min(per_tree, len(pool)))))), min(per_tree, len(pool))
-    forest = [grow(pool[rng.choice(len(pool), n, replace=False)], rng, depth) for _ in range(trees)]
-    shared, norm = rows.sparkSession.sparkContext.broadcast(forest), max(expected_path(n), 1e-9)
+    forest = [grow(s, rng, int(np.ceil(np.log2(max(2, len(s)))))) for s in samples]
+    shared, norm = rows.sparkSession.sparkContext.broadcast(forest), max(expected_path(len(samples[0])), 1e-9)  # trees * per_tree nodes
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in frame.columns[1:]])
-            mean = sum(paths(t, x) for t in shared.value) / len(shared.value)
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(np.power(2.0, -mean / norm))], names=[key, "raw"])
-
-    raw = rows.select(key, *[F.col(c).cast("double") for c in FEATURES]).mapInArrow(score, f"{key} string, raw double")
+            parts = np.zeros_like(x)
+            mean = sum(paths(t, x, parts) for t in shared.value) / len(shared.value)
+            raw = np.power(2.0, -mean / norm)
+            # the score's slope at the mean path turns lengths into score
+            given = np.abs(parts / len(shared.value) * (-np.log(2.0) / norm * raw)[:, None])
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(raw), *(pa.array(c) for c in given.T)], names=[key, "raw", *FEATURES])
+
+    raw = rows.select(key, *[F.col(c).cast("double") for c in FEATURES]).mapInArrow(score, f"{key} string, raw double, " + ", ".join(f"{c} double" for c in FEATURES))
+    raw = written(raw, "isolation")
     ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))  # one row
     scaled = F.round((F.col("raw") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6)) * 100, 2).cast("decimal(5,2)")
-    return rows.join(raw.crossJoin(F.broadcast(ends)).select(key, scaled.alias("isolation_score")), key)
+    given = F.create_map(*[x for c in FEATURES for x in (F.lit(LABELS[c]), F.round(F.col(c) * 10, 2).cast("decimal(18,2)"))])
+    return rows.join(raw.crossJoin(F.broadcast(ends)).select(key, scaled.alias("isolation_score"), given.alias("forest_contributions")), key)
 
 
 def blend(rows: DataFrame) -> DataFrame:
@@ -215,12 +245,14 @@ def predict(obs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def model_version(obs: DataFrame, name: str = "taxpayer-risk", seed: int = 42) -> DataFrame:
-    """A name for model and data: the same rows in any order have the same."""
+    """A name for model and data: the same rows in any order have the same. Each row's SHA-256 is summed in
+    four pieces of 48 bits, so no task holds all rows, and the sums are hashed."""
     columns = sorted(obs.columns)
-    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
-    digest = obs.agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("h"))
-    text = F.concat_ws("|", F.lit(name), F.lit(str(seed)), F.lit(",".join(columns)), "n", F.coalesce(F.col("h").cast("string"), F.lit("")))
-    return digest.select(F.lit(name).alias("model_name"), F.concat(F.lit("risk-"), F.substring(F.sha2(text.cast("binary"), 256), 1, 12)).alias("version"))
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    pieces = [F.sum(F.conv(F.substring(row, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"h{i}") for i in range(4)]
+    digest = obs.agg(F.count("*").alias("n"), *pieces)
+    text = F.concat_ws("|", F.lit(name), F.lit(str(seed)), F.lit(",".join(columns)), "n", *[F.coalesce(F.col(f"h{i}").cast("string"), F.lit("0")) for i in range(4)])
+    return digest.select(F.lit(name).alias("model_name"), F.concat(F.lit("risk-"), F.substring(F.sha2(text, 256), 1, 12)).alias("version"))
 
 
 def run_metrics(predictions: DataFrame) -> DataFrame:
@@ -243,10 +275,17 @@ def prediction_list(predictions: DataFrame, limit: int = 20) -> DataFrame:
     return predictions.orderBy(F.desc_nulls_last("combined_score"), "taxpayer_id").limit(clamp(limit, 100))
 
 
-def dashboard(predictions: DataFrame) -> DataFrame:
-    """Counts and averages over all versions."""
-    s = F.col("combined_score")
-    return predictions.agg(
-        F.count("*").alias("predictions"), F.round(F.avg(s), 2).cast("decimal(5,2)").alias("average_score"), F.count_if(s >= 70).alias("high_risk"),
-        F.count_if((s >= 40) & (s < 70)).alias("medium_risk"), F.count_if(s < 40).alias("low_risk"),
-    )
+def version_list(versions: DataFrame, name: str = "taxpayer-risk") -> DataFrame:
+    """Versions of a model: the active one first, then the newest."""
+    return versions.filter(F.col("model_name") == name).orderBy(F.desc("active"), F.desc_nulls_last("created_at"), "version")
+
+
+def dashboard(predictions: DataFrame, scores: DataFrame, versions: DataFrame, name: str = "taxpayer-risk") -> DataFrame:
+    """One row: the active version, the number and mean score of the model's predictions (model_score by
+    version), and the number of high risks and the mean of this engine's scores."""
+    active = versions.filter((F.col("model_name") == name) & F.col("active")).agg(F.coalesce(F.max("version"), F.lit("none")).alias("active_version"))
+    known = versions.filter(F.col("model_name") == name).select("version")
+    mean = lambda c: F.coalesce(F.round(F.avg(c), 2), F.lit(0)).cast("decimal(5,2)")
+    made = predictions.join(F.broadcast(known), "version", "left_semi").agg(F.count("*").alias("predictions"), mean("model_score").alias("average_model_score"))  # versions of one model
+    own = scores.filter(F.col("source") == SOURCE).agg(F.count_if(F.col("score") >= 70).alias("high_risk"), mean("score").alias("average_combined_score"))
+    return active.crossJoin(made).crossJoin(own)  # one row each

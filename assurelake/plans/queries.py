@@ -41,7 +41,12 @@ def all_signals(d: Domain) -> DataFrame:
     """Signals of all rules: those on events run for their own day."""
     others = [c for c in rules.CODES if _day(c) == AS_OF]
     events = [c for c in rules.CODES if _day(c) != AS_OF]
-    return rules.run_rules(d, AS_OF, others, TEST_RULES).unionByName(rules.run_rules(d, EVENTS_AS_OF, events, TEST_RULES))
+    return rules.run_rules(months(d), AS_OF, others, TEST_RULES).unionByName(rules.run_rules(d, EVENTS_AS_OF, events, TEST_RULES))
+
+
+def months(d: Domain) -> rules.Months:
+    """The tables with their monthly sums, which are made once for a query."""
+    return d.made.setdefault("months", rules.Months(d))
 
 
 for _code in rules.CODES:
@@ -356,7 +361,7 @@ def rule_scores(d: Domain) -> DataFrame:
 
 
 def obs(d: Domain) -> DataFrame:
-    return scoring.observations(d, all_signals(d), rule_scores(d), AS_OF)
+    return scoring.observations(months(d), all_signals(d), rule_scores(d), AS_OF)
 
 
 query("ml_observations", "SELECT * FROM {obs}", **ML)(obs)
@@ -374,7 +379,6 @@ query(
 query("ml_predictions")(lambda d: scoring.predict(obs(d)).select("taxpayer_id", "isolation_score", "model_score", "combined_score", "confidence_score", "main_features"))
 query("ml_prediction_list")(lambda d: scoring.prediction_list(scoring.predict(obs(d))).select("taxpayer_id", "combined_score"))
 query("ml_run_metrics")(lambda d: scoring.run_metrics(scoring.predict(obs(d))))
-query("ml_model_version")(lambda d: scoring.model_version(obs(d)))
 
 # reports and return on investment
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assurelake.functions.scalar import blank_to_null, stable_uuid
+from assurelake.sources.catalog import written
 
 #: Logical types of contract columns and the Spark types that hold them.
 TYPES = {"STRING": "string", "UUID": "string", "DATE": "date", "TIMESTAMP": "timestamp", "MONEY": "decimal(18,2)", "QUANTITY": "decimal(18,4)", "RATE": "decimal(8,4)", "SCORE": "decimal(5,2)", "INTEGER": "int"}
@@ -34,33 +35,233 @@ class Contract:
         return self.columns[c].endswith("!")
 
 
-def _columns(text: str) -> dict[str, str]:
-    kinds = {"s": "STRING", "u": "UUID", "d": "DATE", "t": "TIMESTAMP", "m": "MONEY", "q": "QUANTITY", "r": "RATE", "c": "SCORE", "i": "INTEGER"}
-    out = {}
-    for word in text.split():
-        name, kind = word.split(":")
-        out[name] = kinds[kind[0]] + ("!" if kind.endswith("!") else "")
-    return out
-
-
-# The columns that files of each table have (types: see _columns; ! required)
+# The columns that files of each table have and their types (! required)
 CONTRACTS = {
-    "taxpayers": Contract(_columns("id:u! kra_pin:s taxpayer_type:s! legal_name:s! trading_name:s registration_number:s sector_code:s sector_name:s tax_office:s county:s status:s! registered_at:d created_at:t! updated_at:t!"), ("kra_pin",)),
-    "taxpayer_identifiers": Contract(_columns("id:u! taxpayer_id:u! identifier_type:s! identifier_value:s! source:s confidence_score:c! created_at:t!"), ("identifier_type", "identifier_value"), {"taxpayer_id": "taxpayers"}),
-    "tax_obligations": Contract(_columns("id:u! taxpayer_id:u! tax_head:s! obligation_status:s! effective_from:d effective_to:d created_at:t!"), (), {"taxpayer_id": "taxpayers"}),
-    "invoices": Contract(_columns("id:u! invoice_number:s! supplier_taxpayer_id:u buyer_taxpayer_id:u supplier_pin:s buyer_pin:s invoice_date:d! invoice_type:s! invoice_status:s! taxable_amount:m! tax_amount:m! total_amount:m! currency:s! etims_reference:s source_job_id:u created_at:t!"), ("invoice_number", "supplier_pin", "invoice_date"), {"supplier_taxpayer_id": "taxpayers", "buyer_taxpayer_id": "taxpayers"}),
-    "invoice_lines": Contract(_columns("id:u! invoice_id:u! line_number:i! item_description:s quantity:q unit_price:q taxable_amount:m tax_amount:m hs_code:s product_code:s"), (), {"invoice_id": "invoices"}),
-    "tax_returns": Contract(_columns("id:u! taxpayer_id:u! tax_head:s! period_start:d! period_end:d! return_reference:s declared_sales:m declared_income:m declared_tax_due:m declared_input_tax:m declared_output_tax:m filing_status:s! filed_at:t source_job_id:u created_at:t!"), (), {"taxpayer_id": "taxpayers"}),
-    "customs_declarations": Contract(_columns("id:u! taxpayer_id:u importer_pin:s declaration_number:s! declaration_type:s! declaration_date:d! hs_code:s goods_description:s country_of_origin:s customs_value:m! duty_amount:m! vat_amount:m! total_landed_cost:m source_job_id:u created_at:t!"), ("declaration_number",), {"taxpayer_id": "taxpayers"}),
-    "withholding_certificates": Contract(_columns("id:u! certificate_number:s! payer_taxpayer_id:u payee_taxpayer_id:u payer_pin:s payee_pin:s certificate_date:d! payment_period_start:d payment_period_end:d gross_amount:m! withheld_amount:m! tax_rate:r source_job_id:u created_at:t!"), ("certificate_number",), {"payer_taxpayer_id": "taxpayers", "payee_taxpayer_id": "taxpayers"}),
-    "payroll_returns": Contract(_columns("id:u! taxpayer_id:u! period_start:d! period_end:d! employee_count:i gross_pay:m paye_due:m paye_paid:m filing_status:s! source_job_id:u created_at:t!"), (), {"taxpayer_id": "taxpayers"}),
-    "business_permits": Contract(_columns("id:u! taxpayer_id:u permit_number:s! county:s! business_activity:s premises_location:s valid_from:d valid_to:d permit_fee:m permit_status:s! source_job_id:u created_at:t!"), (), {"taxpayer_id": "taxpayers"}),
-    "properties": Contract(_columns("id:u! property_reference:s! owner_taxpayer_id:u owner_pin:s county:s location_description:s property_type:s valuation_amount:m estimated_monthly_rent:m source_job_id:u created_at:t!"), ("property_reference",), {"owner_taxpayer_id": "taxpayers"}),
-    "payment_transactions": Contract(_columns("id:u! transaction_reference:s! payer_taxpayer_id:u payer_pin:s collecting_agency:s! revenue_channel:s! service_code:s payment_date:t! amount:m! currency:s! payment_status:s! provider_reference:s source_job_id:u created_at:t!"), ("transaction_reference",), {"payer_taxpayer_id": "taxpayers"}),
-    "settlement_records": Contract(_columns("id:u! settlement_reference:s! collecting_agency:s! revenue_channel:s! settlement_account:s settlement_date:d! settled_amount:m! transaction_count:i settlement_status:s! source_job_id:u created_at:t!"), ("settlement_reference",)),
-}
+    "taxpayers": Contract(
+        {
+            "id": "UUID!",
+            "kra_pin": "STRING",
+            "taxpayer_type": "STRING!",
+            "legal_name": "STRING!",
+            "trading_name": "STRING",
+            "registration_number": "STRING",
+            "sector_code": "STRING",
+            "sector_name": "STRING",
+            "tax_office": "STRING",
+            "county": "STRING",
+            "status": "STRING!",
+            "registered_at": "DATE",
+            "created_at": "TIMESTAMP!",
+            "updated_at": "TIMESTAMP!",
+        },
+        ("kra_pin",),
+    ),
+    "taxpayer_identifiers": Contract(
+        {
+            "id": "UUID!",
+            "taxpayer_id": "UUID!",
+            "identifier_type": "STRING!",
+            "identifier_value": "STRING!",
+            "source": "STRING",
+            "confidence_score": "SCORE!",
+            "created_at": "TIMESTAMP!",
+        },
+        ("identifier_type", "identifier_value"), {"taxpayer_id": "taxpayers"},
+    ),
+    "tax_obligations": Contract(
+        {
+            "id": "UUID!",
+            "taxpayer_id": "UUID!",
+            "tax_head": "STRING!",
+            "obligation_status": "STRING!",
+            "effective_from": "DATE",
+            "effective_to": "DATE",
+            "created_at": "TIMESTAMP!",
+        },
+        (), {"taxpayer_id": "taxpayers"},
+    ),
+    "invoices": Contract(
+        {
+            "id": "UUID!",
+            "invoice_number": "STRING!",
+            "supplier_taxpayer_id": "UUID",
+            "buyer_taxpayer_id": "UUID",
+            "supplier_pin": "STRING",
+            "buyer_pin": "STRING",
+            "invoice_date": "DATE!",
+            "invoice_type": "STRING!",
+            "invoice_status": "STRING!",
+            "taxable_amount": "MONEY!",
+            "tax_amount": "MONEY!",
+            "total_amount": "MONEY!",
+            "currency": "STRING!",
+            "etims_reference": "STRING",
+            "source_job_id": "UUID",
+            "created_at": "TIMESTAMP!",
+        },
+        ("invoice_number", "supplier_pin", "invoice_date"), {"supplier_taxpayer_id": "taxpayers", "buyer_taxpayer_id": "taxpayers"},
+    ),
+    "invoice_lines": Contract(
+        {
+            "id": "UUID!",
+            "invoice_id": "UUID!",
+            "line_number": "INTEGER!",
+            "item_description": "STRING",
+            "quantity": "QUANTITY",
+            "unit_price": "QUANTITY",
+            "taxable_amount": "MONEY",
+            "tax_amount": "MONEY",
+            "hs_code": "STRING",
+            "product_code": "STRING",
+        },
+        (), {"invoice_id": "invoices"},
+    ),
+    "tax_returns": Contract(
+        {
+            "id": "UUID!",
+            "taxpayer_id": "UUID!",
+            "tax_head": "STRING!",
+            "period_start": "DATE!",
+            "period_end": "DATE!",
+            "return_reference": "STRING",
+            "declared_sales": "MONEY",
+            "declared_income": "MONEY",
+            "declared_tax_due": "MONEY",
+            "declared_input_tax": "MONEY",
+            "declared_output_tax": "MONEY",
+            "filing_status": "STRING!",
+            "filed_at": "TIMESTAMP",
+            "source_job_id": "UUID",
+            "created_at": "TIMESTAMP!",
+        },
+        (), {"taxpayer_id": "taxpayers"},
+    ),
+    "customs_declarations": Contract(
+        {
+            "id": "UUID!",
+            "taxpayer_id": "UUID",
+            "importer_pin": "STRING",
+            "declaration_number": "STRING!",
+            "declaration_type": "STRING!",
+            "declaration_date": "DATE!",
+            "hs_code": "STRING",
+            "goods_description": "STRING",
+            "country_of_origin": "STRING",
+            "customs_value": "MONEY!",
+            "duty_amount": "MONEY!",
+            "vat_amount": "MONEY!",
+            "total_landed_cost": "MONEY",
+            "source_job_id": "UUID",
+            "created_at": "TIMESTAMP!",
+        },
+        ("declaration_number",), {"taxpayer_id": "taxpayers"},
+    ),
+    "withholding_certificates": Contract(
+        {
+            "id": "UUID!",
+            "certificate_number": "STRING!",
+            "payer_taxpayer_id": "UUID",
+            "payee_taxpayer_id": "UUID",
+            "payer_pin": "STRING",
+            "payee_pin": "STRING",
+            "certificate_date": "DATE!",
+            "payment_period_start": "DATE",
+            "payment_period_end": "DATE",
+            "gross_amount": "MONEY!",
+            "withheld_amount": "MONEY!",
+            "tax_rate": "RATE",
+            "source_job_id": "UUID",
+            "created_at": "TIMESTAMP!",
+        },
+        ("certificate_number",), {"payer_taxpayer_id": "taxpayers", "payee_taxpayer_id": "taxpayers"},
+    ),
+    "payroll_returns": Contract(
+        {
+            "id": "UUID!",
+            "taxpayer_id": "UUID!",
+            "period_start": "DATE!",
+            "period_end": "DATE!",
+            "employee_count": "INTEGER",
+            "gross_pay": "MONEY",
+            "paye_due": "MONEY",
+            "paye_paid": "MONEY",
+            "filing_status": "STRING!",
+            "source_job_id": "UUID",
+            "created_at": "TIMESTAMP!",
+        },
+        (), {"taxpayer_id": "taxpayers"},
+    ),
+    "business_permits": Contract(
+        {
+            "id": "UUID!",
+            "taxpayer_id": "UUID",
+            "permit_number": "STRING!",
+            "county": "STRING!",
+            "business_activity": "STRING",
+            "premises_location": "STRING",
+            "valid_from": "DATE",
+            "valid_to": "DATE",
+            "permit_fee": "MONEY",
+            "permit_status": "STRING!",
+            "source_job_id": "UUID",
+            "created_at": "TIMESTAMP!",
+        },
+        (), {"taxpayer_id": "taxpayers"},
+    ),
+    "properties": Contract(
+        {
+            "id": "UUID!",
+            "property_reference": "STRING!",
+            "owner_taxpayer_id": "UUID",
+            "owner_pin": "STRING",
+            "county": "STRING",
+            "location_description": "STRING",
+            "property_type": "STRING",
+            "valuation_amount": "MONEY",
+            "estimated_monthly_rent": "MONEY",
+            "source_job_id": "UUID",
+            "created_at": "TIMESTAMP!",
+        },
+        ("property_reference",), {"owner_taxpayer_id": "taxpayers"},
+    ),
+    "payment_transactions": Contract(
+        {
+            "id": "UUID!",
+            "transaction_reference": "STRING!",
+            "payer_taxpayer_id": "UUID",
+            "payer_pin": "STRING",
+            "collecting_agency": "STRING!",
+            "revenue_channel": "STRING!",
+            "service_code": "STRING",
+            "payment_date": "TIMESTAMP!",
+            "amount": "MONEY!",
+            "currency": "STRING!",
+            "payment_status": "STRING!",
+            "provider_reference": "STRING",
+            "source_job_id": "UUID",
+            "created_at": "TIMESTAMP!",
+        },
+        ("transaction_reference",), {"payer_taxpayer_id": "taxpayers"},
+    ),
+    "settlement_records": Contract(
+        {
+            "id": "UUID!",
+            "settlement_reference": "STRING!",
+            "collecting_agency": "STRING!",
+            "revenue_channel": "STRING!",
+            "settlement_account": "STRING",
+            "settlement_date": "DATE!",
+            "settled_amount": "MONEY!",
+            "transaction_count": "INTEGER",
+            "settlement_status": "STRING!",
+            "source_job_id": "UUID",
+            "created_at": "TIMESTAMP!",
+        },
+        ("settlement_reference",),
+    ),
+}
 # Fields that name a record in its issues, the first that isn't blank
-REFERENCES = ("id", "kra_pin", "invoice_number", "declaration_number", "certificate_number", "permit_number", "property_reference", "transaction_reference", "settlement_reference", "return_reference")
+REFERENCES = ("id", "invoice_number", "return_reference", "declaration_number", "certificate_number", "permit_number", "property_reference", "transaction_reference", "settlement_reference", "kra_pin")
 ZERO_MONEY = ("taxable_amount", "tax_amount", "total_amount", "customs_value", "duty_amount", "vat_amount")
 
 
@@ -78,7 +279,7 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     A CSV row that is too short and a JSON element that is no object fail the whole file.
     """
     if path.lower().endswith(".csv"):
-        return spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+        return spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"').csv(path)
     if path.lower().endswith(".json"):
         rows = spark.read.option("multiLine", True).option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
         if rows.columns == ["records"]:
@@ -93,11 +294,24 @@ def file_hash(spark: SparkSession, path: str) -> str:
 
 
 def with_row_numbers(raw: DataFrame, columns: list[str]) -> DataFrame:
-    """raw with _row: numbers in the order of the file's partitions, unique but not without gaps."""
+    """raw with _row: the numbers that numbered() gave, else in the order of the partitions, with gaps."""
     for c in columns:
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
-    return raw.select(*columns).withColumn("_row", F.monotonically_increasing_id() + 1)
+    return raw.select(*columns, F.col("_row") if "_row" in raw.columns else (F.monotonically_increasing_id() + 1).alias("_row"))
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """The records of a file with their number in it as _row, as a written table: every value is parsed here, so
+    a file that can't be read fails here and nowhere later."""
+    parted = F.monotonically_increasing_id()
+    rows = written(raw.select(*raw.columns, F.shiftright(parted, 33).alias("_part"), parted.bitwiseAND((1 << 33) - 1).alias("_at")), "raw-records")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # a number a partition
+    before, total = {}, 0
+    for r in counts:
+        before[r["_part"]], total = total, total + r["n"]
+    start = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])[F.col("_part")] if before else F.lit(0)
+    return rows.withColumn("_row", start + F.col("_at") + 1).drop("_part", "_at")
 
 
 def default_of(c: str, kind: str, job: str, now: str) -> Column | None:
@@ -124,7 +338,8 @@ def validate(raw: DataFrame, table: str, job: str, now: str) -> tuple[DataFrame,
     for c in spec.columns:
         default = default_of(c, spec.type_of(c), job, now)
         text[c] = F.coalesce(blank_to_null(F.col(c)), default) if default is not None else blank_to_null(F.col(c))
-    rows = rows.select("_row", F.to_json(F.struct(*spec.columns)).alias("_raw"), *[x.alias(c) for c, x in text.items()])
+    reference = F.coalesce(*[blank_to_null(F.col(c)) for c in REFERENCES if c in spec.columns], F.concat(F.lit("row:"), F.col("_row").cast("string")))
+    rows = rows.select("_row", F.to_json(F.struct(*spec.columns)).alias("_raw"), reference.alias("_ref"), *[x.alias(c) for c, x in text.items()])
     for c in spec.columns:
         kind = spec.type_of(c)
         typed[c] = converted(F.col(c), kind)
@@ -133,8 +348,7 @@ def validate(raw: DataFrame, table: str, job: str, now: str) -> tuple[DataFrame,
             problems.append(F.when(F.col(c).isNull(), message("REQUIRED_FIELD_MISSING")))
         if kind != "STRING":
             problems.append(F.when(F.col(c).isNotNull() & typed[c].isNull(), message("INVALID_FIELD_VALUE")))
-    reference = F.coalesce(*[F.col(c) for c in REFERENCES if c in spec.columns and c != "id"], F.concat(F.lit("row:"), F.col("_row").cast("string")))
-    rows = rows.select("_row", "_raw", reference.alias("_ref"), F.array_compact(F.array(*problems)).alias("_issues"), *[x.alias(c) for c, x in typed.items()])
+    rows = rows.select("_row", "_raw", "_ref", F.array_compact(F.array(*problems)).alias("_issues"), *[x.alias(c) for c, x in typed.items()])
     valid = rows.filter(F.size("_issues") == 0).select("_row", "_raw", "_ref", *spec.columns)
     issues = rows.filter(F.size("_issues") > 0).select("_row", F.col("_ref").alias("record_reference"), F.explode("_issues").alias("i"), "_raw")
     return valid, issues.select("_row", "record_reference", "i.field", "i.code", F.col("_raw").alias("raw_payload"))
@@ -177,7 +391,7 @@ def ingest(spark: SparkSession, path: str, table: str, source: str, job: str, no
     if jobs is not None and not jobs.filter((F.col("source") == source) & (F.col("table_name") == table) & (F.col("file_hash") == digest) & F.col("status").isin("COMPLETED", "COMPLETED_WITH_ERRORS")).isEmpty():
         return row | {"status": "DUPLICATE"}
     try:
-        raw = read_file(spark, path)
+        raw = numbered(read_file(spark, path))
         total = raw.count()
     except ValueError:
         raise
@@ -187,6 +401,7 @@ def ingest(spark: SparkSession, path: str, table: str, source: str, job: str, no
     parents = {p: catalog.read(p) for p in set((contract(table).parents or {}).values()) if catalog.exists(p)}
     kept, broken = constrain(valid, table, catalog.read(table) if catalog.exists(table) else None, parents)
     issues = issues.unionByName(broken).withColumn("job_id", F.lit(job))
+    issues, kept = written(issues, "issues"), written(kept, "records")  # both come from the same rows
     catalog.append("data_quality_issues", issues)
     n = kept.count()
     catalog.append(table, kept)

@@ -1,5 +1,6 @@
 """One firing row per rule, thresholds, grace days and idempotence."""
 
+import json
 from datetime import date
 from decimal import Decimal
 
@@ -69,4 +70,35 @@ def test_gap_amounts(spark):
     signals = spark.createDataFrame(rows, "deterministic_key string, taxpayer_id string, signal_type string, tax_head string, period_start date, period_end date, declared_amount decimal(18,2), observed_amount decimal(18,2), estimated_gap decimal(18,2), confidence_score decimal(5,2), status string")
     [one] = taxgap.estimates(signals).collect()
     assert (one.estimated_gap, one.recoverable_tax, one.declared_amount) == (D(270000), D(102000), D(0))
-    assert taxgap.scores(taxgap.estimates(signals)).first().score == D("10.81")
+    [score] = taxgap.scores(taxgap.estimates(signals)).collect()
+    assert score.score == D("10.20") and json.loads(score.tax_heads) == [{"taxHead": "VAT", "periodStart": "2025-01-01", "periodEnd": "2025-01-31", "estimatedRecoverableTax": 102000.0, "confidenceScore": 90.0}]
+    assert [(b.signal_type, b.basis) for b in one.bases] == [("VAT_INPUT_MISMATCH", "excess input VAT"), ("VAT_OUTPUT_MISMATCH", "undeclared taxable sales")]
+
+
+def test_heads_of_the_engine(tables):
+    """Six estimates of eleven signals: one has no taxpayer, and those of a taxpayer, head and period are one."""
+    est = taxgap.estimates(rules.run_rules(tables, AS_OF)).persist()
+    heads = {r.tax_head: r.recoverable_tax for r in taxgap.summary_by_head(est).collect()}
+    assert heads == {
+        "VAT": D(650000) * D("0.16") + D(70000) + D(25000) * D("0.16") + D(80000) * D("0.16"), "INCOME_TAX": (D(400000) + D(20000) + D(98000)) * D("0.3"), "WITHHOLDING_TAX": D(4500), "PAYE": D(15000), "RENTAL_INCOME": D(11000),
+    }
+    assert {r.severity for r in rules.run_rules(tables, AS_OF, ["RENTAL_INCOME_MISMATCH"]).collect()} == {"HIGH"}
+    early = taxgap.estimate_list(est, start=date(2025, 1, 2)).collect()
+    assert {r.tax_head for r in early} == {"RENTAL_INCOME"} - {"RENTAL_INCOME"} or all(r.period_start >= date(2025, 1, 2) for r in early)
+    amounts = [r.recoverable_tax for r in taxgap.estimate_list(est).collect()]
+    assert amounts == sorted(amounts, reverse=True)
+    ranked = [r.taxpayer_id for r in taxgap.ranking(taxgap.scores(est), tables["taxpayers"].filter("id <> 'v1'")).collect()]
+    assert "v1" not in ranked and ranked[0] == "i3"
+
+
+def test_evidence_names_rule_records_and_thresholds(tables):
+    got = {r.rule_code: json.loads(r.evidence) for r in rules.run_rules(tables, AS_OF).collect()}
+    assert got["VAT_OUTPUT_MISMATCH"] == {"ruleCode": "VAT_OUTPUT_MISMATCH", "invoiceCount": 2, "thresholds": {"minimumGap": "100000", "minimumGapPercent": "10", "periodGraceDays": 45}}
+    assert got["PERMIT_ACTIVE_TAX_INACTIVE"]["permitNumber"] == "B1" and got["PERMIT_ACTIVE_TAX_INACTIVE"]["thresholds"]["requiredTaxHeads"] == ["VAT", "INCOME_TAX"]
+    assert got["EXPENSE_FROM_NON_COMPLIANT_SUPPLIER"]["supplierTaxpayerId"] == "dormant" and got["SECTOR_MARGIN_DEVIATION"]["peerCount"] == 3
+
+
+def test_one_rule_alone_is_the_same(tables):
+    """Rules that share the monthly sums, and each with its own."""
+    together = {tuple(r) for r in rules.run_rules(tables, AS_OF).collect()}
+    assert {tuple(r) for c in rules.CODES for r in rules.run_rules(tables, AS_OF, [c]).collect()} == together

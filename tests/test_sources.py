@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assurelake.operators import scoring
-from assurelake.plans import queries
+from assurelake.plans import jobs, queries
 from assurelake.sources import ingest
 from assurelake.sources.catalog import Catalog
 
@@ -24,7 +26,9 @@ def test_ingest_json_and_bad_files(spark, tmp_path):
     valid, issues = ingest.validate(ingest.read_file(spark, str(tmp_path / "t.json")), "taxpayers", "j", "2024-01-01 00:00:00")
     assert valid.count() == 1 and issues.count() == 0
     (tmp_path / "short.csv").write_text("kra_pin,legal_name\nA\n")
-    assert ingest.ingest(spark, str(tmp_path / "short.csv"), "taxpayers", "s", "j", "2024-01-01 00:00:00", Catalog(spark, f"file://{tmp_path}/c"))["status"] in ("FAILED", "COMPLETED_WITH_ERRORS")
+    assert ingest.ingest(spark, str(tmp_path / "short.csv"), "taxpayers", "s", "j", "2024-01-01 00:00:00", Catalog(spark, f"file://{tmp_path}/c"))["status"] == "FAILED"
+    (tmp_path / "bad.json").write_text('[{"kra_pin": ')
+    assert ingest.ingest(spark, str(tmp_path / "bad.json"), "taxpayers", "s", "j", "2024-01-01 00:00:00", Catalog(spark, f"file://{tmp_path}/c"))["status"] == "FAILED"
     with pytest.raises(ValueError):
         ingest.contract("nope")
     with pytest.raises(ValueError):
@@ -37,6 +41,48 @@ def test_catalog_versions(spark, tmp_path):
     cat.merge("t", spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), ["k"])
     cat.append("t", cat.read("t").filter("k = 2"))
     assert sorted((r.k, r.v) for r in cat.read("t").collect()) == [(1, "b"), (2, "c"), (2, "c")]
+    parts = lambda: {p.name for p in (tmp_path / "c2/t/parts").iterdir()}
+    before = parts()
+    cat.append("t", spark.createDataFrame([("d", 3)], "v string, k int"))
+    assert len(parts() - before) == 1 and before <= parts() and cat.read("t").count() == 4  # an append leaves the others alone
+    with pytest.raises(KeyError):
+        cat.read("none")
+
+
+def test_references_and_row_numbers(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text("".join(["kra_pin,taxpayer_type,legal_name,status\n", "K1,X,,ACTIVE\n", ",X,\"A, \"\"B\"\"\",ACTIVE\n", ",X,,ACTIVE\n"]))
+    cat = Catalog(spark, f"file://{tmp_path}/c3")
+    assert ingest.ingest(spark, str(path), "taxpayers", "s", "j", "2024-01-01 00:00:00", cat)["invalid"] == 2
+    assert {r.record_reference for r in cat.read("data_quality_issues").collect()} == {"K1", "row:3"}
+    assert [r.legal_name for r in cat.read("taxpayers").collect()] == ['A, "B"']
+    raw = spark.createDataFrame([("i", "T", "P", "R")], "id string, transaction_reference string, kra_pin string, return_reference string")
+    assert ingest.validate(raw, "payment_transactions", "j", "2024-01-01 00:00:00")[1].first().record_reference == "i"
+    assert ingest.validate(raw.drop("id"), "payment_transactions", "j", "2024-01-01 00:00:00")[1].first().record_reference == "T"
+
+
+def test_forest_by_hand(spark):
+    """Path lengths and contributions against a walk down each tree, and samples against the smallest hashes of all."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3)).round(1)
+    tree = scoring.grow(x[:64], np.random.default_rng(2), 6)
+    given = np.zeros_like(x)
+    got = scoring.paths(tree, x, given)
+    feature, split, left, length = tree
+    for row, path, parts in zip(x, got, given, strict=True):
+        at, own = 0, np.zeros(3)
+        while feature[at] >= 0:
+            to = left[at] + (row[feature[at]] > split[at])
+            own[feature[at]] += length[to] - length[at]
+            at = to
+        assert path == length[at] and np.allclose(parts, own) and abs(length[0] + own.sum() - path) < 1e-9
+    assert abs(length[0] - scoring.paths(tree, x[:64], np.zeros((64, 3))).mean()) < 1e-9
+    rows = spark.range(2000).select(F.concat(F.lit("t"), "id").alias("taxpayer_id"), *[(F.col("id") + i).cast("double").alias(c) for i, c in enumerate(scoring.FEATURES)]).persist()
+    samples = scoring.tree_samples(rows, 5, 32, 42, "taxpayer_id")
+    assert [len(s) for s in samples] == [32] * 5
+    for t, s in enumerate(samples):
+        h = rows.select(scoring.FEATURES[0], F.pmod(F.xxhash64(F.lit(42), F.lit(t), "taxpayer_id"), F.lit(1 << 30)).alias("h")).orderBy("h").limit(32).collect()
+        assert sorted(s[:, 0]) == sorted(r[0] for r in h)
 
 
 def test_anomaly_scores_highest(spark):
@@ -47,14 +93,19 @@ def test_anomaly_scores_highest(spark):
     out = scoring.predict(spark.createDataFrame(rows, schema)).orderBy("combined_score", ascending=False).collect()
     assert out[0].taxpayer_id == "anomaly" and out[0].combined_score == D("93.00")
     assert "invoiceSalesExceedDeclaredSales" in out[0].main_features
+    assert set(out[0].forest_contributions) == set(scoring.LABELS.values()) and all(v >= 0 for v in out[0].forest_contributions.values())
     assert scoring.predict(spark.createDataFrame([], schema)).count() == 0
 
 
-SMALL = ["rule_vat_output_mismatch", "gap_taxpayer_ranking", "recon_results", "graph_neighbourhood", "profile_all", "ingest_constraints"]
+SMALL = [
+    "rule_vat_output_mismatch", "rule_expense_from_non_compliant_supplier", "gap_scores", "gap_taxpayer_ranking", "recon_results", "er_run_summary", "graph_county_permits", "graph_import_activity",
+    "graph_neighbourhood", "profile_all", "case_recoverable", "integration_redaction", "ingest_constraints", "ingest_csv_job", "ingest_csv_rows", "ingest_csv_issues", "ml_model_version", "ml_dashboard",
+]
 
 
 @pytest.mark.parametrize("name", SMALL)
 def test_queries_agree_with_sql(spark, sf, name):
+    assert jobs.QUERIES is queries.QUERIES
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
