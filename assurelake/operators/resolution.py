@@ -40,9 +40,10 @@ def link_by_pin(rows: DataFrame, taxpayers: DataFrame, pin: str, link: str) -> D
     return joined.withColumn(link, F.coalesce(link, "_id")).select(*rows.columns)
 
 
-def named(rows: DataFrame, key: str, name: Column) -> DataFrame:
-    """(key, trigrams) of the rows whose name has any."""
-    return rows.select(F.col(key).alias("key"), trigrams(name).alias("g")).filter(F.size("g") > 0)
+def named(rows: DataFrame, key: str, name: Column, place: Column | None = None) -> DataFrame:
+    """(key, place, trigrams) of the rows whose name has any."""
+    place = F.lit(None).cast("string") if place is None else place
+    return rows.select(F.col(key).alias("key"), place.alias("place"), trigrams(name).alias("g")).filter(F.size("g") > 0)
 
 
 def with_prefix(sets: DataFrame, counts: DataFrame, at: float) -> DataFrame:
@@ -50,22 +51,26 @@ def with_prefix(sets: DataFrame, counts: DataFrame, at: float) -> DataFrame:
     size = F.size("g")
     # the epsilon keeps a bound that is whole from being rounded up
     need = size - F.ceil(size * at - 1e-9) + 1
-    each = sets.select("key", "g", F.explode("g").alias("t")).join(counts, "t")
-    rarest = each.groupBy("key").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
-    return rarest.select("key", "g", F.explode(F.slice("o", F.lit(1), need.cast("int"))).alias("s")).select("key", "g", F.col("s.t").alias("t"))
+    each = sets.select("key", "place", "g", F.explode("g").alias("t")).join(counts, "t")
+    rarest = each.groupBy("key").agg(F.first("place").alias("place"), F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))  # a name's trigrams
+    prefix = F.transform(F.slice("o", F.lit(1), need.cast("int")), lambda s: s["t"])
+    return rarest.select("key", "place", "g", prefix.alias("p")).select("*", F.explode("p").alias("t"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, at: float) -> DataFrame:
-    """(a, b, similarity) of keys whose trigram sets are at least `at` similar. Both are (key, g)."""
+    """(a, b, similarity) of keys whose trigram sets are at least `at` similar. Both are named(). Keys with two
+    different places aren't compared; an unknown place fits all."""
     counts = left.select(F.explode("g").alias("t")).union(right.select(F.explode("g").alias("t"))).groupBy("t").agg(F.count("*").alias("n"))
-    a = with_prefix(left, counts, at).select(F.col("key").alias("a"), F.col("g").alias("ga"), "t")
-    b = with_prefix(right, counts, at).select(F.col("key").alias("b"), F.col("g").alias("gb"), "t")
+    a = with_prefix(left, counts, at).select(F.col("key").alias("a"), "place", F.col("g").alias("ga"), F.col("p").alias("pa"), "t")
+    b = with_prefix(right, counts, at).select(F.col("key").alias("b"), "place", F.col("g").alias("gb"), F.col("p").alias("pb"), "t")
     fits = (F.size("ga") >= F.size("gb") * at - 1e-9) & (F.size("gb") >= F.size("ga") * at - 1e-9)
     # a pair meets at each trigram it shares; the first of them stands for it
     first = F.array_min(F.array_intersect("pa", "pb"))
-    a = a.join(a.groupBy("a").agg(F.collect_set("t").alias("pa")), "a")
-    b = b.join(b.groupBy("b").agg(F.collect_set("t").alias("pb")), "b")
-    met = a.join(b, "t").filter(fits & (F.col("t") == first))
+    here, anywhere = (F.col("place").isNotNull(), F.col("place").isNull())
+    met = a.filter(here).join(b.filter(here), ["t", "place"]).drop("place")
+    met = met.unionByName(a.filter(anywhere).drop("place").join(b.drop("place"), "t"))
+    met = met.unionByName(a.filter(here).drop("place").join(b.filter(anywhere).drop("place"), "t"))
+    met = met.filter(fits & (F.col("t") == first))
     return met.select("a", "b", similarity_of(F.col("ga"), F.col("gb")).alias("similarity")).filter(F.col("similarity") >= at)
 
 
@@ -74,12 +79,10 @@ def link_permits(permits: DataFrame, taxpayers: DataFrame, at: float = LINK_AT)
     legal or trading name its activity resembles most, if it does enough. An unknown county fits all."""
     open_ones = permits.filter("taxpayer_id IS NULL AND business_activity IS NOT NULL")
     # a key for each name: a key has one set
-    legal, trading = (named(taxpayers.withColumn("_who", F.struct("id", F.lit(n).alias("name"))), "_who", F.col(n)) for n in ("legal_name", "trading_name"))
-    pairs = similar_pairs(named(open_ones, "permit_number", F.col("business_activity")), legal.unionByName(trading), at)
+    county = F.lower("county")
+    legal, trading = (named(taxpayers.withColumn("_who", F.struct("id", F.lit(n).alias("name"))), "_who", F.col(n), county) for n in ("legal_name", "trading_name"))
+    pairs = similar_pairs(named(open_ones, "permit_number", F.col("business_activity"), county), legal.unionByName(trading), at)
     pairs = pairs.groupBy("a", F.col("b.id").alias("b")).agg(F.max("similarity").alias("similarity"))
-    here = open_ones.select(F.col("permit_number").alias("a"), F.lower("county").alias("_pc"))
-    there = taxpayers.select(F.col("id").alias("b"), F.lower("county").alias("_tc"))
-    pairs = pairs.join(here, "a").join(there, "b").filter("_pc IS NULL OR _tc IS NULL OR _pc = _tc")
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     top = pairs.withColumn("_n", F.row_number().over(best)).filter("_n = 1")
     return top.select(F.col("a").alias("permit_number"), F.col("b").alias("taxpayer_id"), "similarity")
@@ -93,8 +96,7 @@ def duplicate_pairs(taxpayers: DataFrame, at: float = DUPLICATE_AT) -> DataFrame
     same = same.select("source_id", "target_id", F.lit(1.0).alias("confidence"), F.lit("REGISTRATION_NUMBER").alias("basis"))
     out = same
     for name in ("legal_name", "trading_name"):
-        sets = named(taxpayers, "id", F.col(name))
-        near = similar_pairs(sets, sets, at).filter("a < b")
+        near = similar_pairs(*[named(taxpayers, "id", F.col(name), F.lit("*"))] * 2, at).filter("a < b")
         out = out.unionByName(near.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("similarity").alias("confidence"), F.lit("FUZZY_NAME").alias("basis")))
     # an equal number decides the basis and counts as certain
     best = F.max(F.struct(F.col("basis") == "REGISTRATION_NUMBER", "confidence", "basis")).alias("v")
