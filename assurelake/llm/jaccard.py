@@ -18,7 +18,8 @@ decided in integers.
    which the key comes earliest in its order). Verified links are merged into components.
 5. Second round: members of a list that are still in different components are paired, if size and
    position let them reach the threshold, and verified. So each link between different components
-   is found, and a list of near copies costs its length, not its square.
+   is found, and a list of near copies costs its length, not its square. Long lists are paired by
+   blocks of members.
 6. Verification compares bitmaps of the two sets first, by which most pairs that aren't linked are
    out, and intersects the whole sets of the others.
 
@@ -26,7 +27,8 @@ Defined results: texts that are null or without words have an empty set and link
 are their own component. Texts of fewer than five words are one shingle of all of them. Rows that
 repeat a doc_id share a component and each get a row. Null doc_ids never name a component: a class
 of only such rows has none. Other columns are ignored. Two sets are taken for equal if their 64-bit
-digests are: chance 2^-64 per pair of sets.
+digests are: chance 2^-64 per pair of sets. Shingles are 64-bit hashes too, so two shingles of a text
+count as one at the same chance; words of thousands of bytes made for it can collide.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assurelake.llm.common import batches, cut, drop_cut, table
+from assurelake.llm.common import batches, cut, drop_cut, small_batches, table
 
 WORDS = 5
 #: Counters of the sketch, and rows in which they are moved.
@@ -52,7 +54,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 #: Texts hashed together up to about this many bytes.
-TOGETHER = 1_000_000
+TOGETHER = 400_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -71,13 +73,12 @@ class Hasher:
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.up, self.down = _powers(1 << 16)
+        self.up, self.down = _powers(1 << 19)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of every text."""
         raw = _LOWER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
-        if len(raw) > len(self.up):
-            self.up, self.down = _powers(2 * len(raw))
+        up, down = (self.up, self.down) if len(raw) <= len(self.up) else _powers(len(raw))  # of a long text, for it alone
         space = _SPACE[raw]
         ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
         starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
@@ -85,8 +86,8 @@ class Hasher:
             starts = np.r_[0, starts]
         # a word's bytes as a polynomial: the difference of two prefix sums, moved to position 0
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=total[1:])
-        word = mix((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+        word = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         bounds = np.cumsum([len(t) + 1 for t in texts])
         first = np.searchsorted(starts, np.r_[0, bounds[:-1]])
         last = np.searchsorted(starts, bounds)
@@ -129,16 +130,22 @@ def prefix(n: int, percent: int, subset: int) -> int:
     return min(n, n - -(-percent * n // 100) + subset)
 
 
-def boundary(sizes: np.ndarray, length: float, percent: int) -> int:
+#: Pairs of one set that a task holds at once, at most, and keys that it gathers before they are given on.
+SET_PAIRS, GATHERED = 1 << 17, 1 << 18
+
+
+def boundary(largest: int, length: float, percent: int) -> int:
     """The largest size up to which pairs cost less than inverted lists: a key costs one row to move,
-    and a token in a list also costs reading that list, of the given mean length."""
-    best = 0
-    for n in range(2, 200):
+    and a token in a list also costs reading that list, of the given mean length. Sets with more than
+    SET_PAIRS pairs are heavy in any case, so that a task's memory is bounded."""
+    best, n = 0, 2
+    while n <= largest:
         p1, p2 = prefix(n, percent, 1), prefix(n, percent, 2)
-        if p2 * (p2 - 1) / 2 > p1 * (1 + length):
+        pairs = p2 * (p2 - 1) // 2
+        if pairs > SET_PAIRS or pairs > p1 * (1 + length):
             break
-        best = n
-    return min(best, int(sizes.max(initial=0)))
+        best, n = n, n + 1
+    return best
 
 
 def first_pass(docs: DataFrame, words: int) -> DataFrame:
@@ -201,6 +208,11 @@ def keyed(docs: DataFrame, sketch: np.ndarray, light: int, percent: int, words:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(words), set()
+
+        def out() -> pa.RecordBatch:
+            cols = [np.concatenate(keys).view(np.int64), np.repeat(np.array(sids, np.int64), counts), np.concatenate(infos).astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "sid", "info"])
+
         for _, texts in in_groups(frames, 1):
             keys, infos, sids, counts = [], [], [], []
             for s in hasher.sets(texts):
@@ -226,15 +238,39 @@ def keyed(docs: DataFrame, sketch: np.ndarray, light: int, percent: int, words:
                     got += p
                 sids.append(d)
                 counts.append(got)
+                if sum(counts) >= GATHERED:
+                    yield out()
+                    keys, infos, sids, counts = [], [], [], []
             if keys:
-                cols = [np.concatenate(keys).view(np.int64), np.repeat(np.array(sids, np.int64), counts), np.concatenate(infos).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "sid", "info"])
+                yield out()
 
     return docs.mapInArrow(run, KEYS)
 
 
 #: Members up to which every pair of a list is tested for the bounds before the list is written.
 SMALL_LIST = 64
+#: Keys' rows that are read together; a list is never parted.
+READ_ROWS = 200_000
+
+
+def whole_lists(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, sid, info) of sorted frames, about READ_ROWS at a time, cut where a key ends."""
+    held: list[pa.RecordBatch] = []
+    for frame in frames:
+        if not frame.num_rows:
+            continue
+        held.append(frame)
+        if sum(f.num_rows for f in held) < READ_ROWS:
+            continue
+        rows = pa.Table.from_batches(held)
+        key = rows["key"].to_numpy()
+        at = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if at:
+            yield tuple(rows.slice(0, at)[c].to_numpy() for c in ("key", "sid", "info"))
+        held = rows.slice(at).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield tuple(rows[c].to_numpy() for c in ("key", "sid", "info"))
 
 
 def may_reach(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -249,18 +285,14 @@ def shared_keys(keys: DataFrame, percent: int) -> DataFrame:
     centre of its list.
 
     Members of a small list that no other member can reach by size and place are left out; so is a key
-    with one member, unless it is salted and may have more elsewhere.
+    with one member, unless it is salted and may have more elsewhere. A task holds a few lists at a time.
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [f for f in frames if f.num_rows]
-        if not got:
-            return
-        rows = pa.Table.from_batches(got)
-        key, sid, info = (rows[c].to_numpy() for c in ("key", "sid", "info"))
-        del rows, got
-        order = np.lexsort((info, sid, key))
-        key, sid, info = key[order], sid[order], info[order]
+        for rows in whole_lists(frames):
+            yield from lists(*rows)
+
+    def lists(key: np.ndarray, sid: np.ndarray, info: np.ndarray) -> Iterator[pa.RecordBatch]:
         fresh = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])]  # a set may come from several tasks
         key, sid, info = key[fresh], sid[fresh], info[fresh]
         same = key[1:] == key[:-1]
@@ -302,7 +334,8 @@ def shared_keys(keys: DataFrame, percent: int) -> DataFrame:
             cols = [key[some], sid[some], n[some].astype(np.int32), pos[some].astype(np.int32), salted[some]]
             yield pa.RecordBatch.from_arrays([pa.array(["list"] * len(cols[0])), *(pa.array(c) for c in cols)], names=names)
 
-    return keys.repartition("key", F.col("info").bitwiseAND(255)).mapInArrow(run, "kind string, key long, sid long, n int, pos int, salted boolean")
+    dealt = keys.repartition("key", F.col("info").bitwiseAND(255)).sortWithinPartitions("key", "sid", "info")
+    return dealt.mapInArrow(run, "kind string, key long, sid long, n int, pos int, salted boolean")
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -313,7 +346,8 @@ def may_link(a: str, b: str, percent: int) -> Column:
     )
 
 
-#: Bits of the filter of wanted ids, at most (16 MB), and bits for each id.
+#: Bits of a filter of ids, at most (16 MB), and bits for each id. A fuller filter lets more through, and
+#: what it lets through is always checked exactly: the plan and the result are the same at any size.
 FILTER_BITS, BITS_EACH, FILTER_HASHES = 1 << 27, 16, 3
 #: Bits of a set's mark for each of its tokens, at least.
 MARK_BITS = 2
@@ -357,19 +391,22 @@ def id_filter(wanted: DataFrame, bits: int) -> np.ndarray:
 
 
 def wanted_filter(wanted: DataFrame):
-    """id_filter() of `wanted`, broadcast; None where there are too many ids for FILTER_BITS."""
+    """id_filter() of `wanted` (a written table with a column id), broadcast: FILTER_BITS at most."""
     n = wanted.count()
-    if n * BITS_EACH > FILTER_BITS:
-        return None
-    bits = 1 << max(13, (n * BITS_EACH - 1).bit_length())
-    return wanted.sparkSession.sparkContext.broadcast(id_filter(wanted, bits))  # FILTER_BITS at most
+    bits = min(FILTER_BITS, 1 << max(13, (n * BITS_EACH - 1).bit_length()))
+    return wanted.sparkSession.sparkContext.broadcast(id_filter(wanted, bits))  # FILTER_BITS
+
+
+def in_filter(ids: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Whether each id may be in the filter."""
+    at = filter_places(ids, 8 * len(flags))
+    return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool).all(axis=0)
 
 
 def chosen(frame: pa.RecordBatch, flags: np.ndarray) -> pa.RecordBatch:
     """The rows whose first column is in the filter, or null."""
     ids = frame.column(0)
-    at = filter_places(ids.fill_null(0).to_numpy(), 8 * len(flags))
-    hit = (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
+    hit = in_filter(ids.fill_null(0).to_numpy(), flags)
     return frame.filter(pa.array(hit | ids.is_null().to_numpy(zero_copy_only=False)))
 
 
@@ -393,18 +430,14 @@ SET_SCHEMA = "sid long, n long, mark binary, tokens binary"
 
 def set_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """The sets of the documents in `wanted` (a written table of ids), made again from their text, and of
-    few others; each at most once a task. Texts aren't moved: a filter of the ids, of bounded size, tells
-    each task which texts to hash. Where there are too many ids for the filter, the texts are joined."""
+    others; each at most once a task. Texts aren't moved: a filter of the ids, of bounded size, tells each
+    task which texts to hash."""
     keep = wanted_filter(wanted)
-    if keep is None:
-        docs = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]), "left_semi")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(words), set()
         for frame in frames:
-            if keep is not None:
-                frame = chosen(frame, keep.value)
-            for _, texts in in_groups(iter([frame]), 1):
+            for _, texts in in_groups(iter([chosen(frame, keep.value)]), 1):
                 sets = {d: s for s in hasher.sets(texts) if len(s) and (d := digest(s)) not in seen}
                 seen.update(sets)
                 cols = [pa.array(sets, pa.int64()), pa.array(map(len, sets.values()), pa.int64()), pa.array(map(mark, sets.values()), pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())]
@@ -413,10 +446,27 @@ def set_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "_text").mapInArrow(run, SET_SCHEMA)
 
 
-def joined_to(pairs: DataFrame, ends: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the other columns of `ends` (by sid) for both, as x_... and y_..."""
-    for side, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(ends.select(F.col("sid").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in ends.columns if c != "sid"]), side)
+#: A set with more than one in HOT of all ends of pairs is spread over several rows, at most SPREAD.
+HOT, SPREAD = 1024, 128
+
+
+def spread_of(pairs: DataFrame) -> DataFrame:
+    """(sid, parts) of the sets that are ends of so many pairs that these need several tasks: a fixed number
+    of rows at most, as all ends together are two a pair."""
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("c"))
+    most = max(1, 2 * pairs.count())
+    return ends.filter(F.col("c") * HOT > most).select("sid", F.least(F.lit(SPREAD), F.ceil(F.col("c") * HOT / most)).cast("int").alias("parts"))
+
+
+def joined_to(pairs: DataFrame, ends: DataFrame, spread: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the other columns of `ends` (by sid) for both, as x_... and y_... Pairs of a set
+    in `spread` are dealt over its parts, in each of which there is a copy of it."""
+    copies = ends.join(F.broadcast(spread), "sid", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))  # 2 * HOT rows
+    for side, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        parts = spread.select(F.col("sid").alias(side), "parts")
+        pairs = pairs.join(F.broadcast(parts), side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
+        one = copies.select(F.col("sid").alias(side), "part", *[F.col(c).alias(f"{name}_{c}") for c in ends.columns if c != "sid"])
+        pairs = pairs.join(one, [side, "part"]).drop("part")
     return pairs
 
 
@@ -438,10 +488,10 @@ def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: int
             keep = (100 + percent) * np.array(off, np.int64) <= (100 - percent) * both
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = joined_to(pairs, marks).select("a", "b", "x_n", "x_mark", "y_n", "y_mark")
+    near = joined_to(pairs, marks, cut(spread_of(pairs), "jaccard-spread")).select("a", "b", "x_n", "x_mark", "y_n", "y_mark")
     near = cut(near.mapInArrow(compare_marks, "a long, b long"), "jaccard-near")
 
-    # the tokens of the sets in those pairs; a few copies of a set are cheaper than one more shuffle
+    # the tokens of the sets in those pairs, once each
     needed = cut(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), "jaccard-needed")
     keep = wanted_filter(needed)
 
@@ -449,13 +499,7 @@ def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: int
         for frame in frames:
             yield chosen(frame, keep.value)
 
-    tokens = sets.select("sid", "tokens")
-    if keep is None:
-        tokens = tokens.join(needed.withColumnRenamed("id", "sid"), "sid", "left_semi")
-    else:
-        tokens = tokens.mapInArrow(choose, "sid long, tokens binary")
-    if 10 * sets.count() > 11 * sets.select("sid").distinct().count():
-        tokens = tokens.dropDuplicates(["sid"])
+    tokens = sets.select("sid", "tokens").mapInArrow(choose, "sid long, tokens binary").dropDuplicates(["sid"])
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -467,7 +511,7 @@ def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame, percent: int
                 keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = joined_to(near, tokens).select("a", "b", "x_tokens", "y_tokens")
+    both = joined_to(near, tokens, cut(spread_of(near), "jaccard-spread")).select("a", "b", "x_tokens", "y_tokens")
     out = cut(both.mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
     drop_cut(wanted, sets, near, needed)
     return out
@@ -499,9 +543,29 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Members of a list that stand in a block, where a list has more than one in HOT of all members.
+BLOCK_MEMBERS = 1024
+
+
+def still_apart(placed: DataFrame) -> DataFrame:
+    """Members (key, sid, n, pos, root) of the lists with several components, with the largest one as `major`
+    and the number of blocks. Lists that hold a great share of all members are few: they are met by
+    broadcast, so that no task gets one."""
+    lists = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
+    lists = lists.agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.sum("c").alias("c"), F.count("*").alias("roots")).filter("roots > 1")
+    lists = cut(lists.select("key", "major", "c"), "jaccard-open")
+    most = max(1, placed.count())
+    hot = lists.filter(F.col("c") * HOT > most).select("key", "major", F.ceil(F.col("c") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    hot = cut(hot, "jaccard-hot")  # HOT rows at most
+    others = lists.filter(F.col("c") * HOT <= most).select("key", "major", F.lit(1).alias("blocks"))
+    cold = placed.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    return placed.join(F.broadcast(hot), "key").unionByName(cold.join(others, "key"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS) -> DataFrame:
     """Per row: id_col, n_shingles and component_id, the smallest id reachable over links of a Jaccard
     similarity of at least `percent` / 100 between the sets of word `words`-grams."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     passed = cut(first_pass(rows, words), "jaccard-pass", "kind")
     known = passed.filter("kind = 'doc'").select("id", "n", "sid")
@@ -512,7 +576,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     below = sketch[sketch <= COMMON * mean]
     length = float((np.maximum(below - mean, 0) ** 2).sum() / max(1, below.sum()))
     largest = known.agg(F.max("n")).first()[0] or 0
-    light = boundary(np.array([largest]), length, percent)
+    light = boundary(largest, length, percent)
     holders = cut(known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id")), "jaccard-holders")
 
     found = cut(shared_keys(keyed(rows, sketch, light, percent, words), percent), "jaccard-lists", "kind")
@@ -521,22 +585,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # first round: everyone against the centre of its lists; each salt of a common key has its own, and
     # they meet here
     centres = lists.filter("salted").groupBy("key").agg(F.min(F.struct("pos", "n", "sid")).alias("c")).select("key", "c.*")
-    a, b = lists.filter("salted").alias("a"), cut(centres, "jaccard-centres").alias("b")
+    cut_centres = cut(centres, "jaccard-centres")
+    a, b = lists.filter("salted").alias("a"), cut_centres.alias("b")
     pair = [F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")]
     fits = (F.col("a.sid") != F.col("b.sid")) & may_link("a", "b", percent)
     across = a.join(b, F.col("a.key") == F.col("b.key")).filter(fits).select(*pair)
     pairs = found.filter("kind = 'pair'").select(F.col("key").alias("a"), F.col("sid").alias("b"))
     pairs = cut(pairs.union(across).distinct(), "jaccard-pairs")
     links = verified(pairs, rows, holders, percent, words)
-    roots = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-roots")
+    first_roots = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-roots")
 
     # second round: members of a list that are not yet together
-    placed = cut(lists.drop("salted").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "jaccard-placed")
-    open_lists = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "jaccard-open")
-    rest = cut(placed.join(open_lists, "key", "left_semi"), "jaccard-rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & may_link("a", "b", percent)
-    late = a.join(b, apart).select(*pair).distinct()
+    placed = cut(lists.drop("salted").join(first_roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "jaccard-placed")
+    rest = cut(still_apart(placed), "jaccard-rest")
+    # members outside a list's largest component meet all its members, a block of them at a time: those of the
+    # largest one don't meet each other, and no task gets a long list
+    mine, every = F.pmod(F.xxhash64(F.lit("block"), "sid"), F.col("blocks").cast("long")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = rest.filter("root <> major").withColumn("block", F.explode(every)).alias("a")
+    b = rest.withColumn("block", mine).alias("b")
+    same_block = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "block")]
+    late = a.join(b, same_block).filter((F.col("a.root") != F.col("b.root")) & may_link("a", "b", percent)).select(*pair).distinct()
     late = cut(late.join(pairs, ["a", "b"], "left_anti"), "jaccard-late")
     links = cut(links.union(verified(late, rows, holders, percent, words)), "jaccard-all")
 
@@ -546,10 +614,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = cut(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "jaccard-named")
     named = cut(rooted.join(named, "root").select("sid", "component_id"), "jaccard-sets-named")
     out = known.join(named, "sid", "left")
-    drop_cut(pairs, placed, open_lists, rest, late, links, rooted)
+    drop_cut(found, holders, cut_centres, pairs, first_roots, placed, rest, late, links, rooted)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("sid").isNull(), F.col("id"))).alias("component_id"))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of docs, with their own columns, of which one row of each group of near copies stays: of those
+    with the smallest id (a null one comes last) one. Rows are told apart by id and text, so rows that
+    repeat both are one and rows that share an id only are not. Without an id and without words a row is in
+    no group and stays.
+
+    Texts are moved only where a row may have to go: a filter of bounded size tells which rows may be
+    among those, and these are checked exactly.
+    """
+    own = {c: f"c{i}_" for i, c in enumerate(docs.columns)}  # names that clash with nothing here
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    key, text = F.col(own[id_col]), F.col(own[text_col])
+    rows = named.withColumn("row", F.xxhash64(key.isNull(), key, text.isNull(), text))
+    groups = cut(jaccard_components(rows.select("row", text.alias("text")), "row", percent=percent), "near-groups")
+    ids = rows.select("row", key.isNull().alias("none"), key.alias("id")).distinct()
+    groups = groups.groupBy("row", "component_id").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n")).join(ids, "row")
+    groups = cut(groups.filter("NOT (none AND n = 0)"), "near-rows")
+    # a group's first row by partial minima: no task gets a whole group
+    first = groups.groupBy("component_id").agg(F.min(F.struct("none", "id", "row")).alias("v")).select("v.row")
+    gone = cut(groups.join(first, "row", "left_anti").select(F.col("row").alias("id")), "near-gone")
+    touched = cut(gone.union(groups.filter("copies > 1").select("row")), "near-touched")  # rows that repeat another are one
+    keep = wanted_filter(touched)
+
+    @F.arrow_udf("boolean")
+    def may_go(row: pa.Array) -> pa.Array:
+        return pa.array(in_filter(row.to_numpy(), keep.value))
+
+    alone = key.isNull() & ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = rows.withColumn("go", may_go("row") & ~alone)
+    checked = rows.filter("go").dropDuplicates(["row"]).join(gone.withColumnRenamed("id", "row"), "row", "left_anti")
+    return rows.filter("NOT go").unionByName(checked.select(*rows.columns)).select(*[F.col(n).alias(c) for c, n in own.items()])
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near copies among all documents."""
     return jaccard_components(table(spark, sf_dir, "documents"))
