@@ -29,14 +29,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assurelake.llm.common import batches, table
+from assurelake.llm.common import batches, small_batches, table
 
 #: Words up to this many bytes go through the shared rank array.
 SHORT = 64
 #: Words whose ids are remembered between batches, at most.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Texts are encoded together up to about this many characters.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 #: Marks that often end a word and are no letters.
 STOPS = ".,;:!?)"
 NO_RANK = np.int32(2**31 - 1)
@@ -262,6 +262,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key_col: str = "doc_id", tex
 
     `vocabulary` is a path that every worker can read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key_col), F.col(text_col).alias("_text"))
     key = rows.schema[0]
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]

@@ -26,12 +26,13 @@ named like the results give way to them in mix(); sampled() keeps all columns. A
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assurelake.llm.common import cut, fresh, table, text_lists
+from assurelake.llm.common import batches, cut, fresh, small_batches, table
 
 MARGINS = ("source", "lang", "topic")
 #: Cells that may reach the driver. Margins with more values than fit are a mistake of the caller.
@@ -62,23 +63,27 @@ def with_cells(docs: DataFrame, keep: list[str], text_col: str = "text", anchors
     """The columns `keep` of docs, then `_source`, `_lang`, `_topic` and `_tokens` (words of the text), which
     none of `keep` may be named."""
     unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) if c in docs.columns else F.lit("unknown")
-    terms = [(n, frozenset(t.encode().split())) for n, t in anchors.items()]
-
-    # the text alone goes to Python, and no copy of it comes back
-    @F.arrow_udf("topic string, tokens long")
-    def measured(texts: pa.Array) -> pa.Array:
-        topics, tokens = [], []
-        for some in text_lists(texts, TOGETHER):
-            for text in some:
-                # bytes are split at ASCII white space only
-                raw = (text or "").lower().encode("utf-8", "surrogatepass")
-                n = len(raw.split())
-                tokens.append(n)
-                topics.append(topic_of(set(raw.translate(_PUNCTUATION).split()), terms) if n else "unknown")
-        return pa.StructArray.from_arrays([pa.array(topics, pa.string()), pa.array(tokens, pa.int64())], names=["topic", "tokens"])
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], unknown("source").alias("_source"), unknown("lang").alias("_lang"), measured(text_col).alias("_measured"))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "_source", "_lang", F.col("_measured.topic").alias("_topic"), F.col("_measured.tokens").alias("_tokens"))
+    small_batches(docs.sparkSession)
+    own = [F.col(f"`{c}`") for c in keep]
+    text = [] if text_col in keep else [F.col(text_col).alias("_text")]  # it goes to Python once
+    rows = docs.select(*own, unknown("source").alias("_source"), unknown("lang").alias("_lang"), *text)
+    at, n_out = keep.index(text_col) if text_col in keep else len(keep) + 2, len(keep) + 2
+    schema = rows.select(*own, "_source", "_lang").withColumns({"_topic": F.lit(""), "_tokens": F.lit(0).cast("long")}).schema
+    names, terms = schema.names, [(n, frozenset(t.encode().split())) for n, t in anchors.items()]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for part in batches(frame, TOGETHER, at):
+                topics, tokens = [], []
+                for text in part.column(at):
+                    # bytes are split at ASCII white space only
+                    raw = (text.as_py() or "").lower().encode("utf-8", "surrogatepass")
+                    n = len(raw.split())
+                    tokens.append(n)
+                    topics.append(topic_of(set(raw.translate(_PUNCTUATION).split()), terms) if n else "unknown")
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_out], pa.array(topics, pa.string()), pa.array(tokens, pa.int64())], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def filled(targets: dict[str, float], have: dict[str, float]) -> dict[str, float]:

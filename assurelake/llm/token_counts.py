@@ -79,8 +79,9 @@ def count_with_cache(
     rows = docs.select(F.col(key_col), text.alias("_text"))
     digest = F.unhex(F.sha2("_text", 256)).alias("_digest")
     contents = rows.select(digest, "_text").filter("_text <> ''")
-    contents = contents.join(_read(spark, cache_path, version), "_digest", "left_anti")
-    missing = contents.groupBy("_digest").agg(F.first("_text").alias("_text"))
+    # copies are one before they meet the cache, so that a hot digest is no hot key of the join
+    distinct = contents.groupBy("_digest").agg(F.first("_text").alias("_text"))
+    missing = distinct.join(_read(spark, cache_path, version), "_digest", "left_anti")
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
