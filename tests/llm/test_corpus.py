@@ -83,11 +83,53 @@ def test_language_id(spark, sf, docs):
     for lang, score, text in got.values():
         assert (lang == "und") == (text is None or not any(c.isalpha() for c in text)) and 0 <= score <= 1
     assert set(model.languages) == {"en", "fr"}
+    odd = spark.createDataFrame([(1, "½ ² 12"), (2, "ⅷ"), (3, "½ é"), (4, "... _ 1")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred != "und" for r in langid.identify(odd, model).collect()} == {1: False, 2: False, 3: True, 4: False}
     nothing = langid.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.identify(empty(spark), model).count() == 0
 
 
+def grams_one_by_one(text, orders, buckets):
+    """Counts of the buckets of a text's n-grams, a gram at a time."""
+    codes, out = [np.uint32(ord(c)) for c in f" {text.lower()} "], np.zeros(buckets, int)
+    for n in orders:
+        for i in range(len(codes) - n + 1):
+            h = np.array([codes[i]]) * langid._M1
+            for c in codes[i + 1 : i + n]:
+                h = (h ^ c) * langid._M1
+                h ^= h >> np.uint32(15)
+            out[int(((h + np.uint32(n)) * langid._M2)[0] >> np.uint32(32 - buckets.bit_length() + 1))] += 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [7, 16, 1 << 18])
+def test_sparse_rows_hold_every_gram_once(piece, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rng, orders = random.Random(0), (1, 2, 3)
+    some = ["".join(rng.choice("ab é½Zİ") for _ in range(rng.choice([0, 1, 2, 5, 6, 7, 8, 15, 40]))) for _ in range(60)]
+    got = np.zeros((len(some), 64), int)
+    for row, start, bucket in langid.gram_rows(some, orders, 64):
+        for r, a, b in zip(row, start, [*start[1:], len(bucket)], strict=True):
+            got[r] += np.bincount(bucket[a:b], minlength=64)
+    assert all((got[i] == grams_one_by_one(t, orders, 64)).all() for i, t in enumerate(some))
+
+
+def test_language_scores_by_brute_force(spark):
+    """Priors, smoothed log probabilities, posterior and ties of the naive Bayes rule, document by document."""
+    train = [(i, t, ["aa", "bb", "cc"][i % 3]) for i, t in enumerate(texts(41, 30, 12))]
+    model = langid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"), buckets=256)
+    prior = {y: np.log(sum(r[2] == y for r in train) / len(train)) for y in ("aa", "bb", "cc")}
+    counts = {y: sum(grams_one_by_one(t, (1, 2, 3), 256) for _, t, z in train if z == y) for y in prior}
+    logp = {y: np.log((c + 0.5) / (c.sum() + 0.5 * 256)) for y, c in counts.items()}
+    tests = [(i, t) for i, t in enumerate([*texts(42, 10, 8), "x", train[0][1]])]
+    for r in langid.identify(spark.createDataFrame(tests, "doc_id long, text string"), model).collect():
+        g = grams_one_by_one(r.text, (1, 2, 3), 256)
+        total = np.array([prior[y] + g @ logp[y] for y in sorted(prior)])
+        p = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert r.lang_pred == sorted(prior)[int(total.argmax())] and abs(r.score - p.max()) < 1e-9
+
+
 def brute_components(rows, percent=75, words=5):
     sets = {}
     for i, t in rows:
@@ -119,6 +161,40 @@ def test_jaccard_components(spark, docs, percent, monkeypatch):
     assert got == brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], percent)
 
 
+def test_jaccard_with_full_filters_small_reads_and_spread_sets(spark, docs, monkeypatch):
+    """Filters that let everything through, lists read a few rows at a time and in blocks of two, every hot set spread."""
+    for name, value in (("FILTER_BITS", 64), ("READ_ROWS", 7), ("BLOCK_MEMBERS", 2), ("HOT", 4), ("SET_PAIRS", 50), ("GATHERED", 20)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r[0]: tuple(r)[1:] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_jaccard_links_across_groups(spark):
+    """Two tight groups of near copies whose members are linked across only here and there."""
+    rng, base = random.Random(9), texts(51, 1, 120)[0].split(" ")
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for k in range(0, 10 + 2 * (i % 9)):
+            w[(7 * k + i % 2) % len(w)] = f"new{k}{i % 2}"
+        w[rng.randrange(len(w))] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (60, 75, 85):
+        assert {r[0]: tuple(r)[1:] for r in jaccard.jaccard_components(df, percent=percent).collect()} == brute_components(rows, percent)
+
+
+def test_boundary_is_where_the_costs_meet():
+    def cost(n, subset):
+        p = jaccard.prefix(n, 75, subset)
+        return p * (p - 1) // 2 if subset == 2 else p
+
+    for length in (0.0, 3.0, 50.0, 100.0):
+        n = jaccard.boundary(10**6, length, 75)
+        assert all(cost(m, 2) <= cost(m, 1) * (1 + length) for m in range(2, n + 1)) and cost(n + 1, 2) > cost(n + 1, 1) * (1 + length)
+    assert jaccard.boundary(5, 1e9, 75) == 5 and cost(jaccard.boundary(10**6, 1e9, 75), 2) <= jaccard.SET_PAIRS
+
+
 def test_marks_never_differ_in_more_bits_than_the_sets_in_tokens():
     rng = np.random.default_rng(3)
     for n in (1, 2, 31, 32, 33, 100, 1000):
@@ -157,6 +233,17 @@ def test_pii_bases_and_disguises():
         found = pii.detect(t)
         assert found["email"] == [m.span() for m in mail.finditer(t)]
         assert found["ip"] == [m.span() for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    hits = 0
+    for _ in range(4000):
+        t = "".join(rng.choice("0123456789 -+.(x") if rng.random() < 0.4 else rng.choice("0123456789") for _ in range(45))
+        digits = lambda m: [int(c) for c in m[0] if c.isdigit()]
+        valid = lambda d: sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d[::-1])) % 10 == 0
+        want = [m.span() for m in card.finditer(t) if 12 <= len(digits(m)) <= 19 and valid(digits(m))]
+        assert pii.detect(t)["card"] == want
+        assert pii.detect(t)["phone"] == [m.span() for m in phone.finditer(t) if 9 <= len(digits(m)) <= 15]
+        hits += len(want)
+    assert hits > 20
     disguised = {
         "write john.doe [at] mail5 (dot) example [dot] com now": "john.doe [at] mail5 (dot) example [dot] com",
         "jоhn@mаil.com": "jоhn@mаil.com",
@@ -221,6 +308,56 @@ def test_mixing_reaches_targets(spark, docs):
     assert off < 1e-6 and abs(weights[0] * 10 / 100 - 0.5) < 1e-6
 
 
+def test_mixing_by_brute_force(spark):
+    """op7's targets and caps: shares, weights, probabilities and draws against plain Python."""
+    import xxhash
+
+    rng = random.Random(6)
+    extra = [""] * 60 + ["copyright license warranty", "http key token", "call phone email", "all rights reserved email"]
+    rows = [(i if i % 50 else None, f"{t} {rng.choice(extra)}".strip(), rng.choice(["en", "en", "fr", "de", "es", None]), rng.choice(["big", "big", "big", "s1", "s2", "s3", "s4", None])) for i, t in enumerate(texts(6, 300, 20))]
+    rows += [(1000, None, "en", "s1"), (1001, "", "en", "s1")]
+    got = {(r.doc_id, r.text): r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), mixing.TARGETS, mixing.CAPS, keep=["doc_id", "text"]).collect()}
+
+    def topic(t):
+        words = set(re.sub(r"[^a-z]", " ", (t or "").lower()).split())
+        n = {k: len(words & set(v.split())) for k, v in mixing.ANCHORS.items()}
+        return "unknown" if not (t or "").split() else max(n, key=n.get) if max(n.values()) else "general"
+
+    cell = {r[:2]: (r[3] or "unknown", r[2] or "unknown", topic(r[1])) for r in rows}
+    size = {}
+    for r in rows:
+        size[cell[r[:2]]] = size.get(cell[r[:2]], 0) + len((r[1] or "").split())
+    total = sum(size.values())
+    share = [{k: sum(v for c, v in size.items() if c[m] == k) / total for k in {c[m] for c in size}} for m in range(3)]
+    assert share[0]["big"] > 0.2
+    want = [dict(share[0]), dict(share[1]), dict(share[2])]
+    stated = mixing.TARGETS["lang"]
+    want[1] = {k: stated[k] * (1 - share[1]["unknown"]) if k in stated else x for k, x in share[1].items()}
+    want[0] = {k: 0.2 if k == "big" else x * 0.8 / (1 - share[0]["big"]) for k, x in share[0].items()}
+    assert max(want[0].values()) <= 0.2 and all(want[2][k] < mixing.CAPS["topic"].get(k, 1) for k in want[2])
+    weight = dict.fromkeys(size, 1.0)
+    for _ in range(500):
+        for m in range(3):
+            for k, x in want[m].items():
+                now = sum(weight[c] * size[c] for c in size if c[m] == k)
+                for c in size:
+                    if c[m] == k and now:
+                        weight[c] *= x * total / now
+    for r in rows:
+        g, w = got[r[:2]], weight[cell[r[:2]]]
+        assert abs(g.weight - w) < 1e-6 and abs(g.probability - w / max(weight.values())) < 1e-6 and g.deviation < 1e-6
+        h = xxhash.xxh64(struct.pack("<i", 7), seed=42).intdigest()
+        h = xxhash.xxh64(struct.pack("<q", r[0]) if r[0] is not None else (r[1] or "").encode(), seed=h).intdigest()
+        assert g.kept == ((h >> 11) * 2.0**-53 < g.probability)
+
+
+def test_caps():
+    assert mixing.capped({"a": 0.6, "b": 0.3, "c": 0.1}, {"*": 0.4}) == pytest.approx({"a": 0.4, "b": 0.4, "c": 0.2})
+    assert mixing.capped({"a": 0.6, "b": 0.4}, {"*": 0.4}) == pytest.approx({"a": 0.5, "b": 0.5})
+    assert mixing.capped({"a": 0.6, "b": 0.4}, {"a": 0.1}) == pytest.approx({"a": 0.1, "b": 0.9})
+    assert mixing.capped({"a": 1.0}, {}) == {"a": 1.0}
+
+
 def test_mixing_keeps_categories_without_a_target(spark):
     """op7's own targets sum to 1: a null and a fifth language keep their present share of the tokens."""
     langs = ["en", "fr", "de", "es", None, "it"]
@@ -248,6 +385,8 @@ def test_quality_counts_and_verdict(spark, docs):
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(hit), len(lines) - len(set(lines)))
         assert r.n_symbols == sum(t.count(c) for c in "#*$%&|<>")
         assert r.base_failed == (len(w) < 50 or 2 * len(hit) > len(w)) and not (r.base_failed and r.kept)
+    sampled = quality.ordered(quality.counts(given.sample(0.5, seed=1)), quality.rules())
+    assert {r.name for r in sampled} == {r.name for r in quality.rules()}
     order = quality.rules()
     same = [{(r.doc_id, r.kept) for r in quality.judge(quality.counts(given), o).collect()} for o in (order, order[::-1])]
     assert same[0] == same[1]
@@ -271,6 +410,28 @@ def test_url_filter(spark):
     right = sum((bias + sum(weights[b] for b in r.g) > 0) == (r.label == 1) for r in rows)
     assert right / len(rows) > 0.97
     assert url_filter.judge(df.limit(0), weights, bias).count() == 0
+    # the margins and verdicts of the judged urls, from their buckets
+    own = {r.page_id: r.g for r in df.select("page_id", url_filter.buckets_of(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("g")).collect()}
+    for i, r in got.items():
+        p = 1 / (1 + np.exp(-(bias + sum(round(weights[b], 6) for b in own[i]))))
+        assert abs(r.block_score - p) < 1e-9 and (r.rule is not None or r.verdict == ("block" if p > 0.5 else "allow"))
+
+
+def test_url_filter_on_names_it_has_not_seen(spark, capsys):
+    """Site names are held out, in five folds: the rows of a name are in one fold."""
+    rows = url_filter.labelled_urls(spark)
+    per = len(url_filter.HOSTS)
+    data = [(r.url, r.label, (i // per) % 5) for i, r in enumerate(rows.collect())]
+    df = spark.createDataFrame(data, "url string, label int, fold int").persist()
+    right = n = 0
+    for fold in range(5):
+        weights, bias = url_filter.train(df.filter(F.col("fold") != fold))
+        out = url_filter.judge(df.filter(F.col("fold") == fold).withColumn("page_id", F.col("label")), weights, bias, rules=())
+        for r in out.collect():
+            right, n = right + ((r.block_score > 0.5) == (r.page_id == 1)), n + 1
+    with capsys.disabled():
+        print(f" held-out accuracy {right / n:.3f}")
+    assert n == len(data) and right / n > 0.6
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -298,7 +459,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write_archives(df.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
-def test_top_k_is_exact(spark):
+def test_warc_records_of_other_writers():
+    def raw(kind, block, *headers, record_id="<urn:uuid:12345678-1234-1234-1234-123456789abc>"):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", "WARC-Date: 2020-01-01T00:00:00Z", *headers, f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    got = warc.parse(raw("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"))
+    assert (got["type"], got["page_id"], got["payload"], got["payload_bytes"]) == ("warcinfo", None, b"software: x\r\n", 13)
+    got = warc.parse(raw("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"))
+    assert (got["payload"], got["payload_digest"]) == (b"", hashlib.sha1(b"").hexdigest())
+    got = warc.parse(raw("response", b"HTTP/1.1 200 OK\r\n\r\nbody", "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + hashlib.sha1(b"body").hexdigest(), record_id="<urn:page:-3>"))
+    assert (got["page_id"], got["payload_bytes"]) == (-3, 4)
+    for broken in (raw("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nbody", "Content-Type: application/http"), raw("metadata", b"x", "WARC-Payload-Digest: sha1:" + "0" * 40), b"WARC/1.0\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc.parse(broken)
+
+
+def test_top_k_is_exact(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=12) * (1 + i % 7)]) for i in range(1500)]
     rows += [(2000, None), (2050, [1.0, None]), (2100, [float("nan")] * 12), (2150, [1.0] * 5), (2200, [0.0] * 12), (2201, rows[3][1]), (2202, rows[3][1])]
@@ -313,5 +490,13 @@ def test_top_k_is_exact(spark):
         best = sorted((-int(x), i) for x, i in zip(s, ids, strict=True) if i != q)[:5]
         assert sorted(got[q]) == [(n + 1, i, -x) for n, (x, i) in enumerate(best)]
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0, 5).count() == 0
+    # many small blocks, so that there are several rounds and floors rise; vectors of equal length too
+    want = {q: [(n + 1, i, -x) for n, (x, i) in enumerate(sorted((-int(x), i) for x, i in zip(m @ np.array(good[q]), ids, strict=True) if i != q)[:5])] for q in good if q % 50 == 0}
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    again = {}
+    for r in topk.top_k(df.withColumn("q", F.lit(1)).withColumn("score", F.lit(1)), F.col("id") % 50 == 0, 5).collect():
+        again.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {q: sorted(v) for q, v in again.items()} == want
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(few, F.col("id") % 50 == 0, 5).collect()] == [(0, 1, 1, 131072)]

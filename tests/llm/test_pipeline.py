@@ -20,7 +20,8 @@ def test_pipeline(spark, tmp_path):
     groups = brute_components(known)
     kept = [r for r in rows if r[0] in groups and groups[r[0]][1] == r[0]]
     clean = spark.createDataFrame([(i, pii.redact(t), lang, s, 1) for i, t, lang, s, _ in kept], docs.schema)
-    want = {r.doc_id: r.text for r in mixing.mix(clean, mixing.TARGETS).filter("kept").collect()}
+    drawn = {r.doc_id for r in mixing.mix(clean, mixing.TARGETS, mixing.CAPS).filter("kept").collect()}
+    want = {r.doc_id: r.text for r in clean.collect() if r.doc_id in drawn}
     assert set(got) == set(want) and want
 
     from tokenizers import Tokenizer
@@ -43,6 +44,25 @@ def test_stages_keep_the_columns_of_documents(spark):
             out.count()
 
 
+def test_stages_keep_columns_whose_names_the_operators_use(spark):
+    names = ["weight", "kept", "probability", "_topic", "_lang", "_score", "_source", "_tokens", "row", "go", "none", "key", "sid", "draw", "lang_pred", "score", "c0_", "draw_", "component_id"]
+    rows = [(i, t, None if i % 3 else "en", "s", 1, *range(i, i + len(names))) for i, t in enumerate(texts(21, 12, 40))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        got = f(spark, docs, "unused")
+        assert got.columns == docs.columns
+        kept = {r.doc_id: tuple(r)[5:] for r in got.collect()}
+        assert kept and all(v == rows[i][5:] for i, v in kept.items())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "unused").count() == len(rows)
+
+
+def test_language_fills_in_what_it_identified(spark):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts(31, 40, 30))] + [(100 + i, t, None, "s", 1) for i, t in enumerate(texts(32, 5, 30))] + [(200, "½ ² 12", None, "s", 1), (201, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, "unused").collect()}
+    assert set(got) == {*range(40), *range(100, 105)} and set(got.values()) == {"en"}
+
+
 def test_near_copies_keeps_one_of_repeated_rows(spark):
     """Rows that repeat an id, share it only, or have none."""
     a, b, c = texts(11, 3, 60)
