@@ -10,7 +10,7 @@ from assurelake.llm.pii import op6_pii
 from assurelake.llm.quality import OP4_SQL, op4_quality
 from assurelake.llm.token_counts import op5_token_counts
 from assurelake.llm.topk import OP9_SQL, op9_top_k
-from assurelake.llm.url_filter import op2_url_filter
+from assurelake.llm.url_filter import URL_RULES_SQL, op2_url_filter, url_rules
 from assurelake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -24,9 +24,11 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
     "op10_jaccard": op10_jaccard,
+    "url_rules": url_rules,
 }
 ORACLE: dict[str, str] = {
     "op4_quality": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op9_top_k": OP9_SQL,
+    "url_rules": URL_RULES_SQL,
 }

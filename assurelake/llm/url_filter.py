@@ -124,3 +124,23 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     weights, bias = train(labelled_urls(spark))
     return judge(table(spark, sf_dir, "pages"), weights, bias)
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page, and the verdict where a rule has one: what SQL can say of op2."""
+    ruled = judge(table(spark, sf_dir, "pages"), [0.0], 0.0)
+    return ruled.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+URL_RULES_SQL = f"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host, rest FROM r),
+p AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h),
+j AS (SELECT *, CASE WHEN {_fits("example.org", "/en/1")} THEN 'example.org/en/1' WHEN {_fits("example.org", "/es/")} THEN 'example.org/es/'
+  WHEN {_fits("com", "/fr/")} THEN 'com/fr/' WHEN {_fits("com", "/de/")} THEN 'com/de/' WHEN {_fits("org", "/")} THEN 'org/' END AS rule FROM p)
+SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS rule_verdict FROM j
+"""
