@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assurelake.llm.bpe import op1_bpe
+from assurelake.llm.filter_audit import OP12_SQL, op12_filter_audit
 from assurelake.llm.jaccard import op10_jaccard
 from assurelake.llm.langid import op3_language_id
 from assurelake.llm.mixing import op7_mixing
@@ -24,11 +25,13 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
     "op10_jaccard": op10_jaccard,
+    "op12_filter_audit": op12_filter_audit,
     "url_rules": url_rules,
 }
 ORACLE: dict[str, str] = {
     "op4_quality": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op9_top_k": OP9_SQL,
+    "op12_filter_audit": OP12_SQL,
     "url_rules": URL_RULES_SQL,
 }
