@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assurelake.llm.bpe import op1_bpe
+from assurelake.llm.chat import OP13_SQL, op13_chat_format
 from assurelake.llm.filter_audit import OP12_SQL, op12_filter_audit
 from assurelake.llm.jaccard import op10_jaccard
 from assurelake.llm.langid import op3_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_jaccard": op10_jaccard,
     "op12_filter_audit": op12_filter_audit,
+    "op13_chat_format": op13_chat_format,
     "url_rules": url_rules,
 }
 ORACLE: dict[str, str] = {
@@ -33,5 +35,6 @@ ORACLE: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op9_top_k": OP9_SQL,
     "op12_filter_audit": OP12_SQL,
+    "op13_chat_format": OP13_SQL,
     "url_rules": URL_RULES_SQL,
 }
