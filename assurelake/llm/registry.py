@@ -8,6 +8,7 @@ from assurelake.llm.filter_audit import OP12_SQL, op12_filter_audit
 from assurelake.llm.jaccard import op10_jaccard
 from assurelake.llm.langid import op3_language_id
 from assurelake.llm.mixing import op7_mixing
+from assurelake.llm.negatives import OP11_SQL, op11_hard_negatives
 from assurelake.llm.pii import op6_pii
 from assurelake.llm.quality import OP4_SQL, op4_quality
 from assurelake.llm.token_counts import op5_token_counts
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
     "op10_jaccard": op10_jaccard,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_filter_audit": op12_filter_audit,
     "op13_chat_format": op13_chat_format,
     "url_rules": url_rules,
@@ -34,6 +36,7 @@ ORACLE: dict[str, str] = {
     "op4_quality": OP4_SQL,
     "op8_warc": OP8_SQL,
     "op9_top_k": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
     "op13_chat_format": OP13_SQL,
     "url_rules": URL_RULES_SQL,
