@@ -42,8 +42,8 @@ class Escaping:
     """Escapes control strings in texts, and undoes it."""
 
     def __init__(self, controls: Sequence[str]):
-        if not controls or any(not c or "\\" in c or a[0] in c[1:] for c in controls for a in controls if a):
-            raise ValueError("the first character of a control string must not occur in the rest of any, and none holds a backslash")
+        if not controls or any(len(c) < 2 or "\\" in c for c in controls) or any(a[0] in c[1:] for c in controls for a in controls):
+            raise ValueError("control strings have two characters at least and no backslash, and the first character of one isn't in the rest of any")
         rests: dict[str, list[str]] = {}
         for c in controls:
             rests.setdefault(c[0], []).append(c[1:])
