@@ -1,7 +1,8 @@
 """Ingestion: CSV and JSON files into typed tables, with row-level quarantine.
 
 A record that lacks a required field or doesn't convert is quarantined with an issue for each field;
-so is one that breaks a key. Valid records go on. A file that was loaded before is not loaded again.
+so is one that breaks a key or is too long for its column. Valid records go on. A file that was loaded before is
+not loaded again. Rows, issues and the job's row are one commit of the catalog.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assurelake.functions.scalar import blank_to_null, stable_uuid
-from assurelake.sources.catalog import written
+from assurelake.sources import quoted_csv
+from assurelake.sources.catalog import Catalog, written
 
 #: Logical types of contract columns and the Spark types that hold them.
 TYPES = {"STRING": "string", "UUID": "string", "DATE": "date", "TIMESTAMP": "timestamp", "MONEY": "decimal(18,2)", "QUANTITY": "decimal(18,4)", "RATE": "decimal(8,4)", "SCORE": "decimal(5,2)", "INTEGER": "int"}
@@ -22,34 +24,39 @@ _UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-
 
 @dataclass(frozen=True)
 class Contract:
-    """Columns as name -> type (required ones end in !), the natural key, and parents as column -> table."""
+    """Columns as name -> type, with the greatest length of a text in brackets (required ones end in !), the
+    natural key, and parents as column -> table."""
 
     columns: dict[str, str]
     key: tuple[str, ...] = ()
     parents: dict[str, str] | None = None
 
     def type_of(self, c: str) -> str:
-        return self.columns[c].rstrip("!")
+        return self.columns[c].rstrip("!").partition("(")[0]
+
+    def length(self, c: str) -> int | None:
+        found = self.columns[c].rstrip("!)").partition("(")[2]
+        return int(found) if found else None
 
     def required(self, c: str) -> bool:
         return self.columns[c].endswith("!")
 
 
-# The columns that files of each table have and their types (! required)
+# The columns that files of each table have, their types and greatest lengths (! required)
 CONTRACTS = {
     "taxpayers": Contract(
         {
             "id": "UUID!",
-            "kra_pin": "STRING",
-            "taxpayer_type": "STRING!",
-            "legal_name": "STRING!",
-            "trading_name": "STRING",
-            "registration_number": "STRING",
-            "sector_code": "STRING",
-            "sector_name": "STRING",
-            "tax_office": "STRING",
-            "county": "STRING",
-            "status": "STRING!",
+            "kra_pin": "STRING(40)",
+            "taxpayer_type": "STRING(40)!",
+            "legal_name": "STRING(240)!",
+            "trading_name": "STRING(240)",
+            "registration_number": "STRING(80)",
+            "sector_code": "STRING(80)",
+            "sector_name": "STRING(160)",
+            "tax_office": "STRING(160)",
+            "county": "STRING(120)",
+            "status": "STRING(60)!",
             "registered_at": "DATE",
             "created_at": "TIMESTAMP!",
             "updated_at": "TIMESTAMP!",
@@ -60,9 +67,9 @@ CONTRACTS = {
         {
             "id": "UUID!",
             "taxpayer_id": "UUID!",
-            "identifier_type": "STRING!",
-            "identifier_value": "STRING!",
-            "source": "STRING",
+            "identifier_type": "STRING(80)!",
+            "identifier_value": "STRING(200)!",
+            "source": "STRING(120)",
             "confidence_score": "SCORE!",
             "created_at": "TIMESTAMP!",
         },
@@ -72,8 +79,8 @@ CONTRACTS = {
         {
             "id": "UUID!",
             "taxpayer_id": "UUID!",
-            "tax_head": "STRING!",
-            "obligation_status": "STRING!",
+            "tax_head": "STRING(80)!",
+            "obligation_status": "STRING(60)!",
             "effective_from": "DATE",
             "effective_to": "DATE",
             "created_at": "TIMESTAMP!",
@@ -83,19 +90,19 @@ CONTRACTS = {
     "invoices": Contract(
         {
             "id": "UUID!",
-            "invoice_number": "STRING!",
+            "invoice_number": "STRING(120)!",
             "supplier_taxpayer_id": "UUID",
             "buyer_taxpayer_id": "UUID",
-            "supplier_pin": "STRING",
-            "buyer_pin": "STRING",
+            "supplier_pin": "STRING(40)",
+            "buyer_pin": "STRING(40)",
             "invoice_date": "DATE!",
-            "invoice_type": "STRING!",
-            "invoice_status": "STRING!",
+            "invoice_type": "STRING(60)!",
+            "invoice_status": "STRING(60)!",
             "taxable_amount": "MONEY!",
             "tax_amount": "MONEY!",
             "total_amount": "MONEY!",
-            "currency": "STRING!",
-            "etims_reference": "STRING",
+            "currency": "STRING(10)!",
+            "etims_reference": "STRING(160)",
             "source_job_id": "UUID",
             "created_at": "TIMESTAMP!",
         },
@@ -111,8 +118,8 @@ CONTRACTS = {
             "unit_price": "QUANTITY",
             "taxable_amount": "MONEY",
             "tax_amount": "MONEY",
-            "hs_code": "STRING",
-            "product_code": "STRING",
+            "hs_code": "STRING(40)",
+            "product_code": "STRING(80)",
         },
         (), {"invoice_id": "invoices"},
     ),
@@ -120,16 +127,16 @@ CONTRACTS = {
         {
             "id": "UUID!",
             "taxpayer_id": "UUID!",
-            "tax_head": "STRING!",
+            "tax_head": "STRING(80)!",
             "period_start": "DATE!",
             "period_end": "DATE!",
-            "return_reference": "STRING",
+            "return_reference": "STRING(120)",
             "declared_sales": "MONEY",
             "declared_income": "MONEY",
             "declared_tax_due": "MONEY",
             "declared_input_tax": "MONEY",
             "declared_output_tax": "MONEY",
-            "filing_status": "STRING!",
+            "filing_status": "STRING(60)!",
             "filed_at": "TIMESTAMP",
             "source_job_id": "UUID",
             "created_at": "TIMESTAMP!",
@@ -140,13 +147,13 @@ CONTRACTS = {
         {
             "id": "UUID!",
             "taxpayer_id": "UUID",
-            "importer_pin": "STRING",
-            "declaration_number": "STRING!",
-            "declaration_type": "STRING!",
+            "importer_pin": "STRING(40)",
+            "declaration_number": "STRING(120)!",
+            "declaration_type": "STRING(80)!",
             "declaration_date": "DATE!",
-            "hs_code": "STRING",
+            "hs_code": "STRING(40)",
             "goods_description": "STRING",
-            "country_of_origin": "STRING",
+            "country_of_origin": "STRING(120)",
             "customs_value": "MONEY!",
             "duty_amount": "MONEY!",
             "vat_amount": "MONEY!",
@@ -159,11 +166,11 @@ CONTRACTS = {
     "withholding_certificates": Contract(
         {
             "id": "UUID!",
-            "certificate_number": "STRING!",
+            "certificate_number": "STRING(120)!",
             "payer_taxpayer_id": "UUID",
             "payee_taxpayer_id": "UUID",
-            "payer_pin": "STRING",
-            "payee_pin": "STRING",
+            "payer_pin": "STRING(40)",
+            "payee_pin": "STRING(40)",
             "certificate_date": "DATE!",
             "payment_period_start": "DATE",
             "payment_period_end": "DATE",
@@ -185,7 +192,7 @@ CONTRACTS = {
             "gross_pay": "MONEY",
             "paye_due": "MONEY",
             "paye_paid": "MONEY",
-            "filing_status": "STRING!",
+            "filing_status": "STRING(60)!",
             "source_job_id": "UUID",
             "created_at": "TIMESTAMP!",
         },
@@ -195,14 +202,14 @@ CONTRACTS = {
         {
             "id": "UUID!",
             "taxpayer_id": "UUID",
-            "permit_number": "STRING!",
-            "county": "STRING!",
-            "business_activity": "STRING",
-            "premises_location": "STRING",
+            "permit_number": "STRING(120)!",
+            "county": "STRING(120)!",
+            "business_activity": "STRING(200)",
+            "premises_location": "STRING(240)",
             "valid_from": "DATE",
             "valid_to": "DATE",
             "permit_fee": "MONEY",
-            "permit_status": "STRING!",
+            "permit_status": "STRING(60)!",
             "source_job_id": "UUID",
             "created_at": "TIMESTAMP!",
         },
@@ -211,12 +218,12 @@ CONTRACTS = {
     "properties": Contract(
         {
             "id": "UUID!",
-            "property_reference": "STRING!",
+            "property_reference": "STRING(120)!",
             "owner_taxpayer_id": "UUID",
-            "owner_pin": "STRING",
-            "county": "STRING",
-            "location_description": "STRING",
-            "property_type": "STRING",
+            "owner_pin": "STRING(40)",
+            "county": "STRING(120)",
+            "location_description": "STRING(240)",
+            "property_type": "STRING(80)",
             "valuation_amount": "MONEY",
             "estimated_monthly_rent": "MONEY",
             "source_job_id": "UUID",
@@ -227,17 +234,17 @@ CONTRACTS = {
     "payment_transactions": Contract(
         {
             "id": "UUID!",
-            "transaction_reference": "STRING!",
+            "transaction_reference": "STRING(160)!",
             "payer_taxpayer_id": "UUID",
-            "payer_pin": "STRING",
-            "collecting_agency": "STRING!",
-            "revenue_channel": "STRING!",
-            "service_code": "STRING",
+            "payer_pin": "STRING(40)",
+            "collecting_agency": "STRING(160)!",
+            "revenue_channel": "STRING(120)!",
+            "service_code": "STRING(120)",
             "payment_date": "TIMESTAMP!",
             "amount": "MONEY!",
-            "currency": "STRING!",
-            "payment_status": "STRING!",
-            "provider_reference": "STRING",
+            "currency": "STRING(10)!",
+            "payment_status": "STRING(60)!",
+            "provider_reference": "STRING(160)",
             "source_job_id": "UUID",
             "created_at": "TIMESTAMP!",
         },
@@ -246,14 +253,14 @@ CONTRACTS = {
     "settlement_records": Contract(
         {
             "id": "UUID!",
-            "settlement_reference": "STRING!",
-            "collecting_agency": "STRING!",
-            "revenue_channel": "STRING!",
-            "settlement_account": "STRING",
+            "settlement_reference": "STRING(160)!",
+            "collecting_agency": "STRING(160)!",
+            "revenue_channel": "STRING(120)!",
+            "settlement_account": "STRING(160)",
             "settlement_date": "DATE!",
             "settled_amount": "MONEY!",
             "transaction_count": "INTEGER",
-            "settlement_status": "STRING!",
+            "settlement_status": "STRING(60)!",
             "source_job_id": "UUID",
             "created_at": "TIMESTAMP!",
         },
@@ -274,12 +281,12 @@ def contract(table: str) -> Contract:
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records, every value a text: CSV with a header, or JSON as an array or {"records": [...]}.
+    """Raw records, every value a text: CSV with a header (and _row), or JSON as an array or {"records": [...]}.
 
     A CSV row that is too short and a JSON element that is no object fail the whole file.
     """
     if path.lower().endswith(".csv"):
-        return spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"').csv(path)
+        return quoted_csv.scan(spark, path).records()
     if path.lower().endswith(".json"):
         rows = spark.read.option("multiLine", True).option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
         if rows.columns == ["records"]:
@@ -355,17 +362,22 @@ def validate(raw: DataFrame, table: str, job: str, now: str) -> tuple[DataFrame,
 
 
 def constrain(valid: DataFrame, table: str, existing: DataFrame | None = None, parents: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows that keep the table's keys, issues of the others): of rows with equal keys in a file the first
-    stays, rows whose key is there already go, as do rows whose parent is missing. Null keys don't clash."""
+    """(rows that keep the table's constraints, issues of the others): rows with a text that is too long go first,
+    of rows with equal keys in a file the first that is left stays, rows whose key is there already go, as do
+    rows whose parent is missing. Null keys don't clash."""
     spec = contract(table)
-    bad = F.lit(False)
-    rows = valid
+    long = F.lit(False)
+    for c in spec.columns:
+        if spec.length(c):
+            long = long | (F.coalesce(F.char_length(c), F.lit(0)) > spec.length(c))
+    rows = valid.withColumn("_long", long)
+    bad = F.col("_long")
     if spec.key:
         whole = F.lit(True)
         for k in spec.key:
             whole = whole & F.col(k).isNotNull()
         # rows without a whole key are each on their own, so that no window gathers them
-        first = Window.partitionBy(*spec.key, F.when(~whole, F.col("_row"))).orderBy("_row")
+        first = Window.partitionBy(*spec.key, F.when(~whole | F.col("_long"), F.col("_row"))).orderBy("_row")
         rows = rows.withColumn("_again", whole & (F.row_number().over(first) > 1))
         bad = bad | F.col("_again")
         if existing is not None:
@@ -382,30 +394,44 @@ def constrain(valid: DataFrame, table: str, existing: DataFrame | None = None, p
     return rows.filter("NOT _bad").select(*spec.columns), issues
 
 
-def ingest(spark: SparkSession, path: str, table: str, source: str, job: str, now: str, catalog, jobs: DataFrame | None = None) -> dict:
-    """Load a file into a table of the catalog; returns the job's row. jobs: earlier ones (source, table,
-    file_hash, status)."""
+JOBS = "id string, source string, table_name string, file_hash string, total long, valid long, invalid long, status string, error string"
+_LOADED = ("COMPLETED", "COMPLETED_WITH_ERRORS")
+
+
+def ingest(spark: SparkSession, path: str, table: str, source: str, job: str, now: str, catalog: Catalog, jobs: DataFrame | None = None) -> dict:
+    """Load a file into a table of the catalog; returns the job's row. jobs: earlier ones (source, table_name,
+    file_hash, status), else those of the catalog. Rows, issues and the job are published together."""
     table = table.strip().lower()
-    digest = file_hash(spark, path)
-    row = {"id": job, "source": source, "table_name": table, "file_hash": digest, "total": 0, "valid": 0, "invalid": 0, "status": "RUNNING"}
-    if jobs is not None and not jobs.filter((F.col("source") == source) & (F.col("table_name") == table) & (F.col("file_hash") == digest) & F.col("status").isin("COMPLETED", "COMPLETED_WITH_ERRORS")).isEmpty():
-        return row | {"status": "DUPLICATE"}
-    try:
-        raw = numbered(read_file(spark, path))
-        total = raw.count()
-    except ValueError:
-        raise
-    except Exception as problem:  # a file that can't be parsed is a failed job, not a crash
-        return row | {"status": "FAILED", "error": str(problem)[:200]}
-    valid, issues = validate(raw, table, job, now)
-    parents = {p: catalog.read(p) for p in set((contract(table).parents or {}).values()) if catalog.exists(p)}
-    kept, broken = constrain(valid, table, catalog.read(table) if catalog.exists(table) else None, parents)
-    issues = issues.unionByName(broken).withColumn("job_id", F.lit(job))
-    issues, kept = written(issues, "issues"), written(kept, "records")  # both come from the same rows
-    catalog.append("data_quality_issues", issues)
-    n = kept.count()
-    catalog.append(table, kept)
-    return row | {"total": total, "valid": n, "invalid": total - n, "status": "COMPLETED" if n == total else "COMPLETED_WITH_ERRORS"}
+    contract(table)
+    row = {"id": job, "source": source, "table_name": table, "file_hash": None, "total": 0, "valid": 0, "invalid": 0, "status": "RUNNING", "error": None}
+
+    def record(t, row: dict) -> dict:
+        t.append("ingestion_jobs", spark.createDataFrame([tuple(row.values())], JOBS))
+        return row
+
+    with catalog.transaction() as t:
+        if jobs is None and t.exists("ingestion_jobs"):
+            jobs = t.read("ingestion_jobs")
+        try:
+            scan = quoted_csv.scan(spark, path) if path.lower().endswith(".csv") else None
+            row["file_hash"] = scan.digest if scan else file_hash(spark, path)
+            if jobs is not None and not jobs.filter((F.col("source") == source) & (F.col("table_name") == table) & (F.col("file_hash") == row["file_hash"]) & F.col("status").isin(*_LOADED)).isEmpty():
+                return record(t, row | {"status": "DUPLICATE"})
+            raw = scan.records() if scan else numbered(read_file(spark, path))
+            total = scan.total if scan else raw.count()
+        except Exception as problem:  # a file that can't be parsed is a failed job, not a crash
+            issue = (None, "file", None, "FILE_PARSE_ERROR", "{}", job)
+            t.append("data_quality_issues", spark.createDataFrame([issue], "_row long, record_reference string, field string, code string, raw_payload string, job_id string"))
+            return record(t, row | {"status": "FAILED", "error": str(problem)[:200]})
+        valid, issues = validate(raw, table, job, now)
+        parents = {p: t.read(p) for p in set((contract(table).parents or {}).values()) if t.exists(p)}
+        kept, broken = constrain(valid, table, t.read(table) if t.exists(table) else None, parents)
+        issues = issues.unionByName(broken).withColumn("job_id", F.lit(job))
+        kept = written(kept, "records")  # before the table that it was compared with changes
+        n = kept.count()
+        t.append("data_quality_issues", issues)
+        t.append(table, kept)
+        return record(t, row | {"total": total, "valid": n, "invalid": total - n, "status": "COMPLETED" if n == total else "COMPLETED_WITH_ERRORS"})
 
 
 def job_list(jobs: DataFrame) -> DataFrame:
