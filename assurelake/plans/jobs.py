@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurelake.operators import cases, governance, graph, reconcile, reports, rules, scoring, taxgap
+from assurelake.operators import cases, governance, graph, reconcile, reports, rules, runs, scoring, taxgap, views
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import Domain
 from assurelake.plans.queries import EDGES, GAP, INT, ML, QUERIES, RECON, _jobs, _sources, all_signals, gap_estimates, obs, query, recon, rule_scores
 from assurelake.sources import ingest
-from assurelake.sources.catalog import Catalog, insert_if_absent, merge_by_key, work_dir
+from assurelake.sources.catalog import Catalog, insert_if_absent, merge_by_key, work_dir, written
 
 __all__ = ["QUERIES"]
 
@@ -57,6 +57,30 @@ query(
     UNION ALL SELECT kra_pin, NULL, 'PERSISTENCE_ERROR' FROM (SELECT *, row_number() OVER (PARTITION BY kra_pin ORDER BY tax_office) AS again FROM {{raw}} WHERE {_OKAY}) WHERE kra_pin IS NOT NULL AND again > 1)""",
     raw=_RECORDS,
 )(lambda d: loaded(d)[1].read("data_quality_issues").select("record_reference", "field", "code"))
+# records whose names hold line breaks, quotes and commas, some too long, as the export sink writes them
+_BROKEN = """SELECT concat('B', c_custkey) AS kra_pin, 'COMPANY' AS taxpayer_type, CASE WHEN c_custkey % 50 = 7 THEN repeat('n', 241) WHEN c_custkey % 3 = 0 THEN concat(c_name, chr(10), 'c/o "', c_mktsegment, '",', chr(10), chr(10), 'Ltd') ELSE c_name END AS legal_name,
+  CASE WHEN c_custkey % 50 = 11 THEN repeat('s', 61) ELSE 'ACTIVE' END AS status FROM {customer}"""
+
+
+def round_trip(d: Domain) -> Catalog:
+    """The records exported and ingested again, in a catalog."""
+    folder = f"{work_dir(d.spark)}/round-trip-{uuid.uuid4().hex}"
+    reports.write_csv(d.spark.sql(_BROKEN, customer=d["customer"]).coalesce(1), f"{folder}/export")
+    catalog = Catalog(d.spark, f"{folder}/tables")
+    path = d.spark.read.format("binaryFile").load(f"{folder}/export").select("path").first()[0]  # the one file
+    ingest.ingest(d.spark, path, "taxpayers", "SRC-2", "00000000-0000-0000-0000-000000000002", _NOW, catalog)
+    return catalog
+
+
+query("ingest_quoted_rows", "SELECT kra_pin, legal_name, status FROM {broken} WHERE length(legal_name) <= 240 AND length(status) <= 60", broken=_BROKEN)(lambda d: round_trip(d).read("taxpayers").select("kra_pin", "legal_name", "status"))
+query(
+    "ingest_quoted_issues",
+    "SELECT kra_pin AS record_reference, 'PERSISTENCE_ERROR' AS code, legal_name FROM {broken} WHERE length(legal_name) > 240 OR length(status) > 60",
+    broken=_BROKEN,
+)(lambda d: round_trip(d).read("data_quality_issues").select("record_reference", "code", F.get_json_object("raw_payload", "$.legal_name").alias("legal_name")))
+query("ingest_quoted_jobs", "SELECT 'taxpayers' AS table_name, count(*) AS total, count(*) FILTER (WHERE length(legal_name) <= 240 AND length(status) <= 60) AS valid, 'COMPLETED_WITH_ERRORS' AS status FROM {broken}", broken=_BROKEN)(
+    lambda d: round_trip(d).read("ingestion_jobs").select("table_name", "total", "valid", "status")
+)
 query(
     "ingest_parents",
     "SELECT invoice_number, CASE WHEN supplier_taxpayer_id LIKE '%3' THEN 'PERSISTENCE_ERROR' WHEN again > 1 THEN 'PERSISTENCE_ERROR' ELSE 'OK' END AS code FROM (SELECT *, row_number() OVER (PARTITION BY invoice_number, supplier_pin, invoice_date ORDER BY supplier_taxpayer_id) AS again FROM {invoices})",
@@ -124,6 +148,76 @@ query("graph_node_merge", "SELECT id, legal_name FROM {taxpayers}")(
     lambda d: (lambda have, new: have.unionByName(insert_if_absent(have, new, ["id"])))(d["taxpayers"].filter("id LIKE 'S%'").select("id", "legal_name"), d["taxpayers"].select("id", "legal_name"))
 )
 
+# runs that keep their results in the catalog
+
+
+def new_catalog(d: Domain, name: str) -> Catalog:
+    return Catalog(d.spark, f"{work_dir(d.spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def orders_merged(d: Domain) -> DataFrame:
+    """Orders in a table with buckets; those of a hundredth of the customers are merged with another status, some of them new."""
+    catalog, key = new_catalog(d, "merged"), ["order_number"]
+    orders = d["orders"].select(F.concat(F.lit("ORD-"), "o_orderkey").alias("order_number"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), "o_custkey", "o_orderkey", F.lit("first").alias("id"))
+    catalog.write("orders", orders.filter("o_orderkey % 50 <> 7"), key, 64)
+    catalog.merge("orders", orders.filter("o_custkey % 100 = 3 OR o_orderkey % 50 = 7").withColumns({"id": F.lit("second"), "status": F.lit("PAID")}), key)
+    return catalog.read("orders")
+
+
+query(
+    "catalog_bucket_merge",
+    "SELECT concat('ORD-', o_orderkey) AS order_number, CASE WHEN o_custkey % 100 = 3 OR o_orderkey % 50 = 7 THEN 'PAID' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 50 = 7 THEN 'second' ELSE 'first' END AS id, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM {orders}",
+)(lambda d: orders_merged(d).select("order_number", "status", "id", "amount"))
+
+
+def gap_runs(d: Domain) -> Catalog:
+    """Two runs of the gap engine: the second finds the VAT signals only, so other estimates stay as they were."""
+    catalog, signals = new_catalog(d, "gap-runs"), written(all_signals(d), "signals")
+    runs.run_gaps(catalog, signals, "2024-01-01 00:00:00")
+    runs.run_gaps(catalog, signals.filter("tax_head = 'VAT'"), "2024-02-02 00:00:00")
+    return catalog
+
+
+query(
+    "gap_run_estimates",
+    "SELECT deterministic_key, recoverable_tax, '2024-01-01' AS created, CASE WHEN tax_head = 'VAT' THEN '2024-02-02' ELSE '2024-01-01' END AS updated FROM {est}",
+    **GAP,
+)(lambda d: gap_runs(d).read("tax_gap_estimates").select("deterministic_key", "recoverable_tax", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated")))
+query("gap_run_scores", "SELECT taxpayer_id, score, recoverable_tax, source FROM {scores}", **GAP)(lambda d: gap_runs(d).read("risk_scores").select("taxpayer_id", "score", "recoverable_tax", "source"))
+
+
+def recon_runs(d: Domain) -> Catalog:
+    catalog = new_catalog(d, "recon-runs")
+    for now in ("2024-01-01 00:00:00", "2024-02-02 00:00:00"):
+        runs.run_reconciliation(catalog, d["payment_transactions"], d["settlement_records"], now)
+    return catalog
+
+
+query(
+    "recon_run_results",
+    "SELECT deterministic_key, CASE WHEN settlement_status <> 'MATCHED' THEN 'reconciliation:' || deterministic_key END AS risk_signal_id, '2024-01-01' AS created FROM {recon}",
+    **RECON,
+)(lambda d: recon_runs(d).read("reconciliation_results").select("deterministic_key", "risk_signal_id", F.date_format("created_at", "yyyy-MM-dd").alias("created")))
+
+
+def refreshed(d: Domain) -> Catalog:
+    """The report views refreshed after a first load of estimates, an append, and a merge."""
+    catalog, est = new_catalog(d, "views"), written(gap_estimates(d).drop("signal_types", "bases", "evidence"), "estimates")
+    wrong = est.filter("tax_head = 'VAT' AND taxpayer_id LIKE 'S%'").withColumn("recoverable_tax", F.lit(1).cast("decimal(18,2)"))
+    catalog.write(views.SOURCE, wrong.unionByName(est.filter("tax_head = 'VAT' AND taxpayer_id NOT LIKE 'S%'")), ["deterministic_key"], 16)
+    views.refresh(catalog)
+    catalog.append(views.SOURCE, est.filter("tax_head <> 'VAT'"))
+    views.refresh(catalog)
+    catalog.merge(views.SOURCE, est.filter("tax_head = 'VAT' AND taxpayer_id LIKE 'S%'"), ["deterministic_key"])
+    views.refresh(catalog)
+    return catalog
+
+
+_VIEW = """count(*) AS estimates, count(DISTINCT taxpayer_id) AS taxpayers, CAST(sum(estimated_gap) AS DECIMAL(18,2)) AS estimated_gap, CAST(sum(recoverable_tax) AS DECIMAL(18,2)) AS recoverable_tax,
+  CAST(sum(total_recoverable) AS DECIMAL(18,2)) AS total_recoverable, CAST(round(CAST(sum(confidence_score) AS DOUBLE) / count(*), 2) AS DECIMAL(5,2)) AS average_confidence"""
+query("report_view_by_sector", f"SELECT coalesce(sector_name, 'Unspecified') AS sector, tax_head, {_VIEW} FROM {{est}} JOIN {{taxpayers}} ON id = taxpayer_id GROUP BY 1, 2", **GAP)(lambda d: views.by_sector(refreshed(d), d["taxpayers"]))
+query("report_view_by_region", f"SELECT coalesce(county, 'Unspecified') AS region, tax_head, {_VIEW} FROM {{est}} JOIN {{taxpayers}} ON id = taxpayer_id GROUP BY 1, 2", **GAP)(lambda d: views.by_region(refreshed(d), d["taxpayers"]))
+
 # models
 
 _VERSIONS = "model_name string, version string, created_at string, active boolean"
