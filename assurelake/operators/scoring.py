@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from assurelake.functions.scalar import clamp
 from assurelake.operators.rules import months_of, periods_of
+from assurelake.operators.shapley import Explainer, Tree
 from assurelake.sources.catalog import replace_tagged, written
 
 SOURCE = "AI_RISK_SCORING"
@@ -137,21 +138,18 @@ def with_contributions(rows: DataFrame) -> DataFrame:
 
 # isolation forest: trees from samples of fixed size, scores by task
 
-#: A tree: feature (-1: leaf), split, left child (the right one follows it), mean path length below.
-Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-
-
 def grow(sample: np.ndarray, rng: np.random.Generator, depth: int) -> Tree:
     """One tree; the length of an inner node is the mean of the sample's rows that reach it."""
-    feature, split, left, length = [], [], [], []
+    feature, split, left, length, cover = [], [], [], [], []
 
     def add() -> int:
-        feature.append(-1), split.append(0.0), left.append(-1), length.append(0.0)
+        feature.append(-1), split.append(0.0), left.append(-1), length.append(0.0), cover.append(0)
         return len(feature) - 1
 
     todo, inner = [(add(), sample, 0)], []
     while todo:
         at, rows, level = todo.pop()
+        cover[at] = len(rows)
         low, high = rows.min(axis=0), rows.max(axis=0)
         usable = np.flatnonzero(high > low)
         if level >= depth or len(rows) <= 1 or not len(usable):
@@ -166,7 +164,7 @@ def grow(sample: np.ndarray, rng: np.random.Generator, depth: int) -> Tree:
         todo += [(a, rows[below], level + 1), (b, rows[~below], level + 1)]
     for at, share in reversed(inner):  # children come after their parent
         length[at] = share * length[left[at]] + (1 - share) * length[left[at] + 1]
-    return np.array(feature), np.array(split), np.array(left), np.array(length)
+    return np.array(feature), np.array(split), np.array(left), np.array(length), np.array(cover)
 
 
 def expected_path(n: int) -> float:
@@ -174,15 +172,13 @@ def expected_path(n: int) -> float:
     return 0.0 if n <= 1 else (1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n)
 
 
-def paths(tree: Tree, x: np.ndarray, by_feature: np.ndarray) -> np.ndarray:
-    """Path lengths of the rows of x. What each split on the way changes in the expected length is added to
-    the split's feature in by_feature (rows x features): with the root's length it sums to the path."""
-    feature, split, left, length = tree
+def paths(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """Path lengths of the rows of x."""
+    feature, split, left, length, _ = tree
     at = np.zeros(len(x), dtype=np.int64)
     while (inner := feature[at] >= 0).any():
         rows, here = np.flatnonzero(inner), at[inner]
         at[rows] = left[here] + (x[rows, feature[here]] > split[here])
-        by_feature[rows, feature[here]] += length[at[rows]] - length[here]
     return length[at]
 
 
@@ -201,33 +197,45 @@ def tree_samples(rows: DataFrame, trees: int, per_tree: int, seed: int, key: str
     return [g[FEATURES].to_numpy(dtype=float) for _, g in frame.groupby("tree").head(per_tree).groupby("tree")]
 
 
+def grown_forest(rows: DataFrame, trees: int = 128, per_tree: int = 256, seed: int = 42, key: str = "taxpayer_id") -> list[Tree]:
+    """Trees of samples of all rows; none without rows."""
+    rng = np.random.default_rng(seed)
+    return [grow(s, rng, int(np.ceil(np.log2(max(2, len(s)))))) for s in tree_samples(rows, trees, per_tree, seed, key)]
+
+
+def explained(rows: DataFrame, forest: list[Tree], key: str = "taxpayer_id") -> DataFrame:
+    """(key, path_length, base_length, a column for each feature): the mean path length of every row, that of
+    the training rows, and the Shapley values that sum to the difference."""
+    shared = rows.sparkSession.sparkContext.broadcast((forest, Explainer(forest, len(FEATURES))))  # trees * per_tree leaves
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, explainer = shared.value
+        for frame in frames:
+            for start in range(0, frame.num_rows, 2000):
+                some = frame.slice(start, 2000)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in some.columns[1:]])
+                mean = sum(paths(t, x) for t in trees) / len(trees)
+                cols = [some.column(0), pa.array(mean), pa.array(np.full(len(x), explainer.base)), *(pa.array(np.ascontiguousarray(c)) for c in explainer.values(x).T)]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "path_length", "base_length", *FEATURES])
+
+    given = rows.select(key, *[F.col(c).cast("double") for c in FEATURES])
+    return given.mapInArrow(run, f"{key} string, path_length double, base_length double, " + ", ".join(f"{c} double" for c in FEATURES))
+
+
 def isolation_scores(rows: DataFrame, trees: int = 128, per_tree: int = 256, seed: int = 42, key: str = "taxpayer_id") -> DataFrame:
     """rows with isolation_score: how early random splits set a row apart, scaled to 0..100 over all rows; and
-    forest_contributions: ten times what each feature's splits change in the score, by feature."""
+    forest_contributions: ten times the absolute Shapley value of each feature in the mean path length."""
     rows = written(rows, "features")
-    samples = tree_samples(rows, trees, per_tree, seed, key)
+    forest = grown_forest(rows, trees, per_tree, seed, key)
     kind = "map<string,decimal(18,2)>"
-    if not samples:
+    if not forest:
         return rows.withColumns({"isolation_score": F.lit(None).cast("decimal(5,2)"), "forest_contributions": F.lit(None).cast(kind)})
-    rng = np.random.default_rng(seed)
-    forest = [grow(s, rng, int(np.ceil(np.log2(max(2, len(s)))))) for s in samples]
-    shared, norm = rows.sparkSession.sparkContext.broadcast(forest), max(expected_path(len(samples[0])), 1e-9)  # trees * per_tree nodes
-
-    def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in frame.columns[1:]])
-            parts = np.zeros_like(x)
-            mean = sum(paths(t, x, parts) for t in shared.value) / len(shared.value)
-            raw = np.power(2.0, -mean / norm)
-            # the score's slope at the mean path turns lengths into score
-            given = np.abs(parts / len(shared.value) * (-np.log(2.0) / norm * raw)[:, None])
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(raw), *(pa.array(c) for c in given.T)], names=[key, "raw", *FEATURES])
-
-    raw = rows.select(key, *[F.col(c).cast("double") for c in FEATURES]).mapInArrow(score, f"{key} string, raw double, " + ", ".join(f"{c} double" for c in FEATURES))
+    norm = max(expected_path(int(forest[0][4][0])), 1e-9)
+    raw = explained(rows, forest, key).withColumn("raw", F.pow(F.lit(2.0), -F.col("path_length") / norm))
     raw = written(raw, "isolation")
     ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))  # one row
     scaled = F.round((F.col("raw") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6)) * 100, 2).cast("decimal(5,2)")
-    given = F.create_map(*[x for c in FEATURES for x in (F.lit(LABELS[c]), F.round(F.col(c) * 10, 2).cast("decimal(18,2)"))])
+    given = F.create_map(*[x for c in FEATURES for x in (F.lit(LABELS[c]), F.round(F.abs(c) * 10, 2).cast("decimal(18,2)"))])
     return rows.join(raw.crossJoin(F.broadcast(ends)).select(key, scaled.alias("isolation_score"), given.alias("forest_contributions")), key)
 
 

@@ -377,6 +377,15 @@ query(
     **ML,
 )(lambda d: scoring.with_contributions(scoring.features(obs(d))).select("taxpayer_id", "contribution_score", "confidence_score"))
 query("ml_predictions")(lambda d: scoring.predict(obs(d)).select("taxpayer_id", "isolation_score", "model_score", "combined_score", "confidence_score", "main_features"))
+
+
+def shapley_values(d: Domain) -> DataFrame:
+    """What each feature gives the forest's mean path length of each taxpayer."""
+    rows = catalog.written(scoring.features(obs(d)), "features")
+    return scoring.explained(rows, scoring.grown_forest(rows))
+
+
+query("ml_shapley_values")(shapley_values)
 query("ml_prediction_list")(lambda d: scoring.prediction_list(scoring.predict(obs(d))).select("taxpayer_id", "combined_score"))
 query("ml_run_metrics")(lambda d: scoring.run_metrics(scoring.predict(obs(d))))
 

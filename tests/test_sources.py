@@ -1,3 +1,6 @@
+from itertools import combinations
+from math import factorial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,22 +64,59 @@ def test_references_and_row_numbers(spark, tmp_path):
     assert ingest.validate(raw.drop("id"), "payment_transactions", "j", "2024-01-01 00:00:00")[1].first().record_reference == "T"
 
 
+def shapley_by_hand(tree, row, features):
+    """Over all subsets of the features: known ones follow the row, others the training rows."""
+    feature, split, left, length, cover = tree
+
+    def value(known, at=0):
+        f = feature[at]
+        if f < 0:
+            return length[at]
+        a, b = left[at], left[at] + 1
+        if f in known:
+            return value(known, b if row[f] > split[at] else a)
+        return (cover[a] * value(known, a) + cover[b] * value(known, b)) / cover[at]
+
+    out = np.zeros(features)
+    for i in range(features):
+        others = [f for f in range(features) if f != i]
+        for size in range(features):
+            for known in combinations(others, size):
+                out[i] += (value({*known, i}) - value(set(known))) * factorial(size) * factorial(features - size - 1) / factorial(features)
+    return out
+
+
+def test_shapley_values_by_hand(spark):
+    """Against all subsets of features; they sum to the path length less the training rows' mean."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 4)).round(1)
+    forest = [scoring.grow(x[i * 30 : i * 30 + 30], np.random.default_rng(i), 5) for i in range(3)] + [scoring.grow(x[:1], rng, 3), scoring.grow(x[:40] * 0, rng, 3)]
+    explainer = scoring.Explainer(forest, 4)
+    got = explainer.values(x)
+    want = np.array([sum(shapley_by_hand(t, r, 4) for t in forest) / len(forest) for r in x])
+    assert np.abs(got - want).max() < 1e-5
+    mean = sum(scoring.paths(t, x) for t in forest) / len(forest)
+    assert np.abs(got.sum(axis=1) - (mean - explainer.base)).max() < 1e-5
+    rows = spark.range(500).select(F.concat(F.lit("t"), "id").alias("taxpayer_id"), *[(F.pmod(F.col("id") * (i + 3), F.lit(17 + i)) / 3.0).alias(c) for i, c in enumerate(scoring.FEATURES)]).persist()
+    forest = scoring.grown_forest(rows, 8, 64)
+    for r in scoring.explained(rows, forest).limit(20).collect():
+        x = rows.filter(F.col("taxpayer_id") == r.taxpayer_id).select(*scoring.FEATURES).first()
+        assert np.allclose([r[c] for c in scoring.FEATURES], sum(shapley_by_hand(t, list(x), 8) for t in forest) / 8, atol=1e-5)
+        assert abs(sum(r[c] for c in scoring.FEATURES) - (r.path_length - r.base_length)) < 1e-5
+
+
 def test_forest_by_hand(spark):
-    """Path lengths and contributions against a walk down each tree, and samples against the smallest hashes of all."""
+    """Path lengths against a walk down each tree, and samples against the smallest hashes of all."""
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 3)).round(1)
     tree = scoring.grow(x[:64], np.random.default_rng(2), 6)
-    given = np.zeros_like(x)
-    got = scoring.paths(tree, x, given)
-    feature, split, left, length = tree
-    for row, path, parts in zip(x, got, given, strict=True):
-        at, own = 0, np.zeros(3)
+    feature, split, left, length, cover = tree
+    for row, path in zip(x, scoring.paths(tree, x), strict=True):
+        at = 0
         while feature[at] >= 0:
-            to = left[at] + (row[feature[at]] > split[at])
-            own[feature[at]] += length[to] - length[at]
-            at = to
-        assert path == length[at] and np.allclose(parts, own) and abs(length[0] + own.sum() - path) < 1e-9
-    assert abs(length[0] - scoring.paths(tree, x[:64], np.zeros((64, 3))).mean()) < 1e-9
+            at = left[at] + (row[feature[at]] > split[at])
+        assert path == length[at]
+    assert abs(length[0] - scoring.paths(tree, x[:64]).mean()) < 1e-9 and cover[0] == 64
     rows = spark.range(2000).select(F.concat(F.lit("t"), "id").alias("taxpayer_id"), *[(F.col("id") + i).cast("double").alias(c) for i, c in enumerate(scoring.FEATURES)]).persist()
     samples = scoring.tree_samples(rows, 5, 32, 42, "taxpayer_id")
     assert [len(s) for s in samples] == [32] * 5
