@@ -9,9 +9,15 @@ and again would be quadratic, keeps its pairs in a heap instead; the merges are
 The vocabulary file is a parameter: a tokenizers JSON of kind BPE with byte-level characters, an
 optional end-of-word suffix and the normaliser and pattern that its reader below names.
 
+Which characters are letters, numbers or white space, and what they are in lower case, differs between
+versions of Unicode. The library's own answers for every code point are taken once, on the driver, and
+go to the workers as ranges. A text with a character that this Python normalises otherwise, or doesn't know,
+is normalised by the library.
+
 Defined results: a null text encodes as the empty text: no tokens, and the decoded text is empty.
 Special tokens that occur in a text become their id, as the library does by default. Repeated rows
-are encoded alike; other columns are kept out of the result unless named.
+are encoded alike; other columns are kept out of the result unless named. Texts of any length are encoded
+whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +26,14 @@ import hashlib
 import heapq
 import json
 import os
+import re
+import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +57,83 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+@dataclass(frozen=True)
+class Characters:
+    """What a tokenizer takes for letters, numbers and white space, and the characters that it alone is to
+    normalise: the insides of character classes."""
+
+    letters: str
+    numbers: str
+    spaces: str
+    own: str
+
+
+def _ranges(points: Iterable[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
+
+
+_characters: dict[tuple[str, float], Characters] = {}
+
+
+def characters(path: str) -> Characters:
+    """Asks the library about every code point, once for a file."""
+    key = (path, os.path.getmtime(path))
+    if key in _characters:
+        return _characters[key]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    cut, norm = library.pre_tokenizer.pre_tokenize_str, library.normalizer.normalize_str
+    every = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    kinds: dict[str, list[int]] = {"letter": [], "number": [], "sign": [], "space": []}
+    own: set[int] = set()
+    for start in range(0, len(every), 20_000):
+        some = every[start : start + 20_000]
+        # pieces of the code points in a row are of one kind each, and white space is in none
+        pieces = [at for _, at in cut("".join(map(chr, some)))]
+        # a letter joins an a before it, a sign a !, a number neither
+        ends = dict(at for _, at in cut("".join(f"a{chr(some[a])} !{chr(some[a])} " for a, _ in pieces)))
+        after = 0
+        for n, (a, b) in enumerate(pieces):
+            kind = "letter" if ends.get(6 * n) == 6 * n + 2 else "number" if ends.get(6 * n + 3) == 6 * n + 4 else "sign"
+            kinds["space"] += some[after:a]
+            kinds[kind] += some[a:b]
+            after = b
+        kinds["space"] += some[after:]
+        # a letter that nothing composes with keeps them apart
+        theirs = [t[1:] for t in norm("".join(f"\u2c65{chr(c)}\n" for c in some)).split(" ")[:-1]]
+        own.update(c for c, t in zip(some, theirs, strict=True) if unicodedata.category(chr(c)) == "Cn" or Bpe.normalise(chr(c)) != t)
+    for c in every:
+        parts = unicodedata.decomposition(chr(c))
+        if parts and parts[0] != "<" and not _alike(norm, "".join(chr(int(p, 16)) for p in parts.split())):
+            own.update([c, *(int(p, 16) for p in parts.split())])
+        # marks that are put in order: with one of each usual class before and after
+        if unicodedata.combining(chr(c)) and not all(_alike(norm, f"\u2c65{x}{chr(c)}{x}") for x in _MARKS):
+            own.add(c)
+    _characters[key] = Characters(*map(_ranges, (kinds["letter"], kinds["number"], kinds["space"], sorted(own - set(kinds["space"])))))
+    return _characters[key]
+
+
+#: Combining marks of the classes 1, 7, 9, 202, 216, 220, 222, 228, 230, 232, 233, 234 and 240.
+_MARKS = "\u0334\u093c\u094d\u0327\u031b\u0316\u059a\u302e\u0301\u0315\u035c\u035d\u0345"
+
+
+def _alike(norm, text: str) -> bool:
+    return norm(text) == Bpe.normalise(text)
+
+
 class Bpe:
     """A byte-level BPE vocabulary with its pair ranks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: Characters):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -62,9 +143,10 @@ class Bpe:
         splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         if not suffix or len(splits) != 1 or spec["decoder"] is not None:
             raise ValueError("this reader handles word-final vocabularies with one split pattern and no decoder")
-        # white space as the tokenizer's pattern language defines it
-        self.pattern = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.special_pattern = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
+        pattern = splits[0]["pattern"]["Regex"].replace(r"\s", known.spaces).replace(r"\p{L}", known.letters).replace(r"\p{N}", known.numbers)
+        self.pattern, self.letters, self.spaces, self.own = re.compile(pattern), re.compile(f"[{known.letters}]+"), re.compile(f"[{known.spaces}]+"), re.compile(f"[{known.own}]")
+        self.library = None
+        self.special_pattern = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         chars = byte_characters()
         self.byte_id = np.array([self.vocab[c] for c in chars], dtype=np.int32)
         self.last_id = np.array([self.vocab[c + suffix] for c in chars], dtype=np.int32)
@@ -186,13 +268,26 @@ class Bpe:
         # character by character, so that no letter's form depends on its place in a word
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def normalised(self, text: str) -> str:
+        if text.isascii() or not self.own.search(text):
+            return self.normalise(text)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path).normalizer
+        return self.library.normalize_str(text)
+
     def pieces(self, text: str) -> list[str]:
         """The normalised text cut at white space (what is between two cuts is encoded on its own)."""
-        text = self.normalise(text)
+        text = self.normalised(text)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # Python takes these for white space, the pattern doesn't
-            return [p for p in regex.split(r"\p{White_Space}+", text) if p]
+            return [p for p in self.spaces.split(text) if p]
         return text.split()
 
+    def is_word(self, piece: str) -> bool:
+        """One run of letters."""
+        return piece.isalpha() if piece.isascii() else self.letters.fullmatch(piece) is not None
+
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids of pieces that aren't known yet."""
         new = [p for p in pieces if p not in self.known]
@@ -203,9 +298,9 @@ class Bpe:
             return
         find, words, cut = self.pattern.findall, [], []
         for p in new:
-            if p.isalpha():  # one run of letters
+            if self.is_word(p):
                 words.append(p)
-            elif p[-1] in STOPS and p[:-1].isalpha():
+            elif p[-1] in STOPS and self.is_word(p[:-1]):
                 words.append(p[:-1])
                 cut.append((p, (p[:-1], p[-1])))
             else:
@@ -244,15 +339,15 @@ class Bpe:
         return " ".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_loaded: dict[tuple[str, float], Bpe] = {}
+_loaded: dict[tuple[str, float, Characters], Bpe] = {}
 
 
-def load(path: str) -> Bpe:
+def load(path: str, known: Characters) -> Bpe:
     """The vocabulary at path, read once in each Python worker."""
-    key = (path, os.path.getmtime(path))
+    key = (path, os.path.getmtime(path), known)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Bpe(path)
+        _loaded[key] = Bpe(path, known)
     return _loaded[key]
 
 
@@ -263,6 +358,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key_col: str = "doc_id", tex
     `vocabulary` is a path that every worker can read.
     """
     small_batches(docs.sparkSession)
+    known = characters(vocabulary)
     rows = docs.select(F.col(key_col), F.col(text_col).alias("_text"))
     key = rows.schema[0]
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
@@ -275,7 +371,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key_col: str = "doc_id", tex
         schema += ", decoded string"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+        bpe = load(vocabulary, known)
         for frame in frames:
             for part in batches(frame, TOGETHER):
                 ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
