@@ -4,11 +4,14 @@ Base spans come from the plain patterns. Then transducers rewrite disguises and
 character that they emit, the piece of source that it stands for:
 
 1. characters: homoglyphs, full-width and other compatibility forms become ASCII, foreign decimal
-   digits become 0-9, invisible characters go;
-2. spelled digits (English, French, German, Spanish), three or more in a row or between numerals, become
-   digits; at an end of numerals they do where the run is as long as a card and has no plus before it;
-3. at and dot disguises - bracketed, spelled or spaced out - become `@` and `.`; a plain ` at ` before a
-   dotted domain only where the name or the domain is disguised as well.
+   digits become 0-9, invisible characters go; entities and percent codes of @ and . become those;
+2. letters for digits (O, o, l, I) within numbers that are mostly digits become 0 and 1;
+3. spelled digits (English, French, German, Spanish; in English also oh, double, triple and numbers up to 99),
+   three or more in a row or between numerals, become digits; at an end of numerals they do where the run is
+   as long as a card and has no plus before it; four spelled or written numbers with spelled dots become an address;
+4. at and dot disguises - bracketed, spelled, joined or spaced out - become `@` and `.`; a plain ` at ` before a
+   dotted domain only where the name or the domain is disguised as well; a name in single letters before an @
+   is drawn together.
 
 The same detectors run on the rewritten text; a span that holds a rewritten character and isn't within
 a base span of its kind is mapped back to the source and added, so one whose end only is disguised is
@@ -16,7 +19,9 @@ found whole, besides the piece of it that is a base span. Base spans always stay
 transducer applies is rewritten to itself, so it is not scanned again.
 
 Defined results: null and empty texts have no spans. Offsets are code points, the end exclusive.
-Repeated rows each get a row. Kinds are searched independently, so spans of two kinds may overlap.
+Repeated rows each get a row. Kinds are searched independently, so spans of two kinds may overlap. Texts of
+any length are searched whole, in time linear in their length. An empty table gives no rows; columns that aren't
+named are left alone, whatever they are named.
 """
 
 from __future__ import annotations
@@ -67,8 +72,23 @@ DIGIT_OF = {w: str(n) for words in DIGIT_WORDS.values() for n, w in enumerate(wo
 # Words that stand for @ and .
 AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase", "klammeraffe"), ("dot", "punto", "point", "punkt")
 
+# Further English words of numbers, and how often the digit after a word is read
+NUMBERS = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety"
+REPEATS = {"double": 2, "triple": 3}
+# Entities and percent codes
+CODES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": ".", "&#x2e;": ".", "&period;": ".", "%2e": "."}
+LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+
+DIGIT_OF |= {"oh": "0"} | {w: str(n) for n, w in enumerate(NUMBERS.split(), 10)}
+DIGIT_OF |= {w: str(10 * n) for n, w in enumerate(TENS.split(), 2)}
+DIGIT_OF |= {f"{t}-{u}": str(10 * n + k) for n, t in enumerate(TENS.split(), 2) for k, u in enumerate(DIGIT_WORDS["en"].split()) if k}
+DIGIT_OF |= {f"{r} {w}": d * n for r, n in REPEATS.items() for w, d in [*zip(DIGIT_WORDS["en"].split(), "0123456789", strict=True), ("oh", "0")]}
+
 _WORD = re.compile(r"[^\W\d_]+")
-_ONE = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
+#: words that tell that there may be numbers in words
+_NUMBER_WORDS = frozenset(w for key in DIGIT_OF for w in re.split("[ -]", key)) - REPEATS.keys()
+_ONE = "|".join(re.escape(w).replace("\\ ", r"\s").replace("\\-", r"[\s-]") for w in sorted(DIGIT_OF, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{_ONE})(?!\w)[\s,.;-]{{1,3}}){{2,}}(?:{_ONE})(?!\w)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"({_ONE})|([\s,.;-]+)", re.IGNORECASE)
 #: numerals and digit words in a row
@@ -80,7 +100,9 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKETED = re.compile(rf"(?<!\s)\s*+{_OPEN}\s*(?:(@|(?:{_AT})(?!\w))|(\.|(?:{_DOT})(?!\w)))\s*{_CLOSE}\s*", re.IGNORECASE)
 _SPACED_DOT = rf"(?:\s+(?:{_DOT}|\.)\s+|[_-](?:{_DOT})[_-]|\.)"
 _NAME = r"[A-Za-z0-9_%+-]"
-_LOCAL_PART = rf"(?<![A-Za-z0-9._%+-])(?P<local>(?:{_NAME}++(?:\s++dot\s++|[_-]dot[_-]))*+[A-Za-z0-9._%+-]++(?<={_NAME}))"
+# a chain of names and dots is read from its first name only: what fails there fails from any later name
+_CHAINED = "".join(rf"(?<!{_NAME}\s{{{a}}}dot\s{{{b}}})" for a in (1, 2, 3) for b in (1, 2, 3))
+_LOCAL_PART = rf"(?<![A-Za-z0-9._%+-]){_CHAINED}(?P<local>(?:{_NAME}++(?:\s{{1,3}}+dot\s{{1,3}}+|[_-]dot[_-]))*+[A-Za-z0-9._%+-]++(?<={_NAME}))"
 _LAST = r"[A-Za-z]{2,}+(?![\w-])"
 #: name at host dot name: a spelled at counts only with a spelled dot of its own language after it
 _SPELLED_MAIL = re.compile(
@@ -88,7 +110,7 @@ _SPELLED_MAIL = re.compile(
 )
 #: name at host.name: counts only where a part is disguised
 _PLAIN_MAIL = re.compile(rf"{_LOCAL_PART}(?P<at>\s++at\s++)(?P<rest>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.{_LAST})", re.IGNORECASE)
-_JOINED_MAIL = re.compile(r"(?<![A-Za-z0-9_-])(?P<local>[A-Za-z0-9]++)(?P<at>[_-]at[_-])[A-Za-z0-9]+(?P<rest>(?:[_-]dot[_-][A-Za-z0-9]+)*[_-]dot[_-][A-Za-z]{2,})(?![A-Za-z0-9_-])", re.IGNORECASE)
+_JOINED_MAIL = re.compile(r"(?<![A-Za-z0-9_-])(?P<local>[A-Za-z0-9]++)(?P<at>[_-](?:AT)[_-])[A-Za-z0-9]++(?P<rest>(?:[_-](?:DOT)[_-][A-Za-z0-9]++(?=[_-]))*[_-](?:DOT)[_-][A-Za-z]{2,})(?![A-Za-z0-9_-])".replace("AT", _AT).replace("DOT", _DOT), re.IGNORECASE)
 _SPACED_MAIL = re.compile(
     rf"{_LOCAL_PART}(?P<at>\s++(?:{'|'.join(AT_WORDS[1:])})\s++|\s++@\s*+|@\s++)[A-Za-z0-9-]+(?P<rest>(?:{_SPACED_DOT}[A-Za-z0-9-]+)*{_SPACED_DOT}{_LAST})", re.IGNORECASE
 )
@@ -96,6 +118,14 @@ _LOOSE_AT = re.compile(r"\s@|@\s")
 _SPACED_DOTS = re.compile(rf"\s+(?:{_DOT}|\.)\s+|[_-](?:{_DOT})[_-]", re.IGNORECASE)
 _MAIL_DOTS = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+(?:{_DOT})\s+|[_-](?:{_DOT})[_-]|\s+\.\s+)(?=[A-Za-z0-9])", re.IGNORECASE)
 _IP_DOTS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\s+(?:{_DOT})\s+|\s+\.\s+|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+_CODE = re.compile("|".join(map(re.escape, CODES)), re.IGNORECASE)
+# numbers with letters in them: in groups, or four with dots
+_LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9OolI]){8,}(?![A-Za-z0-9])")
+_LETTERED_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9OolI]{1,3}(?:\.[0-9OolI]{1,3}){3}(?![A-Za-z0-9])")
+_LETTER_DIGIT = re.compile("[OolI]")
+_GROUP = rf"(?:[0-9]{{1,3}}|(?:{_ONE})(?!\w)(?:[\s-]{{1,2}}(?:{_ONE})(?!\w)){{0,2}})"
+_SPELLED_IP = re.compile(rf"(?<!\w){_GROUP}(?:(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.){_GROUP}){{3}}(?!\w)", re.IGNORECASE)
+_SPELLED_IP_PART = re.compile(rf"(\s+(?:{_DOT})\s+|\.)|({_ONE})(?!\w)|[0-9]+|([\s-]+)", re.IGNORECASE)
 _PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.IGNORECASE)
 
 
@@ -196,7 +226,7 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled(text: str, words: list[str]) -> list[tuple[int, int, str]]:
-    if sum(map(DIGIT_OF.__contains__, words)) < 3:
+    if sum(map(_NUMBER_WORDS.__contains__, words)) < 3:
         return []
     out = []
     for run in _SPELLED.finditer(text):
@@ -209,9 +239,60 @@ def _spelled(text: str, words: list[str]) -> list[tuple[int, int, str]]:
     return out
 
 
+def _coded(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), CODES[m[0].lower()]) for m in _CODE.finditer(text)]
+
+
+def _lettered(text: str) -> list[tuple[int, int, str]]:
+    """Letters that stand for digits, in numbers that have twice as many digits (as many in an address)."""
+    out = {}
+    for pattern, least in ((_LETTERED, 2), (_LETTERED_IP, 1)):
+        for run in pattern.finditer(text):
+            letters = list(_LETTER_DIGIT.finditer(text, *run.span()))
+            if letters and sum(map(str.isdigit, run[0])) >= least * len(letters):
+                out.update((m.span(), LETTER_DIGITS[m[0]]) for m in letters)
+    return [(*span, s) for span, s in sorted(out.items())]
+
+
+def _spelled_ips(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for run in _SPELLED_IP.finditer(text):
+        for m in _SPELLED_IP_PART.finditer(text, *run.span()):
+            if m[1] and m[1] != ".":
+                out.append((*m.span(), "."))
+            elif m[2]:
+                out.append((*m.span(), _digit(m[2])))
+            elif m[3]:
+                out.append((*m.span(), ""))
+    return out
+
+
+def _drawn_together(text: str) -> list[tuple[int, int, str]]:
+    """The blanks of a name in single letters before each @, three letters at least."""
+    out, done = [], 0
+    at = text.find("@")
+    while at >= 0:
+        i = at - 1
+        while i >= done and text[i] == " ":
+            i -= 1
+        blanks = []
+        while i - 1 > done and text[i] in _LOCAL and text[i - 1] == " " and text[i - 2] in _LOCAL and (i - 3 < 0 or text[i - 3] not in _LOCAL):
+            blanks.append(i - 1)
+            i -= 2
+        if len(blanks) >= 2:
+            out += [(b, b + 1, "") for b in reversed(blanks)]
+        done = at + 1
+        at = text.find("@", done)
+    return out
+
+
 def _digit(word: str) -> str:
     """The digit of a word that a pattern found: i with a dot above counts as i there."""
-    return DIGIT_OF[word.lower().replace("\u0307", "")]
+    word = word.lower().replace("\u0307", "")
+    if word not in DIGIT_OF:
+        first, rest = re.split(r"[\s-]", word)
+        word = f"{first} {rest}" if first in REPEATS else f"{first}-{rest}"
+    return DIGIT_OF[word]
 
 
 def _mixed(text: str) -> list[tuple[int, int, str]]:
@@ -246,7 +327,9 @@ def _bracketed(text: str) -> list[tuple[int, int, str]]:
 def _spaced(text: str, low: str, new: bytes) -> list[tuple[int, int, str]]:
     """new: for each character whether it was rewritten before, or nothing."""
     edits = {}
-    patterns = [_SPELLED_MAIL, _JOINED_MAIL] if "dot" in low else []
+    patterns = [_SPELLED_MAIL] if "dot" in low else []
+    if any(w in low for w in DOT_WORDS):
+        patterns.append(_JOINED_MAIL)
     if _LOOSE_AT.search(text) or any(w in low for w in AT_WORDS[1:]):
         patterns.append(_SPACED_MAIL)
     plain = []
@@ -283,11 +366,19 @@ def deobfuscate(text: str) -> View | None:
         apply(_characters(text))
     low = text.lower().replace("\u0307", "")  # of an I with a dot above
     words = _WORD.findall(low)
-    if not DIGIT_OF.keys().isdisjoint(words):
+    if "&" in text or "%" in text:
+        apply(_coded(text))
+    if sum(map(text.count, "0123456789")) >= 3:
+        apply(_lettered(text))
+    if not _NUMBER_WORDS.isdisjoint(words):
+        if any(w in low for w in DOT_WORDS):
+            apply(_spelled_ips(text))
         apply(_spelled(text, words))
         apply(_mixed(text))
     if "[" in text or "(" in text or "{" in text or "<" in text:
         apply(_bracketed(text))
+    if " @" in text or "@" in text and view:
+        apply(_drawn_together(text))
     if "@" in text or any(w in low for w in DOT_WORDS) or " . " in text or "plus" in low or (view and "at" in low):
         apply(_spaced(text, text.lower(), view.new if view else b""))
     return view
