@@ -8,7 +8,7 @@ from datetime import UTC, date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assurelake.operators import cases, governance, graph, profile, reconcile, reports, resolution, rules, scoring, taxgap
+from assurelake.operators import cases, duplicates, governance, graph, profile, reconcile, reports, resolution, rules, scoring, taxgap
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import AS_OF, EVENTS_AS_OF, Domain, with_tables
 from assurelake.sources import catalog, ingest
@@ -191,6 +191,24 @@ _PERMIT_LINKS = f"""SELECT permit_number, taxpayer_id, similarity FROM (SELECT *
 query("er_link_permits", _PERMIT_LINKS, tsets=_TSETS)(lambda d: resolution.link_permits(d["open_permits"], d["taxpayers"]))
 query("er_duplicate_pairs", "SELECT source_id, target_id, confidence, basis FROM {pairs}", **ER)(lambda d: resolution.duplicate_pairs(d["taxpayers"]))
 query("er_duplicate_candidates", "SELECT * FROM {pairs}", **ER)(lambda d: resolution.duplicate_candidates(d["taxpayers"]))
+# links between two taxpayers by kind, from all pairs
+_KIND_LINKS = f"""SELECT id, other, kind FROM (
+    SELECT a.id, b.id AS other, unnest(['n', 'l', 't']) AS kind, unnest([coalesce(a.registration_number <> '' AND lower(a.registration_number) = lower(b.registration_number), FALSE), len(a.gl) > 0 AND {_SIM.format("a.gl", "b.gl")} >= 0.9, len(a.gt) > 0 AND {_SIM.format("a.gt", "b.gt")} >= 0.9]) AS linked
+    FROM {{tsets}} a JOIN {{tsets}} b ON a.id <> b.id) WHERE linked"""
+query(
+    "er_duplicate_classes",
+    """SELECT l.id AS taxpayer_id, c.class_id, count(*) FILTER (WHERE kind = 'n') AS number_links, count(*) FILTER (WHERE kind = 'l') AS legal_name_links, count(*) FILTER (WHERE kind = 't') AS trading_name_links
+    FROM {klinks} l JOIN (WITH RECURSIVE reach AS (SELECT id, id AS other FROM {klinks} UNION SELECT r.id, k.other FROM reach r JOIN {klinks} k ON k.id = r.other) SELECT id, min(other) AS class_id FROM reach GROUP BY id) c ON c.id = l.id GROUP BY 1, 2""",
+    tsets=_TSETS, klinks=_KIND_LINKS,
+)(lambda d: duplicates.classified(d["taxpayers"])[0])
+query(
+    "er_duplicate_links",
+    "SELECT CASE kind WHEN 'n' THEN 'REGISTRATION_NUMBER' WHEN 'l' THEN 'LEGAL_NAME' ELSE 'TRADING_NAME' END AS kind, CAST(count(*) / 2 AS BIGINT) AS pairs FROM {klinks} GROUP BY 1",
+    tsets=_TSETS, klinks=_KIND_LINKS,
+)(lambda d: duplicates.classified(d["taxpayers"])[1].groupBy("kind").agg(F.sum("pairs").alias("pairs")))
+query("graph_registration_classes", "SELECT registration_number, min(id) AS representative, count(*) AS members, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS edges FROM {taxpayers} WHERE registration_number IS NOT NULL GROUP BY 1 HAVING count(*) > 1")(
+    lambda d: duplicates.registration_classes(d["taxpayers"])
+)
 query("er_new_relationships", "SELECT source_id AS source_taxpayer_id, target_id AS target_taxpayer_id, 'POSSIBLE_DUPLICATE' AS relationship_type, CAST(confidence * 100 AS DECIMAL(5,2)) AS confidence_score FROM {pairs} WHERE basis = 'FUZZY_NAME'", **ER)(
     lambda d: resolution.new_relationships(
         resolution.duplicate_pairs(d["taxpayers"]),
