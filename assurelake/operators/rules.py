@@ -50,13 +50,22 @@ def monthly(rows: DataFrame, day: Column, by: list[str], **sums: Column) -> Data
     return out.groupBy(*by, "period_start", "period_end").agg(*[F.sum(c).cast("decimal(18,2)").alias(n) for n, c in sums.items()], F.count("*").alias("n"))
 
 
-def invoice_months(t: Tables) -> DataFrame:
-    """Invoices by supplier, buyer, month and whether they are void: sums and `invoices`, their number."""
-    start = month_start(F.col("invoice_date"))
-    rows = t["invoices"].withColumns({"period_start": start, "period_end": F.last_day("invoice_date"), "void": F.upper("invoice_status").isin(*VOID)})
+SIDES = {"supplier": "supplier_taxpayer_id", "buyer": "buyer_taxpayer_id"}
+
+
+def _dated(t: Tables) -> DataFrame:
+    return t["invoices"].withColumns({"period_start": month_start(F.col("invoice_date")), "period_end": F.last_day("invoice_date"), "void": F.upper("invoice_status").isin(*VOID)})
+
+
+def invoice_sides(t: Tables, sides: tuple[str, ...] = tuple(SIDES)) -> DataFrame:
+    """Invoices by side, its taxpayer, month and whether they are void: sums and `invoices`, their number. Both
+    sides come from one scan and one shuffle of partial sums."""
+    rows = _dated(t)
+    who = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(SIDES[s]).alias("taxpayer_id")) for s in sides])).alias("_who")
     amounts = [c for c in ("taxable_amount", "tax_amount", "total_amount") if c in rows.columns]
-    sums = [F.sum(c).cast("decimal(18,2)").alias(c) for c in amounts]
-    return rows.groupBy("supplier_taxpayer_id", "buyer_taxpayer_id", "period_start", "period_end", "void").agg(*sums, F.count("*").alias("invoices"))
+    keys = ["side", "taxpayer_id", "period_start", "period_end", "void"]
+    each = rows.select(who, *keys[2:], *amounts).select("_who.*", *keys[2:], *amounts).filter("taxpayer_id IS NOT NULL")
+    return each.groupBy(*keys).agg(*[F.sum(c).cast("decimal(18,2)").alias(c) for c in amounts], F.count("*").alias("invoices"))
 
 
 def return_periods(t: Tables) -> DataFrame:
@@ -69,9 +78,9 @@ def return_periods(t: Tables) -> DataFrame:
 
 
 class Months(Mapping):
-    """Tables with two more, `invoice_months` and `return_periods`, each written once when it is asked for."""
+    """Tables with two more, `invoice_sides` and `return_periods`, each written once when it is asked for."""
 
-    MADE = {"invoice_months": invoice_months, "return_periods": return_periods}
+    MADE = {"invoice_sides": invoice_sides, "return_periods": return_periods}
 
     def __init__(self, tables: Tables):
         self.tables, self.made = tables, {}
@@ -91,21 +100,18 @@ class Months(Mapping):
         return len(self.tables) + len(self.MADE)
 
 
-def months_of(t: Tables) -> DataFrame:
-    return t["invoice_months"] if "invoice_months" in t else invoice_months(t)
+def side_of(t: Tables, side: str) -> DataFrame:
+    """Monthly sums of the invoices of a side."""
+    return t["invoice_sides"].filter(F.col("side") == side) if "invoice_sides" in t else invoice_sides(t, (side,))
 
 
 def periods_of(t: Tables) -> DataFrame:
     return t["return_periods"] if "return_periods" in t else return_periods(t)
 
 
-def invoiced(t: Tables, by: list[str], amount: str) -> DataFrame:
-    """Live invoices by the named sides and month; the first side is the taxpayer."""
-    rows = months_of(t).filter("NOT void")
-    for side in by:
-        rows = rows.filter(F.col(side).isNotNull())
-    keys = [F.col(by[0]).alias("taxpayer_id"), *by[1:], "period_start", "period_end"]
-    return rows.groupBy(*keys).agg(F.sum(amount).cast("decimal(18,2)").alias("observed"), F.sum("invoices").alias("n"))
+def invoiced(t: Tables, side: str, amount: str) -> DataFrame:
+    """Live invoices of a side's taxpayers by month."""
+    return side_of(t, side).filter("NOT void").select(*PERIOD, F.col(amount).alias("observed"), F.col("invoices").alias("n"))
 
 
 def declared(t: Tables, heads: tuple[str, ...], amount: str) -> DataFrame:
@@ -124,11 +130,11 @@ def mismatch(observed: DataFrame, stated: DataFrame, p: dict, as_of: date) -> Da
 
 
 def vat_output(t: Tables, p: dict, as_of: date) -> DataFrame:
-    return mismatch(invoiced(t, ["supplier_taxpayer_id"], "taxable_amount"), declared(t, ("VAT",), "declared_sales"), p, as_of)
+    return mismatch(invoiced(t, "supplier", "taxable_amount"), declared(t, ("VAT",), "declared_sales"), p, as_of)
 
 
 def vat_input(t: Tables, p: dict, as_of: date) -> DataFrame:
-    return mismatch(invoiced(t, ["buyer_taxpayer_id"], "tax_amount"), declared(t, ("VAT",), "declared_input_tax"), p, as_of)
+    return mismatch(invoiced(t, "buyer", "tax_amount"), declared(t, ("VAT",), "declared_input_tax"), p, as_of)
 
 
 def imports(t: Tables, p: dict, as_of: date) -> DataFrame:
@@ -144,7 +150,7 @@ def withholding(t: Tables, p: dict, as_of: date) -> DataFrame:
 
 
 def nil_filers(t: Tables, p: dict, as_of: date) -> DataFrame:
-    seen = invoiced(t, ["supplier_taxpayer_id"], "taxable_amount")
+    seen = invoiced(t, "supplier", "taxable_amount")
     nil = periods_of(t).filter("tax_head = 'VAT' AND (declared_sales = 0 OR nil)").select(*PERIOD, F.col("declared_sales").alias("declared"))
     due = (F.col("period_end") <= F.date_sub(F.lit(as_of), p["periodGraceDays"])) & (F.col("observed") >= Decimal(p["minimumInvoiceSales"]))
     return seen.filter(due).join(nil, PERIOD).withColumn("gap", F.col("observed"))
@@ -233,8 +239,11 @@ def margins(t: Tables, p: dict, as_of: date) -> DataFrame:
 
 
 def bad_suppliers(t: Tables, p: dict, as_of: date) -> DataFrame:
-    rows = invoiced(t, ["buyer_taxpayer_id", "supplier_taxpayer_id"], "taxable_amount")
-    rows = rows.filter((F.col("period_end") <= F.date_sub(F.lit(as_of), p["periodGraceDays"])) & (F.col("observed") >= Decimal(p["minimumPurchaseAmount"])))
+    due = F.col("period_end") <= F.date_sub(F.lit(as_of), p["periodGraceDays"])
+    live = _dated(t).filter(~F.col("void") & F.col("buyer_taxpayer_id").isNotNull() & F.col("supplier_taxpayer_id").isNotNull() & due)
+    # all keys spread the invoices of a large supplier; what is large enough meets the suppliers afterwards
+    rows = live.groupBy(F.col("buyer_taxpayer_id").alias("taxpayer_id"), "supplier_taxpayer_id", "period_start", "period_end").agg(F.sum("taxable_amount").cast("decimal(18,2)").alias("observed"), F.count("*").alias("n"))
+    rows = rows.filter(F.col("observed") >= Decimal(p["minimumPurchaseAmount"]))
     good = t["tax_obligations"].filter(F.col("tax_head").isin("VAT", "INCOME_TAX") & (F.upper("obligation_status") == "ACTIVE"))
     good = good.select(F.col("taxpayer_id").alias("id")).distinct().withColumn("_ok", F.lit(True))
     # suppliers are judged once each, before the purchases meet them
