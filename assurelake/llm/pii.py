@@ -89,12 +89,26 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: words that tell that there may be numbers in words
 _NUMBER_WORDS = frozenset(w for key in DIGIT_OF for w in re.split("[ -]", key)) - REPEATS.keys()
 _ONE = "|".join(re.escape(w).replace("\\ ", r"\s").replace("\\-", r"[\s-]") for w in sorted(DIGIT_OF, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:{_ONE})(?!\w)[\s,.;-]{{1,3}}){{2,}}(?:{_ONE})(?!\w)", re.IGNORECASE)
+
+
+def _searched(pattern: str):
+    """Matches of a pattern of lower-case words in a text, whatever the case there."""
+    plain, any_case = re.compile(pattern), re.compile(pattern, re.IGNORECASE)
+
+    def run(text: str) -> Iterator[re.Match]:
+        low = text.lower()  # much faster, but some letters get longer
+        return plain.finditer(low) if len(low) == len(text) else any_case.finditer(text)
+
+    return run
+
+
+_SPELLED = _searched(rf"(?<!\w)(?:(?:{_ONE})(?!\w)[\s,.;-]{{1,3}}){{2,}}(?:{_ONE})(?!\w)")
 _SPELLED_PART = re.compile(rf"({_ONE})|([\s,.;-]+)", re.IGNORECASE)
 #: numerals and digit words in a row
 _MEMBER = rf"(?:[0-9]++|(?:{_ONE})(?![^\W\d_]))"
-_MIXED = re.compile(rf"(?<![^\W_]){_MEMBER}(?:[\s,.;()-]{{0,3}}+{_MEMBER})+", re.IGNORECASE)
+_MIXED = _searched(rf"(?<![^\W_]){_MEMBER}(?:[\s,.;()-]{{0,3}}+{_MEMBER})+")
 _MIXED_PART = re.compile(rf"([0-9]+)|({_ONE})|([\s,.;()-]+)", re.IGNORECASE)
+_DOTS = frozenset(DOT_WORDS)
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKETED = re.compile(rf"(?<!\s)\s*+{_OPEN}\s*(?:(@|(?:{_AT})(?!\w))|(\.|(?:{_DOT})(?!\w)))\s*{_CLOSE}\s*", re.IGNORECASE)
@@ -124,7 +138,7 @@ _LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9OolI]){8,}(?![A-Za-z0-
 _LETTERED_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9OolI]{1,3}(?:\.[0-9OolI]{1,3}){3}(?![A-Za-z0-9])")
 _LETTER_DIGIT = re.compile("[OolI]")
 _GROUP = rf"(?:[0-9]{{1,3}}|(?:{_ONE})(?!\w)(?:[\s-]{{1,2}}(?:{_ONE})(?!\w)){{0,2}})"
-_SPELLED_IP = re.compile(rf"(?<!\w){_GROUP}(?:(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.){_GROUP}){{3}}(?!\w)", re.IGNORECASE)
+_SPELLED_IP = _searched(rf"(?<!\w){_GROUP}(?:(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.){_GROUP}){{3}}(?!\w)")
 _SPELLED_IP_PART = re.compile(rf"(\s+(?:{_DOT})\s+|\.)|({_ONE})(?!\w)|[0-9]+|([\s-]+)", re.IGNORECASE)
 _PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.IGNORECASE)
 
@@ -226,10 +240,11 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled(text: str, words: list[str]) -> list[tuple[int, int, str]]:
-    if sum(map(_NUMBER_WORDS.__contains__, words)) < 3:
+    number = [w in _NUMBER_WORDS or w in REPEATS for w in words]
+    if not any(a and b and c for a, b, c in zip(number, number[1:], number[2:], strict=False)):
         return []
     out = []
-    for run in _SPELLED.finditer(text):
+    for run in _SPELLED(text):
         for m in _SPELLED_PART.finditer(text, run.start(), run.end()):
             if m[1]:
                 out.append((*m.span(), _digit(m[1])))
@@ -256,7 +271,7 @@ def _lettered(text: str) -> list[tuple[int, int, str]]:
 
 def _spelled_ips(text: str) -> list[tuple[int, int, str]]:
     out = []
-    for run in _SPELLED_IP.finditer(text):
+    for run in _SPELLED_IP(text):
         for m in _SPELLED_IP_PART.finditer(text, *run.span()):
             if m[1] and m[1] != ".":
                 out.append((*m.span(), "."))
@@ -300,12 +315,12 @@ def _mixed(text: str) -> list[tuple[int, int, str]]:
     if not _DIGIT.search(text):
         return []
     out = []
-    for run in _MIXED.finditer(text):
+    for run in _MIXED(text):
         parts = list(_MIXED_PART.finditer(text, run.start(), run.end()))
         numerals = [i for i, m in enumerate(parts) if m[1]]
         if not numerals or len(numerals) == len(parts):
             continue
-        size = sum(len(m[1]) if m[1] else bool(m[2]) for m in parts)
+        size = sum(len(m[1] or (_digit(m[2]) if m[2] else "")) for m in parts)
         first, last = numerals[0], numerals[-1]
         if 12 <= size <= 19 and text[run.start() - 1 : run.start()] != "+":
             first, last = 0, len(parts) - 1
@@ -371,7 +386,7 @@ def deobfuscate(text: str) -> View | None:
     if sum(map(text.count, "0123456789")) >= 3:
         apply(_lettered(text))
     if not _NUMBER_WORDS.isdisjoint(words):
-        if any(w in low for w in DOT_WORDS):
+        if any((a in _DOTS and b in _NUMBER_WORDS) or (b in _DOTS and a in _NUMBER_WORDS) for a, b in zip(words, words[1:], strict=False)):
             apply(_spelled_ips(text))
         apply(_spelled(text, words))
         apply(_mixed(text))
