@@ -68,6 +68,15 @@ class Characters:
     own: str
 
 
+def _is_latin(text: str) -> bool:
+    """All characters are below 256: a copy tells that much faster than a search."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _ranges(points: Iterable[int]) -> str:
     """Ascending code points as the inside of a character class."""
     out: list[list[int]] = []
@@ -145,7 +154,7 @@ class Bpe:
             raise ValueError("this reader handles word-final vocabularies with one split pattern and no decoder")
         pattern = splits[0]["pattern"]["Regex"].replace(r"\s", known.spaces).replace(r"\p{L}", known.letters).replace(r"\p{N}", known.numbers)
         self.pattern, self.letters, self.spaces, self.own = re.compile(pattern), re.compile(f"[{known.letters}]+"), re.compile(f"[{known.spaces}]+"), re.compile(f"[{known.own}]")
-        self.library = None
+        self.library, self.latin = None, not self.own.search("".join(map(chr, range(256))))
         self.special_pattern = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         chars = byte_characters()
         self.byte_id = np.array([self.vocab[c] for c in chars], dtype=np.int32)
@@ -269,7 +278,7 @@ class Bpe:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def normalised(self, text: str) -> str:
-        if text.isascii() or not self.own.search(text):
+        if text.isascii() or (self.latin and _is_latin(text)) or not self.own.search(text):
             return self.normalise(text)
         if self.library is None:
             from tokenizers import Tokenizer
