@@ -95,20 +95,53 @@ NOTES = (
 RECOMMENDATION = "Review source records, linked entities, and taxpayer explanation before confirming recoverable amount."
 
 
-def evidence_packs(cases: DataFrame, signals: DataFrame, taxpayers: DataFrame, linked: DataFrame) -> DataFrame:
-    """A nested document per case: case, taxpayer, period, rule, gap, source records (the signal's evidence),
-    linked entities, checklist and notes, as JSON. Missing parts are null. `cases` has risk_signal_id."""
-    who = taxpayers.select(F.col("id").alias("taxpayer_id"), F.struct("kra_pin", "legal_name", "county").alias("taxpayer"))
+def linked_records(edges: DataFrame, per_taxpayer: int = 25) -> DataFrame:
+    """(taxpayer_id, linkedEntities): the strongest edges of every taxpayer, from either end, as a list."""
+    edge = F.struct(
+        F.col("source_type").alias("sourceType"), F.col("source_id").alias("sourceId"), F.col("target_type").alias("targetType"), F.col("target_id").alias("targetId"), F.col("edge_type").alias("edgeType"), "weight",
+        F.coalesce("source", F.lit("")).alias("source"), F.struct(F.col("evidence_count").alias("count"), F.col("evidence_amount").alias("amount")).alias("evidence"),
+    )
+    ends = [edges.filter(F.col(f"{s}_type") == "TAXPAYER").select(F.col(f"{s}_id").alias("taxpayer_id"), edge.alias("e")) for s in ("source", "target")]
+    # an edge from a taxpayer to itself is one edge
+    rows = ends[0].unionByName(ends[1].filter("e.sourceType <> 'TAXPAYER' OR e.sourceId <> e.targetId"))
+    best = Window.partitionBy("taxpayer_id").orderBy(F.desc("e.weight"), "e.edgeType", "e.sourceId", "e.targetId", "e.source")
+    top = rows.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= per_taxpayer)
+    return top.groupBy("taxpayer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("linkedEntities"))  # per_taxpayer at most
+
+
+def evidence_packs(cases: DataFrame, signals: DataFrame, taxpayers: DataFrame, edges: DataFrame, packs: DataFrame | None = None) -> DataFrame:
+    """(id, version, summary, pack): a nested document per case as JSON - case, taxpayer, period, rule, gap, source
+    records (the signal's evidence), the 25 strongest edges of the taxpayer, checklist and notes.
+
+    `cases` has risk_signal_id, and case_number where that isn't its id. Unknown names are empty, a case without a
+    taxpayer has no linked entities, amounts and dates that aren't known are left out. The version follows the
+    case's packs (case_id, version).
+    """
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    number = F.col("case_number") if "case_number" in cases.columns else F.col("id")
+    one = cases.select(
+        "id", "taxpayer_id", "risk_signal_id", number.alias("_number"), F.col("estimated_recoverable").alias("_recoverable"),
+        F.struct("id", number.alias("caseNumber"), "priority", F.col("case_status").alias("status")).alias("case"),
+    )
+    who = taxpayers.select(F.col("id").alias("taxpayer_id"), "kra_pin", "legal_name")
     sig = signals.select(
-        F.col("deterministic_key").alias("risk_signal_id"), F.struct("period_start", "period_end").alias("period"), F.struct("rule_code", "tax_head", "severity", "explanation").alias("rule"),
-        F.struct("observed_amount", "declared_amount", "estimated_gap", "confidence_score").alias("gap"), F.col("evidence").alias("sourceRecords"),
+        F.col("deterministic_key").alias("risk_signal_id"), "rule_code", F.struct(F.col("period_start").alias("start"), F.col("period_end").alias("end")).alias("period"),
+        F.struct(F.col("rule_code").alias("code"), F.col("signal_type").alias("signalType"), empty("tax_head").alias("taxHead")).alias("rule"),
+        "observed_amount", "declared_amount", "estimated_gap", "confidence_score", F.parse_json("evidence").alias("sourceRecords"),
     )
-    near = linked.groupBy("taxpayer_id").agg(F.array_sort(F.collect_list(F.struct("n", "other", "edge_type", "weight"))).alias("linked_entities"))
-    rows = cases.join(who, "taxpayer_id", "left").join(sig, "risk_signal_id", "left").join(near, "taxpayer_id", "left")
-    case = F.struct("id", "case_status", "priority", "estimated_recoverable")
-    lists = [F.array(*map(F.lit, lines)).alias(n) for n, lines in (("officerChecklist", CHECKLIST), ("legalPolicyNotes", NOTES))]
-    parts = [case.alias("case"), "taxpayer", "period", "rule", "gap", "sourceRecords", "linked_entities", *lists, F.lit(RECOMMENDATION).alias("recommendation")]
-    return rows.select("id", F.to_json(F.struct(*parts)).alias("pack"))
+    rows = one.join(who, "taxpayer_id", "left").join(sig, "risk_signal_id", "left").join(linked_records(edges), "taxpayer_id", "left")
+    amounts = (("observed_amount", "observedAmount"), ("declared_amount", "declaredAmount"), ("estimated_gap", "estimatedGap"), ("_recoverable", "estimatedRecoverableAmount"), ("confidence_score", "confidenceScore"))
+    linked = F.coalesce("linkedEntities", F.array().cast(rows.schema["linkedEntities"].dataType))
+    parts = [
+        "case", F.struct(empty("taxpayer_id").alias("id"), empty("kra_pin").alias("kraPin"), empty("legal_name").alias("name")).alias("taxpayer"), "period", "rule",
+        F.struct(*[F.col(c).alias(n) for c, n in amounts]).alias("gap"), "sourceRecords", linked.alias("linkedEntities"),
+        *[F.array(*map(F.lit, lines)).alias(n) for n, lines in (("officerChecklist", CHECKLIST), ("legalPolicyNotes", NOTES))], F.lit(RECOMMENDATION).alias("recommendation"),
+    ]
+    if packs is not None:
+        rows = rows.join(next_version(packs).withColumnRenamed("case_id", "id"), "id", "left")
+    version = F.coalesce("next_version", F.lit(1)) if packs is not None else F.lit(1)
+    summary = F.concat(F.lit("Evidence pack for "), "_number", F.lit(" covering "), empty("rule_code"))
+    return rows.select("id", version.cast("int").alias("version"), summary.alias("summary"), F.to_json(F.struct(*parts)).alias("pack"))
 
 
 # notifications

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +45,57 @@ def redacted(m: Column) -> Column:
     return F.transform_values(m, lambda k, v: F.when(k.isin(*SECRET_KEYS) | F.lower(k).contains("password"), HIDDEN).otherwise(v))
 
 
-def redacted_json(text: Column) -> Column:
-    """The same for a profile as JSON text with maps in maps: the text values of secret names, at any depth,
-    are replaced. A secret name with another kind of value hides that too, if it isn't a map or a list."""
-    names = "|".join(SECRET_KEYS) + '|[^"]*(?i:password)[^"]*'
-    return F.regexp_replace(text, rf'("(?:{names})"\s*:\s*)("(?:[^"\\]|\\.)*"|[^\s,\[\]{{}}"]+)', rf'$1"{HIDDEN}"')
+_JSON = re.compile(r'\s*+(?:("(?:[^"\\]++|\\.)*+")|([{}\[\],:])|(-?[0-9][0-9.eE+-]*+|true|false|null))\s*+', re.DOTALL)
+
+
+def is_secret(name: str) -> bool:
+    return name in SECRET_KEYS or "password" in name.lower()
+
+
+def hidden(text: str | None, in_lists: bool = False) -> str | None:
+    """A JSON object with the whole value of every secret name replaced, whatever it is, in objects at any depth; all
+    else stays as it is written. Lists are left as they are unless `in_lists`. What isn't a JSON object is null."""
+    try:
+        if text is None or not isinstance(json.loads(text), dict):
+            return None
+    except (ValueError, RecursionError):
+        return None
+    out, done = [], 0  # text up to `done` is written
+    stack: list[str] = []  # the brackets that are open
+    lists = 0
+    key = skip = None  # the last string of an object; the depth from which a value is dropped
+    at = 0
+    while at < len(text):
+        m = _JSON.match(text, at)
+        at = m.end()
+        mark = m[2]
+        if mark == ":" and skip is None and (in_lists or not lists) and is_secret(json.loads(key)):
+            out += [text[done : m.end()], f'"{HIDDEN}"']
+            skip = len(stack)
+            continue
+        if mark in ("{", "["):
+            stack.append(mark)
+            lists += mark == "["
+        elif mark in ("}", "]"):
+            if skip == len(stack):
+                skip, done = None, m.start()  # the object ends with the value
+            stack.pop()
+            lists -= mark == "]"
+        elif mark == "," and skip == len(stack):
+            skip, done = None, m.start()
+        elif m[1]:
+            key = m[1]
+    return "".join([*out, text[done:]])
+
+
+def redacted_json(text: Column, in_lists: bool = False) -> Column:
+    """hidden() of a column, in Arrow batches: the walk has no form in built-in functions."""
+
+    @F.pandas_udf("string")
+    def walk(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: hidden(t, in_lists))
+
+    return walk(text)
 
 
 def readiness(sources: DataFrame, jobs: DataFrame, now: datetime) -> DataFrame:

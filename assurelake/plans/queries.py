@@ -465,13 +465,38 @@ query(
 )(lambda d: cases.linked_entities(graph.extract(d)))
 
 
-def _case_signals(d: Domain) -> DataFrame:
+def _case_signals(d: Domain, signals: DataFrame) -> DataFrame:
     """Cases with a signal of their taxpayer: the one with the smallest key."""
-    first = all_signals(d).filter("taxpayer_id IS NOT NULL").groupBy("taxpayer_id").agg(F.min("deterministic_key").alias("risk_signal_id"))
+    first = signals.filter("taxpayer_id IS NOT NULL").groupBy("taxpayer_id").agg(F.min("deterministic_key").alias("risk_signal_id"))
     return d["cases"].join(first, "taxpayer_id", "left")
 
 
-query("case_evidence_packs")(lambda d: cases.evidence_packs(_case_signals(d), all_signals(d), d["taxpayers"], cases.linked_entities(graph.extract(d), 5)))
+def packs(d: Domain) -> DataFrame:
+    """Evidence packs of all cases; every third case has a pack already."""
+    old = d["cases"].filter("id LIKE '%3'").select(F.col("id").alias("case_id"), F.lit(1).alias("version"))
+    signals = catalog.written(all_signals(d), "signals")
+    return cases.evidence_packs(_case_signals(d, signals), signals, d["taxpayers"], graph.extract(d), old)
+
+
+_PACK = {
+    "case_number": "$.case.caseNumber", "priority": "$.case.priority", "status": "$.case.status", "taxpayer": "$.taxpayer.id", "pin": "$.taxpayer.kraPin", "name": "$.taxpayer.name", "period_start": "$.period.start", "period_end": "$.period.end",
+    "rule_code": "$.rule.code", "signal_type": "$.rule.signalType", "tax_head": "$.rule.taxHead", "observed": "$.gap.observedAmount", "estimated_gap": "$.gap.estimatedGap", "recoverable": "$.gap.estimatedRecoverableAmount", "confidence": "$.gap.confidenceScore",
+    "check": "$.officerChecklist[0]", "note": "$.legalPolicyNotes[2]", "advice": "$.recommendation",
+}
+_LINKED = "transform(from_json(get_json_object(pack, '$.linkedEntities'), 'array<struct<sourceId string, targetId string, edgeType string, weight decimal(8,4)>>'), e -> concat_ws('/', e.edgeType, e.sourceId, e.targetId, e.weight))"
+query(
+    "case_evidence_packs",
+    f"""SELECT c.id, CASE WHEN c.id LIKE '%3' THEN 2 ELSE 1 END AS version, 'Evidence pack for ' || c.id || ' covering ' || coalesce(s.rule_code, '') AS summary, c.id AS case_number, c.priority, c.case_status AS status, c.taxpayer_id AS taxpayer, coalesce(t.kra_pin, '') AS pin, coalesce(t.legal_name, '') AS name,
+    CAST(s.period_start AS VARCHAR) AS period_start, CAST(s.period_end AS VARCHAR) AS period_end, s.rule_code, s.rule_code AS signal_type, s.tax_head, s.observed_amount AS observed, s.estimated_gap, c.estimated_recoverable AS recoverable, CAST(s.confidence_score AS DECIMAL(18,2)) AS confidence,
+    '{cases.CHECKLIST[0]}' AS check, '{cases.NOTES[2]}' AS note, '{cases.RECOMMENDATION}' AS advice, coalesce(l.linked, '') AS linked, s.deterministic_key IS NOT NULL AS has_records
+    FROM {{cases}} c LEFT JOIN (SELECT taxpayer_id, min(deterministic_key) AS k FROM {{signals}} WHERE taxpayer_id IS NOT NULL GROUP BY 1) f ON f.taxpayer_id = c.taxpayer_id LEFT JOIN {{signals}} s ON s.deterministic_key = f.k LEFT JOIN {{taxpayers}} t ON t.id = c.taxpayer_id
+    LEFT JOIN (SELECT taxpayer_id, string_agg(edge_type || '/' || source_id || '/' || target_id || '/' || CAST(CAST(weight AS DECIMAL(8,4)) AS VARCHAR), ',' ORDER BY n) AS linked FROM (
+      SELECT *, row_number() OVER (PARTITION BY taxpayer_id ORDER BY weight DESC, edge_type, source_id, target_id, source) AS n FROM (SELECT source_id AS taxpayer_id, * FROM {{edges}} UNION ALL SELECT target_id, * FROM {{edges}} WHERE target_type = 'TAXPAYER')) WHERE n <= 25 GROUP BY 1) l ON l.taxpayer_id = c.taxpayer_id""",
+    edges=_ALL_EDGES, signals=rule_sql.ALL_SIGNALS,
+)(
+    lambda d: packs(d).select("id", "version", "summary", *[(F.get_json_object("pack", p).cast("decimal(18,2)") if p.startswith("$.gap") else F.get_json_object("pack", p)).alias(n) for n, p in _PACK.items()], F.array_join(F.expr(_LINKED), ",").alias("linked"), (F.substring(F.get_json_object("pack", "$.sourceRecords"), 1, 1) == "{").alias("has_records"))
+    .withColumn("has_records", F.coalesce("has_records", F.lit(False)))
+)
 _TEMPLATES = [
     ("A_CODE_BEFORE_ALL", "EMAIL", "no", "no", True),
     ("CASE_FOLLOW_UP_EMAIL", "EMAIL", "old", "old", False),
@@ -528,6 +553,10 @@ query("integration_redaction", "SELECT r_regionkey, " + ", ".join(f"'***' AS k{i
         "r_regionkey", *[F.col("m")[k].alias(f"k{i}") for i, k in enumerate(_KEYS)], "profile"
     )
 )
+# a profile with secret names whose values are texts, numbers, objects, lists and null, at several depths
+_PROFILE = """concat('{"host" : "', c_name, '", "token": {"value": ["', c_mktsegment, '", {"x": 1}]}, "inner":{"secret":[1, {"a": "}"}],"apiKey":null,"port":', c_custkey, ',"deep":{"Old_PASSWORD_1":', c_acctbal, ',"clientSecrets":"seen","list":[{"token":"seen in a list"}], "passphrase":"a\\\\"b" }}}')"""
+_HIDDEN = """concat('{"host" : "', c_name, '", "token": "***", "inner":{"secret":"***","apiKey":"***","port":', c_custkey, ',"deep":{"Old_PASSWORD_1":"***","clientSecrets":"seen","list":[{"token":"seen in a list"}], "passphrase":"***"}}}')"""
+query("integration_profiles", f"SELECT c_custkey, {_HIDDEN} AS profile FROM {{customer}}")(lambda d: d["customer"].select("c_custkey", governance.redacted_json(F.expr(_PROFILE)).alias("profile")))
 _ROLES = ("SELECT n_name AS role FROM {nation}", "SELECT concat('NATION_', c_nationkey) AS role, c_custkey % 100 AS user_id FROM {customer} WHERE c_nationkey <> 5", "SELECT concat('NATION_', s_nationkey) AS role, concat('P', s_suppkey % 9) AS permission FROM {supplier}")
 query("admin_role_counts", "SELECT r.role, coalesce(u.n, 0) AS users, coalesce(p.n, 0) AS permissions FROM {roles} r LEFT JOIN (SELECT role, count(DISTINCT user_id) AS n FROM {urole} GROUP BY 1) u USING (role) LEFT JOIN (SELECT role, count(DISTINCT permission) AS n FROM {perm} GROUP BY 1) p USING (role)", roles=_ROLES[0], urole=_ROLES[1], perm=_ROLES[2])(
     lambda d: governance.role_counts(d.spark.sql(_ROLES[0], nation=d["nation"]), d.spark.sql(_ROLES[1], customer=d["customer"]), d.spark.sql(_ROLES[2], supplier=d["supplier"]))
