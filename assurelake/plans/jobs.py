@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurelake.operators import cases, governance, graph, reconcile, reports, rules, runs, scoring, taxgap, views
+from assurelake.operators import cases, governance, graph, name_index, reconcile, reports, rules, runs, scoring, taxgap, views
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import Domain
-from assurelake.plans.queries import EDGES, GAP, INT, ML, QUERIES, RECON, _jobs, _sources, all_signals, gap_estimates, obs, query, recon, rule_scores
+from assurelake.plans.queries import CANDIDATES_SQL, EDGES, ER, GAP, INT, ML, QUERIES, RECON, _jobs, _sources, all_signals, gap_estimates, obs, query, recon, rule_scores
 from assurelake.sources import ingest
 from assurelake.sources.catalog import Catalog, insert_if_absent, merge_by_key, work_dir, written
 
@@ -218,6 +218,17 @@ _VIEW = """count(*) AS estimates, count(DISTINCT taxpayer_id) AS taxpayers, CAST
 query("report_view_by_sector", f"SELECT coalesce(sector_name, 'Unspecified') AS sector, tax_head, {_VIEW} FROM {{est}} JOIN {{taxpayers}} ON id = taxpayer_id GROUP BY 1, 2", **GAP)(lambda d: views.by_sector(refreshed(d), d["taxpayers"]))
 query("report_view_by_region", f"SELECT coalesce(county, 'Unspecified') AS region, tax_head, {_VIEW} FROM {{est}} JOIN {{taxpayers}} ON id = taxpayer_id GROUP BY 1, 2", **GAP)(lambda d: views.by_region(refreshed(d), d["taxpayers"]))
 
+def name_catalog(d: Domain) -> Catalog:
+    """An index of taxpayers' names, made in two additions; some names were others at first."""
+    catalog, people = new_catalog(d, "names"), d["taxpayers"].select(*name_index.COLUMNS)
+    wrong = people.filter("id LIKE '%4'").withColumn("legal_name", F.lit("House of Supplier 000000042"))
+    name_index.add(catalog, people.filter("id LIKE 'C%' AND id NOT LIKE '%4'").unionByName(wrong))
+    name_index.add(catalog, people.filter("id NOT LIKE 'C%' OR id LIKE '%4'"))
+    return catalog
+
+
+query("er_indexed_candidates", CANDIDATES_SQL, tsets=ER["tsets"])(lambda d: name_index.candidates(name_catalog(d), "House of Supplier 000000042", 20))
+
 # models
 
 _VERSIONS = "model_name string, version string, created_at string, active boolean"

@@ -215,11 +215,12 @@ query("er_new_relationships", "SELECT source_id AS source_taxpayer_id, target_id
         resolution.duplicate_pairs(d["taxpayers"]).filter("basis <> 'FUZZY_NAME'").select(F.col("source_id").alias("source_taxpayer_id"), F.col("target_id").alias("target_taxpayer_id"), F.lit("POSSIBLE_DUPLICATE").alias("relationship_type")),
     ).drop("source")
 )
+CANDIDATES_SQL = f"""SELECT id, kra_pin, legal_name, greatest(l, t) AS confidence, CASE WHEN l >= t THEN 'LEGAL_NAME' ELSE 'TRADING_NAME' END AS basis, greatest(l, t) >= 0.55 AS auto_link_eligible FROM (
+      SELECT *, {_SIM.format("gl", "g")} AS l, {_SIM.format("gt", "g")} AS t FROM {{tsets}}, (SELECT {_TRI.format("'House of Supplier 000000042'")} AS g)) WHERE greatest(l, t) > 0
+    ORDER BY confidence DESC, legal_name, id LIMIT 20"""
 query(
     "er_match_candidates",
-    f"""SELECT id, kra_pin, legal_name, greatest(l, t) AS confidence, CASE WHEN l >= t THEN 'LEGAL_NAME' ELSE 'TRADING_NAME' END AS basis, greatest(l, t) >= 0.55 AS auto_link_eligible FROM (
-      SELECT *, {_SIM.format("gl", "g")} AS l, {_SIM.format("gt", "g")} AS t FROM {{tsets}}, (SELECT {_TRI.format("'House of Supplier 000000042'")} AS g)) WHERE greatest(l, t) > 0
-    ORDER BY confidence DESC, legal_name, id LIMIT 20""",
+    CANDIDATES_SQL,
     tsets=_TSETS,
 )(lambda d: resolution.match_candidates(d["taxpayers"], "House of Supplier 000000042", 20))
 #: Tables with open links: its domain table and its key, by the table's name.
