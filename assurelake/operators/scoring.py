@@ -32,8 +32,8 @@ LABELS = {c: n for n, (c, _) in WEIGHTS.items()} | {"revenue_footprint_scaled":
 FEATURES = [*dict.fromkeys(c for c, _ in WEIGHTS.values()), "revenue_footprint_scaled"]
 MONEY = ("declared_sales", "declared_income", "invoice_sales", "customs_landed_cost", "withholding_income", "risk_signal_gap")
 COUNTS = ("return_count", "invoice_count", "customs_count", "withholding_count", "open_signal_count")
-#: Parts of the range of footprints in which percentiles are counted.
-PARTS = 64
+#: Distinct footprints in a part of their range, about; there are as many parts as shuffle partitions at least.
+PART_ROWS = 1_000_000
 
 
 def observations(tables, signals: DataFrame, scores: DataFrame, as_of: date) -> DataFrame:
@@ -67,35 +67,44 @@ def _excess(seen: str, said: str) -> Column:
     return F.greatest(F.col(seen) - F.col(said), F.lit(Decimal(0))).cast("double") / F.greatest(F.col(said), F.lit(Decimal(1))).cast("double")
 
 
+def running_shares(values: DataFrame, keys: list[str], parts: int, name: str) -> DataFrame:
+    """values (keys, footprint, c) with the share of the rows of its keys that aren't larger, in percent.
+
+    Values are dealt to ranges of about equal volume, in each of which a window counts; the ranges before add
+    what they hold. A group of keys may take many ranges, and a range hold many groups.
+    """
+    rows = values.groupBy(*keys, "footprint").agg(F.sum("c").alias("c")).repartitionByRange(parts, *keys, "footprint")
+    rows = written(rows.withColumn("part", F.spark_partition_id()), "ranges")
+    here = Window.partitionBy("part", *keys).orderBy("footprint").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.groupBy(*keys, "part").agg(F.sum("c").alias("size"))  # a row for each range of a group
+    of_keys = keys or [F.lit(1)]
+    before = Window.partitionBy(*of_keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"below": F.coalesce(F.sum("size").over(before), F.lit(0)), "n": F.sum("size").over(Window.partitionBy(*of_keys))})
+    rows = rows.withColumn("here", F.sum("c").over(here)).join(sizes.drop("size"), [*keys, "part"])
+    share = F.round(((F.col("here") + F.col("below")) * 100).cast("decimal(20,0)") / F.col("n").cast("decimal(18,0)"), 2).cast("decimal(5,2)")
+    return rows.select(*keys, "footprint", share.alias(name))
+
+
 def percentiles(obs: DataFrame) -> DataFrame:
     """obs with footprint and its percentiles among all taxpayers and in its sector (null is a sector).
 
-    The share of values that are not larger is a running count over all values. It is counted over
-    distinct values, in parts of their range that are windows of their own, plus the counts of the
-    lower parts: no window holds everything. The observations are read several times, so they are written.
+    Shares are counted over distinct values, so equal ones are one row. They go back to the observations by
+    value; the few values that more than a part's share of all rows have (fewer than there are parts) are sent to all
+    tasks, so that a common one makes no large key.
     """
+    spark = obs.sparkSession
     obs = written(obs, "observations")
     sum_of = F.col("invoice_sales") + F.col("customs_landed_cost") + F.col("withholding_income") + F.col("risk_signal_gap")
     obs = obs.withColumns({"footprint": sum_of.cast("decimal(22,2)"), "sector": F.coalesce("sector_name", F.lit("UNSPECIFIED"))})
-    bounds = sorted(set(obs.select(F.col("footprint").cast("double").alias("x")).approxQuantile("x", [i / PARTS for i in range(1, PARTS)], 0.01)))
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col("footprint").cast("double") > b).cast("int")
-    values = obs.groupBy("sector", "footprint").agg(F.count("*").alias("c")).withColumn("part", part)
-
-    def shares(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        rows = rows.groupBy(*keys, "part", "footprint").agg(F.sum("c").alias("c"))
-        run = Window.partitionBy(*keys, "part").orderBy("footprint").rowsBetween(Window.unboundedPreceding, 0)
-        sizes = rows.groupBy(*keys, "part").agg(F.sum("c").alias("size"))  # PARTS rows a key
-        below = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        every = Window.partitionBy(*(keys or [F.lit(1)]))
-        sizes = sizes.withColumns({"below": F.coalesce(F.sum("size").over(below), F.lit(0)), "n": F.sum("size").over(every)})
-        rows = rows.withColumn("here", F.sum("c").over(run)).join(sizes.drop("size"), [*keys, "part"])
-        share = F.round(((F.col("here") + F.col("below")) * 100).cast("decimal(20,0)") / F.col("n").cast("decimal(18,0)"), 2).cast("decimal(5,2)")
-        return rows.select(*keys, "footprint", share.alias(name))
-
-    out = obs.join(shares(values, [], "all_percentile"), "footprint")
-    return out.join(shares(values, ["sector"], "sector_percentile"), ["sector", "footprint"])
+    values = written(obs.groupBy("sector", "footprint").agg(F.count("*").alias("c")), "values")
+    size = values.agg(F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // PART_ROWS))
+    keys = ["sector", "footprint"]
+    shares = values.join(running_shares(values, [], parts, "all_percentile"), "footprint").join(running_shares(values, ["sector"], parts, "sector_percentile"), keys)
+    shares = written(shares, "shares")
+    common = F.col("c") * parts > size["rows"]  # holds for fewer values than there are parts
+    out = obs.join(F.broadcast(shares.filter(common).drop("c")), keys)
+    return out.unionByName(obs.join(shares.filter(~common).drop("c"), keys))
 
 
 def features(obs: DataFrame) -> DataFrame:

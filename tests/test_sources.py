@@ -1,3 +1,4 @@
+from decimal import ROUND_HALF_UP, Decimal
 from itertools import combinations
 from math import factorial
 
@@ -137,6 +138,24 @@ def test_anomaly_scores_highest(spark):
     assert scoring.predict(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_percentiles_of_common_values(spark):
+    """Against counting; a third and more of the rows have no footprint, and many values are equal."""
+    rng = np.random.default_rng(5)
+    sectors = ["A", "B", None]
+    rows = [(f"t{i:04d}", sectors[i % 7 % 3], float(rng.choice([0, 0, 0, 5, 5.5, i, 2 * i]))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "taxpayer_id string, sector_name string, x double")
+    zero = {c: F.lit(0).cast("decimal(18,2)") for c in ("customs_landed_cost", "withholding_income", "risk_signal_gap")}
+    obs = df.withColumn("invoice_sales", F.col("x").cast("decimal(18,2)")).withColumns(zero)
+    got = {r.taxpayer_id: (float(r.all_percentile), float(r.sector_percentile)) for r in scoring.percentiles(obs).collect()}
+
+    def share(x, among):
+        return float((Decimal(100 * sum(y <= x for y in among)) / len(among)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+    every = [x for *_, x in rows]
+    assert got == {i: (share(x, every), share(x, [y for _, z, y in rows if z == s])) for i, s, x in rows}
+    assert scoring.percentiles(obs.limit(0)).count() == 0
+
+
 SMALL = [
     "rule_vat_output_mismatch", "rule_expense_from_non_compliant_supplier", "gap_scores", "gap_taxpayer_ranking", "recon_results", "er_run_summary", "graph_county_permits", "graph_import_activity",
     "graph_neighbourhood", "profile_all", "case_recoverable", "integration_redaction", "ingest_constraints", "ingest_csv_job", "ingest_csv_rows", "ingest_csv_issues", "ml_model_version", "ml_dashboard",
