@@ -1,19 +1,20 @@
 """Reconciliation of collected payments with bank settlements.
 
-Both interval conditions (within the delay, within 30 days) are short, so settlements are repeated
-for each day on which they could answer and joined by equality; each side is aggregated first.
+Both interval conditions (within the delay, within 30 days) are answered by a sweep: days of payments and
+settlements, each summed up first, are merged in order of the day, and a window of as many days looks ahead from
+each day of payments. A settlement is one row whatever the number of days that it could answer, and what meets in a
+window's group is bounded by the calendar: days and accounts of one agency, channel (and amount).
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assurelake.functions.scalar import PAID, SETTLED, clamp, keyed
-from assurelake.operators.rules import days_of
 
 # The account that settlements should reach, and the days in which a late one is looked for
 EXPECTED_ACCOUNT, LATE_DAYS = "CBK-KRA-MAIN", 30
@@ -39,28 +40,39 @@ def totals(payments: DataFrame, start: date | None = None, end: date | None = No
     return paid(payments, start, end).groupBy(*GROUP).agg(F.sum("amount").cast("decimal(18,2)").alias("expected_amount"), F.count("*").alias("transaction_count"))
 
 
-def _settled(settlements: DataFrame, days: int) -> DataFrame:
-    rows = settlements.filter(F.upper("settlement_status").isin(*SETTLED))
-    rows = rows.select(F.lower("collecting_agency").alias("_a"), F.lower("revenue_channel").alias("_c"), "settlement_date", "settled_amount", "settlement_account")
-    return days_of(rows, "settlement_date", days).withColumn("_lag", F.datediff("settlement_date", "_day"))
+def _settled(settlements: DataFrame, *more: str) -> DataFrame:
+    """Settled amounts by agency, channel, day and account (and more columns), names in lower case."""
+    rows = settlements.filter(F.upper("settlement_status").isin(*SETTLED)).dropna(subset=["settlement_date", "collecting_agency", "revenue_channel"])
+    rows = rows.select(F.lower("collecting_agency").alias("_a"), F.lower("revenue_channel").alias("_c"), F.unix_date(F.to_date("settlement_date")).alias("_day"), F.col("settlement_account").alias("_account"), F.col("settled_amount").alias("_amount"))
+    return rows.groupBy("_a", "_c", *more, "_day", "_account").agg(F.sum("_amount").alias("_sum"), F.count("*").alias("_n"))
+
+
+def swept(days: DataFrame, events: DataFrame, keys: list[str], ahead: int, prefix: str, wrong: Column) -> DataFrame:
+    """days with sums over the events of their keys from their day on to `ahead` days later: {prefix}_sum, _count,
+    _account (distinct ones, in order), _wrong and _lag (days to the last). Both have keys and _day."""
+    at = days.withColumn("_here", F.lit(True))
+    both = at.unionByName(events.withColumn("_here", F.lit(False)), allowMissingColumns=True)
+    near = Window.partitionBy(*keys).orderBy("_day").rangeBetween(0, ahead)
+    event = ~F.col("_here")
+    sums = {
+        f"{prefix}_sum": F.sum("_sum").over(near).cast("decimal(18,2)"), f"{prefix}_count": F.coalesce(F.sum("_n").over(near), F.lit(0)),
+        f"{prefix}_account": F.array_join(F.array_sort(F.collect_set("_account").over(near)), ", "), f"{prefix}_wrong": F.coalesce(F.sum(F.when(event & wrong, F.col("_n"))).over(near), F.lit(0)),
+        f"{prefix}_lag": F.max(F.when(event, F.col("_day"))).over(near) - F.col("_day"),
+    }
+    return both.withColumns(sums).filter("_here").select(*days.columns, *sums)
 
 
 def reconcile(payments: DataFrame, settlements: DataFrame, delay_days: int = 2, account: str = EXPECTED_ACCOUNT, start: date | None = None, end: date | None = None) -> DataFrame:
     """Results: every paid agency, channel and day classified, and a row for each group of duplicates."""
     delay_days = max(0, delay_days)
-    base = totals(payments, start, end)
-    here = [F.lower("collecting_agency") == F.col("_a"), F.lower("revenue_channel") == F.col("_c"), F.col("reconciliation_date") == F.col("_day")]
-    accounts = F.array_join(F.array_sort(F.collect_set("settlement_account")), ", ")
-    wrong = F.count_if(F.lower(F.coalesce("settlement_account", F.lit(""))) != account.lower())
-    on_time = _settled(settlements, delay_days).groupBy("_a", "_c", "_day").agg(
-        F.sum("settled_amount").cast("decimal(18,2)").alias("on_sum"), F.count("*").alias("on_count"), accounts.alias("on_account"), wrong.alias("on_wrong"), F.max("_lag").alias("on_lag")
-    )
-    # any settlement of exactly the amount in the 30 days: aggregated by amount, then joined by it as well
-    exact = _settled(settlements, LATE_DAYS).groupBy("_a", "_c", "_day", F.col("settled_amount").alias("_amount")).agg(
-        F.sum("settled_amount").cast("decimal(18,2)").alias("all_sum"), F.count("*").alias("all_count"), accounts.alias("all_account"), F.max("_lag").alias("all_lag")
-    )
-    drop = ("_a", "_c", "_day")
-    rows = base.join(on_time, here, "left").drop(*drop).join(exact, [*here, F.col("expected_amount") == F.col("_amount")], "left").drop(*drop, "_amount")
+    base = totals(payments, start, end).withColumns({"_a": F.lower("collecting_agency"), "_c": F.lower("revenue_channel"), "_day": F.unix_date("reconciliation_date"), "_amount": F.col("expected_amount")})
+    wrong = F.lower(F.coalesce("_account", F.lit(""))) != account.lower()
+    rows = swept(base, _settled(settlements), ["_a", "_c"], delay_days, "on", wrong)
+    # any settlement of exactly the amount in the 30 days
+    rows = swept(rows, _settled(settlements, "_amount"), ["_a", "_c", "_amount"], LATE_DAYS, "all", wrong)
+    for p in ("on", "all"):  # no settlement has no accounts, rather than none
+        rows = rows.withColumn(f"{p}_account", F.when(F.col(f"{p}_count") > 0, F.col(f"{p}_account")))
+    rows = rows.drop("_a", "_c", "_day", "_amount")
     rows = rows.fillna(0, ["on_sum", "on_count", "on_wrong", "all_sum", "all_count"])
     late = (F.col("on_count") == 0) & (F.col("all_sum") >= F.col("expected_amount"))
     status = (
