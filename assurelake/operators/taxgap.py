@@ -36,15 +36,20 @@ def rate_catalog(spark: SparkSession) -> DataFrame:
     return rows.select("signal_type", "catalog_head", *[F.col(c).cast(kind) for c in ("recoverable_rate", "penalty_rate", "interest_rate")], "basis")
 
 
-def source_signals(signals: DataFrame) -> DataFrame:
+def _rates(signals: DataFrame, rates: DataFrame | None) -> DataFrame:
+    """The rates given, or the eleven rows of the catalog."""
+    return F.broadcast(rate_catalog(signals.sparkSession)) if rates is None else rates
+
+
+def source_signals(signals: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """How many catalogued signals have a gap, whatever their status."""
-    return signals.filter("estimated_gap > 0").join(F.broadcast(rate_catalog(signals.sparkSession)), "signal_type", "left_semi").agg(F.count("*").alias("source_signals"))
+    return signals.filter("estimated_gap > 0").join(_rates(signals, rates), "signal_type", "left_semi").agg(F.count("*").alias("source_signals"))
 
 
-def normalised(signals: DataFrame) -> DataFrame:
+def normalised(signals: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """Open signals of a taxpayer with a gap, with their rates; amounts are not below zero."""
     rows = signals.filter(F.col("taxpayer_id").isNotNull() & (F.col("estimated_gap") > 0) & F.col("status").isin("OPEN", "NEW"))
-    rows = rows.join(F.broadcast(rate_catalog(signals.sparkSession)), "signal_type")
+    rows = rows.join(_rates(signals, rates), "signal_type")
     created = F.to_date("created_at") if "created_at" in signals.columns else F.lit(None).cast("date")
     floor = F.lit(Decimal(0))
     return rows.select(
@@ -57,9 +62,9 @@ def normalised(signals: DataFrame) -> DataFrame:
     )
 
 
-def estimates(signals: DataFrame) -> DataFrame:
-    """One estimate per taxpayer, tax head and period."""
-    rows = normalised(signals)
+def estimates(signals: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """One estimate per taxpayer, tax head and period, by the rates given (those of the catalog)."""
+    rows = normalised(signals, rates)
     gap = F.col("estimated_gap")
     of = lambda *rates: F.sum(F.round(_product(gap, *rates), 2)).cast("decimal(18,2)")
     out = rows.groupBy(*KEYS).agg(

@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurelake.operators import cases, governance, graph, name_index, reconcile, reports, rules, runs, scoring, taxgap, views
+from assurelake.operators import cases, governance, graph, name_index, reconcile, reports, rules, runs, scoring, settings, taxgap, views
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import Domain
-from assurelake.plans.queries import CANDIDATES_SQL, EDGES, ER, GAP, INT, ML, QUERIES, RECON, _jobs, _sources, all_signals, gap_estimates, obs, query, recon, rule_scores
+from assurelake.plans.queries import CANDIDATES_SQL, EDGES, ER, GAP, INT, ML, QUERIES, RECON, _RATES, _jobs, _sources, all_signals, gap_estimates, obs, query, recon, rule_scores
 from assurelake.sources import ingest
 from assurelake.sources.catalog import Catalog, insert_if_absent, merge_by_key, work_dir, written
 
@@ -25,6 +25,10 @@ _OKAY = "legal_name IS NOT NULL AND try_cast(registered_at AS DATE) IS NOT NULL"
 _NOW = "2024-01-01 00:00:00"
 
 
+def new_catalog(d: Domain, name: str) -> Catalog:
+    return Catalog(d.spark, f"{work_dir(d.spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def loaded(d: Domain) -> tuple[dict, Catalog]:
     """A job that loads a CSV file of the records, and the catalog that it loads into."""
     folder = f"{work_dir(d.spark)}/ingest-{uuid.uuid4().hex}"
@@ -101,7 +105,44 @@ query("ingest_sources", "SELECT code, active FROM {sources} UNION ALL SELECT 'NE
 # rules and gaps
 
 _RULES = ", ".join(f"('{r.code}', '{r.tax_head}', '{r.severity}', {r.confidence}, '{json.dumps(r.thresholds)}')" for r in rules.RULES)
-query("rule_list", f"SELECT code, tax_head, severity, CAST(confidence AS DOUBLE) AS confidence, TRUE AS active, thresholds FROM (VALUES {_RULES}) AS v(code, tax_head, severity, confidence, thresholds)")(lambda d: rules.rule_list(d.spark))
+# changes of rules: rows of nation, in the order of their keys
+_CODE_LIST = ", ".join(f"'{c}'" for c in rules.CODES)
+_CHANGES = f"""SELECT element_at(array({_CODE_LIST}), CAST(n_nationkey % {len(rules.CODES)} + 1 AS INT)) AS code, CASE n_nationkey % 3 WHEN 0 THEN concat('LEVEL-', n_nationkey) WHEN 1 THEN ' ' END AS severity,
+  CASE WHEN n_nationkey % 5 = 0 THEN FALSE WHEN n_nationkey % 7 = 0 THEN TRUE END AS active, CASE WHEN n_nationkey % 4 = 0 THEN concat(chr(123), '"minimumGap": "', n_nationkey * 1000, '"', chr(125)) END AS thresholds, n_nationkey AS seq FROM {{nation}}"""
+
+
+def settled_rules(d: Domain) -> Catalog:
+    catalog = new_catalog(d, "rules")
+    settings.store_rules(catalog, "2024-01-01 00:00:00")
+    settings.update_rules(catalog, d.spark.sql(_CHANGES, nation=d["nation"]), "2024-02-02 00:00:00")
+    return catalog
+
+
+query(
+    "rule_list",
+    f"""SELECT r.code, r.tax_head, coalesce(c.severity, r.severity) AS severity, CAST(r.confidence AS DOUBLE) AS confidence, coalesce(c.active, TRUE) AS active, coalesce(c.thresholds, r.thresholds) AS thresholds
+    FROM (VALUES {_RULES}) AS r(code, tax_head, severity, confidence, thresholds) LEFT JOIN (SELECT code, arg_max(severity, seq) FILTER (WHERE trim(severity) <> '') AS severity, arg_max(active, seq) FILTER (WHERE active IS NOT NULL) AS active, arg_max(thresholds, seq) FILTER (WHERE thresholds IS NOT NULL) AS thresholds FROM {{changes}} GROUP BY 1) c USING (code)""",
+    changes=_CHANGES.replace("element_at(array(", "list_extract(list_value("),
+)(lambda d: settled_rules(d).read(settings.RULES).select("code", "tax_head", "severity", "confidence", "active", "thresholds"))
+
+
+def settled_rates(d: Domain) -> Catalog:
+    """The rates, some of them replaced by rows of region."""
+    catalog = new_catalog(d, "rates")
+    settings.store_rates(catalog)
+    stored = catalog.read(settings.RATES).filter("signal_type LIKE 'VAT%'")
+    top = d["region"].agg((F.max("r_regionkey") / 100).cast("decimal(10,4)").alias("_r"))
+    settings.store_rates(catalog, stored.crossJoin(F.broadcast(top)).withColumn("penalty_rate", F.col("_r")).drop("_r"))  # one row
+    return catalog
+
+
+query(
+    "gap_rate_catalog",
+    f"""SELECT r.signal_type, head AS catalog_head, CAST(rate AS DECIMAL(10,4)) AS recoverable_rate, CAST(CASE WHEN r.signal_type LIKE 'VAT%' THEN (SELECT max(r_regionkey) / 100 FROM {{region}}) ELSE penalty END AS DECIMAL(10,4)) AS penalty_rate, CAST(interest AS DECIMAL(10,4)) AS interest_rate, basis,
+    coalesce(s.n, 0) AS signals, CAST(coalesce(s.gap, 0) AS DECIMAL(18,2)) AS estimated_gap FROM (VALUES {_RATES}) AS r(signal_type, head, rate, penalty, interest, basis)
+    LEFT JOIN (SELECT rule_code, count(*) AS n, sum(estimated_gap) AS gap FROM {{signals}} WHERE estimated_gap > 0 GROUP BY 1) s ON s.rule_code = r.signal_type""",
+    **GAP,
+)(lambda d: settings.rate_usage(settled_rates(d), all_signals(d)))
 query(
     "rule_signal_view",
     "SELECT s.deterministic_key, t.kra_pin, t.legal_name, s.period_start FROM (SELECT * FROM {signals} WHERE rule_code = 'VAT_OUTPUT_MISMATCH' ORDER BY period_start DESC, deterministic_key LIMIT 200) s LEFT JOIN {taxpayers} t ON t.id = s.taxpayer_id",
@@ -151,10 +192,6 @@ query("graph_node_merge", "SELECT id, legal_name FROM {taxpayers}")(
 # runs that keep their results in the catalog
 
 
-def new_catalog(d: Domain, name: str) -> Catalog:
-    return Catalog(d.spark, f"{work_dir(d.spark)}/{name}-{uuid.uuid4().hex}")
-
-
 def orders_merged(d: Domain) -> DataFrame:
     """Orders in a table with buckets; those of a hundredth of the customers are merged with another status, some of them new."""
     catalog, key = new_catalog(d, "merged"), ["order_number"]
@@ -247,7 +284,25 @@ query(
     f"SELECT 'taxpayer-risk' AS model_name, 'risk-' || substr(sha256(concat_ws('|', 'taxpayer-risk', '42', '{','.join(_COLUMNS)}', CAST(n AS VARCHAR), " + ", ".join(f"CAST(coalesce(h{i}, 0) AS VARCHAR)" for i in range(4)) + f")), 1, 12) AS version FROM (SELECT count(*) AS n, {_PIECES} FROM (SELECT {_ROW} AS h FROM {{obs}}))",
     **ML,
 )(lambda d: scoring.model_version(obs(d)))
-query("ml_version_list", "SELECT * FROM (VALUES ('taxpayer-risk', 'risk-2', '2024-02-01', TRUE), ('taxpayer-risk', 'risk-1', '2024-01-01', FALSE)) AS v(model_name, version, created_at, active)")(lambda d: scoring.version_list(versions(d)))
+
+
+def stored_versions(d: Domain) -> Catalog:
+    """Versions of a model on companies, on all, and on companies again."""
+    catalog, rows = new_catalog(d, "versions"), written(obs(d), "observations")
+    for n, some in enumerate(("taxpayer_id LIKE 'S%'", "TRUE", "taxpayer_id LIKE 'S%'")):
+        settings.store_version(catalog, scoring.model_version(rows.filter(some)), f"2024-01-0{n + 1}")
+    return catalog
+
+
+_VERSION = f"'risk-' || substr(sha256(concat_ws('|', 'taxpayer-risk', '42', '{','.join(_COLUMNS)}', CAST(n AS VARCHAR), " + ", ".join(f"CAST(coalesce(h{i}, 0) AS VARCHAR)" for i in range(4)) + ")), 1, 12)"
+query(
+    "ml_version_list",
+    " UNION ALL ".join(
+        f"SELECT 'taxpayer-risk' AS model_name, {_VERSION} AS version, '{created}' AS created_at, {active} AS active FROM (SELECT count(*) AS n, {_PIECES} FROM (SELECT {_ROW} AS h FROM {{obs}} WHERE {some}))"
+        for some, created, active in (("taxpayer_id LIKE 'S%'", "2024-01-01", "TRUE"), ("TRUE", "2024-01-02", "FALSE"))
+    ),
+    **ML,
+)(lambda d: scoring.version_list(stored_versions(d).read(settings.VERSIONS)))
 
 
 def test_predictions(d: Domain) -> DataFrame:

@@ -84,7 +84,6 @@ def flat_estimates(d: Domain) -> DataFrame:
     return rows.drop("signal_types", "evidence").withColumn("bases", F.array_join(F.transform("bases", lambda b: F.concat(b["signal_type"], F.lit("="), b["basis"])), ","))
 
 
-query("gap_rate_catalog", f"SELECT signal_type, catalog_head, CAST(rate AS DECIMAL(10,4)) AS recoverable_rate, CAST(penalty AS DECIMAL(10,4)) AS penalty_rate, CAST(interest AS DECIMAL(10,4)) AS interest_rate, basis FROM (VALUES {_RATES}) AS v(signal_type, catalog_head, rate, penalty, interest, basis)")(lambda d: taxgap.rate_catalog(d.spark))
 query("gap_source_signals", "SELECT count(*) AS source_signals FROM {signals} WHERE estimated_gap > 0", signals=rule_sql.ALL_SIGNALS)(lambda d: taxgap.source_signals(all_signals(d)))
 query("gap_estimates", "SELECT * FROM {est}", **GAP)(flat_estimates)
 query("gap_estimate_list", "SELECT deterministic_key, recoverable_tax, confidence_score FROM {est} WHERE tax_head = 'VAT' AND period_start >= DATE '1993-01-15' AND period_end <= DATE '1997-12-15' ORDER BY recoverable_tax DESC, confidence_score DESC, tax_head, deterministic_key LIMIT 100", **GAP)(

@@ -102,3 +102,21 @@ def test_one_rule_alone_is_the_same(tables):
     """Rules that share the monthly sums, and each with its own."""
     together = {tuple(r) for r in rules.run_rules(tables, AS_OF).collect()}
     assert {tuple(r) for c in rules.CODES for r in rules.run_rules(tables, AS_OF, [c]).collect()} == together
+
+
+def test_rules_are_stored_and_updated(spark, tmp_path):
+    from assurelake.operators import settings
+    from assurelake.sources.catalog import Catalog
+
+    cat = Catalog(spark, f"file://{tmp_path}/c")
+    settings.store_rules(cat, "2024-01-01 00:00:00")
+    schema = "code string, severity string, active boolean, thresholds string, seq int"
+    changes = [("vat_output_mismatch ", "LOW", None, None, 1), ("VAT_OUTPUT_MISMATCH", " ", None, '{"minimumGap": "7", "other": [1]}', 2), ("NIL_FILER_ISSUING_INVOICES", None, False, None, 1)]
+    settings.update_rules(cat, spark.createDataFrame(changes, schema), "2024-02-02 00:00:00")
+    got = {r.code: r for r in settings.stored_rules(cat)}
+    assert len(got) == 11 and not got["NIL_FILER_ISSUING_INVOICES"].active and got["NIL_FILER_ISSUING_INVOICES"].severity == "HIGH"
+    changed = got["VAT_OUTPUT_MISMATCH"]
+    assert (changed.severity, changed.active, changed.thresholds["minimumGap"], changed.thresholds["periodGraceDays"], changed.thresholds["other"]) == ("LOW", True, "7", 45, (1,))
+    with pytest.raises(ValueError):
+        settings.update_rules(cat, spark.createDataFrame([("NO_RULE", None, True, None, 1)], schema), "2024-02-02 00:00:00")
+    assert cat.read(settings.RULES).filter("updated_at > '2024-02-01'").count() == 2
