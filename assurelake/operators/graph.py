@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assurelake.functions.scalar import clamp, stable_uuid
+from assurelake.sources.catalog import written
 
 # Fixed value: weights are clamped to what the column holds
 MOST_WEIGHT = Decimal("9999.9999")
@@ -101,6 +102,22 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("edge_type").agg(F.count("*").alias("edges"))
 
 
+def run_counters(edges: DataFrame, scores: DataFrame, taxpayers: DataFrame, minimum: int = 70, limit: int = 50) -> DataFrame:
+    """(counter, n): edges by type, all edges, and the high-risk clusters that a run reports (`limit` at most)."""
+    counts = written(edge_counts(edges).select(F.col("edge_type").alias("counter"), F.col("edges").alias("n")), "edge-counts")
+    clusters = high_risk_clusters(edges, scores, taxpayers, minimum, limit).agg(F.count("*").alias("n")).select(F.lit("HIGH_RISK_CLUSTERS").alias("counter"), "n")
+    return counts.unionByName(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("EDGES").alias("counter"), "n")).unionByName(clusters)
+
+
+def merge_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes (node_type, id, label, risk_score) after rows are merged: a node that is there takes the new label, and the new
+    score if there is one; one that isn't is added, with the score 0 if none is known. Keys are unique in both."""
+    key = ["node_type", "id"]
+    rows = nodes.join(new.select(*key, F.col("label").alias("_l"), F.col("risk_score").alias("_s"), F.lit(True).alias("_new")), key, "full")
+    score = F.coalesce("_s", "risk_score", F.lit(0)).cast(nodes.schema["risk_score"].dataType)
+    return rows.select(*key, F.when(F.col("_new"), F.col("_l")).otherwise(F.col("label")).alias("label"), F.when(F.col("_new"), score).otherwise(F.col("risk_score")).alias("risk_score"))
+
+
 def _between(edges: DataFrame) -> DataFrame:
     return edges.filter("source_type = 'TAXPAYER' AND target_type = 'TAXPAYER'")
 

@@ -105,3 +105,15 @@ def dashboard_heads(estimates: DataFrame, top: int = 8) -> DataFrame:
     """The tax heads with the most to recover."""
     rows = estimates.groupBy("tax_head").agg(_total("estimated_gap"), _total("total_recoverable"))
     return rows.orderBy(F.desc("total_recoverable"), "tax_head").limit(top)
+
+
+def dashboard_totals(signals: DataFrame, scores: DataFrame, cases: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row: the gap of all signals, what the scores say can be recovered, the open cases, the invalid rows of loads."""
+    parts = [
+        signals.agg(_total("estimated_gap")), scores.agg(_total("recoverable_tax")), cases.agg(F.count_if(F.col("case_status") != "CLOSED").alias("open_cases")),
+        jobs.agg(F.coalesce(F.sum("invalid"), F.lit(0)).alias("invalid_rows")),
+    ]
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.crossJoin(p)  # one row each
+    return row

@@ -159,3 +159,15 @@ def run_summary(tables: dict[str, DataFrame]) -> DataFrame:
         fuzzy = link_permits(tables["business_permits"], t).agg(F.count("*").alias("links")).select(F.lit("business_permits.taxpayer_id").alias("step"), "links")
         out = fuzzy if out is None else out.unionByName(fuzzy)
     return out.unionByName(out.agg(F.sum("links").alias("links")).select(F.lit("total").alias("step"), "links"))
+
+
+def run_counters(tables: dict[str, DataFrame], identifiers_there: DataFrame | None = None, relationships: DataFrame | None = None) -> DataFrame:
+    """(step, created): all counters of a run - identifiers by kind, links by kind, duplicate relationships - and the
+    total of the links alone."""
+    t = tables["taxpayers"]
+    ids = identifiers(t, identifiers_there).groupBy(F.concat(F.lit("identifiers."), "identifier_type").alias("step")).agg(F.count("*").alias("created"))
+    pairs = duplicate_pairs(t)
+    if relationships is not None:
+        pairs = new_relationships(pairs, relationships)
+    made = pairs.agg(F.count("*").alias("created")).select(F.lit("relationships.POSSIBLE_DUPLICATE").alias("step"), "created")
+    return ids.unionByName(run_summary(tables).withColumnRenamed("links", "created")).unionByName(made)

@@ -117,8 +117,11 @@ def refresh(signals: DataFrame, old_estimates: DataFrame | None = None, old_scor
     return est, made if old_scores is None else replace_tagged(old_scores, made, "source", SCORE_SOURCE)
 
 
-def estimate_list(est: DataFrame, head: str | None = None, taxpayer: str | None = None, start: date | None = None, end: date | None = None, limit: int = 50) -> DataFrame:
-    """Estimates with the most to recover, of periods that lie within start and end."""
+def estimate_list(est: DataFrame, head: str | None = None, taxpayer: str | None = None, start: date | None = None, end: date | None = None, limit: int = 50, taxpayers: DataFrame | None = None) -> DataFrame:
+    """Estimates with the most to recover, of periods that lie within start and end; with `taxpayers`, those of
+    known ones with their PIN and name."""
+    if taxpayers is not None:
+        est = est.join(taxpayers.select(F.col("id").alias("taxpayer_id"), "kra_pin", "legal_name"), "taxpayer_id")
     if head is not None:
         est = est.filter(F.col("tax_head") == head)
     if taxpayer is not None:

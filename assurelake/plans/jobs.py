@@ -266,6 +266,12 @@ def name_catalog(d: Domain) -> Catalog:
 
 query("er_indexed_candidates", CANDIDATES_SQL, tsets=ER["tsets"])(lambda d: name_index.candidates(name_catalog(d), "House of Supplier 000000042", 20))
 
+query(
+    "dashboard_totals",
+    "SELECT (SELECT CAST(sum(estimated_gap) AS DECIMAL(18,2)) FROM {signals}) AS estimated_gap, (SELECT CAST(sum(recoverable_tax) AS DECIMAL(18,2)) FROM {scores}) AS recoverable_tax, (SELECT count(*) FROM {cases} WHERE case_status <> 'CLOSED') AS open_cases, (SELECT count(*) FROM {broken} WHERE length(legal_name) > 240 OR length(status) > 60) AS invalid_rows",
+    broken=_BROKEN, **GAP,
+)(lambda d: (lambda signals: reports.dashboard_totals(signals, taxgap.scores(taxgap.estimates(signals)), d["cases"], round_trip(d).read("ingestion_jobs")))(written(all_signals(d), "signals")))
+
 # models
 
 _VERSIONS = "model_name string, version string, created_at string, active boolean"

@@ -86,8 +86,12 @@ def flat_estimates(d: Domain) -> DataFrame:
 
 query("gap_source_signals", "SELECT count(*) AS source_signals FROM {signals} WHERE estimated_gap > 0", signals=rule_sql.ALL_SIGNALS)(lambda d: taxgap.source_signals(all_signals(d)))
 query("gap_estimates", "SELECT * FROM {est}", **GAP)(flat_estimates)
-query("gap_estimate_list", "SELECT deterministic_key, recoverable_tax, confidence_score FROM {est} WHERE tax_head = 'VAT' AND period_start >= DATE '1993-01-15' AND period_end <= DATE '1997-12-15' ORDER BY recoverable_tax DESC, confidence_score DESC, tax_head, deterministic_key LIMIT 100", **GAP)(
-    lambda d: taxgap.estimate_list(gap_estimates(d), head="VAT", start=date(1993, 1, 15), end=date(1997, 12, 15), limit=100).select("deterministic_key", "recoverable_tax", "confidence_score")
+query(
+    "gap_estimate_list",
+    "SELECT deterministic_key, kra_pin, legal_name, recoverable_tax, confidence_score FROM {est} JOIN {taxpayers} t ON t.id = taxpayer_id WHERE tax_head = 'VAT' AND period_start >= DATE '1993-01-15' AND period_end <= DATE '1997-12-15' ORDER BY recoverable_tax DESC, confidence_score DESC, tax_head, deterministic_key LIMIT 100",
+    **GAP,
+)(
+    lambda d: taxgap.estimate_list(gap_estimates(d), head="VAT", start=date(1993, 1, 15), end=date(1997, 12, 15), limit=100, taxpayers=d["taxpayers"]).select("deterministic_key", "kra_pin", "legal_name", "recoverable_tax", "confidence_score")
 )
 query("gap_scores", "SELECT * FROM {scores}", **GAP)(lambda d: taxgap.scores(gap_estimates(d)))
 query(
@@ -232,6 +236,12 @@ for _table, _pin, _link in resolution.PIN_LINKS:
     )
     _LINKED.append(f"SELECT '{_table}.{_link}' AS step, count(*) AS links FROM {{{_open}}} o JOIN {{taxpayers}} t ON upper(t.kra_pin) = upper(o.{_pin}) WHERE o.{_link} IS NULL")
 _STEPS_MADE = " UNION ALL ".join([*_LINKED, "SELECT 'business_permits.taxpayer_id', count(*) FROM {permit_links}"])
+query(
+    "er_run_counters",
+    """SELECT step, CAST(links AS BIGINT) AS created FROM {steps} UNION ALL SELECT 'total', CAST(sum(links) AS BIGINT) FROM {steps} UNION ALL SELECT 'identifiers.KRA_PIN', count(DISTINCT kra_pin) FROM {taxpayers} WHERE kra_pin <> ''
+    UNION ALL SELECT 'identifiers.REGISTRATION_NUMBER', count(DISTINCT registration_number) FROM {taxpayers} WHERE registration_number <> '' UNION ALL SELECT 'relationships.POSSIBLE_DUPLICATE', count(*) FROM {pairs}""",
+    **ER, permit_links=_PERMIT_LINKS, steps=_STEPS_MADE,
+)(lambda d: resolution.run_counters({"taxpayers": d["taxpayers"], "business_permits": d["open_permits"]} | {t: d[o] for t, (o, _) in OPEN.items()}))
 query("er_run_summary", "SELECT step, CAST(links AS BIGINT) AS links FROM {steps} UNION ALL SELECT 'total', CAST(sum(links) AS BIGINT) FROM {steps}", tsets=_TSETS, permit_links=_PERMIT_LINKS, steps=_STEPS_MADE)(
     lambda d: resolution.run_summary({"taxpayers": d["taxpayers"], "business_permits": d["open_permits"]} | {t: d[o] for t, (o, _) in OPEN.items()})
 )
@@ -311,6 +321,21 @@ query("graph_relationship_edges", "SELECT source_id, target_id, 'POSSIBLE_DUPLIC
     lambda d: graph.relationship_edges(relationships_of(d)).select("source_id", "target_id", "edge_type", "weight")
 )
 query("graph_edge_counts", "SELECT edge_type, count(*) AS edges FROM {edges} GROUP BY 1 UNION ALL SELECT 'POSSIBLE_DUPLICATE', count(*) FROM {pairs}", edges=_ALL_EDGES, **ER)(lambda d: graph.edge_counts(graph.extract(d, relationships_of(d))))
+_GAP_SCORES = "SELECT taxpayer_id, max(score) AS score FROM {scores} GROUP BY 1"
+query(
+    "graph_run_counters",
+    """SELECT edge_type AS counter, count(*) AS n FROM {edges} GROUP BY 1 UNION ALL SELECT 'EDGES', count(*) FROM {edges} UNION ALL SELECT 'HIGH_RISK_CLUSTERS', least(50, count(*)) FROM {edges} e LEFT JOIN {gap_scores} a ON a.taxpayer_id = e.source_id
+    LEFT JOIN {gap_scores} b ON b.taxpayer_id = e.target_id WHERE e.source_type = 'TAXPAYER' AND e.target_type = 'TAXPAYER' AND greatest(coalesce(a.score, 0), coalesce(b.score, 0)) >= 70""",
+    edges=_ALL_EDGES, **GAP, gap_scores=_GAP_SCORES,
+)(lambda d: graph.run_counters(catalog.written(graph.extract(d), "edges"), taxgap.scores(gap_estimates(d)), d["taxpayers"]))
+query(
+    "graph_nodes_merged",
+    "SELECT 'TAXPAYER' AS node_type, t.id, CASE WHEN t.id LIKE 'S%' THEN t.legal_name ELSE 'old ' || t.id END AS label, CAST(CASE WHEN t.id LIKE 'S%' THEN coalesce(s.score, CASE WHEN t.id LIKE '%1' OR t.id LIKE '%2' THEN 12 END, 0) ELSE 12 END AS DECIMAL(5,2)) AS risk_score FROM {taxpayers} t LEFT JOIN {gap_scores} s ON s.taxpayer_id = t.id WHERE t.id LIKE 'S%' OR t.id LIKE '%1' OR t.id LIKE '%2'",
+    **GAP, gap_scores=_GAP_SCORES,
+)(lambda d: graph.merge_nodes(
+    d["taxpayers"].filter("id LIKE '%1' OR id LIKE '%2'").select(F.lit("TAXPAYER").alias("node_type"), "id", F.concat(F.lit("old "), "id").alias("label"), F.lit(12).cast("decimal(5,2)").alias("risk_score")),
+    d["taxpayers"].filter("id LIKE 'S%'").join(taxgap.scores(gap_estimates(d)).select(F.col("taxpayer_id").alias("id"), F.col("score").alias("risk_score")), "id", "left").select(F.lit("TAXPAYER").alias("node_type"), "id", F.col("legal_name").alias("label"), "risk_score"),
+))
 query(
     "graph_neighbourhood",
     """SELECT e.*, st.legal_name AS source_label, coalesce(tt.legal_name, e.target_label, e.target_type) AS label FROM {edges} e LEFT JOIN {taxpayers} st ON st.id = e.source_id LEFT JOIN {taxpayers} tt ON e.target_type = 'TAXPAYER' AND tt.id = e.target_id
@@ -394,6 +419,13 @@ query(
     f"SELECT taxpayer_id, CAST(least(100, c1 + c2 + c3 + c4 + c5 + c6 + c7) AS DECIMAL(5,2)) AS contribution_score, CAST(least(95, 55 + 8 * ((return_count > 0)::INT + (invoice_count > 0)::INT + (customs_count > 0)::INT + (withholding_count > 0)::INT + (open_signal_count > 0)::INT)) AS DECIMAL(5,2)) AS confidence_score FROM (SELECT *, {_POINTS} FROM {{feat}})",
     **ML,
 )(lambda d: scoring.with_contributions(scoring.features(obs(d))).select("taxpayer_id", "contribution_score", "confidence_score"))
+# the largest contributions of each taxpayer, of equals in the stated order
+_FACTORS = ", ".join(f"{{'n': '{n}', 'c': c{k}, 'i': {i}}}".replace("{", "{{").replace("}", "}}") for i, (n, k) in enumerate(zip(scoring.WEIGHTS, (1, 2, 3, 4, 6, 7, 5), strict=True)))
+query(
+    "ml_top_factors",
+    f"SELECT taxpayer_id, coalesce((SELECT string_agg(n, ',' ORDER BY c DESC, i) FROM (SELECT f.n, f.c, f.i FROM (SELECT unnest(fs) AS f) WHERE f.c > 0 ORDER BY f.c DESC, f.i LIMIT 4)), '') AS main_features FROM (SELECT taxpayer_id, [{_FACTORS}] AS fs FROM (SELECT *, {_POINTS} FROM {{feat}}))".replace("{{", "{").replace("}}", "}"),
+    **ML,
+)(lambda d: scoring.with_contributions(scoring.features(obs(d))).select("taxpayer_id", "main_features"))
 query("ml_predictions")(lambda d: scoring.predict(obs(d)).select("taxpayer_id", "isolation_score", "model_score", "combined_score", "confidence_score", "main_features"))
 
 
