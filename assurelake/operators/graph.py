@@ -188,21 +188,78 @@ def shared_identifiers(edges: DataFrame, limit: int = 100) -> DataFrame:
     return rows.orderBy(F.desc("weight"), "source_id", "target_id", "edge_type").limit(limit).select("source_id", "target_id", "edge_type", "weight")
 
 
+#: Heaviest edges among which the first rings are sought.
+HEAVY = 2000
+
+
+def _traded(edges: DataFrame) -> DataFrame:
+    """(s, t, w) of the edges whose ends both sell and buy: only those can be on a ring."""
+    on_both = edges.select(F.col("s").alias("x")).intersect(edges.select(F.col("t").alias("x")))
+    return edges.join(on_both.withColumnRenamed("x", "s"), "s", "left_semi").join(on_both.withColumnRenamed("x", "t"), "t", "left_semi").select("s", "t", "w")
+
+
+def _heaviest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, out) and (x, into): the weight of each vertex's heaviest edge from and to it."""
+    return edges.groupBy(F.col("s").alias("x")).agg(F.max("w").alias("out")), edges.groupBy(F.col("t").alias("x")).agg(F.max("w").alias("into"))
+
+
+def _pruned(edges: DataFrame, longest: int, floor) -> DataFrame:
+    """Edges that a ring of the weight `floor` can have: with the heaviest edges that can follow and precede them,
+    and the heaviest of all between those, they reach it."""
+    for _ in range(3):
+        out, into = _heaviest(edges)
+        most = edges.agg(F.max("w").alias("most"))  # one row
+        rows = edges.join(out.withColumnRenamed("x", "t"), "t").join(into.withColumnRenamed("x", "s"), "s").crossJoin(F.broadcast(most))
+        reach = F.col("w") + F.col("out") + (F.col("into") if longest > 2 else 0) + F.col("most") * max(0, longest - 3)
+        edges = written(_traded(rows.filter(reach >= F.lit(floor))), "ring-edges")
+    return edges
+
+
+def _rings(edges: DataFrame, longest: int, floor=None) -> DataFrame:
+    """(taxpayer_id, cycle_length, cycle_weight, path) of all rings of 2 to `longest` (4 at most) different edges, a row for
+    each start. Rings of three and four meet from paths of two, of which those go that can't reach `floor`."""
+    edge = lambda a, b: F.concat(F.col(a), F.lit(">"), F.col(b))
+    one = edges.withColumn("e", edge("s", "t"))
+    then = one.select(F.col("s").alias("t"), F.col("t").alias("u"), F.col("w").alias("w2"), F.col("e").alias("e2"))
+    two = one.join(then, "t").filter("e <> e2").select(F.col("s").alias("x"), F.col("u").alias("z"), (F.col("w") + F.col("w2")).cast("decimal(18,4)").alias("w"), "e", "e2")
+
+    def rows(found: DataFrame, length: int, *steps: str) -> DataFrame:
+        return found.select(F.col("x").alias("taxpayer_id"), F.lit(length).alias("cycle_length"), F.col("total").cast("decimal(18,4)").alias("cycle_weight"), F.concat_ws(" ", *steps).alias("path"))
+
+    out = rows(two.filter("x = z").withColumn("total", F.col("w")), 2, "e", "e2")
+    if longest < 3:
+        return out
+    if floor is not None:
+        leave, arrive = _heaviest(edges)
+        last = F.col("out") if longest == 3 else F.col("out") + F.col("into")
+        two = two.join(leave.withColumnRenamed("x", "z"), "z").join(arrive, "x").filter(F.col("w") + last >= F.lit(floor)).drop("out", "into")
+    two = written(two, "ring-paths")
+    back = one.select(F.col("s").alias("z"), F.col("t").alias("x"), F.col("w").alias("w3"), F.col("e").alias("e3"))
+    three = two.join(back, ["x", "z"]).filter("e3 <> e AND e3 <> e2").withColumn("total", F.col("w") + F.col("w3"))
+    out = out.unionByName(rows(three, 3, "e", "e2", "e3"))
+    if longest < 4:
+        return out
+    other = two.select(F.col("x").alias("z"), F.col("z").alias("x"), F.col("w").alias("w3"), F.col("e").alias("e3"), F.col("e2").alias("e4"))
+    four = two.join(other, ["x", "z"]).withColumn("total", F.col("w") + F.col("w3"))
+    if floor is not None:
+        four = four.filter(F.col("total") >= F.lit(floor))
+    return out.unionByName(rows(four.filter("e3 <> e AND e3 <> e2 AND e4 <> e AND e4 <> e2"), 4, "e", "e2", "e3", "e4"))
+
+
 def invoice_rings(edges: DataFrame, longest: int = 4, limit: int = 50) -> DataFrame:
-    """Cycles of two to `longest` trade edges that are all different: one row per start and path.
+    """The heaviest rings: cycles of two to `longest` trade edges that are all different, one row per start and path.
 
-    Only taxpayers that both sell and buy can be on a ring; the others' edges go first, which is what
-    keeps the paths few.
+    Rings among the heaviest edges give a weight that the last row wanted has at least. Edges, and then
+    paths of two, that can't be on a ring of this weight go before anything is joined further. Weights aren't negative.
     """
-    e = edges.filter("edge_type = 'INVOICE_TRADE' AND source_type = 'TAXPAYER' AND target_type = 'TAXPAYER'").select(F.col("source_id").alias("s"), F.col("target_id").alias("t"), "weight")
-    on_both = e.select(F.col("s").alias("x")).intersect(e.select(F.col("t").alias("x")))
-    e = e.join(on_both.withColumnRenamed("x", "s"), "s", "left_semi").join(on_both.withColumnRenamed("x", "t"), "t", "left_semi")
-    path = e.select(F.col("s").alias("start"), F.col("t").alias("at"), F.col("weight").cast("decimal(18,4)").alias("total"), F.array(F.concat("s", F.lit(">"), "t")).alias("used"))
-    out = None
-    for length in range(2, longest + 1):
-        step = F.concat("s", F.lit(">"), "t")
-        path = path.join(e, F.col("at") == F.col("s")).filter(~F.array_contains("used", step))
-        path = path.select("start", F.col("t").alias("at"), (F.col("total") + F.col("weight")).cast("decimal(18,4)").alias("total"), F.concat("used", F.array(step)).alias("used"))
-        rings = path.filter("start = at").select(F.col("start").alias("taxpayer_id"), F.lit(length).alias("cycle_length"), F.col("total").alias("cycle_weight"), F.array_join("used", " ").alias("path"))
-        out = rings if out is None else out.unionByName(rings)
-    return out.orderBy(F.desc("cycle_weight"), "path").limit(limit)
+    if not 2 <= longest <= 4:
+        raise ValueError("rings have two to four edges")
+    e = edges.filter("edge_type = 'INVOICE_TRADE' AND source_type = 'TAXPAYER' AND target_type = 'TAXPAYER'").select(F.col("source_id").alias("s"), F.col("target_id").alias("t"), F.col("weight").cast("decimal(18,4)").alias("w"))
+    e = written(_traded(e), "trade")
+    order = [F.desc("cycle_weight"), F.asc("path")]
+    heavy = written(e.orderBy(F.desc("w"), "s", "t").limit(HEAVY), "heavy")
+    best = [r.cycle_weight for r in _rings(heavy, longest).orderBy(*order).limit(limit).select("cycle_weight").collect()]
+    floor = min(best) if len(best) == limit else None
+    if floor is not None:
+        e = _pruned(e, longest, floor)
+    return _rings(e, longest, floor).orderBy(*order).limit(limit)

@@ -375,6 +375,17 @@ query(
     ORDER BY cycle_weight DESC, path LIMIT 50""",
     ring=_TEST_RING,
 )(lambda d: graph.invoice_rings(test_ring(d)))
+# firms that sell as suppliers and buy as customers: edges extracted from their invoices
+_FIRMS = "SELECT concat('F', CAST(substring(supplier_taxpayer_id, 2) AS INT) % n) AS supplier_taxpayer_id, concat('F', CAST(substring(buyer_taxpayer_id, 2) AS INT) % n) AS buyer_taxpayer_id, total_amount FROM {invoices} CROSS JOIN (SELECT count(*) AS n FROM {supplier})"
+_TRADE = "SELECT supplier_taxpayer_id AS s, buyer_taxpayer_id AS t, CAST(least(count(*), 9999.9999) AS DECIMAL(18,4)) AS w, supplier_taxpayer_id || '>' || buyer_taxpayer_id AS e FROM {firms} WHERE supplier_taxpayer_id <> buyer_taxpayer_id GROUP BY 1, 2"
+query(
+    "graph_trade_rings",
+    """SELECT * FROM (
+      SELECT a.s AS taxpayer_id, 2 AS cycle_length, CAST(a.w + b.w AS DECIMAL(18,4)) AS cycle_weight, a.e || ' ' || b.e AS path FROM {trade} a JOIN {trade} b ON b.s = a.t AND b.t = a.s
+      UNION ALL SELECT a.s, 3, CAST(a.w + b.w + c.w AS DECIMAL(18,4)), a.e || ' ' || b.e || ' ' || c.e FROM {trade} a JOIN {trade} b ON b.s = a.t JOIN {trade} c ON c.s = b.t AND c.t = a.s WHERE b.t <> a.s
+    ) ORDER BY cycle_weight DESC, path LIMIT 50""",
+    firms=_FIRMS, trade=_TRADE,
+)(lambda d: graph.invoice_rings(graph.invoice_trade(d.spark.sql(_FIRMS, invoices=d["invoices"], supplier=d["supplier"])), 3))
 
 # scoring
 
