@@ -13,7 +13,7 @@ from assurelake.plans import rule_sql
 from assurelake.plans.domain import Domain
 from assurelake.plans.queries import CANDIDATES_SQL, EDGES, ER, GAP, INT, ML, QUERIES, RECON, _RATES, _jobs, _sources, all_signals, gap_estimates, obs, query, recon, rule_scores
 from assurelake.sources import ingest
-from assurelake.sources.catalog import Catalog, insert_if_absent, merge_by_key, work_dir, written
+from assurelake.sources.catalog import Catalog, insert_if_absent, merge_by_key, noted, work_dir, written
 
 __all__ = ["QUERIES"]
 
@@ -26,12 +26,12 @@ _NOW = "2024-01-01 00:00:00"
 
 
 def new_catalog(d: Domain, name: str) -> Catalog:
-    return Catalog(d.spark, f"{work_dir(d.spark)}/{name}-{uuid.uuid4().hex}")
+    return Catalog(d.spark, noted(f"{work_dir(d.spark)}/{name}-{uuid.uuid4().hex}"))
 
 
 def loaded(d: Domain) -> tuple[dict, Catalog]:
     """A job that loads a CSV file of the records, and the catalog that it loads into."""
-    folder = f"{work_dir(d.spark)}/ingest-{uuid.uuid4().hex}"
+    folder = noted(f"{work_dir(d.spark)}/ingest-{uuid.uuid4().hex}")
     d.spark.sql(_RECORDS, customer=d["customer"]).coalesce(1).write.option("header", True).option("escape", '"').csv(f"{folder}/in")  # one file
     catalog = Catalog(d.spark, f"{folder}/tables")
     path = d.spark.read.text(f"{folder}/in").inputFiles()[0]
@@ -68,7 +68,7 @@ _BROKEN = """SELECT concat('B', c_custkey) AS kra_pin, 'COMPANY' AS taxpayer_typ
 
 def round_trip(d: Domain) -> Catalog:
     """The records exported and ingested again, in a catalog."""
-    folder = f"{work_dir(d.spark)}/round-trip-{uuid.uuid4().hex}"
+    folder = noted(f"{work_dir(d.spark)}/round-trip-{uuid.uuid4().hex}")
     reports.write_csv(d.spark.sql(_BROKEN, customer=d["customer"]).coalesce(1), f"{folder}/export")
     catalog = Catalog(d.spark, f"{folder}/tables")
     path = d.spark.read.format("binaryFile").load(f"{folder}/export").select("path").first()[0]  # the one file
@@ -343,7 +343,7 @@ query("notify_respond", "SELECT id, CASE WHEN case_status = 'OPEN' THEN 'RESPOND
 
 def exported(d: Domain) -> DataFrame:
     """A report written as CSV, with fields that need quotes, and read back."""
-    path = f"{work_dir(d.spark)}/export-{uuid.uuid4().hex}"
+    path = noted(f"{work_dir(d.spark)}/export-{uuid.uuid4().hex}")
     reports.write_csv(reports.audit_pipeline(d["cases"], d["recovery_records"]).withColumn("note", F.concat(F.lit('a "b", c\n'), "status")), path)
     return d.spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).select("status", "case_count", "note")
 

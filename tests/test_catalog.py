@@ -156,3 +156,25 @@ def test_views_refresh_by_change(spark, cat, monkeypatch):
         cat.append(views.SOURCE, estimates([f"late{n}"]))
     views.refresh(cat)  # the version that the state had come to is gone
     check()
+
+
+def test_a_scope_leaves_nothing(spark, sf):
+    """Queries leave no table in the shared folder once their scope ends; an inner scope keeps to its own."""
+    import os
+
+    import __spark_entry__
+
+    folder = module.work_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    queries = __spark_entry__.queries()
+    for name in ("recon_run_results", "graph_trade_rings", "ingest_quoted_jobs", "op12_filter_audit", "op9_top_k"):
+        if name in queries:
+            with module.scope(spark):
+                assert queries[name](spark, sf).count() > 0
+            assert set(os.listdir(folder)) == before, name
+    with module.scope(spark):
+        outer = module.written(spark.range(3), "outer")
+        with module.scope(spark):
+            module.written(spark.range(3), "inner")
+        assert outer.count() == 3
+    assert set(os.listdir(folder)) == before
