@@ -337,8 +337,8 @@ def converted(c: Column, kind: str) -> Column:
     return c if kind == "STRING" else c.try_cast(TYPES[kind])
 
 
-def validate(raw: DataFrame, table: str, job: str, now: str) -> tuple[DataFrame, DataFrame]:
-    """(valid rows with the contract's types and _row, issues)."""
+def checked(raw: DataFrame, table: str, job: str, now: str) -> DataFrame:
+    """Every record with the contract's types, _row, _raw, _ref and its _issues."""
     spec = contract(table)
     rows = with_row_numbers(raw, list(spec.columns))
     text, typed, problems = {}, {}, []
@@ -355,10 +355,18 @@ def validate(raw: DataFrame, table: str, job: str, now: str) -> tuple[DataFrame,
             problems.append(F.when(F.col(c).isNull(), message("REQUIRED_FIELD_MISSING")))
         if kind != "STRING":
             problems.append(F.when(F.col(c).isNotNull() & typed[c].isNull(), message("INVALID_FIELD_VALUE")))
-    rows = rows.select("_row", "_raw", "_ref", F.array_compact(F.array(*problems)).alias("_issues"), *[x.alias(c) for c, x in typed.items()])
-    valid = rows.filter(F.size("_issues") == 0).select("_row", "_raw", "_ref", *spec.columns)
+    return rows.select("_row", "_raw", "_ref", F.array_compact(F.array(*problems)).alias("_issues"), *[x.alias(c) for c, x in typed.items()])
+
+
+def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, issues) of checked ones."""
     issues = rows.filter(F.size("_issues") > 0).select("_row", F.col("_ref").alias("record_reference"), F.explode("_issues").alias("i"), "_raw")
-    return valid, issues.select("_row", "record_reference", "i.field", "i.code", F.col("_raw").alias("raw_payload"))
+    return rows.filter(F.size("_issues") == 0).drop("_issues"), issues.select("_row", "record_reference", "i.field", "i.code", F.col("_raw").alias("raw_payload"))
+
+
+def validate(raw: DataFrame, table: str, job: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """(valid rows with the contract's types and _row, issues)."""
+    return parted(checked(raw, table, job, now))
 
 
 def constrain(valid: DataFrame, table: str, existing: DataFrame | None = None, parents: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -423,7 +431,7 @@ def ingest(spark: SparkSession, path: str, table: str, source: str, job: str, no
             issue = (None, "file", None, "FILE_PARSE_ERROR", "{}", job)
             t.append("data_quality_issues", spark.createDataFrame([issue], "_row long, record_reference string, field string, code string, raw_payload string, job_id string"))
             return record(t, row | {"status": "FAILED", "error": str(problem)[:200]})
-        valid, issues = validate(raw, table, job, now)
+        valid, issues = parted(written(checked(raw, table, job, now), "checked"))  # checked once for rows and issues
         parents = {p: t.read(p) for p in set((contract(table).parents or {}).values()) if t.exists(p)}
         kept, broken = constrain(valid, table, t.read(table) if t.exists(table) else None, parents)
         issues = issues.unionByName(broken).withColumn("job_id", F.lit(job))
