@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assurelake.functions.scalar import clamp, keyed, money, zero
-from assurelake.sources.catalog import merge_by_key, replace_tagged
+from assurelake.sources.catalog import merge_by_key, replace_tagged, written
 
 # Tax head, recoverable share, penalty and interest shares, and the basis, by type of signal
 RATES = [
@@ -110,7 +110,7 @@ def scores(est: DataFrame) -> DataFrame:
 
 def refresh(signals: DataFrame, old_estimates: DataFrame | None = None, old_scores: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(estimates, scores) after a run: estimates are merged by key, scores of this engine replaced."""
-    est = estimates(signals)
+    est = written(estimates(signals), "estimates")  # scores and the merge read them
     if old_estimates is not None:
         est = merge_by_key(old_estimates, est, ["deterministic_key"])
     made = scores(est)

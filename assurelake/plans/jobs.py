@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assurelake.operators import cases, governance, graph, name_index, reconcile, reports, rules, runs, scoring, settings, taxgap, views
 from assurelake.plans import rule_sql
 from assurelake.plans.domain import Domain
-from assurelake.plans.queries import CANDIDATES_SQL, EDGES, ER, GAP, INT, ML, QUERIES, RECON, _RATES, _jobs, _sources, all_signals, gap_estimates, obs, query, recon, rule_scores
+from assurelake.plans.queries import CANDIDATES_SQL, EDGES, ER, GAP, INT, ML, QUERIES, RECON, _RATES, _jobs, _sources, all_signals, gap_estimates, kept_signals, obs, query, recon, rule_scores
 from assurelake.sources import ingest
 from assurelake.sources.catalog import Catalog, insert_if_absent, merge_by_key, noted, work_dir, written
 
@@ -152,7 +152,7 @@ query(
 
 def signals_again(d: Domain) -> DataFrame:
     """A second run over signals of a first one: those of one rule were closed, with other amounts, and some are stale."""
-    new = all_signals(d).withColumns({"id": F.lit("new"), "created_at": F.lit("2024-02-02")})
+    new = kept_signals(d).withColumns({"id": F.lit("new"), "created_at": F.lit("2024-02-02")})
     old = new.filter("rule_code = 'VAT_OUTPUT_MISMATCH'").withColumns({"id": F.lit("old"), "created_at": F.lit("2024-01-01"), "status": F.lit("CLOSED"), "estimated_gap": F.lit(1).cast("decimal(18,2)")})
     stale = old.limit(1).withColumn("deterministic_key", F.lit("STALE"))
     return merge_by_key(old.unionByName(stale), new, ["deterministic_key"]).select("deterministic_key", "id", "created_at", "status", "estimated_gap")
@@ -167,11 +167,11 @@ query(
 
 def gaps_again(d: Domain) -> tuple[DataFrame, DataFrame]:
     """A second run of the gap engine: one old estimate is stale, and scores of other engines are there."""
-    est = gap_estimates(d)
+    est = d.keep("estimates", lambda: taxgap.estimates(kept_signals(d)))
     stale = est.limit(1).withColumns({"deterministic_key": F.lit("STALE"), "taxpayer_id": F.lit("S-STALE")})
     others = taxgap.scores(est).withColumn("source", F.lit("OTHER"))
     old = taxgap.scores(stale).unionByName(others)
-    return taxgap.refresh(all_signals(d), est.filter("tax_head = 'VAT'").unionByName(stale), old)
+    return taxgap.refresh(kept_signals(d), est.filter("tax_head = 'VAT'").unionByName(stale), old)
 
 
 query("gap_refresh_estimates", "SELECT deterministic_key, recoverable_tax FROM {est} UNION ALL SELECT 'STALE', NULL", **GAP)(lambda d: gaps_again(d)[0].select("deterministic_key", F.when(F.col("deterministic_key") != "STALE", F.col("recoverable_tax")).alias("recoverable_tax")))
@@ -209,7 +209,7 @@ query(
 
 def gap_runs(d: Domain) -> Catalog:
     """Two runs of the gap engine: the second finds the VAT signals only, so other estimates stay as they were."""
-    catalog, signals = new_catalog(d, "gap-runs"), written(all_signals(d), "signals")
+    catalog, signals = new_catalog(d, "gap-runs"), kept_signals(d)
     runs.run_gaps(catalog, signals, "2024-01-01 00:00:00")
     runs.run_gaps(catalog, signals.filter("tax_head = 'VAT'"), "2024-02-02 00:00:00")
     return catalog
@@ -270,7 +270,7 @@ query(
     "dashboard_totals",
     "SELECT (SELECT CAST(sum(estimated_gap) AS DECIMAL(18,2)) FROM {signals}) AS estimated_gap, (SELECT CAST(sum(recoverable_tax) AS DECIMAL(18,2)) FROM {scores}) AS recoverable_tax, (SELECT count(*) FROM {cases} WHERE case_status <> 'CLOSED') AS open_cases, (SELECT count(*) FROM {broken} WHERE length(legal_name) > 240 OR length(status) > 60) AS invalid_rows",
     broken=_BROKEN, **GAP,
-)(lambda d: (lambda signals: reports.dashboard_totals(signals, taxgap.scores(taxgap.estimates(signals)), d["cases"], round_trip(d).read("ingestion_jobs")))(written(all_signals(d), "signals")))
+)(lambda d: (lambda signals: reports.dashboard_totals(signals, taxgap.scores(taxgap.estimates(signals)), d["cases"], round_trip(d).read("ingestion_jobs")))(kept_signals(d)))
 
 # models
 
