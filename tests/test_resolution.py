@@ -52,3 +52,21 @@ def test_exact_links_and_identifiers(spark):
     ids = resolution.identifiers(who)
     assert {(r.identifier_type, r.identifier_value, r.taxpayer_id) for r in ids.collect()} == {("KRA_PIN", "P1", "a"), ("KRA_PIN", "P2", "b"), ("REGISTRATION_NUMBER", "R", "a")}
     assert resolution.identifiers(who, ids).count() == 0
+
+
+def test_linked_rows_are_spread_over_tasks(spark):
+    """Rows that have a link, and those without a PIN, don't all go to one task of the join."""
+    who = spark.createDataFrame([("a", "P1"), ("1", "5")], "id string, kra_pin string")
+    rows = spark.range(4000).select(F.col("id").alias("n"), F.lit("P1").alias("pin"), F.when(F.col("id") % 10 > 0, "z").alias("link"))
+    rows = rows.unionByName(spark.range(4000, 8000).select(F.col("id").alias("n"), F.lit(None).cast("string").alias("pin"), F.lit(None).cast("string").alias("link")))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        got = resolution.link_by_pin(rows, who, "pin", "link").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.n, r.link) for r in got} == {(n, ("z" if n % 10 else "a") if n < 4000 else None) for n in range(8000)}
+    sizes = [sum(r.task == t for r in got) for t in {r.task for r in got}]
+    assert max(sizes) < 3000
