@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from assurelake.operators import components, duplicates
+from assurelake.operators import components, duplicates, resolution
 
 
 def united(pairs):
@@ -69,3 +69,28 @@ def test_classes_are_those_of_all_pairs(spark):
     pairs = {(r.source_id, r.target_id) for r in duplicates.pairs_of(df, classes, one).collect()}
     assert pairs == {(a, b) for a, b in linked if a < b and roots[a] == one}
     assert duplicates.classified(df.limit(0))[0].count() == 0
+
+
+def test_pairs_and_their_number_against_all_pairs(spark):
+    """Kinds that overlap: each pair once, a number before a name, the larger similarity of two."""
+    rng = random.Random(7)
+    names = ["Amani Wholesale Traders Limited", "Amani Wholesale Traders Limitd", "Baraka Foods International Kenya", "Baraka Foods Internationals Kenya", "A", "a", "Ab", "x y", "", None]
+    rows = [(f"t{i:03d}", rng.choice(["R1", "r1", "R2", "", None, None]), rng.choice([*names, f"Unlike {i} {i % 9}"]), rng.choice([None, *names])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, registration_number string, legal_name string, trading_name string")
+    sim = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    want = {}
+    for a, ra, la, ta in rows:
+        for b, rb, lb, tb in rows:
+            near = max(sim(grams(la), grams(lb)), sim(grams(ta), grams(tb)))
+            if a < b and ((same := bool(ra) and ra.lower() == (rb or "").lower()) or near >= 0.9):
+                want[a, b] = (1.0 if same else round(near, 9), "REGISTRATION_NUMBER" if same else "FUZZY_NAME")
+    made = resolution.Duplicates(df)
+    got = made.pairs().collect()
+    assert {(r.source_id, r.target_id): (round(r.confidence, 9), r.basis) for r in got} == want and len(got) == len(want)
+    assert made.count().first().n == len(want)
+
+
+def test_equal_names_are_counted_without_pairs(spark):
+    n = 60_000
+    df = spark.range(n).selectExpr("concat('T', id) AS id", "'R' AS registration_number", "'Amani Wholesale Traders' AS legal_name", "'Hot Name' AS trading_name")
+    assert resolution.Duplicates(df).count().first().n == n * (n - 1) // 2
