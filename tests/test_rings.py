@@ -46,3 +46,15 @@ def test_no_rings(spark):
     assert graph.invoice_rings(spark.createDataFrame([], SCHEMA)).count() == 0
     chain = [("TAXPAYER", f"a{i}", "TAXPAYER", f"a{i + 1}", "INVOICE_TRADE", Decimal(1)) for i in range(5)]
     assert graph.invoice_rings(spark.createDataFrame(chain, SCHEMA)).count() == 0
+
+
+def test_more_edges_while_rings_are_too_few(spark, monkeypatch):
+    """Heaviest edges without a ring still give a weight to reach: not all paths of two are made."""
+    monkeypatch.setattr(graph, "HEAVY", 20)
+    floors, rings = [], graph._rings
+    monkeypatch.setattr(graph, "_rings", lambda edges, longest, floor=None: floors.append(floor) or rings(edges, longest, floor))
+    edges = [("hub", f"a{i:02d}", Decimal(90)) for i in range(20)] + [(f"v{i:02d}", f"v{(i + d) % 30:02d}", Decimal(1 + (i * d) % 5)) for i in range(30) for d in (1, 29, 15)] + [("a00", "hub", Decimal(1))]
+    edges += [(f"a{i:02d}", "v00", Decimal(1)) for i in range(20)]
+    rows = [("TAXPAYER", s, "TAXPAYER", t, "INVOICE_TRADE", w) for s, t, w in edges]
+    got = [tuple(r) for r in graph.invoice_rings(spark.createDataFrame(rows, SCHEMA), 3, 20).collect()]
+    assert got == brute(edges, 3, 20) and floors[-1] is not None and len(floors) > 2
