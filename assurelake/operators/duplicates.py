@@ -26,7 +26,7 @@ def memberships(taxpayers: DataFrame) -> DataFrame:
     numbers = taxpayers.filter("registration_number <> ''").select(F.lit(NUMBER).alias("kind"), F.lower("registration_number").alias("group"), F.col("id").alias("taxpayer_id"), F.lit(None).cast("array<string>").alias("g"))
     out = numbers
     for kind, name in ((LEGAL, "legal_name"), (TRADING, "trading_name")):
-        g = F.array_sort(trigrams(F.col(name)))
+        g = F.sort_array(trigrams(F.col(name)))
         rows = taxpayers.filter(F.col(name).isNotNull()).select(F.lit(kind).alias("kind"), F.col("id").alias("taxpayer_id"), g.alias("g")).filter(F.size("g") > 0)
         out = out.unionByName(rows.withColumn("group", F.sha2(F.concat_ws("\x00", "g"), 256)))
     return out
@@ -42,7 +42,7 @@ def name_links(found: DataFrame, at: float = DUPLICATE_AT) -> DataFrame:
     out = None
     for kind in (LEGAL, TRADING):
         sets = found.filter(F.col("kind") == kind).select(F.col("group").alias("key"), F.lit("*").alias("place"), "g")
-        pairs = similar_pairs(sets, sets, at).filter("a < b").select(F.lit(kind).alias("kind"), "a", "b", "similarity")
+        pairs = similar_pairs(sets, sets, at).select(F.lit(kind).alias("kind"), "a", "b", "similarity")
         out = pairs if out is None else out.unionByName(pairs)
     return out
 

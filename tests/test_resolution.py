@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from assurelake.functions.scalar import similarity, stable_uuid
 from assurelake.operators import resolution
+from assurelake.sources.catalog import written
 
 TP = "id string, kra_pin string, legal_name string, trading_name string, registration_number string, county string"
 
@@ -70,3 +71,25 @@ def test_linked_rows_are_spread_over_tasks(spark):
     assert {(r.n, r.link) for r in got} == {(n, ("z" if n % 10 else "a") if n < 4000 else None) for n in range(8000)}
     sizes = [sum(r.task == t for r in got) for t in {r.task for r in got}]
     assert max(sizes) < 3000
+
+
+def test_keys_of_names_are_made_once(spark):
+    """The join of similar names reads keys that were written, once a side, whatever places are known; pairs of a table
+    with itself come once, with the similarity of their names."""
+    names = ["Customer 000112112", "Customer 000112113", "Customer 000121121", "Customer 000112", "\U00010400\U00010400\U00010400 Traders", "\U00010400\U00010400 Traders", "Other"]
+    rows = spark.createDataFrame([(str(i), n, None if i % 3 == 0 else "p") for i, n in enumerate(names * 2)], "id string, n string, c string")
+    sets = written(resolution.named(rows, "id", F.col("n"), F.col("c")), "test-names")
+    met = resolution.similar_pairs(sets, sets, 0.8)
+    assert "Generate" not in met._jdf.queryExecution().optimizedPlan().toString()
+    x, y = (rows.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in "ab")
+    every = x.crossJoin(y).filter("a < b AND (ca = cb OR ca IS NULL OR cb IS NULL)").select("a", "b", similarity(F.col("na"), F.col("nb")).alias("s")).filter("s >= 0.8")
+    got = sorted((r.a, r.b, round(r.similarity, 9)) for r in met.collect())
+    assert got == sorted((r.a, r.b, round(r.s, 9)) for r in every.collect()) and len(got) > 7
+
+
+def test_names_that_share_too_little_make_no_keys(spark):
+    """Of names whose trigrams the other side hardly has, no keys are made."""
+    sets = resolution.named(spark.createDataFrame([("1", "Customer 000000123"), ("2", "Supplier 000000123")], "id string, n string"), "id", F.col("n"))
+    counts = sets.filter("key = '2'").select(F.explode("g").alias("t")).withColumn("met", F.lit(True))
+    counts = sets.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("n")).join(counts, "t", "left").select("t", "n", resolution.coded(F.col("t")).alias("code"), F.coalesce("met", F.lit(False)).alias("met"))
+    assert {r.key for r in resolution.with_prefix(sets, counts, 0.8).select("key").distinct().collect()} == {"2"}
