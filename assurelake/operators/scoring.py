@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assurelake.functions.scalar import clamp
-from assurelake.operators.rules import periods_of, side_of
+from assurelake.functions.scalar import clamp, total
+from assurelake.operators.rules import customs_of, periods_of
 from assurelake.operators.shapley import Explainer, Tree
 from assurelake.sources.catalog import replace_tagged, written
 
@@ -42,12 +42,12 @@ def observations(tables, signals: DataFrame, scores: DataFrame, as_of: date) ->
     def by(rows: DataFrame, who: str, *aggs: Column) -> DataFrame:
         return rows.filter(F.col(who).isNotNull()).groupBy(F.col(who).alias("taxpayer_id")).agg(*aggs)
 
-    money = lambda c, name: F.sum(c).cast("decimal(18,2)").alias(name)
+    money = lambda c, name: total(F.col(c) if isinstance(c, str) else c).alias(name)
     count = lambda name: F.count("*").alias(name)
     parts = [
         by(periods_of(tables), "taxpayer_id", F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"), money("declared_sales", "declared_sales"), money("declared_income", "declared_income"), F.sum("returns").alias("return_count")),
-        by(side_of(tables, "supplier"), "taxpayer_id", money("total_amount", "invoice_sales"), F.sum("invoices").alias("invoice_count")),
-        by(tables["customs_declarations"], "taxpayer_id", money("total_landed_cost", "customs_landed_cost"), count("customs_count")),
+        by(tables["invoices"], "supplier_taxpayer_id", money("total_amount", "invoice_sales"), count("invoice_count")),
+        by(customs_of(tables), "taxpayer_id", money("landed", "customs_landed_cost"), F.sum("n").alias("customs_count")),
         by(tables["withholding_certificates"], "payee_taxpayer_id", money("gross_amount", "withholding_income"), count("withholding_count")),
         by(signals, "taxpayer_id", money(F.greatest("estimated_gap", F.lit(Decimal(0))), "risk_signal_gap"), F.count_if(F.upper("status").isin("OPEN", "NEW")).alias("open_signal_count")),
         by(scores.filter(F.col("source").isin("TAX_GAP_ENGINE", "RULE_ENGINE")), "taxpayer_id", F.max("score").alias("rule_score")),

@@ -64,7 +64,8 @@ def normalised(signals: DataFrame, rates: DataFrame | None = None) -> DataFrame:
 
 def estimates(signals: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """One estimate per taxpayer, tax head and period, by the rates given (those of the catalog)."""
-    rows = normalised(signals, rates)
+    # the signals of a key meet in one task anyway: single rows are less to move there than lists of them
+    rows = normalised(signals, rates).repartition(*KEYS)
     gap = F.col("estimated_gap")
     of = lambda *rates: F.sum(F.round(_product(gap, *rates), 2)).cast("decimal(18,2)")
     out = rows.groupBy(*KEYS).agg(
@@ -74,11 +75,18 @@ def estimates(signals: DataFrame, rates: DataFrame | None = None) -> DataFrame:
         of("recoverable_rate", "interest_rate").alias("interest"),
         F.round(F.sum("confidence_score").cast("decimal(18,4)") / F.count("confidence_score"), 2).cast("decimal(5,2)").alias("confidence_score"),
         F.count("*").alias("signal_count"),
-        F.array_sort(F.collect_set("signal_type")).alias("signal_types"),
-        # one row per signal type: a period has eleven at most, whatever the number of signals
-        F.array_sort(F.collect_set(F.struct("signal_type", "basis", "recoverable_rate"))).alias("bases"),
-        F.array_sort(F.collect_list(F.struct("signal_type", "deterministic_key", "estimated_gap"))).alias("evidence"),
+        F.collect_list(F.struct("signal_type", "deterministic_key", "estimated_gap", "basis", "recoverable_rate")).alias("evidence"),
     )
+    fields = lambda *names: F.transform("evidence", lambda e: F.struct(*[e[n].alias(n) for n in names]))
+    out = out.withColumns(
+        {
+            "signal_types": F.sort_array(F.array_distinct(F.transform("evidence", lambda e: e["signal_type"]))),
+            # one row per signal type: a period has eleven at most, whatever the number of signals
+            "bases": F.sort_array(F.array_distinct(fields("signal_type", "basis", "recoverable_rate"))),
+            "evidence": F.sort_array(fields("signal_type", "deterministic_key", "estimated_gap")),
+        }
+    )
+    out = out.select(*[c for c in out.columns if c != "evidence"], "evidence")
     key = keyed(F.col("tax_head"), F.col("taxpayer_id"), F.col("period_start"), F.col("period_end"))
     total = (F.col("recoverable_tax") + F.col("penalty") + F.col("interest")).cast("decimal(18,2)")
     return out.select(key.alias("deterministic_key"), *out.columns, total.alias("total_recoverable"))
@@ -110,7 +118,7 @@ def scores(est: DataFrame) -> DataFrame:
 
 def refresh(signals: DataFrame, old_estimates: DataFrame | None = None, old_scores: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(estimates, scores) after a run: estimates are merged by key, scores of this engine replaced."""
-    est = written(estimates(signals), "estimates")  # scores and the merge read them
+    est = written(estimates(signals), "estimates", "zstd")  # scores and the merge read them
     if old_estimates is not None:
         est = merge_by_key(old_estimates, est, ["deterministic_key"])
     made = scores(est)
