@@ -239,7 +239,7 @@ query(
 
 def refreshed(d: Domain) -> Catalog:
     """The report views refreshed after a first load of estimates, an append, and a merge."""
-    catalog, est = new_catalog(d, "views"), written(gap_estimates(d).drop("signal_types", "bases", "evidence"), "estimates")
+    catalog, est = new_catalog(d, "views"), written(gap_estimates(d).select("deterministic_key", *views.KEY, *views.MONEY, "confidence_score"), "estimates", "zstd")
     wrong = est.filter("tax_head = 'VAT' AND taxpayer_id LIKE 'S%'").withColumn("recoverable_tax", F.lit(1).cast("decimal(18,2)"))
     catalog.write(views.SOURCE, wrong.unionByName(est.filter("tax_head = 'VAT' AND taxpayer_id NOT LIKE 'S%'")), ["deterministic_key"], 16)
     views.refresh(catalog)
