@@ -42,13 +42,16 @@ def observations(tables, signals: DataFrame, scores: DataFrame, as_of: date) ->
     def by(rows: DataFrame, who: str, *aggs: Column) -> DataFrame:
         return rows.filter(F.col(who).isNotNull()).groupBy(F.col(who).alias("taxpayer_id")).agg(*aggs)
 
+    def given(sums: str, name: str, who: str) -> DataFrame:
+        """Rows of a table with `n`, their number: its sums by month, where the tables have them."""
+        return tables[sums] if sums in tables else tables[name].withColumns({"taxpayer_id": F.col(who), "n": F.lit(1)})
+
     money = lambda c, name: total(F.col(c) if isinstance(c, str) else c).alias(name)
-    count = lambda name: F.count("*").alias(name)
     parts = [
         by(periods_of(tables), "taxpayer_id", F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"), money("declared_sales", "declared_sales"), money("declared_income", "declared_income"), F.sum("returns").alias("return_count")),
-        by(tables["invoices"], "supplier_taxpayer_id", money("total_amount", "invoice_sales"), count("invoice_count")),
+        by(given("supplier_invoices", "invoices", "supplier_taxpayer_id"), "taxpayer_id", money("total_amount", "invoice_sales"), F.sum("n").alias("invoice_count")),
         by(customs_of(tables), "taxpayer_id", money("landed", "customs_landed_cost"), F.sum("n").alias("customs_count")),
-        by(tables["withholding_certificates"], "payee_taxpayer_id", money("gross_amount", "withholding_income"), count("withholding_count")),
+        by(given("supplier_certificates", "withholding_certificates", "payee_taxpayer_id"), "taxpayer_id", money("gross_amount", "withholding_income"), F.sum("n").alias("withholding_count")),
         by(signals, "taxpayer_id", money(F.greatest("estimated_gap", F.lit(Decimal(0))), "risk_signal_gap"), F.count_if(F.upper("status").isin("OPEN", "NEW")).alias("open_signal_count")),
         by(scores.filter(F.col("source").isin("TAX_GAP_ENGINE", "RULE_ENGINE")), "taxpayer_id", F.max("score").alias("rule_score")),
     ]
