@@ -116,9 +116,11 @@ def scores(est: DataFrame) -> DataFrame:
     return out.withColumns({"score": score, "source": F.lit(SCORE_SOURCE)})
 
 
-def refresh(signals: DataFrame, old_estimates: DataFrame | None = None, old_scores: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(estimates, scores) after a run: estimates are merged by key, scores of this engine replaced."""
-    est = written(estimates(signals), "estimates", "zstd")  # scores and the merge read them
+def refresh(signals: DataFrame, old_estimates: DataFrame | None = None, old_scores: DataFrame | None = None, made_before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(estimates, scores) after a run: estimates are merged by key, scores of this engine replaced. `made_before` are the
+    written estimates of these very signals, if there are such."""
+    # scores and the merge read them
+    est = written(estimates(signals), "estimates", "zstd") if made_before is None else made_before
     if old_estimates is not None:
         est = merge_by_key(old_estimates, est, ["deterministic_key"])
     made = scores(est)

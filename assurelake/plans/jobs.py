@@ -171,7 +171,7 @@ def gaps_again(d: Domain) -> tuple[DataFrame, DataFrame]:
     stale = est.limit(1).withColumns({"deterministic_key": F.lit("STALE"), "taxpayer_id": F.lit("S-STALE")})
     others = taxgap.scores(est).withColumn("source", F.lit("OTHER"))
     old = taxgap.scores(stale).unionByName(others)
-    return taxgap.refresh(kept_signals(d), est.filter("tax_head = 'VAT'").unionByName(stale), old)
+    return taxgap.refresh(kept_signals(d), est.filter("tax_head = 'VAT'").unionByName(stale), old, est)
 
 
 query("gap_refresh_estimates", "SELECT deterministic_key, recoverable_tax FROM {est} UNION ALL SELECT 'STALE', NULL", **GAP)(lambda d: gaps_again(d)[0].select("deterministic_key", F.when(F.col("deterministic_key") != "STALE", F.col("recoverable_tax")).alias("recoverable_tax")))
