@@ -10,8 +10,10 @@ decided in integers.
    pair out of the first |s| - o + 2. Light sets enumerate those fixed-size subsets (pairs): sharing
    a pair is rarer than sharing a token, but their number grows with the square of the set. Heavy
    sets use the inverted lists of single tokens. The boundary is the size up to which the pairs cost
-   less than the lists, from the sketch's list length. A light set that can reach a heavy one by
-   size also enters the inverted lists.
+   less than the lists, from the sketch's list length, but no larger than that all sets together have
+   about the keys that inverted lists alone would give them: lists grow with the input, and a boundary that
+   grows with them would make keys by the square. A light set that can reach a heavy one by size also
+   enters the inverted lists.
 3. A key that one set alone has is dropped after the one shuffle of keys (common keys are salted
    there), as are members of short lists whom size and place keep from all others. Few are left.
 4. First round: every member of a list is verified against the list's centre only (the member for
@@ -148,6 +150,29 @@ def boundary(largest: int, length: float, percent: int) -> int:
     return best
 
 
+#: All sets together have at most one key more for each so many that inverted lists alone would give them.
+ONE_MORE = 8
+
+
+def affordable(sizes: DataFrame, light: int, percent: int) -> int:
+    """The largest boundary up to `light` with which the keys of all sets (`n`: their sizes) stay within ONE_MORE."""
+    n = F.col("n")
+    listed = F.least(n, n - F.ceil(n * percent / 100) + 1)  # prefix(n, percent, 1)
+    rows = sizes.filter(n >= 2).groupBy(F.when(n <= light, n).alias("n")).agg(F.count("*").alias("c"), F.sum(listed).alias("k")).collect()  # a row for each size up to `light`
+    count, lists = np.zeros(light + 1), np.zeros(light + 1)
+    for r in rows:
+        if r.n is not None:
+            count[r.n], lists[r.n] = r.c, r.k
+    every = float(sum(r.k for r in rows))
+    p = np.array([prefix(i, percent, 2) for i in range(light + 1)], np.float64)
+    pairs, alone = np.cumsum(count * p * (p - 1) / 2), np.cumsum(lists)
+    for most in range(light, 1, -1):
+        # sets too small to reach a heavy one are in no list
+        if pairs[most] + every - alone[-(-percent * (most + 1) // 100) - 1] <= every * (1 + 1 / ONE_MORE):
+            return most
+    return 0
+
+
 def first_pass(docs: DataFrame, words: int) -> DataFrame:
     """One scan that yields both the documents (kind 'doc') and the sketch of all sets (kind 'slot')."""
 
@@ -576,8 +601,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     below = sketch[sketch <= COMMON * mean]
     length = float((np.maximum(below - mean, 0) ** 2).sum() / max(1, below.sum()))
     largest = known.agg(F.max("n")).first()[0] or 0
-    light = boundary(largest, length, percent)
-    holders = cut(known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id")), "jaccard-holders")
+    holders = cut(known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.min("n").alias("n")), "jaccard-holders")
+    light = affordable(holders, boundary(largest, length, percent), percent)
 
     found = cut(shared_keys(keyed(rows, sketch, light, percent, words), percent), "jaccard-lists", "kind")
     lists = found.filter("kind = 'list'").select("key", "sid", "n", "pos", "salted")
