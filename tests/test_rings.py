@@ -58,3 +58,26 @@ def test_more_edges_while_rings_are_too_few(spark, monkeypatch):
     rows = [("TAXPAYER", s, "TAXPAYER", t, "INVOICE_TRADE", w) for s, t, w in edges]
     got = [tuple(r) for r in graph.invoice_rings(spark.createDataFrame(rows, SCHEMA), 3, 20).collect()]
     assert got == brute(edges, 3, 20) and floors[-1] is not None and len(floors) > 2
+
+
+def test_light_edges_make_no_paths(spark, monkeypatch):
+    """Edges of equal weight around a hub can be on a ring heavy enough, but not two of them: their paths are not made."""
+    made, written = [], graph.written
+    monkeypatch.setattr(graph, "HEAVY", 60)
+    monkeypatch.setattr(graph, "written", lambda df, name, *a: made.append((name, (out := written(df, name, *a)).count())) or out)
+    edges = [(f"{k}{i:02d}", "hub", Decimal(1)) for k in "ab" for i in range(40)] + [("hub", f"{k}{i:02d}", Decimal(1)) for k in "ab" for i in range(40)]
+    edges += [(f"a{i:02d}", f"a{(i + d) % 40:02d}", Decimal(w)) for i in range(40) for d, w in ((1, 4), (2, 3), (37, 2))]
+    rows = [("TAXPAYER", s, "TAXPAYER", t, "INVOICE_TRADE", w) for s, t, w in edges]
+    got = [tuple(r) for r in graph.invoice_rings(spark.createDataFrame(rows, SCHEMA), 3, 30).collect()]
+    assert got == brute(edges, 3, 30)
+    assert [n for name, n in made if name == "ring-paths"][-1] < 400  # 6400 lead through the hub
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rings_of_three_with_equal_weights_and_loops(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "HEAVY", 30)
+    rng = random.Random(seed)
+    edges = [(f"v{a:02d}", f"v{b:02d}", Decimal(rng.choice([1, 1, 1, 2, 2, 5]))) for a, b in sorted({(rng.randrange(15), rng.randrange(15)) for _ in range(110)})]
+    rows = [("TAXPAYER", s, "TAXPAYER", t, "INVOICE_TRADE", w) for s, t, w in edges]
+    for limit in (12, 60):
+        assert [tuple(r) for r in graph.invoice_rings(spark.createDataFrame(rows, SCHEMA), 3, limit).collect()] == brute(edges, 3, limit)
