@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,7 +117,7 @@ def evidence_packs(cases: DataFrame, signals: DataFrame, taxpayers: DataFrame, e
 
     `cases` has risk_signal_id, and case_number where that isn't its id. Unknown names are empty, a case without a
     taxpayer has no linked entities, amounts and dates that aren't known are left out. The version follows the
-    case's packs (case_id, version).
+    case's packs (case_id, version). Edges are made text once for a taxpayer, whatever the number of its cases.
     """
     empty = lambda c: F.coalesce(c, F.lit(""))
     number = F.col("case_number") if "case_number" in cases.columns else F.col("id")
@@ -129,19 +131,23 @@ def evidence_packs(cases: DataFrame, signals: DataFrame, taxpayers: DataFrame, e
         F.struct(F.col("rule_code").alias("code"), F.col("signal_type").alias("signalType"), empty("tax_head").alias("taxHead")).alias("rule"),
         "observed_amount", "declared_amount", "estimated_gap", "confidence_score", F.parse_json("evidence").alias("sourceRecords"),
     )
-    rows = one.join(who, "taxpayer_id", "left").join(sig, "risk_signal_id", "left").join(linked_records(edges), "taxpayer_id", "left")
+    # cases without a signal are spread: as nulls they would all go to one task
+    one = one.withColumn("_sig", F.coalesce("risk_signal_id", F.concat(F.lit("\0"), "id")))
+    linked = linked_records(edges).select("taxpayer_id", F.to_json("linkedEntities").alias("_linked"))
+    rows = one.join(who, "taxpayer_id", "left").join(sig.withColumnRenamed("risk_signal_id", "_sig"), "_sig", "left").join(linked, "taxpayer_id", "left")
     amounts = (("observed_amount", "observedAmount"), ("declared_amount", "declaredAmount"), ("estimated_gap", "estimatedGap"), ("_recoverable", "estimatedRecoverableAmount"), ("confidence_score", "confidenceScore"))
-    linked = F.coalesce("linkedEntities", F.array().cast(rows.schema["linkedEntities"].dataType))
     parts = [
         "case", F.struct(empty("taxpayer_id").alias("id"), empty("kra_pin").alias("kraPin"), empty("legal_name").alias("name")).alias("taxpayer"), "period", "rule",
-        F.struct(*[F.col(c).alias(n) for c, n in amounts]).alias("gap"), "sourceRecords", linked.alias("linkedEntities"),
-        *[F.array(*map(F.lit, lines)).alias(n) for n, lines in (("officerChecklist", CHECKLIST), ("legalPolicyNotes", NOTES))], F.lit(RECOMMENDATION).alias("recommendation"),
+        F.struct(*[F.col(c).alias(n) for c, n in amounts]).alias("gap"), "sourceRecords",
     ]
+    last = json.dumps({"officerChecklist": CHECKLIST, "legalPolicyNotes": NOTES, "recommendation": RECOMMENDATION}, separators=(",", ":"))
+    own = F.to_json(F.struct(*parts))  # of which `case` is there in any case
+    pack = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"linkedEntities":'), F.coalesce("_linked", F.lit("[]")), F.lit("," + last[1:]))
     if packs is not None:
         rows = rows.join(next_version(packs).withColumnRenamed("case_id", "id"), "id", "left")
     version = F.coalesce("next_version", F.lit(1)) if packs is not None else F.lit(1)
     summary = F.concat(F.lit("Evidence pack for "), "_number", F.lit(" covering "), empty("rule_code"))
-    return rows.select("id", version.cast("int").alias("version"), summary.alias("summary"), F.to_json(F.struct(*parts)).alias("pack"))
+    return rows.select("id", version.cast("int").alias("version"), summary.alias("summary"), pack.alias("pack"))
 
 
 # notifications

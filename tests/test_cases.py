@@ -63,3 +63,18 @@ def test_evidence_packs(spark):
     bare = json.loads(got["c2"].pack)
     assert bare["taxpayer"] == {"id": "", "kraPin": "", "name": ""} and bare["linkedEntities"] == [] and "sourceRecords" not in bare
     assert json.loads(got["c3"].pack)["linkedEntities"][0]["targetType"] == "COUNTY"
+
+
+def test_a_pack_is_read_in_one_pass(spark, sf):
+    """Each pack's text is parsed once, whatever is read of it, and a taxpayer's edges are made text once for all its cases."""
+    from assurelake.plans.queries import QUERIES
+
+    plan = QUERIES["case_evidence_packs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("get_json_object(") == 0 and plan.count("from_json(") == 1
+    one = "source_type string, source_id string, target_type string, target_id string, edge_type string, weight decimal(8,4), evidence_count long, evidence_amount decimal(18,2), target_label string, source string"
+    edges = spark.createDataFrame([("TAXPAYER", "T1", "COUNTY", "c", "PERMIT", Decimal(1), 2, Decimal(3), "L", "P")], one)
+    signals = spark.createDataFrame([], "deterministic_key string, taxpayer_id string, rule_code string, signal_type string, tax_head string, period_start string, period_end string, observed_amount decimal(18,2), declared_amount decimal(18,2), estimated_gap decimal(18,2), confidence_score decimal(5,2), evidence string")
+    given = spark.createDataFrame([(f"c{i}", "T1", "OPEN", "HIGH", Decimal(5), None) for i in range(3)], "id string, taxpayer_id string, case_status string, priority string, estimated_recoverable decimal(18,2), risk_signal_id string")
+    taxpayers = spark.createDataFrame([("T1", "P1", "Name")], "id string, kra_pin string, legal_name string")
+    packs = [json.loads(r.pack) for r in cases.evidence_packs(given, signals, taxpayers, edges).collect()]
+    assert len(packs) == 3 and all(len(p["linkedEntities"]) == 1 and p["recommendation"] == cases.RECOMMENDATION for p in packs)
