@@ -12,26 +12,29 @@ from pyspark.sql import functions as F
 
 from assurelake.functions.scalar import stable_uuid
 from assurelake.operators import reconcile, taxgap
-from assurelake.sources.catalog import Catalog, Transaction, replace_tagged, written
+from assurelake.sources.catalog import Catalog, Transaction, dealt_by, replace_tagged, written
 
 KEY = ["deterministic_key"]
 BUCKETS = 32
 
 
-def upsert(t: Transaction, name: str, rows: DataFrame, now: str, buckets: int = BUCKETS) -> None:
-    """Merge rows by their deterministic key; new ones get an id made of it and `now` as created_at."""
+def upsert(t: Transaction, name: str, rows: DataFrame, now: str, buckets: int = BUCKETS, dealt: bool = False) -> None:
+    """Merge rows by their deterministic key; new ones get an id made of it and `now` as created_at. `dealt`: a new table's
+    rows lie by its buckets already."""
     rows = rows.withColumns({"id": stable_uuid(F.concat(F.lit(f"{name}:"), "deterministic_key")), "created_at": F.lit(now).cast("timestamp"), "updated_at": F.lit(now).cast("timestamp")})
     if t.exists(name):
         t.merge(name, rows, KEY)
     else:
-        t.write(name, rows, KEY, buckets)
+        t.write(name, rows, KEY, buckets, dealt=dealt)
 
 
 def run_gaps(catalog: Catalog, signals: DataFrame, now: str) -> None:
     """Estimates of the signals and scores of all estimates, as one commit. Scores of other engines stay."""
-    est = written(taxgap.estimates(signals), "estimates")
     with catalog.transaction() as t:
-        upsert(t, "tax_gap_estimates", est, now)
+        if t.exists("tax_gap_estimates"):  # the merge reads them twice
+            upsert(t, "tax_gap_estimates", written(taxgap.estimates(signals), "estimates", "zstd"), now)
+        else:
+            upsert(t, "tax_gap_estimates", taxgap.estimates(signals, by=dealt_by(KEY, BUCKETS)), now, dealt=True)
         made = taxgap.scores(t.read("tax_gap_estimates")).withColumn("created_at", F.lit(now).cast("timestamp"))
         t.write("risk_scores", replace_tagged(t.read("risk_scores"), made, "source", taxgap.SCORE_SOURCE) if t.exists("risk_scores") else made)
 

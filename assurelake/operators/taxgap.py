@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assurelake.functions.scalar import clamp, keyed, money, zero
@@ -62,13 +62,23 @@ def normalised(signals: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     )
 
 
-def estimates(signals: DataFrame, rates: DataFrame | None = None) -> DataFrame:
-    """One estimate per taxpayer, tax head and period, by the rates given (those of the catalog)."""
+def _key() -> Column:
+    return keyed(F.col("tax_head"), F.col("taxpayer_id"), F.col("period_start"), F.col("period_end"))
+
+
+def estimates(signals: DataFrame, rates: DataFrame | None = None, by: dict[str, Column] | None = None) -> DataFrame:
+    """One estimate per taxpayer, tax head and period, by the rates given (those of the catalog). With `by`, columns made
+    of the estimates' deterministic_key, they lie by these."""
     # the signals of a key meet in one task anyway: single rows are less to move there than lists of them
-    rows = normalised(signals, rates).repartition(*KEYS)
+    rows = normalised(signals, rates)
+    if by is None:
+        rows = rows.repartition(*KEYS)
+    else:
+        rows = rows.withColumnRenamed("deterministic_key", "_signal").withColumn("deterministic_key", _key()).withColumns(by)
+        rows = rows.drop("deterministic_key").withColumnRenamed("_signal", "deterministic_key").repartition(*by)
     gap = F.col("estimated_gap")
     of = lambda *rates: F.sum(F.round(_product(gap, *rates), 2)).cast("decimal(18,2)")
-    out = rows.groupBy(*KEYS).agg(
+    out = rows.groupBy(*(by or ()), *KEYS).agg(
         *[F.sum(c).cast("decimal(18,2)").alias(c) for c in ("declared_amount", "observed_amount", "estimated_gap")],
         of("recoverable_rate").alias("recoverable_tax"),
         of("recoverable_rate", "penalty_rate").alias("penalty"),
@@ -86,10 +96,9 @@ def estimates(signals: DataFrame, rates: DataFrame | None = None) -> DataFrame:
             "evidence": F.sort_array(fields("signal_type", "deterministic_key", "estimated_gap")),
         }
     )
-    out = out.select(*[c for c in out.columns if c != "evidence"], "evidence")
-    key = keyed(F.col("tax_head"), F.col("taxpayer_id"), F.col("period_start"), F.col("period_end"))
+    out = out.select(*[c for c in out.columns if c != "evidence" and c not in (by or ())], "evidence")
     total = (F.col("recoverable_tax") + F.col("penalty") + F.col("interest")).cast("decimal(18,2)")
-    return out.select(key.alias("deterministic_key"), *out.columns, total.alias("total_recoverable"))
+    return out.select(_key().alias("deterministic_key"), *out.columns, total.alias("total_recoverable"))
 
 
 def _product(gap, *rates: str):
